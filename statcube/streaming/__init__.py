@@ -1,0 +1 @@
+"""statcube streaming."""
