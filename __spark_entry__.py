@@ -40,6 +40,11 @@ GROWTH = dict(tab="DATA_YR", rows=["COUNTY"], cols=["PRI"], metric="CNT", filter
 AVG = dict(tab="DATA_YR", rows=["COUNTY"], cols=["SEG", "PRI"], metric="CNT", filters={})
 PROBED = dict(tab="DATA_YR", rows=["COUNTY"], cols=[], filters={"SEG": ["BUILDING", "FURNITURE"]})
 REGION_FULL = dict(tab="DATA_YR", rows=["REGION"], cols=[], filters={})
+REF = dict(tab="DATA_YR", rows=["COUNTY"], cols=[], filters={"SEG": ["BUILDING"]})
+REF_DERIVED = dict(tab="DATA_YR", rows=["SEG"], cols=[], filters={"COUNTY": ["NATION_1", "NATION_2"]})
+AVG_NAMES = ["Average price", "平均Priority"]
+DETAIL_NAMES = {"DATA_YR": "Order year", "COUNTY": "Nation", "SEG": "Market segment", "PRI": "Priority",
+                "REGION": "Region"}
 IN_FILTERS = {"DATA_YR": ["1996", "1997"], "SEG": ["BUILDING"], "CNT": [1], "NOPE": ["x"]}
 
 
@@ -78,6 +83,27 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "crosstab_2x2": lambda s, d: _xt(s, d, TWO_BY_TWO).cells(),
         "crosstab_nocols": lambda s, d: _xt(s, d, NO_COLS).cells(),
         "heat_scale": lambda s, d: _xt(s, d, MAIN).heat(),
+        # reference totals, weighted averages
+        "reference_totals": lambda s, d: _xt(s, d, REF).reference_totals(),
+        "reference_totals_derived": lambda s, d: _xt(s, d, REF_DERIVED).reference_totals(),
+        "weighted_avg": lambda s, d: _xt(s, d, AVG).averages(),
+        # growth (W4-W8)
+        "growth_overall": lambda s, d: _xt(s, d, GROWTH).growth("all"),
+        "growth_rows": lambda s, d: _xt(s, d, GROWTH).growth("rows"),
+        "growth_cols": lambda s, d: _xt(s, d, GROWTH).growth("cols"),
+        # ad-hoc mean crosstab of one grouping set
+        "mean_crosstab": lambda s, d: mean_crosstab(cube_ops.grouping_set(oc.decoded_cube(s, d), 0),
+                                                    ["COUNTY"], ["SEG"], ["CNT", "SUM_PRICE"]),
+        # drill-through
+        "distinct_values": lambda s, d: drill.distinct_values(oc.decoded_cube(s, d)),
+        "drill_summary": lambda s, d: _xt(s, d, MAIN).drill_summary(),
+        "masked_rows": lambda s, d: _xt(s, d, MAIN).masked(),
+        "masked_detail": lambda s, d: _xt(s, d, MAIN).masked_detail(),
+        # ordering (O1, O2) and report layout
+        "tab_order": lambda s, d: _xt(s, d, MAIN).tab_order(),
+        "axis_order": lambda s, d: _xt(s, d, MAIN).row_order(),
+        "axis_order_cols": lambda s, d: _xt(s, d, GROWTH).col_order(),
+        "mix_report": lambda s, d: _xt(s, d, MAIN).mix(),
     }
 
 
@@ -115,4 +141,36 @@ def oracle_sql() -> dict[str, str]:
             "max(CASE WHEN NOT is_row_total AND NOT is_col_total THEN CAST(value AS DOUBLE) END) OVER (PARTITION BY DATA_YR, COUNTY) AS mr "
             "FROM cells) c",
             O.crosstab_ctes(**MAIN)),
+        "reference_totals": O.with_cube(
+            "SELECT DATA_YR, CAST(coalesce(sum(CNT), 0) AS BIGINT) AS ref_total FROM d WHERE DATA_YR IS NOT NULL "
+            "AND SEG IN ('BUILDING') AND COUNTY IS NULL AND PRI IS NULL AND REGION IS NULL GROUP BY DATA_YR"),
+        "reference_totals_derived": O.with_cube(
+            "SELECT DATA_YR, CAST(coalesce(sum(CNT), 0) AS BIGINT) AS ref_total FROM d WHERE DATA_YR IS NOT NULL "
+            "AND COUNTY IN ('NATION_1', 'NATION_2') AND SEG IS NULL AND PRI IS NULL GROUP BY DATA_YR"),
+        "weighted_avg": O.weighted_avg(**AVG, names=AVG_NAMES),
+        "growth_overall": O.growth_overall(**GROWTH),
+        "growth_rows": O.growth_series(**GROWTH, by="rows"),
+        "growth_cols": O.growth_series(**GROWTH, by="cols"),
+        "mean_crosstab": O.with_cube(
+            "SELECT COUNTY, SEG, avg(CAST(CNT AS DOUBLE)) AS avg_CNT, avg(CAST(SUM_PRICE AS DOUBLE)) AS avg_SUM_PRICE "
+            "FROM d WHERE GID = 0 AND COUNTY IS NOT NULL AND SEG IS NOT NULL GROUP BY COUNTY, SEG"),
+        "distinct_values": O.with_cube(" UNION ".join(
+            f"SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value FROM d WHERE {c} IS NOT NULL"
+            for c in ["DATA_YR", "COUNTY", "SEG", "PRI", "CNT", "SUM_PRICE", "CNT_PRICE", "GID", "DATA_STATUS", "REGION"])),
+        "drill_summary": O.with_cube(
+            "SELECT DATA_YR, CAST(count(*) AS BIGINT) AS n_rows, CAST(coalesce(sum(CNT), 0) AS BIGINT) AS cnt_sum "
+            "FROM f GROUP BY DATA_YR", [("f", O.smart_filter("d", "DATA_YR", ["COUNTY"], ["SEG"], {}))]),
+        "masked_rows": O.with_cube(f"SELECT * FROM f WHERE DATA_STATUS = '{O.MASKED}'",
+                                   [("f", O.smart_filter("d", "DATA_YR", ["COUNTY"], ["SEG"], {}))]),
+        "masked_detail": O.with_cube(
+            "SELECT *, concat_ws(' | ', " + ", ".join(
+                f"CASE WHEN {c} IS NOT NULL THEN '{n}: ' || CAST({c} AS VARCHAR) END" for c, n in DETAIL_NAMES.items())
+            + f") AS detail FROM f WHERE DATA_STATUS = '{O.MASKED}'",
+            [("f", O.smart_filter("d", "DATA_YR", ["COUNTY"], ["SEG"], {}))]),
+        "tab_order": O.with_cube(
+            "SELECT DATA_YR, row_number() OVER (ORDER BY DATA_YR DESC) AS tab_rank FROM (SELECT DISTINCT DATA_YR FROM f)",
+            [("f", O.smart_filter("d", "DATA_YR", ["COUNTY"], ["SEG"], {}))]),
+        "axis_order": O.axis_order(**MAIN, axis="rows", codes_sql=O.NATION_CODES, out="row_rank"),
+        "axis_order_cols": O.axis_order(**GROWTH, axis="cols", codes_sql=O.PRI_CODES, out="col_rank"),
+        "mix_report": O.mix_report(**MAIN, avg_names=["Average price"]),
     }

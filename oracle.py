@@ -140,3 +140,125 @@ def crosstab(tab, rows, cols, metric="CNT", filters=None, pct=True, probe="prefi
     ctes = crosstab_ctes(tab, rows, cols, metric, filters or {}, probe)
     body = pct_select(tab, rows, cols) if pct else "SELECT * FROM cells"
     return with_cube(body, ctes)
+
+
+def averages_ctes(tab: str, rows: list[str], names: list[str]) -> list[tuple[str, str]]:
+    """CTE avg over f: weighted average of SUM_PRICE / CNT_PRICE per row and
+    for the total row, one row per average name."""
+    r = ", ".join(rows)
+    names_sql = ", ".join(f"({lit(n)})" for n in names)
+    return [
+        ("ag", f"SELECT {tab}, {r}, GROUPING({rows[0]}) AS gr, CAST(coalesce(sum(SUM_PRICE), 0) AS BIGINT) AS n, "
+               f"CAST(coalesce(sum(CNT_PRICE), 0) AS BIGINT) AS dd FROM f GROUP BY GROUPING SETS (({tab}, {r}), ({tab}))"),
+        ("av", f"SELECT {tab}, {r}, gr = 1 AS is_row_total, v.name AS avg_name, "
+               "CASE WHEN dd <> 0 THEN CAST(n AS DOUBLE) / CAST(dd AS DOUBLE) WHEN gr = 1 THEN 0.0 "
+               "WHEN n > 0 THEN CAST('Infinity' AS DOUBLE) WHEN n < 0 THEN CAST('-Infinity' AS DOUBLE) ELSE 0.0 END AS avg_value "
+               f"FROM ag CROSS JOIN (VALUES {names_sql}) v(name)"),
+    ]
+
+
+def weighted_avg(tab, rows, cols, metric="CNT", filters=None, names=()) -> str:
+    ctes = [("f", smart_filter("d", tab, rows, cols, filters or {}))] + averages_ctes(tab, rows, list(names))
+    return with_cube("SELECT * FROM av", ctes)
+
+
+def growth_overall(tab, rows, cols, metric="CNT", filters=None) -> str:
+    ctes = crosstab_ctes(tab, rows, cols, metric, filters or {})
+    ctes.append(("tot", f"SELECT {tab}, value AS TOTAL, lag(value) OVER (ORDER BY {tab}) AS prev "
+                        f"FROM cells WHERE is_row_total AND is_col_total"))
+    body = (f"SELECT {tab}, TOTAL, gr AS YEARLY_GROWTH, gr * 100 AS YEARLY_GROWTH_PCT FROM ("
+            f"SELECT {tab}, TOTAL, CASE WHEN prev IS NULL THEN 0.0 WHEN prev = 0 AND TOTAL = 0 THEN 0.0 "
+            f"WHEN prev = 0 THEN CAST('Infinity' AS DOUBLE) "
+            f"ELSE CAST(TOTAL AS DOUBLE) / CAST(prev AS DOUBLE) - 1.0 END AS gr FROM tot)")
+    return with_cube(body, ctes)
+
+
+def growth_series(tab, rows, cols, metric="CNT", filters=None, by="rows") -> str:
+    ctes = crosstab_ctes(tab, rows, cols, metric, filters or {})
+    keys = (rows + ["is_row_total"]) if by == "rows" else (cols + ["is_col_total"])
+    src_where = "is_col_total" if by == "rows" else "is_row_total"
+    k = ", ".join(keys)
+    on = " AND ".join([f"s.{tab} = ty.{tab}"] + [f"s.{x} IS NOT DISTINCT FROM kk.{x}" for x in keys])
+    ctes += [
+        ("src", f"SELECT {tab}, {k}, value FROM cells WHERE {src_where}"),
+        ("grid", f"SELECT ty.{tab}, {', '.join('kk.' + x for x in keys)}, s.value FROM (SELECT DISTINCT {k} FROM src) kk "
+                 f"CROSS JOIN (SELECT DISTINCT {tab} FROM src) ty LEFT JOIN src s ON {on}"),
+        ("ff", f"SELECT {tab}, {k}, last_value(value IGNORE NULLS) OVER (PARTITION BY {k} ORDER BY {tab} "
+               f"ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v, "
+               f"row_number() OVER (PARTITION BY {k} ORDER BY {tab}) AS rn FROM grid"),
+        ("lg", f"SELECT *, lag(v) OVER (PARTITION BY {k} ORDER BY {tab}) AS pv FROM ff"),
+    ]
+    body = (f"SELECT {tab}, {k}, CASE WHEN v IS NULL OR pv IS NULL THEN NULL "
+            f"WHEN pv <> 0 THEN (CAST(v AS DOUBLE) / CAST(pv AS DOUBLE) - 1.0) * 100.0 "
+            f"WHEN v > 0 THEN CAST('Infinity' AS DOUBLE) WHEN v < 0 THEN CAST('-Infinity' AS DOUBLE) END AS growth_pct "
+            f"FROM lg WHERE rn > 1")
+    return with_cube(body, ctes)
+
+
+def label_rank_cte(name: str, codes_sql: str) -> tuple[str, str]:
+    """(label, rnk): position of the code in the sorted code list, the last
+    position for a label listed twice. ``codes_sql`` yields (code, label)."""
+    return (name, f"SELECT label, max(pos) AS rnk FROM (SELECT label, row_number() OVER (ORDER BY code) - 1 AS pos "
+                  f"FROM ({codes_sql})) GROUP BY label")
+
+
+NATION_CODES = "SELECT n_nationkey AS code, n_name AS label FROM nation"
+PRI_CODES = ("SELECT * FROM (VALUES (1, '1-URGENT'), (2, '2-HIGH'), (3, '3-MEDIUM'), (4, '4-NOT SPECIFIED'), "
+             "(5, '5-LOW')) v(code, label)")
+
+
+def axis_order(tab, rows, cols, metric="CNT", filters=None, axis="rows", codes_sql=None, out="row_rank") -> str:
+    ctes = crosstab_ctes(tab, rows, cols, metric, filters or {})
+    dims = rows if axis == "rows" else cols
+    flag = "is_row_total" if axis == "rows" else "is_col_total"
+    other = "is_col_total" if axis == "rows" else "is_row_total"
+    k = ", ".join(dims)
+    ctes.append(("keys", f"SELECT DISTINCT {tab}, {k}, {flag} FROM cells WHERE {other}"))
+    if codes_sql:
+        ctes.append(label_rank_cte("lr", codes_sql))
+        order = f"{flag} DESC, lr.rnk ASC NULLS LAST, " + ", ".join(f"k.{x} ASC NULLS FIRST" for x in dims)
+        src = f"keys k LEFT JOIN lr ON lr.label = CAST(k.{dims[0]} AS VARCHAR)"
+    else:
+        order = f"{flag} DESC, " + ", ".join(f"k.{x} ASC NULLS FIRST" for x in dims)
+        src = "keys k"
+    body = (f"SELECT k.{tab}, {', '.join('k.' + x for x in dims)}, k.{flag}, "
+            f"row_number() OVER (PARTITION BY k.{tab} ORDER BY {order}) AS {out} FROM {src}")
+    return with_cube(body, ctes)
+
+
+def _row_labels(rows: list[str], prefix: str = "") -> str:
+    out = []
+    for i, x in enumerate(rows):
+        lab = "'全國'" if i == 0 else "''"
+        out.append(f"CASE WHEN {prefix}is_row_total THEN {lab} ELSE CAST({prefix}{x} AS VARCHAR) END AS {x}")
+    return ", ".join(out)
+
+
+def mix_report(tab, rows, cols, metric="CNT", filters=None, avg_names=()) -> str:
+    """Long MIX cells (single column dimension)."""
+    filters = filters or {}
+    ctes = crosstab_ctes(tab, rows, cols, metric, filters) + averages_ctes(tab, rows, list(avg_names))
+    ctes.append(("pc", pct_select(tab, rows, cols)))
+    c = cols[0]
+    ctes.append(("crk", f"SELECT {tab}, {c}, is_col_total, row_number() OVER (PARTITION BY {tab} "
+                        f"ORDER BY is_col_total DESC, {c} ASC NULLS FIRST) AS crank "
+                        f"FROM (SELECT DISTINCT {tab}, {c}, is_col_total FROM cells WHERE is_row_total)"))
+    n_avg = len(avg_names)
+    pos = " ".join(f"WHEN {lit(n)} THEN {i + 1}" for i, n in enumerate(avg_names))
+    parts = [
+        f"SELECT {tab}, {_row_labels(rows)}, is_row_total, '全國' AS \"column\", 'value' AS kind, "
+        f"CAST(value AS DOUBLE) AS value, CAST(0 AS BIGINT) AS col_order FROM pc WHERE is_col_total",
+        f"SELECT {tab}, {_row_labels(rows)}, is_row_total, avg_name, 'avg', avg_value, "
+        f"CAST(CASE avg_name {pos} END AS BIGINT) FROM av",
+        f"SELECT p.{tab}, {_row_labels(rows, 'p.')}, p.is_row_total, CAST(p.{c} AS VARCHAR), 'value', "
+        f"CAST(p.value AS DOUBLE), CAST({n_avg} + (k.crank - 2) * 2 + 1 AS BIGINT) "
+        f"FROM pc p JOIN crk k ON k.{tab} = p.{tab} AND k.{c} = p.{c} WHERE NOT p.is_col_total",
+        f"SELECT p.{tab}, {_row_labels(rows, 'p.')}, p.is_row_total, CAST(p.{c} AS VARCHAR) || '(%)', 'pct', "
+        f"p.row_pct, CAST({n_avg} + (k.crank - 2) * 2 + 2 AS BIGINT) "
+        f"FROM pc p JOIN crk k ON k.{tab} = p.{tab} AND k.{c} = p.{c} WHERE NOT p.is_col_total",
+    ]
+    ctes.append(("mx", "\nUNION ALL ".join(parts)))
+    body = ("SELECT *, CASE WHEN contains(\"column\", '(%)') THEN 'percent' "
+            "WHEN contains(\"column\", '平均') OR contains(lower(\"column\"), 'age') THEN 'decimal2' "
+            "ELSE 'integer' END AS format FROM mx")
+    return with_cube(body, ctes)

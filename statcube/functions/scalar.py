@@ -77,7 +77,7 @@ def numeric_text(c: str | Column) -> Column:
 
 
 def as_number(c: str | Column) -> Column:
-    return F.try_cast(col_(c).cast("string"), T.DoubleType())
+    return col_(c).cast("string").try_cast(T.DoubleType())
 
 
 def basename(path: str | Column) -> Column:

@@ -26,7 +26,7 @@ from statcube.operators.filters import as_list
 
 
 def _tab_number(tab: str) -> Column:
-    return F.try_cast(F.col(tab).cast("string"), T.DoubleType())
+    return F.col(tab).cast("string").try_cast(T.DoubleType())
 
 
 def tabs_are_numeric(df: DataFrame, tab: str) -> bool:

@@ -40,14 +40,14 @@ def mix_cells(cells: DataFrame, averages: DataFrame, tab: str, rows: Sequence[st
     head = [tab, *rows, ROW_TOTAL]
     total = cells.where(F.col(COL_TOTAL)).select(
         *head, F.lit(TOTAL_LABEL).alias("column"), F.lit("value").alias("kind"),
-        F.col(VALUE).cast("double").alias("value"), F.lit(0).alias("col_order"))
+        F.col(VALUE).cast("double").alias("value"), F.lit(0).cast("long").alias("col_order"))
     n_avg = len(avg_names)
     parts = [total]
     if avg_names:
         pos = F.create_map(*[x for i, n in enumerate(avg_names) for x in (F.lit(n), F.lit(i + 1))])
         parts.append(averages.select(*head, F.col("avg_name").alias("column"), F.lit("avg").alias("kind"),
                                      F.col("avg_value").alias("value"),
-                                     F.try_element_at(pos, F.col("avg_name")).alias("col_order")))
+                                     F.try_element_at(pos, F.col("avg_name")).cast("long").alias("col_order")))
     if cols:
         ranks = axis_order(cells.where(F.col(ROW_TOTAL)), tab, cols, COL_TOTAL, codebook, "__crank")
         inner = (cells.where(~F.col(COL_TOTAL))
@@ -62,9 +62,9 @@ def mix_cells(cells: DataFrame, averages: DataFrame, tab: str, rows: Sequence[st
         metric_cells = cells.where(~F.col(COL_TOTAL))
         parts.append(metric_cells.select(*head, F.lit(VALUE).alias("column"), F.lit("value").alias("kind"),
                                          F.col(VALUE).cast("double").alias("value"),
-                                         F.lit(n_avg + 1).alias("col_order")))
+                                         F.lit(n_avg + 1).cast("long").alias("col_order")))
         parts.append(metric_cells.select(*head, F.lit(VALUE + PCT_SUFFIX).alias("column"), F.lit("pct").alias("kind"),
-                                         F.col("row_pct").alias("value"), F.lit(n_avg + 2).alias("col_order")))
+                                         F.col("row_pct").alias("value"), F.lit(n_avg + 2).cast("long").alias("col_order")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -40,9 +40,9 @@ def tab_order(df: DataFrame, tab: str, codebook: Codebook | None = None) -> Data
         order = [F.col(tab)]
     else:
         all_numeric = F.min(numeric_text(tab).cast("int")).over(Window.partitionBy(F.lit(1))) == 1
-        tabs = tabs.withColumn("__num", F.when(all_numeric, F.try_cast(F.col(tab), T.DoubleType())))
+        tabs = tabs.withColumn("__num", F.when(all_numeric, F.col(tab).try_cast(T.DoubleType())))
         order = [F.col("__num").asc_nulls_last(), F.col(tab)]
-    ranked = tabs.withColumn("tab_rank", F.row_number().over(Window.orderBy(*order)))
+    ranked = tabs.withColumn("tab_rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
     return ranked.select(tab, "tab_rank")
 
 
@@ -67,14 +67,14 @@ def axis_order(cells: DataFrame, tab: str, dims: Sequence[str], total_flag: str,
     keys = cells.select(tab, *dims, total_flag).distinct()
     keys, order = axis_sort_columns(keys, dims, codebook)
     w = Window.partitionBy(tab).orderBy(F.col(total_flag).desc(), *order)
-    return keys.select(tab, *dims, total_flag, F.row_number().over(w).alias(out))
+    return keys.select(tab, *dims, total_flag, F.row_number().over(w).cast("long").alias(out))
 
 
 def chapter_sort_columns(chapter: str | Column) -> list[Column]:
     """Natural order of chapters like 4-1-10: integer parts compared as a
     list; an empty chapter after all valid ones; invalid ones last, by text."""
     ch = F.trim(F.coalesce(F.col(chapter) if isinstance(chapter, str) else chapter, F.lit("")))
-    parts = F.transform(F.split(ch, "-"), lambda x: F.try_cast(x, T.IntegerType()))
+    parts = F.transform(F.split(ch, "-"), lambda x: x.try_cast(T.IntegerType()))
     valid = (ch != "") & F.forall(parts, lambda x: x.isNotNull())
     klass = F.when(valid, F.lit(0)).when(ch == "", F.lit(1)).otherwise(F.lit(2))
     return [klass, F.when(valid, parts), F.when(klass == 2, ch)]
