@@ -28,7 +28,15 @@ from statcube.operators.crosstab import mean_crosstab  # noqa: E402
 from statcube.plans import orders_cube as oc  # noqa: E402
 from statcube.plans.crosstab import Crosstab  # noqa: E402
 from statcube.plans.spec import CrosstabSpec  # noqa: E402
+from statcube.plans.presets import load_presets, preset_crosstab  # noqa: E402
+from statcube.plans.report import ReportBatch  # noqa: E402
+from statcube.sources.catalog import enabled_datasets, list_datasets  # noqa: E402
 from statcube.sources.codebook import REGION_COUNTIES  # noqa: E402
+from statcube.sources.specs import read_specs  # noqa: E402
+
+CONFIG_DIR = os.path.join(os.path.dirname(os.path.abspath(__file__)), "statcube", "config")
+SPECS_PATH = os.path.join(CONFIG_DIR, "report_specs.jsonl")
+PRESETS_PATH = os.path.join(CONFIG_DIR, "presets.yaml")
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 
@@ -43,6 +51,20 @@ REGION_FULL = dict(tab="DATA_YR", rows=["REGION"], cols=[], filters={})
 REF = dict(tab="DATA_YR", rows=["COUNTY"], cols=[], filters={"SEG": ["BUILDING"]})
 REF_DERIVED = dict(tab="DATA_YR", rows=["SEG"], cols=[], filters={"COUNTY": ["NATION_1", "NATION_2"]})
 AVG_NAMES = ["Average price", "平均Priority"]
+DISABLED = ["pages.parquet", "documents.parquet"]
+# Expected sheets of the saved specs, in chapter order (spec, sheet, rank,
+# focus tab or None for "latest", average names, chapter, title, description).
+REPORT_SHEETS = [
+    (dict(tab="DATA_YR", rows=["COUNTY"], cols=["SEG"], metric="CNT", filters={"DATA_YR": [1996, 1997]}),
+     "4-1-1", 1, None, ["Average price"], "4-1-1", "Orders by nation, two years (orders)", ""),
+    (dict(tab="DATA_YR", rows=["COUNTY"], cols=["PRI"], metric="CNT", filters={"SEG": ["BUILDING"]}),
+     "4-1-2", 2, None, ["平均Priority"], "4-1-2", "Orders by nation and priority ",
+     "Building segment only.\n此分組包含 5 組被遮蔽資料（樣本數小於 3 筆）。（而未經篩選及遮蔽的本分組總計應為: 1,234 宅）"),
+    (dict(tab="DATA_YR", rows=["COUNTY"], cols=["SEG"], metric="CNT", filters={"PRI": ["1-URGENT", "2-HIGH"]}),
+     "4-1-10", 3, 1996, ["Average price"], "4-1-10", "Orders by nation and segment (orders)", ""),
+    (dict(tab="DATA_YR", rows=["SEG"], cols=["PRI"], metric="SUM_PRICE", filters={}),
+     "Report_3", 4, 1997, ["平均Priority"], "", "Order value by segment and priority (cents)", "Value in cents."),
+]
 DETAIL_NAMES = {"DATA_YR": "Order year", "COUNTY": "Nation", "SEG": "Market segment", "PRI": "Priority",
                 "REGION": "Region"}
 IN_FILTERS = {"DATA_YR": ["1996", "1997"], "SEG": ["BUILDING"], "CNT": [1], "NOPE": ["x"]}
@@ -53,6 +75,23 @@ def _xt(spark: SparkSession, sf_dir: str, spec: dict, probe: str = "prefix") ->
     return Crosstab(oc.decoded_cube(spark, sf_dir), s, oc.codebook(spark, sf_dir))
 
 
+def _report(spark: SparkSession, sf_dir: str) -> ReportBatch:
+    sources = {"orders_cube": lambda: (oc.decoded_cube(spark, sf_dir), oc.codebook(spark, sf_dir))}
+    return ReportBatch(read_specs(spark, SPECS_PATH), sources)
+
+
+def _preset(spark: SparkSession, sf_dir: str, i: int) -> DataFrame:
+    task = load_presets(PRESETS_PATH)[i]
+    return preset_crosstab(oc.decoded_cube(spark, sf_dir), oc.codebook(spark, sf_dir), task)
+
+
+def _sql_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    oc.decoded_cube(spark, sf_dir).createOrReplaceTempView("decoded_cube")
+    return spark.sql("SELECT GID, " + ", ".join(
+        f"CASE WHEN MAX({c}) IS NOT NULL THEN '{c}' ELSE NULL END AS has_{c.lower()}" for c in O.DIMS)
+        + " FROM decoded_cube GROUP BY GID")
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: crosstab of orders by year × nation × segment with totals and
     row / column / total percentages."""
@@ -104,6 +143,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "axis_order": lambda s, d: _xt(s, d, MAIN).row_order(),
         "axis_order_cols": lambda s, d: _xt(s, d, GROWTH).col_order(),
         "mix_report": lambda s, d: _xt(s, d, MAIN).mix(),
+        # batch report (K2-K11, O3, C9, C10) and presets
+        "report_cells": lambda s, d: _report(s, d).cells(),
+        "report_notes": lambda s, d: _report(s, d).notes(),
+        "preset_table_1": lambda s, d: _preset(s, d, 0),
+        "preset_table_2": lambda s, d: _preset(s, d, 1),
+        # catalogue (S4, S5, S9) and SQL over a registered view
+        "catalog_enabled": lambda s, d: enabled_datasets(list_datasets(s, d), DISABLED),
+        "sql_gid_fingerprint": _sql_fingerprint,
     }
 
 
@@ -173,4 +220,13 @@ def oracle_sql() -> dict[str, str]:
         "axis_order": O.axis_order(**MAIN, axis="rows", codes_sql=O.NATION_CODES, out="row_rank"),
         "axis_order_cols": O.axis_order(**GROWTH, axis="cols", codes_sql=O.PRI_CODES, out="col_rank"),
         "mix_report": O.mix_report(**MAIN, avg_names=["Average price"]),
+        "report_cells": "\nUNION ALL\n".join(
+            O.report_sheet_cells(sp, sh, rk, fo, av) for sp, sh, rk, fo, av, _, _, _ in REPORT_SHEETS),
+        "report_notes": "\nUNION ALL\n".join(
+            O.report_sheet_note(sp, sh, rk, fo, ch, ti, de) for sp, sh, rk, fo, _, ch, ti, de in REPORT_SHEETS),
+        "preset_table_1": O.preset(["COUNTY"], ["PRI"], "CNT", ["NATION_0", "5-LOW"]),
+        "preset_table_2": O.preset(["SEG"], ["PRI"], "SUM_PRICE", ["4-NOT SPECIFIED"]),
+        "sql_gid_fingerprint": O.with_cube(
+            "SELECT GID, " + ", ".join(f"CASE WHEN max(CAST({c} AS VARCHAR)) IS NOT NULL THEN '{c}' END AS has_{c.lower()}"
+                                       for c in O.DIMS) + " FROM d GROUP BY GID"),
     }

@@ -84,10 +84,14 @@ def _null(col: str) -> str:
 
 
 def crosstab_ctes(tab: str, rows: list[str], cols: list[str], metric: str, filters: dict,
-                  probe: str = "prefix") -> list[tuple[str, str]]:
+                  probe: str = "prefix", src: str = "d", post_where: str | None = None,
+                  filter_tab: str | None = "same") -> list[tuple[str, str]]:
     """CTEs f (filtered), leaf, dense, rt, ct, g, cells."""
     r, c = ", ".join(rows), ", ".join(cols)
-    ctes = [("f", smart_filter("d", tab, rows, cols, filters, probe))]
+    sf = smart_filter(src, tab if filter_tab == "same" else filter_tab, rows, cols, filters, probe)
+    if post_where:
+        sf = f"SELECT * FROM ({sf}) WHERE {post_where}"
+    ctes = [("f", sf)]
     if cols:
         on = " AND ".join([f"l.{tab} = rk.{tab}"] + [f"l.{x} = rk.{x}" for x in rows] + [f"l.{x} = ck.{x}" for x in cols])
         ctes += [
@@ -262,3 +266,61 @@ def mix_report(tab, rows, cols, metric="CNT", filters=None, avg_names=()) -> str
             "WHEN contains(\"column\", '平均') OR contains(lower(\"column\"), 'age') THEN 'decimal2' "
             "ELSE 'integer' END AS format FROM mx")
     return with_cube(body, ctes)
+
+
+def reference_where(tab: str, rows: list[str], cols: list[str], filters: dict, derived=(("REGION", "COUNTY"),)) -> str:
+    axes = set(rows) | set(cols)
+    parts = [f"{tab} IS NOT NULL"]
+    for col, vals in filters.items():
+        if col in DIMS and col not in axes and col != tab:
+            vv = [float(v) if col in NUMERIC else v for v in vals]
+            parts.append(f"{col} IN ({', '.join(lit(v) for v in vv)})")
+    parts += [f"{x} IS NULL" for x in rows + cols]
+    dmap = dict(derived)
+    for dcol in DIMS:
+        if dcol in filters or dcol in axes or dcol == tab:
+            continue
+        parent = dmap.get(dcol)
+        if parent and parent in filters and parent not in axes:
+            continue
+        parts.append(f"{dcol} IS NULL")
+    return conj(parts)
+
+
+NOTE_HEAD, NOTE_MID, NOTE_TAIL = "此分組包含 ", " 組被遮蔽資料（樣本數小於 3 筆）。（而未經篩選及遮蔽的本分組總計應為: ", " 宅）"
+
+
+def report_sheet_cells(spec: dict, sheet: str, rank: int, focus, avg_names) -> str:
+    tab, rows, cols = spec["tab"], spec["rows"], spec["cols"]
+    mix = mix_report(tab, rows, cols, spec.get("metric", "CNT"), spec["filters"], avg_names)
+    focus_pred = f"{tab} = {focus}" if focus is not None else f"{tab} = __m"
+    return (f"SELECT {lit(sheet)} AS sheet, CAST({rank} AS BIGINT) AS sheet_rank, CAST({tab} AS VARCHAR) AS tab, "
+            f"{rows[0]} AS row_1, CAST(NULL AS VARCHAR) AS row_2, is_row_total, \"column\", kind, value, col_order, format "
+            f"FROM (SELECT *, max({tab}) OVER () AS __m FROM ({mix})) WHERE {focus_pred}")
+
+
+def report_sheet_note(spec: dict, sheet: str, rank: int, focus, chapter: str, title: str, desc: str) -> str:
+    tab, rows, cols, filters = spec["tab"], spec["rows"], spec["cols"], spec["filters"]
+    fsql = smart_filter("d", tab, rows, cols, filters)
+    focus_sql = str(focus) if focus is not None else f"(SELECT max({tab}) FROM f)"
+    msg = (f"{lit(NOTE_HEAD)} || CAST(n_masked AS VARCHAR) || {lit(NOTE_MID)} || format('{{:,}}', ref_total) "
+           f"|| {lit(NOTE_TAIL)}")
+    stripped = (f"regexp_replace(regexp_replace({lit(desc)}, '(?s)此分組包含 \\d+ 組被遮蔽資料.*?宅）', '', 'g'), "
+                f"'^\\s+|\\s+$', '', 'g')")
+    body = (f"SELECT {lit(sheet)} AS sheet, CAST({rank} AS BIGINT) AS sheet_rank, {lit(chapter)} AS chapter, "
+            f"{lit(title)} AS title, CAST({focus_sql} AS VARCHAR) AS focus_tab, n_masked, ref_total, "
+            f"CASE WHEN n_masked > 0 THEN (CASE WHEN {stripped} <> '' THEN {stripped} || chr(10) || {msg} ELSE {msg} END) "
+            f"ELSE {lit(desc)} END AS description FROM ("
+            f"SELECT (SELECT CAST(count(*) AS BIGINT) FROM f WHERE DATA_STATUS = '{MASKED}' AND {tab} = {focus_sql}) AS n_masked, "
+            f"(SELECT CAST(coalesce(sum(CNT), 0) AS BIGINT) FROM d WHERE {reference_where(tab, rows, cols, filters)} "
+            f"AND {tab} = {focus_sql}) AS ref_total)")
+    return f"SELECT * FROM (" + with_cube(body, [("f", fsql)]) + ")"
+
+
+def preset(rows: list[str], cols: list[str], value: str, exclude: list[str]) -> str:
+    excl = ", ".join(lit(x) for x in exclude)
+    post = conj([f"CAST({x} AS VARCHAR) NOT IN ({excl})" for x in rows + cols]) if exclude else None
+    ctes = [("dp", "SELECT *, 1 AS __all FROM d")]
+    ctes += crosstab_ctes("__all", rows, cols, value, {}, src="dp", post_where=post, filter_tab=None)
+    out = ", ".join(rows + cols + ["is_row_total", "is_col_total", "value", "row_pct", "col_pct", "total_pct"])
+    return with_cube(f"SELECT {out} FROM ({pct_select('__all', rows, cols)})", ctes)

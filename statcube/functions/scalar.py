@@ -113,8 +113,13 @@ def sheet_name(chapter: str | Column, position: str | Column) -> Column:
     return F.substring(F.translate(raw, SHEET_FORBIDDEN, ""), 1, SHEET_MAX_LEN)
 
 
+def strip_ws(c: str | Column) -> Column:
+    """Remove leading / trailing whitespace of any kind (newlines included)."""
+    return F.regexp_replace(col_(c), r"^\s+|\s+$", "")
+
+
 def strip_masked_note(desc: str | Column) -> Column:
-    return F.trim(F.regexp_replace(F.coalesce(col_(desc), F.lit("")), MASKED_NOTE_PATTERN, ""))
+    return strip_ws(F.regexp_replace(F.coalesce(col_(desc), F.lit("")), MASKED_NOTE_PATTERN, ""))
 
 
 def fmt_count(c: str | Column) -> Column:

@@ -97,20 +97,28 @@ def crosstab_cells(filtered: DataFrame, tab: str, rows: str | Sequence[str], col
                     F.explode(F.array(F.lit(False), F.lit(True))).alias(COL_TOTAL), VALUE)
 
 
+def per_tab(cells: DataFrame, tab: str, value: Column, name: str) -> DataFrame:
+    """One value per tab (a grand total, a maximum) joined back to every cell.
+
+    A window over a whole tab would put the largest tab in a single task; the
+    per-tab relation has one row per tab instead, and the join lets AQE pick a
+    broadcast from the measured size (or split a skewed tab)."""
+    agg = cells.groupBy(tab).agg(F.max(value).alias(name))
+    return cells.join(agg, tab, "left")
+
+
 def with_percentages(cells: DataFrame, tab: str, rows: Sequence[str], cols: Sequence[str],
                      value: str = VALUE) -> DataFrame:
     """row_pct = cell / its row total, col_pct = cell / its column total,
     total_pct = cell / grand total; a zero denominator gives NULL."""
     rows, cols = as_list(rows), as_list(cols)
     v = F.col(value)
-    w_row = Window.partitionBy(tab, *rows)
-    w_col = Window.partitionBy(tab, *cols) if cols else Window.partitionBy(tab, COL_TOTAL)
-    w_tab = Window.partitionBy(tab)
-    row_total = F.max(F.when(F.col(COL_TOTAL), v)).over(w_row)
-    col_total = F.max(F.when(F.col(ROW_TOTAL), v)).over(w_col)
-    grand = F.max(F.when(F.col(ROW_TOTAL) & F.col(COL_TOTAL), v)).over(w_tab)
-    return cells.select("*", safe_div(v, row_total).alias("row_pct"), safe_div(v, col_total).alias("col_pct"),
-                        safe_div(v, grand).alias("total_pct"))
+    out = per_tab(cells, tab, F.when(F.col(ROW_TOTAL) & F.col(COL_TOTAL), v), "_grand")
+    row_total = F.max(F.when(F.col(COL_TOTAL), v)).over(Window.partitionBy(tab, *rows))
+    # without column dims every column total is the grand total
+    col_total = F.max(F.when(F.col(ROW_TOTAL), v)).over(Window.partitionBy(tab, *cols)) if cols else F.col("_grand")
+    return out.select(*cells.columns, safe_div(v, row_total).alias("row_pct"), safe_div(v, col_total).alias("col_pct"),
+                      safe_div(v, F.col("_grand")).alias("total_pct"))
 
 
 def heat_scale(cells: DataFrame, tab: str, rows: Sequence[str], cols: Sequence[str], value: str = VALUE) -> DataFrame:
@@ -119,14 +127,14 @@ def heat_scale(cells: DataFrame, tab: str, rows: Sequence[str], cols: Sequence[s
     rows, cols = as_list(rows), as_list(cols)
     inner = ~F.col(ROW_TOTAL) & ~F.col(COL_TOTAL)
     v = F.when(inner, F.col(value).cast("double"))
+    out = per_tab(cells, tab, v, "_tmax")
 
-    def scaled(w: Window) -> Column:
-        mx = F.max(v).over(w)
+    def scaled(mx: Column) -> Column:
         return F.when(inner, F.when(mx == 0, F.lit(0.0)).otherwise(F.try_divide(v, mx)))
 
-    col_w = Window.partitionBy(tab, *cols) if cols else Window.partitionBy(tab, COL_TOTAL)
-    return cells.select("*", scaled(Window.partitionBy(tab)).alias("heat_table"),
-                        scaled(col_w).alias("heat_col"), scaled(Window.partitionBy(tab, *rows)).alias("heat_row"))
+    col_max = F.max(v).over(Window.partitionBy(tab, *cols)) if cols else F.col("_tmax")
+    return out.select(*cells.columns, scaled(F.col("_tmax")).alias("heat_table"), scaled(col_max).alias("heat_col"),
+                      scaled(F.max(v).over(Window.partitionBy(tab, *rows))).alias("heat_row"))
 
 
 def mean_crosstab(df: DataFrame, rows: Sequence[str], cols: Sequence[str], values: Sequence[str]) -> DataFrame:
