@@ -72,7 +72,7 @@ IN_FILTERS = {"DATA_YR": ["1996", "1997"], "SEG": ["BUILDING"], "CNT": [1], "NOP
 
 def _xt(spark: SparkSession, sf_dir: str, spec: dict, probe: str = "prefix") -> Crosstab:
     s = CrosstabSpec.of(spec["tab"], spec["rows"], spec["cols"], spec.get("metric", "CNT"), spec["filters"], probe)
-    return Crosstab(oc.decoded_cube(spark, sf_dir), s, oc.codebook(spark, sf_dir))
+    return Crosstab(oc.decoded_cube(spark, sf_dir, materialize=True), s, oc.codebook(spark, sf_dir))
 
 
 def _report(spark: SparkSession, sf_dir: str) -> ReportBatch:
@@ -82,7 +82,7 @@ def _report(spark: SparkSession, sf_dir: str) -> ReportBatch:
 
 def _preset(spark: SparkSession, sf_dir: str, i: int) -> DataFrame:
     task = load_presets(PRESETS_PATH)[i]
-    return preset_crosstab(oc.decoded_cube(spark, sf_dir), oc.codebook(spark, sf_dir), task)
+    return preset_crosstab(oc.decoded_cube(spark, sf_dir, materialize=True), oc.codebook(spark, sf_dir), task)
 
 
 def _sql_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,7 +114,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "filter_in_coerced": lambda s, d: filters.in_filter(oc.decoded_cube(s, d), IN_FILTERS),
         "smart_filter": lambda s, d: _xt(s, d, PROBED).filtered,
         "smart_filter_full": lambda s, d: _xt(s, d, REGION_FULL, probe="full").filtered,
-        "smart_filter_lazy": lambda s, d: Crosstab(oc.decoded_cube(s, d), CrosstabSpec.of(
+        "smart_filter_lazy": lambda s, d: Crosstab(oc.decoded_cube(s, d, materialize=True), CrosstabSpec.of(
             "DATA_YR", ["COUNTY"], [], "CNT", PROBED["filters"]), oc.codebook(s, d), mode="lazy").filtered,
         # crosstab (A1-A3, J4, W1-W3, W9)
         "crosstab_cells": lambda s, d: _xt(s, d, MAIN).cells(percentages=False),

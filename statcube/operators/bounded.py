@@ -28,10 +28,18 @@ def row_bound(df: DataFrame, limit: int) -> int | None:
 
 def broadcast_if_small(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint only when the relation is proven to hold <= ``limit`` rows;
-    otherwise leave it to the planner (shuffle join)."""
+    otherwise leave it to the planner (shuffle join). Costs one small job."""
     return F.broadcast(df) if row_bound(df, limit) is not None else df
 
 
+def lookup(df: DataFrame) -> DataFrame:
+    """A lookup relation for a join, without a hint: the planner broadcasts it
+    only when its size estimate (file size / local data) is under
+    spark.sql.autoBroadcastJoinThreshold, and AQE re-checks the measured size
+    at runtime; a larger lookup is joined by shuffle."""
+    return df
+
+
 def collect_bounded(df: DataFrame, limit: int = MAX_AXIS_KEYS) -> list[Row] | None:
     """Collect a small relation (axis keys) or return None when it has more
     than ``limit`` rows, so the caller can switch to a distributed path."""

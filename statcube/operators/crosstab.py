@@ -110,31 +110,49 @@ def per_tab(cells: DataFrame, tab: str, value: Column, name: str) -> DataFrame:
 def with_percentages(cells: DataFrame, tab: str, rows: Sequence[str], cols: Sequence[str],
                      value: str = VALUE) -> DataFrame:
     """row_pct = cell / its row total, col_pct = cell / its column total,
-    total_pct = cell / grand total; a zero denominator gives NULL."""
+    total_pct = cell / grand total; a zero denominator gives NULL.
+
+    Only windows over (tab, column key) and (tab, row key) are used: the grid
+    is dense, so every row partition holds the total-column cell, whose column
+    total is the grand total. No window spans a whole tab."""
     rows, cols = as_list(rows), as_list(cols)
     v = F.col(value)
-    out = per_tab(cells, tab, F.when(F.col(ROW_TOTAL) & F.col(COL_TOTAL), v), "_grand")
-    row_total = F.max(F.when(F.col(COL_TOTAL), v)).over(Window.partitionBy(tab, *rows))
-    # without column dims every column total is the grand total
-    col_total = F.max(F.when(F.col(ROW_TOTAL), v)).over(Window.partitionBy(tab, *cols)) if cols else F.col("_grand")
-    return out.select(*cells.columns, safe_div(v, row_total).alias("row_pct"), safe_div(v, col_total).alias("col_pct"),
-                      safe_div(v, F.col("_grand")).alias("total_pct"))
+    w_row = Window.partitionBy(tab, *rows)
+    if cols:
+        step = cells.withColumn("_ct", F.max(F.when(F.col(ROW_TOTAL), v)).over(Window.partitionBy(tab, *cols)))
+        grand = F.max(F.when(F.col(COL_TOTAL), F.col("_ct"))).over(w_row)
+        col_total = F.col("_ct")
+    else:
+        # one value column: every column total is the grand total
+        step = per_tab(cells, tab, F.when(F.col(ROW_TOTAL) & F.col(COL_TOTAL), v), "_ct")
+        grand = col_total = F.col("_ct")
+    row_total = F.max(F.when(F.col(COL_TOTAL), v)).over(w_row)
+    return step.select(*cells.columns, safe_div(v, row_total).alias("row_pct"), safe_div(v, col_total).alias("col_pct"),
+                       safe_div(v, grand).alias("total_pct"))
 
 
 def heat_scale(cells: DataFrame, tab: str, rows: Sequence[str], cols: Sequence[str], value: str = VALUE) -> DataFrame:
     """Colour intensity of inner cells on a 0..max scale: over the whole table
-    of a tab, per column, per row. Totals get NULL; an all-zero scale gives 0."""
+    of a tab, per column, per row. Totals get NULL; an all-zero scale gives 0.
+
+    The table maximum is the maximum of the column maxima seen along any row
+    (the grid is dense), so again no window spans a whole tab."""
     rows, cols = as_list(rows), as_list(cols)
     inner = ~F.col(ROW_TOTAL) & ~F.col(COL_TOTAL)
     v = F.when(inner, F.col(value).cast("double"))
-    out = per_tab(cells, tab, v, "_tmax")
+    w_row = Window.partitionBy(tab, *rows)
+    if cols:
+        step = cells.withColumn("_cm", F.max(v).over(Window.partitionBy(tab, *cols)))
+        table_max = F.max(F.when(inner, F.col("_cm"))).over(w_row)
+    else:
+        step = per_tab(cells, tab, v, "_cm")
+        table_max = F.col("_cm")
 
     def scaled(mx: Column) -> Column:
         return F.when(inner, F.when(mx == 0, F.lit(0.0)).otherwise(F.try_divide(v, mx)))
 
-    col_max = F.max(v).over(Window.partitionBy(tab, *cols)) if cols else F.col("_tmax")
-    return out.select(*cells.columns, scaled(F.col("_tmax")).alias("heat_table"), scaled(col_max).alias("heat_col"),
-                      scaled(F.max(v).over(Window.partitionBy(tab, *rows))).alias("heat_row"))
+    return step.select(*cells.columns, scaled(table_max).alias("heat_table"), scaled(F.col("_cm")).alias("heat_col"),
+                       scaled(F.max(v).over(w_row)).alias("heat_row"))
 
 
 def mean_crosstab(df: DataFrame, rows: Sequence[str], cols: Sequence[str], values: Sequence[str]) -> DataFrame:

@@ -1,7 +1,8 @@
 """Decode coded dimensions to labels and derive REGION from COUNTY.
 
 Small code lists are inlined as literal maps (no join at all); code lists read
-from data are joined by broadcast when their size is proven small, otherwise
+from data are joined as lookups: broadcast when the planner's size check
+passes (autoBroadcastJoinThreshold, re-checked by AQE at runtime), otherwise
 by shuffle. Unmapped codes pass through as their string form; NULL (subtotal)
 stays NULL.
 """
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from statcube.operators.bounded import broadcast_if_small
+from statcube.operators.bounded import lookup
 from statcube.schema import UNMAPPED_REGION
 from statcube.sources.codebook import REGION_COUNTIES, Codebook
 
@@ -39,10 +40,10 @@ def decode(df: DataFrame, codebook: Codebook) -> DataFrame:
         key, raw = _integral_key(F.col(c), dtype)
         if c in codebook.lookups:
             k, lab = f"__code_{c}", f"__label_{c}"
-            lookup = codebook.lookups[c].select(F.col("code").alias(k), F.col("label").alias(lab))
+            codes_df = codebook.lookups[c].select(F.col("code").alias(k), F.col("label").alias(lab))
             # one label per code: duplicated codes in a lookup would multiply rows
-            lookup = lookup.groupBy(k).agg(F.max(lab).alias(lab))
-            out = out.join(broadcast_if_small(lookup), key == F.col(k), "left")
+            codes_df = codes_df.groupBy(k).agg(F.max(lab).alias(lab))
+            out = out.join(lookup(codes_df), key == F.col(k), "left")
             select[c] = F.when(F.col(c).isNotNull(), F.coalesce(F.col(lab), raw)).alias(c)
         else:
             codes = codebook.static_codes(c)
@@ -71,7 +72,7 @@ def derive_region(df: DataFrame, county: str = "COUNTY", out: str = "REGION",
     else:
         lk = (mapping.select(F.col("county").cast("string").alias("__county"), F.col("region").alias("__region"))
               .groupBy("__county").agg(F.max("__region").alias("__region")))
-        base = df.join(broadcast_if_small(lk), county_str == F.col("__county"), "left")
+        base = df.join(lookup(lk), county_str == F.col("__county"), "left")
         mapped = F.col("__region")
     region = (F.when(F.col(county).isNull(), F.lit(None).cast("string"))
               .when(mapped.isNull(), F.lit(UNMAPPED_REGION))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from statcube.functions import numeric_text
-from statcube.operators.bounded import broadcast_if_small
+from statcube.operators.bounded import lookup
 from statcube.schema import YEAR_TAB
 from statcube.sources.codebook import Codebook
 
@@ -18,7 +18,7 @@ from statcube.sources.codebook import Codebook
 def _with_label_rank(df: DataFrame, col: str, codebook: Codebook, out: str) -> DataFrame:
     ranks = codebook.label_ranks(df.sparkSession, col).select(
         F.col("label").alias(f"__lab_{out}"), F.col("rank").alias(out))
-    return (df.join(broadcast_if_small(ranks), F.col(col).cast("string") == F.col(f"__lab_{out}"), "left")
+    return (df.join(lookup(ranks), F.col(col).cast("string") == F.col(f"__lab_{out}"), "left")
             .drop(f"__lab_{out}"))
 
 

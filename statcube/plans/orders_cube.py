@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from statcube.operators.cube import build_cube, flag_suppressed
 from statcube.operators.decode import decode_cube
+from statcube.session import cut_lineage
 from statcube.sources.codebook import Codebook, codebook_section, load_codebook
 from statcube.sources.tables import read_table
 
@@ -77,5 +78,9 @@ def region_map(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("n_name").alias("county"), F.col("r_name").alias("region"))
 
 
-def decoded_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decode_cube(coded_cube(spark, sf_dir), codebook(spark, sf_dir), region_map(spark, sf_dir))
+def decoded_cube(spark: SparkSession, sf_dir: str, materialize: bool = False) -> DataFrame:
+    """Decoded cube; ``materialize`` writes it once to the shared checkpoint
+    folder so the several passes of a crosstab read it instead of rebuilding
+    it from the order rows."""
+    cube = decode_cube(coded_cube(spark, sf_dir), codebook(spark, sf_dir), region_map(spark, sf_dir))
+    return cut_lineage(cube) if materialize else cube

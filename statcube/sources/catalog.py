@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statcube.functions import basename, dataset_type, epoch_text
-from statcube.operators.bounded import broadcast_if_small
+from statcube.operators.bounded import lookup
 
 
 def list_datasets(spark: SparkSession, root: str, pattern: str = "*.parquet") -> DataFrame:
@@ -32,7 +32,7 @@ def enabled_datasets(catalog: DataFrame, disabled: Sequence[str] | DataFrame) ->
     """Datasets whose file name is not on the disabled list (default enabled)."""
     if not isinstance(disabled, DataFrame):
         disabled = catalog.sparkSession.createDataFrame([(n,) for n in disabled], "name string")
-    return catalog.join(broadcast_if_small(disabled.select("name").distinct()), "name", "left_anti")
+    return catalog.join(lookup(disabled.select("name").distinct()), "name", "left_anti")
 
 
 def sort_catalog(catalog: DataFrame, by: str = "modified") -> DataFrame:
