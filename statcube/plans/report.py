@@ -13,6 +13,7 @@ written with one job each.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -75,9 +76,11 @@ def masked_note(description, n_masked, ref_total):
 
 
 class ReportBatch:
-    def __init__(self, specs: DataFrame, sources: Mapping[str, SourceLoader], materialize: bool = True):
+    def __init__(self, specs: DataFrame, sources: Mapping[str, SourceLoader], materialize: bool = True,
+                 planning_threads: int = 4):
         self.spark: SparkSession = specs.sparkSession
         self.specs, self.sources, self.materialize = specs, sources, materialize
+        self.planning_threads = planning_threads
         self._cubes: dict[str, tuple[DataFrame, Codebook]] = {}
 
     @cached_property
@@ -97,25 +100,37 @@ class ReportBatch:
             self._cubes[name] = (cut_lineage(cube) if self.materialize else cube, cb)
         return self._cubes[name]
 
+    def _plan_one(self, r) -> tuple[str, object]:
+        try:
+            cube, cb = self._source(r["data_source"])
+            spec = CrosstabSpec.of(r["pivot_tab"], list(r["pivot_row"] or []), list(r["pivot_col"] or []),
+                                   r["pivot_sum"] or "CNT", dict(r["filter_map"] or {}))
+            xt = Crosstab(cube, spec, cb)
+            focus = self._focus_tab(xt, r["focus_tab"])
+            if focus is None:
+                return "empty", None  # no tab has data: no sheet, as an empty report
+            return "ok", (self._sheet_cells(xt, r, focus), self._sheet_note(xt, r, focus))
+        except Exception as e:  # one bad spec must not stop the batch
+            return "error", (r["chapter"], r["name"], f"{type(e).__name__}: {e}")
+
     @cached_property
     def _planned(self) -> tuple[list[DataFrame], list[DataFrame], list[tuple]]:
         rows = collect_bounded(self.ordered, MAX_SPECS)
         if rows is None:
             raise ValueError("too many report specs in one batch")
-        cells, notes, errors = [], [], []
-        for r in rows:
+        # each source once, before the specs that read it
+        for name in dict.fromkeys(r["data_source"] for r in rows):
             try:
-                cube, cb = self._source(r["data_source"])
-                spec = CrosstabSpec.of(r["pivot_tab"], list(r["pivot_row"] or []), list(r["pivot_col"] or []),
-                                       r["pivot_sum"] or "CNT", dict(r["filter_map"] or {}))
-                xt = Crosstab(cube, spec, cb)
-                focus = self._focus_tab(xt, r["focus_tab"])
-                if focus is None:
-                    continue  # no tab has data: no sheet, as an empty report
-                cells.append(self._sheet_cells(xt, r, focus))
-                notes.append(self._sheet_note(xt, r, focus))
-            except Exception as e:  # one bad spec must not stop the batch
-                errors.append((r["chapter"], r["name"], f"{type(e).__name__}: {e}"))
+                self._source(name)
+            except Exception:  # reported per spec below
+                pass
+        # per-spec planning runs small jobs (probe pass, key and tab lists);
+        # submitting them from a few threads lets Spark interleave them
+        with ThreadPoolExecutor(max_workers=max(1, min(self.planning_threads, len(rows)))) as pool:
+            results = list(pool.map(self._plan_one, rows))
+        cells = [v[0] for k, v in results if k == "ok"]
+        notes = [v[1] for k, v in results if k == "ok"]
+        errors = [v for k, v in results if k == "error"]
         return cells, notes, errors
 
     @staticmethod
