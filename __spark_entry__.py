@@ -223,7 +223,7 @@ def oracle_sql() -> dict[str, str]:
         "report_cells": "\nUNION ALL\n".join(
             O.report_sheet_cells(sp, sh, rk, fo, av) for sp, sh, rk, fo, av, _, _, _ in REPORT_SHEETS),
         "report_notes": "\nUNION ALL\n".join(
-            O.report_sheet_note(sp, sh, rk, fo, ch, ti, de) for sp, sh, rk, fo, _, ch, ti, de in REPORT_SHEETS),
+            O.report_sheet_note(sp, sh, rk, fo, ch, ti, de, DETAIL_NAMES) for sp, sh, rk, fo, _, ch, ti, de in REPORT_SHEETS),
         "preset_table_1": O.preset(["COUNTY"], ["PRI"], "CNT", ["NATION_0", "5-LOW"]),
         "preset_table_2": O.preset(["SEG"], ["PRI"], "SUM_PRICE", ["4-NOT SPECIFIED"]),
         "sql_gid_fingerprint": O.with_cube(

@@ -299,7 +299,8 @@ def report_sheet_cells(spec: dict, sheet: str, rank: int, focus, avg_names) -> s
             f"FROM (SELECT *, max({tab}) OVER () AS __m FROM ({mix})) WHERE {focus_pred}")
 
 
-def report_sheet_note(spec: dict, sheet: str, rank: int, focus, chapter: str, title: str, desc: str) -> str:
+def report_sheet_note(spec: dict, sheet: str, rank: int, focus, chapter: str, title: str, desc: str,
+                      names: dict | None = None) -> str:
     tab, rows, cols, filters = spec["tab"], spec["rows"], spec["cols"], spec["filters"]
     fsql = smart_filter("d", tab, rows, cols, filters)
     focus_sql = str(focus) if focus is not None else f"(SELECT max({tab}) FROM f)"
@@ -310,7 +311,9 @@ def report_sheet_note(spec: dict, sheet: str, rank: int, focus, chapter: str, ti
     body = (f"SELECT {lit(sheet)} AS sheet, CAST({rank} AS BIGINT) AS sheet_rank, {lit(chapter)} AS chapter, "
             f"{lit(title)} AS title, CAST({focus_sql} AS VARCHAR) AS focus_tab, n_masked, ref_total, "
             f"CASE WHEN n_masked > 0 THEN (CASE WHEN {stripped} <> '' THEN {stripped} || chr(10) || {msg} ELSE {msg} END) "
-            f"ELSE {lit(desc)} END AS description FROM ("
+            f"ELSE {lit(desc)} END AS description, "
+            f"CAST({focus_sql} AS VARCHAR) || ' 年' || {lit(_context(filters))} || {lit(_dn(names, rows))} || '分佈 - 按' || "
+            f"{lit(_dn(names, rows))} || '與' || {lit(_dn(names, cols))} || '區分' AS auto_title FROM ("
             f"SELECT (SELECT CAST(count(*) AS BIGINT) FROM f WHERE DATA_STATUS = '{MASKED}' AND {tab} = {focus_sql}) AS n_masked, "
             f"(SELECT CAST(coalesce(sum(CNT), 0) AS BIGINT) FROM d WHERE {reference_where(tab, rows, cols, filters)} "
             f"AND {tab} = {focus_sql}) AS ref_total)")
@@ -324,3 +327,18 @@ def preset(rows: list[str], cols: list[str], value: str, exclude: list[str]) ->
     ctes += crosstab_ctes("__all", rows, cols, value, {}, src="dp", post_where=post, filter_tab=None)
     out = ", ".join(rows + cols + ["is_row_total", "is_col_total", "value", "row_pct", "col_pct", "total_pct"])
     return with_cube(f"SELECT {out} FROM ({pct_select('__all', rows, cols)})", ctes)
+
+
+def _context(filters: dict) -> str:
+    owned = [str(v) for v in filters.get("OWNED_TYPE", [])]
+    if "單獨持有" in owned:
+        return "所有權單獨持有住宅"
+    if "多人持有" in owned:
+        return "所有權多人持有住宅"
+    return "住宅"
+
+
+def _dn(names: dict | None, dims: list[str]) -> str:
+    if not dims:
+        return "總計"
+    return (names or {}).get(dims[0], dims[0])

@@ -80,3 +80,9 @@ def to_wide(mix: DataFrame, index: Sequence[str], max_columns: int = MAX_AXIS_KE
         raise ValueError("too many report columns for a sheet layout")
     ordered = [r["column"] for r in sorted(names, key=lambda r: (r["col_order"], r["column"]))]
     return mix.groupBy(*index).pivot("column", ordered).agg(F.first("value"))
+
+
+def reorder_columns(df: DataFrame, first: Sequence[str]) -> DataFrame:
+    """Listed columns (those present) first, in the listed order, then the rest."""
+    head = [c for c in first if c in df.columns]
+    return df.select(*head, *[c for c in df.columns if c not in head])

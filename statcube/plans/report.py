@@ -46,6 +46,7 @@ NOTE_SCHEMA = T.StructType([
     T.StructField("chapter", T.StringType()), T.StructField("title", T.StringType()),
     T.StructField("focus_tab", T.StringType()), T.StructField("n_masked", T.LongType()),
     T.StructField("ref_total", T.LongType()), T.StructField("description", T.StringType()),
+    T.StructField("auto_title", T.StringType()),
 ])
 ERROR_SCHEMA = "Chapter string, Name string, Error string"
 
@@ -64,6 +65,33 @@ def ordered_specs(specs: DataFrame) -> DataFrame:
                     parse_filters("filters").alias("filter_map"))
 
 
+# Title words of a quickly saved report.
+TITLE_CONTEXT = "住宅"
+TITLE_CONTEXTS = [("單獨持有", "所有權單獨持有"), ("多人持有", "所有權多人持有")]
+TITLE_NO_DIM = "總計"
+OWNERSHIP_FILTER = "OWNED_TYPE"
+
+
+def auto_title(focus_tab, filter_map, pivot_row, pivot_col, display_names: Mapping[str, str]):
+    """'<tab> 年<context><row>分佈 - 按<row>與<col>區分': the context comes from
+    the ownership filter, dimension names from the codebook ('總計' if none)."""
+    owned = F.coalesce(F.try_element_at(filter_map, F.lit(OWNERSHIP_FILTER)), F.array().cast("array<string>"))
+    context = F.lit(TITLE_CONTEXT)
+    for value, prefix in reversed(TITLE_CONTEXTS):
+        context = F.when(F.array_contains(owned, value), F.lit(prefix + TITLE_CONTEXT)).otherwise(context)
+    names = F.create_map(*[x for k, v in display_names.items() for x in (F.lit(k), F.lit(v))]) \
+        if display_names else None
+
+    def dim_name(arr):
+        first = F.try_element_at(arr, F.lit(1))
+        named = F.coalesce(F.try_element_at(names, first), first) if names is not None else first
+        return F.coalesce(named, F.lit(TITLE_NO_DIM))
+
+    row, col = dim_name(pivot_row), dim_name(pivot_col)
+    return F.concat(focus_tab.cast("string"), F.lit(" 年"), context, row, F.lit("分佈 - 按"), row, F.lit("與"), col,
+                    F.lit("區分"))
+
+
 def masked_note(description, n_masked, ref_total):
     """Description with the masked-cell note: an older note is removed and the
     current one appended (only when the sheet has masked cells)."""
@@ -167,7 +195,13 @@ class ReportBatch:
             F.lit(r["sheet"]).alias("sheet"), F.lit(r["sheet_rank"]).cast("long").alias("sheet_rank"),
             F.lit(r["toc_chapter"]).alias("chapter"), F.lit(r["title"]).alias("title"),
             F.lit(focus).alias("focus_tab"), "n_masked", "ref_total",
-            masked_note(F.lit(r["description"] or ""), F.col("n_masked"), F.col("ref_total")).alias("description"))
+            masked_note(F.lit(r["description"] or ""), F.col("n_masked"), F.col("ref_total")).alias("description"),
+            auto_title(F.lit(focus), F.lit(None).cast("map<string,array<string>>") if not r["filter_map"] else
+                       F.create_map(*[x for k, v in r["filter_map"].items()
+                                      for x in (F.lit(k), F.array(*[F.lit(str(e)) for e in v]))]),
+                       F.array(*[F.lit(x) for x in (r["pivot_row"] or [])]).cast("array<string>"),
+                       F.array(*[F.lit(x) for x in (r["pivot_col"] or [])]).cast("array<string>"),
+                       xt.codebook.display_names()).alias("auto_title"))
 
     def cells(self) -> DataFrame:
         parts = self._planned[0]

@@ -46,3 +46,22 @@ def test_in_filter_coercion(spark):
     df = spark.createDataFrame([(2021, "a", 1), (2022, "b", 2)], "DATA_YR long, S string, CNT long")
     assert in_filter(df, {"DATA_YR": ["2021"], "CNT": [2], "NOPE": [1]}).count() == 1
     assert in_filter(df, {"S": [1]}).count() == 0
+
+
+def test_auto_title_and_reorder(spark):
+    from pyspark.sql import functions as F
+
+    from statcube.operators.layout import reorder_columns
+    from statcube.plans.report import auto_title
+
+    df = spark.createDataFrame(
+        [("2025", {"OWNED_TYPE": ["單獨持有", "多人持有"]}, ["COUNTY"], ["AGE"]),
+         ("2024", {"OWNED_TYPE": ["多人持有"]}, ["COUNTY"], []),
+         ("2023", None, [], ["AGE"])],
+        "tab string, f map<string,array<string>>, r array<string>, c array<string>")
+    got = [x[0] for x in df.select(auto_title(F.col("tab"), F.col("f"), F.col("r"), F.col("c"),
+                                              {"COUNTY": "縣市", "AGE": "屋齡區間"})).collect()]
+    assert got == ["2025 年所有權單獨持有住宅縣市分佈 - 按縣市與屋齡區間區分",
+                   "2024 年所有權多人持有住宅縣市分佈 - 按縣市與總計區分",
+                   "2023 年住宅總計分佈 - 按總計與屋齡區間區分"]
+    assert reorder_columns(df, ["c", "nope", "tab"]).columns == ["c", "tab", "f", "r"]
