@@ -25,6 +25,7 @@ from statcube.operators import cube as cube_ops  # noqa: E402
 from statcube.operators import decode as dec  # noqa: E402
 from statcube.operators import drill, filters  # noqa: E402
 from statcube.operators.crosstab import mean_crosstab  # noqa: E402
+from statcube.plans import lineitem_cube as lc  # noqa: E402
 from statcube.plans import orders_cube as oc  # noqa: E402
 from statcube.plans.crosstab import Crosstab  # noqa: E402
 from statcube.plans.spec import CrosstabSpec  # noqa: E402
@@ -51,6 +52,7 @@ REGION_FULL = dict(tab="DATA_YR", rows=["REGION"], cols=[], filters={})
 REF = dict(tab="DATA_YR", rows=["COUNTY"], cols=[], filters={"SEG": ["BUILDING"]})
 REF_DERIVED = dict(tab="DATA_YR", rows=["SEG"], cols=[], filters={"COUNTY": ["NATION_1", "NATION_2"]})
 AVG_NAMES = ["Average price", "平均Priority"]
+LINEITEM_XT = dict(tab="DATA_YR", rows=["FLAG"], cols=["LSTATUS"], metric="SUM_QTY", filters={})
 DISABLED = ["pages.parquet", "documents.parquet"]
 # Expected sheets of the saved specs, in chapter order (spec, sheet, rank,
 # focus tab or None for "latest", average names, chapter, title, description).
@@ -151,6 +153,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         # catalogue (S4, S5, S9) and SQL over a registered view
         "catalog_enabled": lambda s, d: enabled_datasets(list_datasets(s, d), DISABLED),
         "sql_gid_fingerprint": _sql_fingerprint,
+        # a second cube from lineitem through the same builder and crosstab
+        "lineitem_crosstab": lambda s, d: Crosstab(lc.cube(s, d, materialize=True), CrosstabSpec.of(
+            **{k: v for k, v in LINEITEM_XT.items()}), lc.codebook()).cells(),
     }
 
 
@@ -226,6 +231,7 @@ def oracle_sql() -> dict[str, str]:
             O.report_sheet_note(sp, sh, rk, fo, ch, ti, de, DETAIL_NAMES) for sp, sh, rk, fo, _, ch, ti, de in REPORT_SHEETS),
         "preset_table_1": O.preset(["COUNTY"], ["PRI"], "CNT", ["NATION_0", "5-LOW"]),
         "preset_table_2": O.preset(["SEG"], ["PRI"], "SUM_PRICE", ["4-NOT SPECIFIED"]),
+        "lineitem_crosstab": O.lineitem_crosstab(**LINEITEM_XT),
         "sql_gid_fingerprint": O.with_cube(
             "SELECT GID, " + ", ".join(f"CASE WHEN max(CAST({c} AS VARCHAR)) IS NOT NULL THEN '{c}' END AS has_{c.lower()}"
                                        for c in O.DIMS) + " FROM d GROUP BY GID"),

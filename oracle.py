@@ -74,8 +74,8 @@ def smart_filter(src: str, tab: str | None, rows: list[str], cols: list[str], fi
     return f"SELECT s.* FROM {src} s CROSS JOIN (SELECT {flags} FROM {src}) p WHERE {conj(where)}"
 
 
-def with_cube(body: str, extra_ctes: list[tuple[str, str]] = ()) -> str:
-    ctes = CUBE_CTE + "".join(f",\n{name} AS (\n{sql}\n)" for name, sql in extra_ctes)
+def with_cube(body: str, extra_ctes: list[tuple[str, str]] = (), cube_cte: str | None = None) -> str:
+    ctes = (cube_cte or CUBE_CTE) + "".join(f",\n{name} AS (\n{sql}\n)" for name, sql in extra_ctes)
     return f"WITH {ctes}\n{body}"
 
 
@@ -85,10 +85,10 @@ def _null(col: str) -> str:
 
 def crosstab_ctes(tab: str, rows: list[str], cols: list[str], metric: str, filters: dict,
                   probe: str = "prefix", src: str = "d", post_where: str | None = None,
-                  filter_tab: str | None = "same") -> list[tuple[str, str]]:
+                  filter_tab: str | None = "same", dims: list[str] = DIMS) -> list[tuple[str, str]]:
     """CTEs f (filtered), leaf, dense, rt, ct, g, cells."""
     r, c = ", ".join(rows), ", ".join(cols)
-    sf = smart_filter(src, tab if filter_tab == "same" else filter_tab, rows, cols, filters, probe)
+    sf = smart_filter(src, tab if filter_tab == "same" else filter_tab, rows, cols, filters, probe, dims)
     if post_where:
         sf = f"SELECT * FROM ({sf}) WHERE {post_where}"
     ctes = [("f", sf)]
@@ -342,3 +342,23 @@ def _dn(names: dict | None, dims: list[str]) -> str:
     if not dims:
         return "總計"
     return (names or {}).get(dims[0], dims[0])
+
+
+LINEITEM_DIMS = ["DATA_YR", "FLAG", "LSTATUS"]
+LINEITEM_CUBE_CTE = f"""
+l0 AS (
+  SELECT CAST(year(l_shipdate) AS BIGINT) AS yr, l_returnflag AS fl, l_linestatus AS ls,
+         CAST(l_quantity AS BIGINT) AS qty FROM lineitem
+),
+lc AS (
+  SELECT yr AS DATA_YR, fl AS FLAG, ls AS LSTATUS, CAST(count(*) AS BIGINT) AS CNT,
+         CAST(sum(qty) AS BIGINT) AS SUM_QTY, CAST(count(qty) AS BIGINT) AS CNT_QTY,
+         CAST(GROUPING(fl) * 2 + GROUPING(ls) AS BIGINT) AS GID
+  FROM l0 GROUP BY GROUPING SETS ((yr), (yr, fl), (yr, ls), (yr, fl, ls))
+),
+d AS (SELECT *, CASE WHEN CNT < 3 THEN '{MASKED}' ELSE '{NORMAL}' END AS DATA_STATUS FROM lc)"""
+
+
+def lineitem_crosstab(tab, rows, cols, metric, filters=None) -> str:
+    ctes = crosstab_ctes(tab, rows, cols, metric, filters or {}, dims=LINEITEM_DIMS)
+    return with_cube(pct_select(tab, rows, cols), ctes, LINEITEM_CUBE_CTE)
