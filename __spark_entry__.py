@@ -152,6 +152,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         # catalogue (S4, S5, S9) and SQL over a registered view
         "catalog_enabled": lambda s, d: enabled_datasets(list_datasets(s, d), DISABLED),
         "sql_gid_fingerprint": _sql_fingerprint,
+        # small inspection operators
+        "distinct_gids": lambda s, d: cube_ops.distinct_gids(oc.decoded_cube(s, d)),
+        "distinct_tabs": lambda s, d: drill.distinct_tabs(_xt(s, d, MAIN).filtered, "DATA_YR"),
+        "grouping_set_rows": lambda s, d: cube_ops.grouping_set(oc.decoded_cube(s, d), 3),
+        "published_rows": lambda s, d: cube_ops.split_status(oc.decoded_cube(s, d))[0],
         # a second cube from lineitem through the same builder and crosstab
         "lineitem_crosstab": lambda s, d: Crosstab(lc.cube(s, d, materialize=True), CrosstabSpec.of(
             **{k: v for k, v in LINEITEM_XT.items()}), lc.codebook()).cells(),
@@ -231,6 +236,11 @@ def oracle_sql() -> dict[str, str]:
         "preset_table_1": O.preset(["COUNTY"], ["PRI"], "CNT", ["NATION_0", "5-LOW"]),
         "preset_table_2": O.preset(["SEG"], ["PRI"], "SUM_PRICE", ["4-NOT SPECIFIED"]),
         "lineitem_crosstab": O.lineitem_crosstab(**LINEITEM_XT),
+        "distinct_gids": O.with_cube("SELECT DISTINCT GID FROM d"),
+        "distinct_tabs": O.with_cube("SELECT DISTINCT DATA_YR FROM f WHERE DATA_YR IS NOT NULL",
+                                     [("f", O.smart_filter("d", "DATA_YR", ["COUNTY"], ["SEG"], {}))]),
+        "grouping_set_rows": O.with_cube("SELECT * FROM d WHERE GID = 3"),
+        "published_rows": O.with_cube(f"SELECT * FROM d WHERE DATA_STATUS = '{O.NORMAL}'"),
         "sql_gid_fingerprint": O.with_cube(
             "SELECT GID, " + ", ".join(f"CASE WHEN max(CAST({c} AS VARCHAR)) IS NOT NULL THEN '{c}' END AS has_{c.lower()}"
                                        for c in O.DIMS) + " FROM d GROUP BY GID"),
