@@ -93,6 +93,15 @@ def _sql_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
         + " FROM decoded_cube GROUP BY GID")
 
 
+def _growth_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from statcube.operators.growth import growth_summary
+
+    g = growth_summary(_xt(spark, sf_dir, GROWTH).growth("all"), "DATA_YR")
+    return g.select(F.round("mean_growth_pct", 6).alias("mean_growth_pct"), "latest_growth_pct")
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: crosstab of orders by year × nation × segment with totals and
     row / column / total percentages."""
@@ -157,6 +166,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "distinct_tabs": lambda s, d: drill.distinct_tabs(_xt(s, d, MAIN).filtered, "DATA_YR"),
         "grouping_set_rows": lambda s, d: cube_ops.grouping_set(oc.decoded_cube(s, d), 3),
         "published_rows": lambda s, d: cube_ops.split_status(oc.decoded_cube(s, d))[0],
+        # growth summary (A14), one tab's rows (F5, F8, F12), preview (O5), display names
+        "growth_summary": lambda s, d: _growth_summary(s, d),
+        "tab_slice": lambda s, d: filters.rows_of_tab(_xt(s, d, MAIN).filtered, "DATA_YR", "1997"),
+        "preview_rows": lambda s, d: drill.preview(_xt(s, d, MAIN).filtered, "DATA_YR", 1997, n=100),
+        "display_names": lambda s, d: dec.rename_for_display(oc.decoded_cube(s, d), oc.codebook(s, d)),
         # a second cube from lineitem through the same builder and crosstab
         "lineitem_crosstab": lambda s, d: Crosstab(lc.cube(s, d, materialize=True), CrosstabSpec.of(
             **{k: v for k, v in LINEITEM_XT.items()}), lc.codebook()).cells(),
@@ -237,6 +251,18 @@ def oracle_sql() -> dict[str, str]:
         "preset_table_2": O.preset(["SEG"], ["PRI"], "SUM_PRICE", ["4-NOT SPECIFIED"]),
         "lineitem_crosstab": O.lineitem_crosstab(**LINEITEM_XT),
         "distinct_gids": O.with_cube("SELECT DISTINCT GID FROM d"),
+        "growth_summary": "SELECT round(avg(YEARLY_GROWTH_PCT), 6) AS mean_growth_pct, "
+                          "arg_max(YEARLY_GROWTH_PCT, DATA_YR) AS latest_growth_pct FROM (" + O.growth_overall(**GROWTH) + ")",
+        "tab_slice": O.with_cube("SELECT * FROM f WHERE CAST(DATA_YR AS VARCHAR) = '1997'",
+                                 [("f", O.smart_filter("d", "DATA_YR", ["COUNTY"], ["SEG"], {}))]),
+        "preview_rows": O.with_cube(
+            "SELECT * FROM f WHERE CAST(DATA_YR AS VARCHAR) = '1997' ORDER BY " + ", ".join(
+                f"{c} ASC NULLS FIRST" for c in ["DATA_YR", "COUNTY", "SEG", "PRI", "CNT", "SUM_PRICE", "CNT_PRICE",
+                                                  "GID", "DATA_STATUS", "REGION"]) + " LIMIT 100",
+            [("f", O.smart_filter("d", "DATA_YR", ["COUNTY"], ["SEG"], {}))]),
+        "display_names": O.with_cube(
+            'SELECT DATA_YR AS "Order year", COUNTY AS "Nation", SEG AS "Market segment", PRI AS "Priority", CNT, '
+            'SUM_PRICE, CNT_PRICE, GID, DATA_STATUS, REGION AS "Region" FROM d'),
         "distinct_tabs": O.with_cube("SELECT DISTINCT DATA_YR FROM f WHERE DATA_YR IS NOT NULL",
                                      [("f", O.smart_filter("d", "DATA_YR", ["COUNTY"], ["SEG"], {}))]),
         "grouping_set_rows": O.with_cube("SELECT * FROM d WHERE GID = 3"),
