@@ -21,6 +21,32 @@ RECOMMENDED_CONF = {
 }
 
 
+# Settings for a large cluster (~1000 executors, ~100 TB of microdata). Splits of
+# 256 MB keep scan tasks in the tens of thousands; the initial shuffle width is
+# high and AQE coalesces it to ~256 MB partitions after measuring; partitions
+# more than 5x the median (and over 512 MB) are split by the skew-join rule;
+# lookups up to 64 MB are broadcast by the planner.
+CLUSTER_CONF = {
+    **{k: v for k, v in RECOMMENDED_CONF.items()},
+    "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 * 1024 * 1024),
+    "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+}
+
+
+def apply_conf(spark: SparkSession, conf: dict[str, str] = CLUSTER_CONF) -> None:
+    """Apply runtime SQL settings to a session (static ones belong in the job
+    submission)."""
+    for k, v in conf.items():
+        if k.startswith("spark.sql."):
+            spark.conf.set(k, v)
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   app: str = "statcube") -> SparkSession:
     builder = (SparkSession.builder.master(f"local[{cores}]").appName(app)
