@@ -41,8 +41,9 @@ def decode(df: DataFrame, codebook: Codebook) -> DataFrame:
         if c in codebook.lookups:
             k, lab = f"__code_{c}", f"__label_{c}"
             codes_df = codebook.lookups[c].select(F.col("code").alias(k), F.col("label").alias(lab))
-            # one label per code: duplicated codes in a lookup would multiply rows
-            codes_df = codes_df.groupBy(k).agg(F.max(lab).alias(lab))
+            if c not in codebook.unique_codes:
+                # one label per code: duplicated codes in a lookup would multiply rows
+                codes_df = codes_df.groupBy(k).agg(F.max(lab).alias(lab))
             out = out.join(lookup(codes_df), key == F.col(k), "left")
             select[c] = F.when(F.col(c).isNotNull(), F.coalesce(F.col(lab), raw)).alias(c)
         else:
@@ -55,7 +56,7 @@ def decode(df: DataFrame, codebook: Codebook) -> DataFrame:
 
 
 def derive_region(df: DataFrame, county: str = "COUNTY", out: str = "REGION",
-                  mapping: DataFrame | dict | None = None) -> DataFrame:
+                  mapping: DataFrame | dict | None = None, unique: bool = False) -> DataFrame:
     """Append ``out`` = region of the decoded county label.
 
     ``mapping`` is a (county, region) relation or a region -> counties dict
@@ -70,8 +71,9 @@ def derive_region(df: DataFrame, county: str = "COUNTY", out: str = "REGION",
         mapped = F.try_element_at(m, county_str)
         base = df
     else:
-        lk = (mapping.select(F.col("county").cast("string").alias("__county"), F.col("region").alias("__region"))
-              .groupBy("__county").agg(F.max("__region").alias("__region")))
+        lk = mapping.select(F.col("county").cast("string").alias("__county"), F.col("region").alias("__region"))
+        if not unique:  # one region per county
+            lk = lk.groupBy("__county").agg(F.max("__region").alias("__region"))
         base = df.join(lookup(lk), county_str == F.col("__county"), "left")
         mapped = F.col("__region")
     region = (F.when(F.col(county).isNull(), F.lit(None).cast("string"))
@@ -88,12 +90,13 @@ def unmapped_counties(df: DataFrame, county: str = "COUNTY", out: str = "REGION"
             .select(F.col(county).cast("string").alias(county)).distinct())
 
 
-def decode_cube(df: DataFrame, codebook: Codebook, region_mapping: DataFrame | dict | None = None) -> DataFrame:
+def decode_cube(df: DataFrame, codebook: Codebook, region_mapping: DataFrame | dict | None = None,
+                unique_regions: bool = False) -> DataFrame:
     """Decode, then append each derived column (REGION from COUNTY) last."""
     out = decode(df, codebook)
     for derived, parent in codebook.derived.items():
         if parent in out.columns and derived not in df.columns:
-            out = derive_region(out, parent, derived, region_mapping)
+            out = derive_region(out, parent, derived, region_mapping, unique_regions)
     return out
 
 

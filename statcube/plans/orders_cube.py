@@ -65,8 +65,8 @@ def codebook(spark: SparkSession, sf_dir: str) -> Codebook:
     nation = read_table(spark, sf_dir, "nation")
     region = read_table(spark, sf_dir, "region")
     return (Codebook(_section())
-            .with_lookup("COUNTY", nation, "n_nationkey", "n_name")
-            .with_lookup("REGION", region, "r_regionkey", "r_name")
+            .with_lookup("COUNTY", nation, "n_nationkey", "n_name", unique=True)
+            .with_lookup("REGION", region, "r_regionkey", "r_name", unique=True)
             .with_derived("REGION", "COUNTY"))
 
 
@@ -82,5 +82,7 @@ def decoded_cube(spark: SparkSession, sf_dir: str, materialize: bool = False) ->
     """Decoded cube; ``materialize`` writes it once to the shared checkpoint
     folder so the several passes of a crosstab read it instead of rebuilding
     it from the order rows."""
-    cube = decode_cube(coded_cube(spark, sf_dir), codebook(spark, sf_dir), region_map(spark, sf_dir))
+    # nation names are unique per nation, so county -> region needs no de-duplication
+    cube = decode_cube(coded_cube(spark, sf_dir), codebook(spark, sf_dir), region_map(spark, sf_dir),
+                       unique_regions=True)
     return cut_lineage(cube) if materialize else cube
