@@ -38,7 +38,8 @@ def _key_literal(value, dtype) -> Column:
     return F.lit(value).cast(dtype)
 
 
-def key_grid(left: DataFrame, right: DataFrame, max_keys: int = MAX_AXIS_KEYS) -> DataFrame | None:
+def key_grid(left: DataFrame, right: DataFrame, max_keys: int = MAX_AXIS_KEYS,
+             known_keys: list | None = None) -> DataFrame | None:
     """Every row of ``left`` (distinct keys) paired with every row of ``right``
     (distinct keys); None when ``right`` is empty.
 
@@ -49,11 +50,12 @@ def key_grid(left: DataFrame, right: DataFrame, max_keys: int = MAX_AXIS_KEYS) -
     distributed, without a Cartesian join.
     """
     cols = right.columns
-    keys = collect_bounded(right, max_keys)
+    keys = known_keys if known_keys is not None else collect_bounded(right, max_keys)
     if keys is not None:
         if not keys:
             return None
-        structs = [F.struct(*[_key_literal(k[c], right.schema[c].dataType).alias(c) for c in cols]) for k in keys]
+        structs = [F.struct(*[_key_literal(k[i], right.schema[c].dataType).alias(c) for i, c in enumerate(cols)])
+                   for k in keys]
         return left.select(*left.columns, F.inline(F.array(*structs)))
     n_blocks = math.ceil(right.count() / max_keys)
     kb = right.withColumn("_blk", F.pmod(F.xxhash64(*cols), F.lit(n_blocks)))
@@ -62,11 +64,12 @@ def key_grid(left: DataFrame, right: DataFrame, max_keys: int = MAX_AXIS_KEYS) -
 
 
 def dense_grid(src: DataFrame, tab: str, rows: Sequence[str], cols: Sequence[str],
-               value_col: str, max_keys: int = MAX_AXIS_KEYS) -> DataFrame | None:
-    """Zero-valued cells for every (tab, row key) × column key."""
+               value_col: str, max_keys: int = MAX_AXIS_KEYS, col_keys: list | None = None) -> DataFrame | None:
+    """Zero-valued cells for every (tab, row key) × column key. ``col_keys``:
+    the column key tuples when already known (bounded)."""
     if not cols:
         return None
-    grid = key_grid(src.select(tab, *rows).distinct(), src.select(*cols).distinct(), max_keys)
+    grid = key_grid(src.select(tab, *rows).distinct(), src.select(*cols).distinct(), max_keys, col_keys)
     if grid is None:
         return None
     zero = F.lit(0).cast(src.schema[value_col].dataType).alias(value_col)
@@ -74,13 +77,13 @@ def dense_grid(src: DataFrame, tab: str, rows: Sequence[str], cols: Sequence[str
 
 
 def crosstab_cells(filtered: DataFrame, tab: str, rows: str | Sequence[str], cols: str | Sequence[str],
-                   metric: str, max_keys: int = MAX_AXIS_KEYS) -> DataFrame:
+                   metric: str, max_keys: int = MAX_AXIS_KEYS, col_keys: list | None = None) -> DataFrame:
     """Crosstab of sum(metric) by tab × rows × cols with totals (long form)."""
     rows, cols = as_list(rows), as_list(cols)
     if not rows:
         raise ValueError("a crosstab needs at least one row dimension")
     src = filtered.select(tab, *rows, *cols, F.col(metric).alias("_v"))
-    grid = dense_grid(src, tab, rows, cols, "_v", max_keys)
+    grid = dense_grid(src, tab, rows, cols, "_v", max_keys, col_keys)
     dense = src if grid is None else src.unionByName(grid)
     total = F.coalesce(F.sum("_v"), F.lit(0).cast(src.schema["_v"].dataType))
     if cols:

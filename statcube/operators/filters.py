@@ -84,15 +84,32 @@ def subtotal_flags(df: DataFrame, probes: list[tuple[str, Column]]) -> list[bool
     return [bool(row[i]) for i in range(len(probes))]
 
 
+def subtotal_flags_many(df: DataFrame, plans: list[list[tuple[str, Column]]]) -> list[list[bool]]:
+    """The probes of several crosstabs over one cube in a single aggregate pass."""
+    exprs = [F.coalesce(F.bool_or(p & F.col(d).isNull()), F.lit(False)).alias(f"h{i}_{j}")
+             for i, probes in enumerate(plans) for j, (d, p) in enumerate(probes)]
+    if not exprs:
+        return [[] for _ in plans]
+    row = df.agg(*exprs).first()
+    return [[bool(row[f"h{i}_{j}"]) for j in range(len(probes))] for i, probes in enumerate(plans)]
+
+
+def filter_predicate(base: Column, probes: list[tuple[str, Column]], flags: list[bool]) -> Column:
+    """Final predicate once the probe outcomes are known."""
+    return base & conj(F.col(d).isNull() for (d, _), h in zip(probes, flags) if h)
+
+
 def smart_filter(df: DataFrame, tab: str | None, rows: str | Sequence[str], cols: str | Sequence[str] = (),
                  filters: Mapping[str, Sequence] | None = None, probe: str = "prefix", mode: str = "eager",
-                 tab_value=None) -> DataFrame:
-    """Rows of the cube a crosstab over (tab, rows, cols) must sum."""
+                 tab_value=None, flags: list[bool] | None = None) -> DataFrame:
+    """Rows of the cube a crosstab over (tab, rows, cols) must sum.
+    ``flags``: probe outcomes already computed (e.g. for a batch of specs)."""
     rows, cols, filters = as_list(rows), as_list(cols), dict(filters or {})
     base, probes = probe_plan(df, tab, rows, cols, filters, probe)
-    if mode == "eager":
-        flags = subtotal_flags(df, probes)
-        pred = base & conj(F.col(d).isNull() for (d, _), h in zip(probes, flags) if h)
+    if flags is not None:
+        pred = filter_predicate(base, probes, flags)
+    elif mode == "eager":
+        pred = filter_predicate(base, probes, subtotal_flags(df, probes))
     elif mode == "lazy":
         preds = []
         for d, p in probes:

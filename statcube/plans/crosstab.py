@@ -13,22 +13,28 @@ from statcube.operators import crosstab as xt
 from statcube.operators import drill, filters, growth, layout, ordering
 from statcube.operators.reference import reference_totals
 from statcube.plans.spec import CrosstabSpec
+from statcube.session import cut_lineage
 from statcube.sources.codebook import Codebook
 
 
 class Crosstab:
     def __init__(self, cube: DataFrame, spec: CrosstabSpec, codebook: Codebook | None = None,
-                 mode: str = "eager"):
+                 mode: str = "eager", flags: list[bool] | None = None, col_keys: list | None = None):
+        """``flags`` / ``col_keys``: probe outcomes and column key tuples already
+        computed for this spec (a report batch computes them for all specs in
+        shared passes)."""
         spec.validate()
         spec.check_columns(cube.columns)
         self.cube, self.spec, self.mode = cube, spec, mode
         self.codebook = codebook or Codebook()
+        self.flags, self.col_keys = flags, col_keys
 
     # -- filtering ------------------------------------------------------------
     @cached_property
     def filtered(self) -> DataFrame:
         s = self.spec
-        return filters.smart_filter(self.cube, s.tab, list(s.rows), list(s.cols), s.filters, s.probe, self.mode)
+        return filters.smart_filter(self.cube, s.tab, list(s.rows), list(s.cols), s.filters, s.probe, self.mode,
+                                    flags=self.flags)
 
     def masked(self) -> DataFrame:
         return filters.masked_rows(self.filtered)
@@ -44,7 +50,7 @@ class Crosstab:
     @cached_property
     def _cells(self) -> DataFrame:
         s = self.spec
-        return xt.crosstab_cells(self.filtered, s.tab, list(s.rows), list(s.cols), s.metric)
+        return xt.crosstab_cells(self.filtered, s.tab, list(s.rows), list(s.cols), s.metric, col_keys=self.col_keys)
 
     def cells(self, percentages: bool = True) -> DataFrame:
         s = self.spec
@@ -92,8 +98,12 @@ class Crosstab:
         return ordering.axis_order(self._cells.where(F.col(xt.ROW_TOTAL)), s.tab, list(s.cols), xt.COL_TOTAL,
                                    self.codebook, "col_rank")
 
-    def mix(self) -> DataFrame:
+    def mix(self, materialize: bool = True) -> DataFrame:
+        """MIX layout cells. The view reads the crosstab cells several times
+        (total column, values, percentages, column order); with
+        ``materialize`` they are written once (their size is the number of
+        cells, not of cube rows) and the layout plan starts from that table."""
         s = self.spec
         names = [a.name for a in avg_ops.avg_specs(self.codebook, s.cols)]
-        return layout.mix_cells(self.cells(), self.averages(), s.tab, list(s.rows), list(s.cols),
-                                self.codebook, names)
+        cells = cut_lineage(self.cells()) if materialize else self.cells()
+        return layout.mix_cells(cells, self.averages(), s.tab, list(s.rows), list(s.cols), self.codebook, names)

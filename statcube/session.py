@@ -90,7 +90,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/statcube-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
-    return spark.read.parquet(path)
+    # the schema is known: no footer reads to infer it
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def tables_dir(sf_dir: str) -> str:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import threading
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,5 +19,18 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return df.drop(*extra) if extra else df
 
 
+# One DataFrame per (session, path): listing the files and reading a footer
+# costs a driver round trip each time, and a query plan reads the same small
+# tables (nation, region) several times. DataFrames are immutable and lazy, so
+# sharing one is safe; files replaced during a session are not seen again.
+_READS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+_LOCK = threading.Lock()
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir.rstrip("/"), f"{name}.parquet"))
+    path = os.path.join(sf_dir.rstrip("/"), f"{name}.parquet")
+    with _LOCK:
+        per_session = _READS.setdefault(spark, {})
+        if path not in per_session:
+            per_session[path] = spark.read.parquet(path)
+        return per_session[path]
