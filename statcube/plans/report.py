@@ -174,6 +174,12 @@ class ReportBatch:
             focus = self._focus_tab(xt, r["focus_tab"], tabs)
             if focus is None:
                 return "empty", None  # no tab has data: no sheet, as an empty report
+            if col_keys is not None or not spec.cols:
+                # Only the focus tab is reported. The column space (all tabs)
+                # is already known, and everything else is per tab, so the
+                # crosstab can start from that tab's rows alone.
+                one_tab = cube.where(F.col(spec.tab).cast("string") == F.lit(focus))
+                xt = Crosstab(one_tab, spec, cb, flags=flags, col_keys=col_keys)
             return "ok", (self._sheet_cells(xt, r, focus), self._sheet_note(xt, r, focus))
         except Exception as e:  # one bad spec must not stop the batch
             return "error", (r["chapter"], r["name"], f"{type(e).__name__}: {e}")
