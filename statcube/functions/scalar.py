@@ -76,10 +76,6 @@ def numeric_text(c: str | Column) -> Column:
     return col_(c).cast("string").rlike(r"^[0-9.]+$") & (F.regexp_replace(col_(c).cast("string"), r"\.", "") != "")
 
 
-def as_number(c: str | Column) -> Column:
-    return col_(c).cast("string").try_cast(T.DoubleType())
-
-
 def basename(path: str | Column) -> Column:
     return F.element_at(F.split(col_(path), "/"), -1)
 
@@ -153,13 +149,6 @@ def all_not_null(cols: Iterable[str]) -> Column:
     return out
 
 
-def all_null(cols: Iterable[str]) -> Column:
-    out = F.lit(True)
-    for c in cols:
-        out = out & F.col(c).isNull()
-    return out
-
-
 def conj(preds: Iterable[Column]) -> Column:
     out = None
     for p in preds:

@@ -1,15 +1,12 @@
-"""Size checks for the few places where a relation is broadcast or a key list
-is brought to the driver. Nothing is broadcast or collected without a proven
-row bound; beyond the bound the caller takes a shuffle-based path."""
+"""Size checks for the few places where a key list is brought to the driver,
+and the join policy for lookups. Nothing is collected without a proven row
+bound (beyond it the caller takes a distributed path), and nothing is hinted
+for broadcast: the planner's size checks decide."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Row
-from pyspark.sql import functions as F
 
-# Lookups (codebooks, region lists, disabled-file lists) above this many rows
-# are joined by shuffle instead of broadcast.
-MAX_BROADCAST_ROWS = 200_000
 # Axis keys of one crosstab (column keys, tab values). Matches Spark's own
 # default bound for pivot values.
 MAX_AXIS_KEYS = 10_000
@@ -19,19 +16,6 @@ class TooManyKeys(Exception):
     pass
 
 
-def row_bound(df: DataFrame, limit: int) -> int | None:
-    """Row count of ``df`` if it is at most ``limit``, else None. Stops reading
-    after ``limit + 1`` rows."""
-    n = df.limit(limit + 1).count()
-    return n if n <= limit else None
-
-
-def broadcast_if_small(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only when the relation is proven to hold <= ``limit`` rows;
-    otherwise leave it to the planner (shuffle join). Costs one small job."""
-    return F.broadcast(df) if row_bound(df, limit) is not None else df
-
-
 def lookup(df: DataFrame) -> DataFrame:
     """A lookup relation for a join, without a hint: the planner broadcasts it
     only when its size estimate (file size / local data) is under

@@ -3,7 +3,6 @@ checkpoint folder the cluster names."""
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -92,11 +91,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     df.write.mode("error").parquet(path)
     # the schema is known: no footer reads to infer it
     return spark.read.schema(df.schema).parquet(path)
-
-
-def tables_dir(sf_dir: str) -> str:
-    return sf_dir.rstrip("/")
-
-
-def table_path(sf_dir: str, name: str) -> str:
-    return os.path.join(tables_dir(sf_dir), f"{name}.parquet")

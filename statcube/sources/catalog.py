@@ -44,8 +44,3 @@ def sort_catalog(catalog: DataFrame, by: str = "modified") -> DataFrame:
     if by == "name_desc":
         return catalog.orderBy(F.col("name").desc())
     raise ValueError("by must be 'modified', 'name_asc' or 'name_desc'")
-
-
-def require_dataset_type(catalog: DataFrame) -> DataFrame:
-    """Rows whose dataset type is unknown (the prefix maps to no section)."""
-    return catalog.where(F.col("dataset_type").isNull())

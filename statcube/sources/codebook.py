@@ -14,7 +14,6 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from statcube.schema import AVG_PREFIX
 
@@ -28,13 +27,6 @@ REGION_COUNTIES = {
     "福建省": ["金門縣", "連江縣"],
 }
 
-CODE_SCHEMA = T.StructType([
-    T.StructField("column", T.StringType(), False),
-    T.StructField("code", T.LongType(), False),
-    T.StructField("label", T.StringType(), True),
-])
-
-
 def load_codebook(path: str) -> dict:
     """Parse a YAML codebook file (configuration, read on the driver)."""
     import yaml
@@ -123,9 +115,3 @@ class Codebook:
         codes = self.codes_frame(spark, col)
         pos = codes.withColumn("rank", F.row_number().over(Window.orderBy("code")) - 1)
         return pos.groupBy("label").agg(F.max("rank").alias("rank"))
-
-
-def region_lookup(spark: SparkSession, mapping: Mapping[str, list[str]] = REGION_COUNTIES) -> DataFrame:
-    """(county, region) relation from a region -> counties mapping."""
-    rows = [(c, r) for r, counties in mapping.items() for c in counties]
-    return spark.createDataFrame(rows, "county string, region string")

@@ -65,3 +65,26 @@ def test_auto_title_and_reorder(spark):
                    "2024 年所有權多人持有住宅縣市分佈 - 按縣市與總計區分",
                    "2023 年住宅總計分佈 - 按總計與屋齡區間區分"]
     assert reorder_columns(df, ["c", "nope", "tab"]).columns == ["c", "tab", "f", "r"]
+
+
+def test_small_helpers(spark):
+    from statcube.functions import data_suffix, fmt_count, fmt_decimal, fmt_percent
+    from statcube.operators.ordering import first_by_rank
+
+    df = spark.createDataFrame([("C:\\Users\\x\\data\\260204\\a.parquet", 1234567.456, 0.12345)], "p string, v double, r double")
+    row = df.select(data_suffix("p"), fmt_count("v"), fmt_decimal("v"), fmt_percent("r")).first()
+    assert tuple(row) == ("260204/a.parquet", "1,234,567", "1,234,567.46", "12.35%")
+    ranked = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("b", 5, "z")], "k string, rk int, v string")
+    assert {r["k"]: r["v"] for r in first_by_rank(ranked, ["k"], "rk").collect()} == {"a": "y", "b": "z"}
+
+
+def test_read_parquet_drops_index_columns(spark, tmp_path):
+    from statcube.sources.ingest import with_source_file
+    from statcube.sources.tables import read_parquet
+
+    path = str(tmp_path / "cube.parquet")
+    spark.createDataFrame([(0, 1, "a")], "`Unnamed: 0` long, CNT long, A string").write.parquet(path)
+    df = read_parquet(spark, path)
+    assert df.columns == ["CNT", "A"]
+    stems = {r["source_file"] for r in with_source_file(df).collect()}
+    assert len(stems) == 1 and stems.pop().startswith("part-")
