@@ -52,17 +52,19 @@ def overall_growth(cells: DataFrame, tab: str) -> DataFrame:
 
 
 def series_growth(src: DataFrame, tab: str, keys: Sequence[str], value: str = VALUE,
-                  max_keys: int = MAX_AXIS_KEYS) -> DataFrame:
+                  max_keys: int = MAX_AXIS_KEYS, tabs: list[str] | None = None) -> DataFrame:
     """Growth % per key over a dense tab × key grid with forward fill.
 
     ``src`` has at most one row per (tab, keys). Output: tab, keys…, growth_pct.
+    ``tabs``: the tab values (as text) when already known.
     """
     keys = list(keys)
     out_schema = T.StructType([src.schema[tab], *[src.schema[k] for k in keys],
                                T.StructField("growth_pct", T.DoubleType())])
     if not tabs_are_numeric(src, tab):
         return src.sparkSession.createDataFrame([], out_schema)
-    grid = key_grid(src.select(*keys).distinct(), src.select(tab).distinct(), max_keys)
+    known = [(t,) for t in tabs] if tabs is not None and len(tabs) <= max_keys else None
+    grid = key_grid(src.select(*keys).distinct(), src.select(tab).distinct(), max_keys, known)
     if grid is None:
         return src.sparkSession.createDataFrame([], out_schema)
     # union with the real values, one row per (tab, key): absent -> NULL
@@ -78,18 +80,18 @@ def series_growth(src: DataFrame, tab: str, keys: Sequence[str], value: str = VA
             .where(F.col("_rn") > 1).drop("_rn"))
 
 
-def row_growth(cells: DataFrame, tab: str, rows: str | Sequence[str]) -> DataFrame:
+def row_growth(cells: DataFrame, tab: str, rows: str | Sequence[str], tabs: list[str] | None = None) -> DataFrame:
     """Growth % of each row total (total row included) between tabs."""
     rows = as_list(rows)
     src = cells.where(F.col(COL_TOTAL)).select(tab, *rows, ROW_TOTAL, VALUE)
-    return series_growth(src, tab, [*rows, ROW_TOTAL])
+    return series_growth(src, tab, [*rows, ROW_TOTAL], tabs=tabs)
 
 
-def col_growth(cells: DataFrame, tab: str, cols: str | Sequence[str]) -> DataFrame:
+def col_growth(cells: DataFrame, tab: str, cols: str | Sequence[str], tabs: list[str] | None = None) -> DataFrame:
     """Growth % of each column total (total column included) between tabs."""
     cols = as_list(cols)
     src = cells.where(F.col(ROW_TOTAL)).select(tab, *cols, COL_TOTAL, VALUE)
-    return series_growth(src, tab, [*cols, COL_TOTAL])
+    return series_growth(src, tab, [*cols, COL_TOTAL], tabs=tabs)
 
 
 def growth_summary(overall: DataFrame, tab: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from statcube.operators import averages as avg_ops
 from statcube.operators import crosstab as xt
 from statcube.operators import drill, filters, growth, layout, ordering
+from statcube.operators.bounded import MAX_AXIS_KEYS, collect_bounded
 from statcube.operators.reference import reference_totals
 from statcube.plans.spec import CrosstabSpec
 from statcube.session import cut_lineage
@@ -19,15 +20,36 @@ from statcube.sources.codebook import Codebook
 
 class Crosstab:
     def __init__(self, cube: DataFrame, spec: CrosstabSpec, codebook: Codebook | None = None,
-                 mode: str = "eager", flags: list[bool] | None = None, col_keys: list | None = None):
-        """``flags`` / ``col_keys``: probe outcomes and column key tuples already
-        computed for this spec (a report batch computes them for all specs in
-        shared passes)."""
+                 mode: str = "eager", flags: list[bool] | None = None, col_keys: list | None = None,
+                 tabs: list[str] | None = None):
+        """``flags`` / ``col_keys`` / ``tabs``: probe outcomes, column key tuples
+        and tab values already computed for this spec (a report batch computes
+        them for all specs in shared passes)."""
         spec.validate()
         spec.check_columns(cube.columns)
         self.cube, self.spec, self.mode = cube, spec, mode
         self.codebook = codebook or Codebook()
-        self.flags, self.col_keys = flags, col_keys
+        self.flags, self.col_keys, self.tabs = flags, col_keys, tabs
+
+    @cached_property
+    def axis_lists(self) -> tuple[list[str] | None, list | None]:
+        """(tab values as text, column key tuples as text) of the filtered rows,
+        found in one scan (explode + distributed distinct) and collected only
+        when proven small; (None, None) sends callers to their distributed
+        paths."""
+        if self.tabs is not None and (self.col_keys is not None or not self.spec.cols):
+            return self.tabs, self.col_keys
+        s = self.spec
+        ck = F.array(*[F.col(c).cast("string") for c in s.cols]) if s.cols else F.array().cast("array<string>")
+        entries = F.array(F.struct(F.lit(0).alias("kind"), F.array(F.col(s.tab).cast("string")).alias("val")),
+                          F.struct(F.lit(1).alias("kind"), ck.cast("array<string>").alias("val")))
+        found = self.filtered.select(F.inline(entries)).distinct()
+        rows = collect_bounded(found, 2 * MAX_AXIS_KEYS)
+        if rows is None:
+            return None, None
+        tabs = sorted({r["val"][0] for r in rows if r["kind"] == 0})
+        keys = sorted({tuple(r["val"]) for r in rows if r["kind"] == 1})
+        return tabs, (keys if s.cols and len(keys) <= MAX_AXIS_KEYS else None)
 
     # -- filtering ------------------------------------------------------------
     @cached_property
@@ -50,7 +72,8 @@ class Crosstab:
     @cached_property
     def _cells(self) -> DataFrame:
         s = self.spec
-        return xt.crosstab_cells(self.filtered, s.tab, list(s.rows), list(s.cols), s.metric, col_keys=self.col_keys)
+        keys = self.col_keys if self.col_keys is not None else (self.axis_lists[1] if s.cols else None)
+        return xt.crosstab_cells(self.filtered, s.tab, list(s.rows), list(s.cols), s.metric, col_keys=keys)
 
     def cells(self, percentages: bool = True) -> DataFrame:
         s = self.spec
@@ -76,10 +99,11 @@ class Crosstab:
         s = self.spec
         if by == "all":
             return growth.overall_growth(self._cells, s.tab)
+        tabs = self.axis_lists[0]
         if by == "rows":
-            return growth.row_growth(self._cells, s.tab, list(s.rows))
+            return growth.row_growth(self._cells, s.tab, list(s.rows), tabs)
         if by == "cols":
-            return growth.col_growth(self._cells, s.tab, list(s.cols))
+            return growth.col_growth(self._cells, s.tab, list(s.cols), tabs)
         raise ValueError("by must be 'all', 'rows' or 'cols'")
 
     # -- ordering & layout ------------------------------------------------------
