@@ -24,6 +24,7 @@ from statcube.operators import cube as cube_ops  # noqa: E402
 from statcube.operators import decode as dec  # noqa: E402
 from statcube.operators import drill, filters  # noqa: E402
 from statcube.operators.crosstab import mean_crosstab  # noqa: E402
+from statcube.operators.layout import to_wide  # noqa: E402
 from statcube.plans import lineitem_cube as lc  # noqa: E402
 from statcube.plans import orders_cube as oc  # noqa: E402
 from statcube.plans.crosstab import Crosstab  # noqa: E402
@@ -52,6 +53,9 @@ REF = dict(tab="DATA_YR", rows=["COUNTY"], cols=[], filters={"SEG": ["BUILDING"]
 REF_DERIVED = dict(tab="DATA_YR", rows=["SEG"], cols=[], filters={"COUNTY": ["NATION_1", "NATION_2"]})
 AVG_NAMES = ["Average price", "平均Priority"]
 LINEITEM_XT = dict(tab="DATA_YR", rows=["FLAG"], cols=["LSTATUS"], metric="SUM_QTY", filters={})
+# Market segments of the order data (the wide sheet has one value and one
+# percent column per segment).
+SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 DISABLED = ["pages.parquet", "documents.parquet"]
 # Expected sheets of the saved specs, in chapter order (spec, sheet, rank,
 # focus tab or None for "latest", average names, chapter, title, description).
@@ -153,6 +157,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "axis_order": lambda s, d: _xt(s, d, MAIN).row_order(),
         "axis_order_cols": lambda s, d: _xt(s, d, GROWTH).col_order(),
         "mix_report": lambda s, d: _xt(s, d, MAIN).mix(),
+        "mix_wide": lambda s, d: to_wide(_xt(s, d, MAIN).mix(), ["DATA_YR", "COUNTY", "is_row_total"]),
         # batch report (K2-K11, O3, C9, C10) and presets
         "report_cells": lambda s, d: _report(s, d).cells(),
         "report_notes": lambda s, d: _report(s, d).notes(),
@@ -243,6 +248,10 @@ def oracle_sql() -> dict[str, str]:
         "axis_order": O.axis_order(**MAIN, axis="rows", codes_sql=O.NATION_CODES, out="row_rank"),
         "axis_order_cols": O.axis_order(**GROWTH, axis="cols", codes_sql=O.PRI_CODES, out="col_rank"),
         "mix_report": O.mix_report(**MAIN, avg_names=["Average price"]),
+        "mix_wide": "SELECT DATA_YR, COUNTY, is_row_total, " + ", ".join(
+            f"max(CASE WHEN \"column\" = {O.lit(c)} THEN value END) AS \"{c}\""
+            for c in ["全國", "Average price"] + [x for seg in SEGMENTS for x in (seg, seg + "(%)")])
+            + " FROM (" + O.mix_report(**MAIN, avg_names=["Average price"]) + ") GROUP BY DATA_YR, COUNTY, is_row_total",
         "report_cells": "\nUNION ALL\n".join(
             O.report_sheet_cells(sp, sh, rk, fo, av) for sp, sh, rk, fo, av, _, _, _ in REPORT_SHEETS),
         "report_notes": "\nUNION ALL\n".join(
