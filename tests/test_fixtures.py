@@ -148,3 +148,16 @@ def test_averages_need_column_dim_with_avg(spark):
     df = spark.createDataFrame([(2021, "A", 1, 1, 1)], "DATA_YR long, CITY string, CNT long, SUM_AGE long, CNT_AGE long")
     cb = Codebook({"CITY": {"avg": {"num": "SUM_AGE", "den": "CNT_AGE"}}})
     assert weighted_averages(df, "DATA_YR", ["CITY"], [], cb).count() == 0
+
+
+def test_empty_cube_gives_empty_results(spark):
+    from statcube.plans.crosstab import Crosstab
+    from statcube.plans.spec import CrosstabSpec
+
+    empty = spark.createDataFrame([], M1_SCHEMA)
+    xt = Crosstab(empty, CrosstabSpec.of("Y", ["A"], ["B"]), Codebook())
+    assert xt.cells().count() == 0
+    assert xt.reference_totals().count() == 0
+    assert xt.growth("rows").count() == 0
+    assert xt.growth("all").count() == 0
+    assert xt.mix().count() == 0
