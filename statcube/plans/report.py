@@ -25,7 +25,7 @@ from statcube.operators import filters, ordering
 from statcube.operators.bounded import MAX_AXIS_KEYS, collect_bounded
 from statcube.operators.crosstab import ROW_TOTAL
 from statcube.operators.ordering import chapter_sort_columns
-from statcube.plans.crosstab import Crosstab
+from statcube.plans.crosstab import Crosstab, prepare_specs
 from statcube.plans.spec import CrosstabSpec
 from statcube.session import cut_lineage
 from statcube.sources.codebook import Codebook
@@ -136,36 +136,15 @@ class ReportBatch:
 
     @staticmethod
     def _prepare(cube: DataFrame, specs: list[CrosstabSpec]) -> list[tuple[list[bool], list | None, list | None]]:
-        """Probe outcomes, tab values and column keys of all specs over one
-        cube, in two passes instead of three jobs per spec.
-
-        Pass 1 is one aggregate with every spec's probes. Pass 2 scans the cube
-        once, emits for each row the (spec, tab) and (spec, column key) entries
-        its spec predicates admit, and removes duplicates (partial aggregation
-        before the shuffle); the result is collected only when proven small.
-        """
+        """Probe outcomes, column keys and tab values of all specs over one cube
+        from one scan (``prepare_specs``); when its bound is exceeded, one probe
+        pass for all specs and per-spec key lists later."""
+        one = prepare_specs(cube, specs)
+        if one is not None:
+            return [(flags, keys, tabs) for flags, tabs, keys in one]
         plans = [filters.probe_plan(cube, s.tab, list(s.rows), list(s.cols), s.filters, s.probe) for s in specs]
         flags = filters.subtotal_flags_many(cube, [p[1] for p in plans])
-        entries = []
-        for i, (s, (base, probes), fl) in enumerate(zip(specs, plans, flags)):
-            pred = filters.filter_predicate(base, probes, fl)
-            tab_val = F.array(F.col(s.tab).cast("string"))
-            ck = F.array(*[F.col(c).cast("string") for c in s.cols]) if s.cols else F.array().cast("array<string>")
-            for kind, val in ((0, tab_val), (1, ck)):
-                entries.append(F.when(pred, F.struct(F.lit(i).alias("spec"), F.lit(kind).alias("kind"),
-                                                     val.cast("array<string>").alias("val"))))
-        found = (cube.select(F.explode(F.filter(F.array(*entries), lambda x: x.isNotNull())).alias("e"))
-                 .select("e.*").distinct())
-        rows = collect_bounded(found, MAX_AXIS_KEYS * max(1, len(specs)))
-        out = []
-        for i, s in enumerate(specs):
-            if rows is None:
-                out.append((flags[i], None, None))
-                continue
-            tabs = sorted({r["val"][0] for r in rows if r["spec"] == i and r["kind"] == 0})
-            keys = sorted({tuple(r["val"]) for r in rows if r["spec"] == i and r["kind"] == 1})
-            out.append((flags[i], keys if s.cols and len(keys) <= MAX_AXIS_KEYS else None, tabs))
-        return out
+        return [(fl, None, None) for fl in flags]
 
     def _plan_one(self, item) -> tuple[str, object]:
         r, spec, cube, cb, flags, col_keys, tabs = item
