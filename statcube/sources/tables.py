@@ -31,6 +31,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     path = os.path.join(sf_dir.rstrip("/"), f"{name}.parquet")
     with _LOCK:
         per_session = _READS.setdefault(spark, {})
-        if path not in per_session:
-            per_session[path] = spark.read.parquet(path)
-        return per_session[path]
+        hit = per_session.get(path)
+        # a session object that was stopped and recreated gets fresh reads
+        if hit is None or hit[0] is not spark._jsparkSession:
+            hit = (spark._jsparkSession, spark.read.parquet(path))
+            per_session[path] = hit
+        return hit[1]
