@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from statcube.functions import format_class
 from statcube.operators.bounded import MAX_AXIS_KEYS, collect_bounded
@@ -32,8 +33,42 @@ def column_label(cols: Sequence[str]) -> Column:
     return F.concat(F.lit("('"), inner, F.lit("')"))
 
 
+KEY_SEP = "\u0001"
+
+
+def _typed(value: str, dtype: T.DataType):
+    if isinstance(dtype, T.IntegralType):
+        return int(value)
+    if isinstance(dtype, T.NumericType):
+        return float(value)
+    return value
+
+
+def column_positions(keys: Sequence[tuple], cols: Sequence[str], dtypes: Sequence[T.DataType],
+                     codebook: Codebook | None, spark) -> dict[str, int]:
+    """1-based position of each (known, bounded) column key in axis order:
+    code-list ranks of the levels that have one (unknown labels last), then the
+    labels in their own type's order. Same rules as ``ordering.axis_order``."""
+    ranks = []
+    for c in cols:
+        if codebook is not None and codebook.has_codes(c):
+            rows = collect_bounded(codebook.label_ranks(spark, c), MAX_AXIS_KEYS)
+            ranks.append(None if rows is None else {r["label"]: r["rank"] for r in rows})
+        else:
+            ranks.append(None)
+    if any(codebook is not None and codebook.has_codes(c) and r is None for c, r in zip(cols, ranks)):
+        raise ValueError("code list too long to order column keys on the driver")
+
+    def sort_key(k):
+        rk = [(0, r[lab]) if lab in r else (1, 0) for lab, r in zip(k, ranks) if r is not None]
+        return rk, [_typed(v, t) for v, t in zip(k, dtypes)]
+
+    return {KEY_SEP.join(k): i + 1 for i, k in enumerate(sorted(keys, key=sort_key))}
+
+
 def mix_cells(cells: DataFrame, averages: DataFrame, tab: str, rows: Sequence[str], cols: Sequence[str],
-              codebook: Codebook | None = None, avg_names: Sequence[str] = ()) -> DataFrame:
+              codebook: Codebook | None = None, avg_names: Sequence[str] = (),
+              col_keys: Sequence[tuple] | None = None) -> DataFrame:
     """Long MIX cells: tab, row labels…, is_row_total, column, kind, value,
     col_order, format. ``cells`` must carry ``row_pct``."""
     rows, cols = as_list(rows), as_list(cols)
@@ -48,11 +83,19 @@ def mix_cells(cells: DataFrame, averages: DataFrame, tab: str, rows: Sequence[st
         parts.append(averages.select(*head, F.col("avg_name").alias("column"), F.lit("avg").alias("kind"),
                                      F.col("avg_value").alias("value"),
                                      F.try_element_at(pos, F.col("avg_name")).cast("long").alias("col_order")))
-    if cols:
+    if cols and col_keys is not None:
+        # column order from the known key list: one literal lookup, no join
+        pos = column_positions(col_keys, cols, [cells.schema[c].dataType for c in cols], codebook,
+                               cells.sparkSession)
+        pos_map = F.create_map(*[x for k, p in pos.items() for x in (F.lit(k), F.lit(p))])
+        key = F.concat_ws(KEY_SEP, *[F.col(c).cast("string") for c in cols])
+        inner = cells.where(~F.col(COL_TOTAL)).withColumn("__crank", F.try_element_at(pos_map, key) + 1)
+    elif cols:
         ranks = axis_order(cells.where(F.col(ROW_TOTAL)), tab, cols, COL_TOTAL, codebook, "__crank")
         inner = (cells.where(~F.col(COL_TOTAL))
                  .join(ranks.where(~F.col(COL_TOTAL)).drop(COL_TOTAL), [tab, *cols], "inner"))
-        base = F.lit(n_avg) + (F.col("__crank") - 2) * 2 + 1
+    if cols:
+        base = (F.lit(n_avg) + (F.col("__crank") - 2) * 2 + 1).cast("long")
         label = column_label(cols)
         parts.append(inner.select(*head, label.alias("column"), F.lit("value").alias("kind"),
                                   F.col(VALUE).cast("double").alias("value"), base.alias("col_order")))

@@ -195,4 +195,6 @@ class Crosstab:
         s = self.spec
         names = [a.name for a in avg_ops.avg_specs(self.codebook, s.cols)]
         cells = cut_lineage(self.cells()) if materialize else self.cells()
-        return layout.mix_cells(cells, self.averages(), s.tab, list(s.rows), list(s.cols), self.codebook, names)
+        keys = self.col_keys if self.col_keys is not None else (self.axis_lists[1] if s.cols else None)
+        return layout.mix_cells(cells, self.averages(), s.tab, list(s.rows), list(s.cols), self.codebook, names,
+                                col_keys=keys)

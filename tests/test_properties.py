@@ -145,3 +145,20 @@ def test_one_pass_preparation_equals_two_passes(spark, seed):
     one_pass_cells = xt.cells(percentages=False).collect()
     two_pass_cells = xt_ops.crosstab_cells(two, "T", rows, cols, "CNT").collect()
     assert sorted(map(tuple, one_pass_cells), key=str) == sorted(map(tuple, two_pass_cells), key=str)
+
+
+@pytest.mark.parametrize("tab,rows,cols", [("DATA_YR", ["SEG"], ["COUNTY"]), ("SEG", ["COUNTY"], ["DATA_YR"]),
+                                           ("DATA_YR", ["COUNTY"], ["SEG", "PRI"])])
+def test_driver_column_order_equals_axis_order(spark, tab, rows, cols):
+    from statcube.operators import layout
+    from statcube.plans import orders_cube as oc
+    from statcube.plans.crosstab import Crosstab
+    from statcube.plans.spec import CrosstabSpec
+
+    sf = "/root/testdata/sf0.001"
+    cb = oc.codebook(spark, sf)
+    xt = Crosstab(oc.decoded_cube(spark, sf), CrosstabSpec.of(tab, rows, cols), cb)
+    cells, avgs = xt.cells(), xt.averages()
+    known = layout.mix_cells(cells, avgs, tab, rows, cols, cb, [], col_keys=xt.axis_lists[1])
+    joined = layout.mix_cells(cells, avgs, tab, rows, cols, cb, [], col_keys=None)
+    assert sorted(map(tuple, known.collect()), key=str) == sorted(map(tuple, joined.collect()), key=str)
