@@ -31,14 +31,16 @@ def distinct_tabs(filtered: DataFrame, tab: str) -> DataFrame:
     return filtered.select(tab).where(F.col(tab).isNotNull()).distinct()
 
 
-def distinct_values(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def distinct_values(df: DataFrame, columns: list[str] | None = None, sort: bool = False) -> DataFrame:
     """(column, value) for the distinct non-null values of every column, as
     text. One pass: the columns are stacked into one long relation and a
-    distributed distinct (partial aggregation first) removes duplicates."""
+    distributed distinct (partial aggregation first) removes duplicates.
+    ``sort``: ordered by column, then value as text (a distributed sort)."""
     cols = columns or df.columns
     stacked = F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
                                  for c in cols]))
-    return df.select(stacked).where(F.col("value").isNotNull()).distinct()
+    out = df.select(stacked).where(F.col("value").isNotNull()).distinct()
+    return out.orderBy("column", "value") if sort else out
 
 
 def masked_detail(masked: DataFrame, codebook: Codebook | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statcube.functions import basename, dataset_type, epoch_text
+from statcube.functions import DATASET_PREFIXES, basename, dataset_type, epoch_text
 from statcube.operators.bounded import lookup
 
 
@@ -44,3 +44,12 @@ def sort_catalog(catalog: DataFrame, by: str = "modified") -> DataFrame:
     if by == "name_desc":
         return catalog.orderBy(F.col("name").desc())
     raise ValueError("by must be 'modified', 'name_asc' or 'name_desc'")
+
+
+def detect_dataset_type(file_name: str) -> str:
+    """Dataset section of one file (text before '_coded' in its name); raises
+    for an unknown prefix. ``dataset_type`` is the column form for catalogues."""
+    prefix = file_name.replace("\\", "/").rsplit("/", 1)[-1].split("_coded")[0]
+    if prefix not in DATASET_PREFIXES:
+        raise ValueError(f"Unknown dataset prefix: '{prefix}'. Expected one of: {list(DATASET_PREFIXES)}")
+    return DATASET_PREFIXES[prefix]

@@ -161,3 +161,19 @@ def test_empty_cube_gives_empty_results(spark):
     assert xt.growth("rows").count() == 0
     assert xt.growth("all").count() == 0
     assert xt.mix().count() == 0
+
+
+def test_tab_value_restricts_one_tab(spark):
+    df = spark.createDataFrame(M1 + [(2, "a", None, 5, "正常"), (2, None, None, 5, "正常")], M1_SCHEMA)
+    one = smart_filter(df, "Y", ["A"], [], {}, tab_value=2).collect()
+    assert [(r["Y"], r["A"], r["CNT"]) for r in one] == [(2, "a", 5)]
+
+
+def test_bin_coarsening_merges_codes(spark):
+    """Two codes with one label decode to the same label and are summed as one
+    crosstab row (many-to-one code lists)."""
+    df = spark.createDataFrame([(1, 1, 10), (1, 2, 20), (1, 3, 30), (1, None, 60)], "Y long, G long, CNT long")
+    cb = Codebook({"G": {"codes": {1: "low", 2: "high", 3: "high"}}})
+    cells = xt.crosstab_cells(smart_filter(decode(df, cb), "Y", ["G"], [], {}), "Y", ["G"], [], "CNT")
+    got = {r["G"]: r["value"] for r in cells.where(~F.col("is_col_total")).collect()}
+    assert got == {"low": 10, "high": 50, None: 60}

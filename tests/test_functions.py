@@ -88,3 +88,15 @@ def test_read_parquet_drops_index_columns(spark, tmp_path):
     assert df.columns == ["CNT", "A"]
     stems = {r["source_file"] for r in with_source_file(df).collect()}
     assert len(stems) == 1 and stems.pop().startswith("part-")
+
+
+def test_detect_dataset_type_and_sorted_values(spark):
+    from statcube.operators.drill import distinct_values
+    from statcube.sources.catalog import detect_dataset_type
+
+    assert detect_dataset_type("C:\\\\data\\\\所有權_coded_202602040949.parquet") == "ownership"
+    with pytest.raises(ValueError):
+        detect_dataset_type("orders.parquet")
+    df = spark.createDataFrame([(10, "b"), (9, "a"), (None, "a")], "n long, s string")
+    got = [(r["column"], r["value"]) for r in distinct_values(df, sort=True).collect()]
+    assert got == [("n", "10"), ("n", "9"), ("s", "a"), ("s", "b")]
