@@ -4,7 +4,8 @@ layout role (``group_type``).
 
 A code list is either small configuration (YAML, kept on the driver and
 inlined as a literal map) or a lookup relation read from data (a DataFrame,
-joined by broadcast after a size check, else by shuffle).
+joined as a lookup: broadcast only when the planner's size check passes,
+else by shuffle).
 """
 
 from __future__ import annotations
