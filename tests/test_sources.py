@@ -39,18 +39,29 @@ def test_convert_delivery(spark):
 
 
 def test_streaming_ingest(spark):
+    """Deliveries are picked up exactly once: a rerun after a new delivery
+    folder lands processes only the new files."""
     root = tempfile.mkdtemp(prefix="statcube-stream-")
-    landing = os.path.join(root, "landing", "260101")
-    os.makedirs(landing)
-    spark.read.parquet(f"{SF}/nation.parquet").toPandas().to_csv(os.path.join(landing, "nation.csv"), index=False)
+    landing = os.path.join(root, "landing")
+    nation = spark.read.parquet(f"{SF}/nation.parquet").toPandas()
+    os.makedirs(os.path.join(landing, "260101"))
+    nation.to_csv(os.path.join(landing, "260101", "nation.csv"), index=False)
     schema = T.StructType([T.StructField("n_nationkey", T.IntegerType()), T.StructField("n_name", T.StringType()),
                            T.StructField("n_regionkey", T.IntegerType())])
-    q = ingest_deliveries(spark, os.path.join(root, "landing"), os.path.join(root, "out"),
-                          os.path.join(root, "ckpt"), schema)
+    out, ckpt = os.path.join(root, "out"), os.path.join(root, "ckpt")
+    q = ingest_deliveries(spark, landing, out, ckpt, schema)
     q.awaitTermination(120)
-    out = spark.read.parquet(os.path.join(root, "out"))
-    assert out.count() == 25
-    assert {r["delivery"] for r in out.select("delivery").distinct().collect()} == {260101}
+    first = spark.read.parquet(out)
+    assert first.count() == 25
+    assert {r["delivery"] for r in first.select("delivery").distinct().collect()} == {260101}
+    # a second delivery arrives; the first is not read again
+    os.makedirs(os.path.join(landing, "260201"))
+    nation.head(5).to_csv(os.path.join(landing, "260201", "nation.csv"), index=False)
+    q = ingest_deliveries(spark, landing, out, ckpt, schema)
+    q.awaitTermination(120)
+    both = spark.read.parquet(out)
+    counts = {r["delivery"]: r["count"] for r in both.groupBy("delivery").count().collect()}
+    assert counts == {260101: 25, 260201: 5}
 
 
 def test_report_batch_errors_and_toc(spark):
