@@ -25,10 +25,12 @@ from statcube.operators import decode as dec  # noqa: E402
 from statcube.operators import drill, filters  # noqa: E402
 from statcube.operators.crosstab import mean_crosstab  # noqa: E402
 from statcube.operators.layout import to_wide  # noqa: E402
+from statcube.plans import events_cube as ec  # noqa: E402
 from statcube.plans import lineitem_cube as lc  # noqa: E402
 from statcube.plans import orders_cube as oc  # noqa: E402
 from statcube.plans.crosstab import Crosstab  # noqa: E402
 from statcube.plans.spec import CrosstabSpec  # noqa: E402
+from statcube.session import cut_lineage  # noqa: E402
 from statcube.plans.presets import load_presets, preset_crosstab  # noqa: E402
 from statcube.plans.report import ReportBatch  # noqa: E402
 from statcube.sources.catalog import enabled_datasets, list_datasets  # noqa: E402
@@ -52,6 +54,7 @@ REGION_FULL = dict(tab="DATA_YR", rows=["REGION"], cols=[], filters={})
 REF = dict(tab="DATA_YR", rows=["COUNTY"], cols=[], filters={"SEG": ["BUILDING"]})
 REF_DERIVED = dict(tab="DATA_YR", rows=["SEG"], cols=[], filters={"COUNTY": ["NATION_1", "NATION_2"]})
 AVG_NAMES = ["Average price", "平均Priority"]
+EVENTS_XT = dict(tab="WEEK", rows=["EVENT"], cols=["BAND"], metric="CNT", filters={})
 LINEITEM_XT = dict(tab="DATA_YR", rows=["FLAG"], cols=["LSTATUS"], metric="SUM_QTY", filters={})
 # Market segments of the order data (the wide sheet has one value and one
 # percent column per segment).
@@ -106,6 +109,11 @@ def _growth_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select(F.round("mean_growth_pct", 6).alias("mean_growth_pct"), "latest_growth_pct")
 
 
+def _events_xt(spark: SparkSession, sf_dir: str) -> Crosstab:
+    cube = dec.decode(ec.cube(spark, sf_dir), ec.codebook())
+    return Crosstab(cut_lineage(cube), CrosstabSpec.of(**EVENTS_XT), ec.codebook())
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: crosstab of orders by year × nation × segment with totals and
     row / column / total percentages."""
@@ -166,6 +174,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         # catalogue (S4, S5, S9) and SQL over a registered view
         "catalog_enabled": lambda s, d: enabled_datasets(list_datasets(s, d), DISABLED),
         "sql_gid_fingerprint": _sql_fingerprint,
+        # a third cube from events: decode of a static code list, crosstab, averages
+        "events_crosstab": lambda s, d: _events_xt(s, d).cells(),
+        "events_weighted_avg": lambda s, d: _events_xt(s, d).averages(),
         # small inspection operators
         "distinct_gids": lambda s, d: cube_ops.distinct_gids(oc.decoded_cube(s, d)),
         "distinct_tabs": lambda s, d: drill.distinct_tabs(_xt(s, d, MAIN).filtered, "DATA_YR"),
@@ -259,6 +270,8 @@ def oracle_sql() -> dict[str, str]:
         "preset_table_1": O.preset(["COUNTY"], ["PRI"], "CNT", ["NATION_0", "5-LOW"]),
         "preset_table_2": O.preset(["SEG"], ["PRI"], "SUM_PRICE", ["4-NOT SPECIFIED"]),
         "lineitem_crosstab": O.lineitem_crosstab(**LINEITEM_XT),
+        "events_crosstab": O.events_crosstab(**EVENTS_XT),
+        "events_weighted_avg": O.events_weighted_avg(**EVENTS_XT, names=["Average value"]),
         "distinct_gids": O.with_cube("SELECT DISTINCT GID FROM d"),
         "growth_summary": "SELECT round(avg(YEARLY_GROWTH_PCT), 6) AS mean_growth_pct, "
                           "arg_max(YEARLY_GROWTH_PCT, DATA_YR) AS latest_growth_pct FROM (" + O.growth_overall(**GROWTH) + ")",

@@ -146,14 +146,15 @@ def crosstab(tab, rows, cols, metric="CNT", filters=None, pct=True, probe="prefi
     return with_cube(body, ctes)
 
 
-def averages_ctes(tab: str, rows: list[str], names: list[str]) -> list[tuple[str, str]]:
-    """CTE avg over f: weighted average of SUM_PRICE / CNT_PRICE per row and
-    for the total row, one row per average name."""
+def averages_ctes(tab: str, rows: list[str], names: list[str], num: str = "SUM_PRICE",
+                  den: str = "CNT_PRICE") -> list[tuple[str, str]]:
+    """CTE avg over f: weighted average of num / den per row and for the total
+    row, one row per average name."""
     r = ", ".join(rows)
     names_sql = ", ".join(f"({lit(n)})" for n in names)
     return [
-        ("ag", f"SELECT {tab}, {r}, GROUPING({rows[0]}) AS gr, CAST(coalesce(sum(SUM_PRICE), 0) AS BIGINT) AS n, "
-               f"CAST(coalesce(sum(CNT_PRICE), 0) AS BIGINT) AS dd FROM f GROUP BY GROUPING SETS (({tab}, {r}), ({tab}))"),
+        ("ag", f"SELECT {tab}, {r}, GROUPING({rows[0]}) AS gr, CAST(coalesce(sum({num}), 0) AS BIGINT) AS n, "
+               f"CAST(coalesce(sum({den}), 0) AS BIGINT) AS dd FROM f GROUP BY GROUPING SETS (({tab}, {r}), ({tab}))"),
         ("av", f"SELECT {tab}, {r}, gr = 1 AS is_row_total, v.name AS avg_name, "
                "CASE WHEN dd <> 0 THEN CAST(n AS DOUBLE) / CAST(dd AS DOUBLE) WHEN gr = 1 THEN 0.0 "
                "WHEN n > 0 THEN CAST('Infinity' AS DOUBLE) WHEN n < 0 THEN CAST('-Infinity' AS DOUBLE) ELSE 0.0 END AS avg_value "
@@ -362,3 +363,35 @@ d AS (SELECT *, CASE WHEN CNT < 3 THEN '{MASKED}' ELSE '{NORMAL}' END AS DATA_ST
 def lineitem_crosstab(tab, rows, cols, metric, filters=None) -> str:
     ctes = crosstab_ctes(tab, rows, cols, metric, filters or {}, dims=LINEITEM_DIMS)
     return with_cube(pct_select(tab, rows, cols), ctes, LINEITEM_CUBE_CTE)
+
+
+EVENTS_DIMS = ["WEEK", "EVENT", "BAND"]
+EVENTS_CUBE_CTE = f"""
+e0 AS (
+  SELECT CAST(week(ts) AS BIGINT) AS wk, event_type AS ev, CAST(floor(hour(ts) / 6) AS INTEGER) AS band,
+         CAST(round(value * 100) AS BIGINT) AS cents FROM events
+),
+ec AS (
+  SELECT wk AS WEEK, ev AS EVENT, band AS BAND, CAST(count(*) AS BIGINT) AS CNT,
+         CAST(sum(cents) AS BIGINT) AS SUM_VALUE, CAST(count(cents) AS BIGINT) AS CNT_VALUE,
+         CAST(GROUPING(ev) * 2 + GROUPING(band) AS BIGINT) AS GID
+  FROM e0 GROUP BY GROUPING SETS ((wk), (wk, ev), (wk, band), (wk, ev, band))
+),
+d AS (
+  SELECT WEEK, EVENT,
+         CASE WHEN BAND IS NULL THEN NULL WHEN BAND = 0 THEN '00-05' WHEN BAND = 1 THEN '06-11'
+              WHEN BAND = 2 THEN '12-17' WHEN BAND = 3 THEN '18-23' ELSE CAST(BAND AS VARCHAR) END AS BAND,
+         CNT, SUM_VALUE, CNT_VALUE, GID, CASE WHEN CNT < 3 THEN '{MASKED}' ELSE '{NORMAL}' END AS DATA_STATUS
+  FROM ec
+)"""
+
+
+def events_crosstab(tab, rows, cols, metric, filters=None) -> str:
+    ctes = crosstab_ctes(tab, rows, cols, metric, filters or {}, dims=EVENTS_DIMS)
+    return with_cube(pct_select(tab, rows, cols), ctes, EVENTS_CUBE_CTE)
+
+
+def events_weighted_avg(tab, rows, cols, metric, filters=None, names=()) -> str:
+    ctes = [("f", smart_filter("d", tab, rows, cols, filters or {}, dims=EVENTS_DIMS))]
+    ctes += averages_ctes(tab, rows, list(names), num="SUM_VALUE", den="CNT_VALUE")
+    return with_cube("SELECT * FROM av", ctes, EVENTS_CUBE_CTE)
