@@ -177,3 +177,19 @@ def test_bin_coarsening_merges_codes(spark):
     cells = xt.crosstab_cells(smart_filter(decode(df, cb), "Y", ["G"], [], {}), "Y", ["G"], [], "CNT")
     got = {r["G"]: r["value"] for r in cells.where(~F.col("is_col_total")).collect()}
     assert got == {"low": 10, "high": 50, None: 60}
+
+
+def test_tab_order_rules(spark):
+    from statcube.operators.ordering import tab_order
+    from statcube.plans import orders_cube as oc
+
+    sf = "/root/testdata/sf0.001"
+    cube = oc.decoded_cube(spark, sf)
+    coded = [r["COUNTY"] for r in tab_order(cube, "COUNTY", oc.codebook(spark, sf)).orderBy("tab_rank").collect()]
+    assert coded[:3] == ["NATION_0", "NATION_1", "NATION_2"] and coded.index("NATION_10") > coded.index("NATION_9")
+    years = [r["DATA_YR"] for r in tab_order(cube, "DATA_YR").orderBy("tab_rank").collect()]
+    assert years == sorted(years, reverse=True)
+    numeric_text = spark.createDataFrame([("10",), ("9",), ("100",)], "T string")
+    assert [r["T"] for r in tab_order(numeric_text, "T").orderBy("tab_rank").collect()] == ["9", "10", "100"]
+    mixed = spark.createDataFrame([("10",), ("9",), ("x",)], "T string")
+    assert [r["T"] for r in tab_order(mixed, "T").orderBy("tab_rank").collect()] == ["10", "9", "x"]
