@@ -52,6 +52,10 @@ def column_positions(keys: Sequence[tuple], cols: Sequence[str], dtypes: Sequenc
     ranks = []
     for c in cols:
         if codebook is not None and codebook.has_codes(c):
+            static = codebook.static_label_ranks(c)
+            if static is not None:
+                ranks.append(static)
+                continue
             rows = collect_bounded(codebook.label_ranks(spark, c), MAX_AXIS_KEYS)
             ranks.append(None if rows is None else {r["label"]: r["rank"] for r in rows})
         else:

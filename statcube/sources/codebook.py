@@ -110,6 +110,16 @@ class Codebook:
         rows = [(int(k), v) for k, v in sorted(self.static_codes(col).items())]
         return spark.createDataFrame(rows, "code long, label string")
 
+    def static_label_ranks(self, col: str) -> dict[str, int] | None:
+        """label -> rank of a code list kept in configuration (no Spark job);
+        None when the column's codes come from data."""
+        if col in self.lookups:
+            return None
+        ranks: dict[str, int] = {}
+        for pos, code in enumerate(sorted(self.static_codes(col))):
+            ranks[self.static_codes(col)[code]] = pos  # a repeated label keeps its last position
+        return ranks
+
     def label_ranks(self, spark: SparkSession, col: str) -> DataFrame:
         """(label, rank): rank = position of the code in the sorted code list;
         a label listed under several codes takes the position of the last."""

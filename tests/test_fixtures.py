@@ -193,3 +193,9 @@ def test_tab_order_rules(spark):
     assert [r["T"] for r in tab_order(numeric_text, "T").orderBy("tab_rank").collect()] == ["9", "10", "100"]
     mixed = spark.createDataFrame([("10",), ("9",), ("x",)], "T string")
     assert [r["T"] for r in tab_order(mixed, "T").orderBy("tab_rank").collect()] == ["10", "9", "x"]
+
+
+def test_static_label_ranks_match_spark_ranks(spark):
+    cb = Codebook({"L": {"codes": {11: "a", 12: "b", 13: "b", 99: "z"}}})
+    spark_ranks = {r["label"]: r["rank"] for r in cb.label_ranks(spark, "L").collect()}
+    assert cb.static_label_ranks("L") == spark_ranks == {"a": 0, "b": 2, "z": 3}
