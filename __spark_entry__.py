@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import os
 import sys
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -97,10 +98,13 @@ def _preset(spark: SparkSession, sf_dir: str, i: int) -> DataFrame:
 
 
 def _sql_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    oc.decoded_cube(spark, sf_dir).createOrReplaceTempView("decoded_cube")
+    """The grouping-set fingerprint as SQL over a registered view (one view
+    name per call, so concurrent callers never read each other's view)."""
+    view = f"decoded_cube_{uuid.uuid4().hex}"
+    oc.decoded_cube(spark, sf_dir).createOrReplaceTempView(view)
     return spark.sql("SELECT GID, " + ", ".join(
         f"CASE WHEN MAX({c}) IS NOT NULL THEN '{c}' ELSE NULL END AS has_{c.lower()}" for c in O.DIMS)
-        + " FROM decoded_cube GROUP BY GID")
+        + f" FROM {view} GROUP BY GID")
 
 
 def _growth_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
