@@ -3,6 +3,7 @@ so downstream consumers (and order-insensitive checks) can use them."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -46,6 +47,35 @@ def tab_order(df: DataFrame, tab: str, codebook: Codebook | None = None) -> Data
     return ranked.select(tab, "tab_rank")
 
 
+def order_tab_values(values: Sequence[str], tab: str, dtype: T.DataType,
+                     codebook: Codebook | None = None) -> list[str] | None:
+    """``tab_order`` for a small, already known list of tab values (as text),
+    on the driver; None when the tab's code list lives in data (use
+    ``tab_order`` then)."""
+    vals = list(values)
+    if codebook is not None and codebook.has_codes(tab):
+        ranks = codebook.static_label_ranks(tab)
+        if ranks is None:
+            return None
+        return sorted(vals, key=lambda v: ((0, ranks[v]) if v in ranks else (1, 0), v))
+    if isinstance(dtype, T.NumericType):
+        typed = {v: (int(v) if isinstance(dtype, T.IntegralType) else float(v)) for v in vals}
+        return sorted(vals, key=lambda v: typed[v], reverse=(tab == YEAR_TAB))
+    if tab == YEAR_TAB:
+        return sorted(vals, reverse=True)
+
+    def as_float(v):
+        try:
+            return float(v)
+        except ValueError:
+            return None
+
+    looks_numeric = all(re.fullmatch(r"[0-9.]+", v) and v.replace(".", "") != "" for v in vals)
+    if looks_numeric:
+        return sorted(vals, key=lambda v: ((0, as_float(v)) if as_float(v) is not None else (1, 0.0), v))
+    return sorted(vals)
+
+
 def axis_sort_columns(df: DataFrame, dims: Sequence[str], codebook: Codebook | None) -> tuple[DataFrame, list[Column]]:
     """Attach codebook ranks and return the sort expressions for axis keys:
     ranks of levels with code lists (level 0 first, unknown last), then the

@@ -202,7 +202,11 @@ class ReportBatch:
                 return str(wanted)
             if not known_tabs:
                 return None
-            # order the (small) tab list with the same rules, on local data
+            ordered = ordering.order_tab_values(known_tabs, xt.spec.tab, xt.cube.schema[xt.spec.tab].dataType,
+                                                xt.codebook)
+            if ordered is not None:
+                return ordered[0]
+            # code list from data: order the (small) tab list in Spark, on local data
             tab_type = xt.cube.schema[xt.spec.tab].dataType
             local = xt.cube.sparkSession.createDataFrame([(t,) for t in known_tabs], "t string").select(
                 F.col("t").cast(tab_type).alias(xt.spec.tab))

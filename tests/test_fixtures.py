@@ -199,3 +199,20 @@ def test_static_label_ranks_match_spark_ranks(spark):
     cb = Codebook({"L": {"codes": {11: "a", 12: "b", 13: "b", 99: "z"}}})
     spark_ranks = {r["label"]: r["rank"] for r in cb.label_ranks(spark, "L").collect()}
     assert cb.static_label_ranks("L") == spark_ranks == {"a": 0, "b": 2, "z": 3}
+
+
+@pytest.mark.parametrize("tab,dtype,values,codes", [
+    ("DATA_YR", "long", ["1995", "2001", "1998"], None),
+    ("T", "string", ["10", "9", "100"], None),
+    ("T", "string", ["10", "9", "x"], None),
+    ("T", "long", ["10", "9", "100"], None),
+    ("T", "string", ["b", "zz", "a", "z"], {11: "a", 12: "b", 13: "b", 99: "z"}),
+])
+def test_driver_tab_order_equals_spark(spark, tab, dtype, values, codes):
+    from statcube.operators.ordering import order_tab_values, tab_order
+
+    cb = Codebook({tab: {"codes": codes}}) if codes else Codebook()
+    df = spark.createDataFrame([(v,) for v in values], "v string").select(F.col("v").cast(dtype).alias(tab))
+    want = [str(r[tab]) for r in tab_order(df, tab, cb).orderBy("tab_rank").collect()]
+    got = order_tab_values(values, tab, df.schema[tab].dataType, cb)
+    assert got == want
