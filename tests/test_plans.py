@@ -33,7 +33,8 @@ def test_lazy_probe_is_one_filtered_scan(spark):
 
 
 @pytest.mark.parametrize("name", ["crosstab_pct", "crosstab_2x2", "crosstab_nocols", "heat_scale", "growth_rows",
-                                  "weighted_avg", "mix_report", "preset_table_1", "lineitem_crosstab"])
+                                  "weighted_avg", "mix_report", "preset_table_1", "lineitem_crosstab",
+                                  "events_crosstab", "events_weighted_avg", "report_cells"])
 def test_no_pairwise_joins(spark, name):
     txt = plan_text(E.queries()[name](spark, SF))
     for op in NO_PAIRS:

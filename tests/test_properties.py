@@ -162,3 +162,20 @@ def test_driver_column_order_equals_axis_order(spark, tab, rows, cols):
     known = layout.mix_cells(cells, avgs, tab, rows, cols, cb, [], col_keys=xt.axis_lists[1])
     joined = layout.mix_cells(cells, avgs, tab, rows, cols, cb, [], col_keys=None)
     assert sorted(map(tuple, known.collect()), key=str) == sorted(map(tuple, joined.collect()), key=str)
+
+
+def test_fallback_paths_when_preparation_bound_is_exceeded(spark, monkeypatch):
+    """With a tiny bound the one-scan preparation gives up; the crosstab and
+    the report batch then take their two-pass paths with the same results."""
+    import __spark_entry__ as E
+    import statcube.plans.crosstab as pc
+
+    sf = "/root/testdata/sf0.001"
+    normal_cells = E.queries()["crosstab_pct"](spark, sf).collect()
+    normal_report = E.queries()["report_cells"](spark, sf).collect()
+    monkeypatch.setattr(pc, "MAX_AXIS_KEYS", 1)
+    assert pc.prepare_specs(E.oc.decoded_cube(spark, sf), [E.CrosstabSpec.of("DATA_YR", ["COUNTY"], ["SEG"])]) is None
+    fallback_cells = E.queries()["crosstab_pct"](spark, sf).collect()
+    fallback_report = E.queries()["report_cells"](spark, sf).collect()
+    assert sorted(map(tuple, fallback_cells), key=str) == sorted(map(tuple, normal_cells), key=str)
+    assert sorted(map(tuple, fallback_report), key=str) == sorted(map(tuple, normal_report), key=str)
