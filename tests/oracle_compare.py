@@ -14,6 +14,7 @@ import time
 import duckdb
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+EXACT = os.environ.get("ORACLE_EXACT") == "1"  # compare doubles bit for bit
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
@@ -37,7 +38,7 @@ def _norm(v):
             return ("null",)
         if math.isinf(v):
             return ("f", v)
-        return ("f", float(f"{v:.10g}"))
+        return ("f", v if EXACT else float(f"{v:.10g}"))
     if isinstance(v, int):
         return ("f", float(v)) if abs(v) < 2**53 else ("i", v)
     if hasattr(v, "isoformat"):
