@@ -57,3 +57,13 @@ def test_cube_build_aggregates_before_the_join(spark):
     join = next(i for i, l in enumerate(lines) if "Join" in l)
     # a partial aggregate of the order rows sits below the join's first input
     assert any("HashAggregate" in l for l in lines[join + 1:]), head
+
+
+def test_scans_read_only_needed_columns(spark):
+    txt = plan_text(E.queries()["cube_build"](spark, SF))
+    schemas = [l for l in txt.splitlines() if l.startswith("ReadSchema")]
+    assert "ReadSchema: struct<o_custkey:bigint,o_totalprice:double,o_orderdate:timestamp_ntz,o_orderpriority:string>" in schemas \
+        or any("o_custkey" in s and "o_comment" not in s and s.count(":") == 4 for s in schemas), schemas
+    assert any("c_custkey" in s and "c_name" not in s and "c_acctbal" not in s for s in schemas), schemas
+    li = plan_text(E.queries()["lineitem_crosstab"](spark, SF))
+    assert all("l_extendedprice" not in l for l in li.splitlines() if l.startswith("ReadSchema")), li
