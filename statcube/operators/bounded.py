@@ -12,10 +12,6 @@ from pyspark.sql import DataFrame, Row
 MAX_AXIS_KEYS = 10_000
 
 
-class TooManyKeys(Exception):
-    pass
-
-
 def lookup(df: DataFrame) -> DataFrame:
     """A lookup relation for a join, without a hint: the planner broadcasts it
     only when its size estimate (file size / local data) is under
