@@ -44,6 +44,13 @@ PRESETS_PATH = os.path.join(CONFIG_DIR, "presets.yaml")
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 
+try:  # operators of training-data pipelines, where that subpackage is present
+    from llm import queries as llm_queries
+except ModuleNotFoundError as missing:
+    if (missing.name or "").split(".")[0] not in ("llm", "corpus_pipeline"):
+        raise
+    llm_queries = None
+
 # Crosstab specs used by the queries below.
 MAIN = dict(tab="DATA_YR", rows=["COUNTY"], cols=["SEG"], metric="CNT", filters={})
 TWO_BY_TWO = dict(tab="DATA_YR", rows=["REGION", "COUNTY"], cols=["SEG", "PRI"], metric="CNT", filters={})
@@ -129,6 +136,7 @@ def entry(spark: SparkSession) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        **(llm_queries.queries() if llm_queries else {}),
         # cube build, suppression, inspection
         "cube_build": lambda s, d: oc.coded_cube(s, d, suppress=False),
         "cube_suppress": lambda s, d: oc.coded_cube(s, d),
