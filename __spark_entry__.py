@@ -211,6 +211,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     cube_cols = "DATA_YR, COUNTY, SEG, PRI, CNT, SUM_PRICE, CNT_PRICE, GID"
     return {
+        **(llm_queries.oracle_sql() if llm_queries else {}),
         "cube_build": O.with_cube(f"SELECT {cube_cols} FROM tc"),
         "cube_suppress": O.with_cube("SELECT * FROM t"),
         "gid_fingerprint": O.with_cube(
