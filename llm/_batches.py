@@ -152,3 +152,27 @@ def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijective scrambling of unsigned 64-bit values."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each byte range (ascending and disjoint, none empty)."""
+    if not len(starts):
+        return np.zeros(0, dtype=np.uint64)
+    lengths = ends - starts
+    begin = np.cumsum(lengths) - lengths
+    at = np.arange(int(lengths.sum())) - np.repeat(begin - starts, lengths)
+    place = at - np.repeat(starts, lengths)
+    powers = np.full(int(lengths.max()) + 1, _FACTOR, dtype=np.uint64)
+    powers[0] = 1
+    np.multiply.accumulate(powers, out=powers)
+    return mix(np.add.reduceat((data[at].astype(np.uint64) + np.uint64(1)) * powers[place], begin))
