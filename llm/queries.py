@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from llm import quality, simhash
+from llm import decontaminate, quality, simhash, toxicity
 
 
 def queries() -> dict:
     return {
         "op4_quality_cascade": quality.op4_quality_cascade,
+        "op8_toxicity": toxicity.op8_toxicity,
+        "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
     }
 
