@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from llm import decontaminate, quality, simhash, toxicity
+import corpus_pipeline
+from llm import bpe, decontaminate, quality, simhash, toxicity
 
 
 def queries() -> dict:
     return {
+        "pipeline": corpus_pipeline.run,
         "op4_quality_cascade": quality.op4_quality_cascade,
+        "op5_bpe_chunks": bpe.op5_bpe_chunks,
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
