@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from llm import bpe, decontaminate, quality, simhash, toxicity
+from llm import bpe, decontaminate, quality, simhash, tokenfile, toxicity
 
 
 def queries() -> dict:
     return {
         "pipeline": corpus_pipeline.run,
+        "op1_token_files": tokenfile.op1_token_files,
         "op4_quality_cascade": quality.op4_quality_cascade,
         "op5_bpe_chunks": bpe.op5_bpe_chunks,
         "op8_toxicity": toxicity.op8_toxicity,
