@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from llm import bpe, decontaminate, quality, simhash, tokenfile, toxicity
+from llm import bpe, decontaminate, quality, sharding, simhash, tokenfile, toxicity, urlfilter
 
 
 def queries() -> dict:
     return {
         "pipeline": corpus_pipeline.run,
         "op1_token_files": tokenfile.op1_token_files,
+        "op3_kk_shards": sharding.op3_kk_shards,
         "op4_quality_cascade": quality.op4_quality_cascade,
         "op5_bpe_chunks": bpe.op5_bpe_chunks,
+        "op6_temporal_url_filter": urlfilter.op6_temporal_url_filter,
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
@@ -19,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_temporal_url_filter": urlfilter.ORACLE}
