@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from llm import bpe, decontaminate, quality, sharding, simhash, tokenfile, toxicity, urlfilter
+from llm import bpe, decontaminate, quality, sharding, simhash, tokenfile, toxicity, urlfilter, warc
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op4_quality_cascade": quality.op4_quality_cascade,
         "op5_bpe_chunks": bpe.op5_bpe_chunks,
         "op6_temporal_url_filter": urlfilter.op6_temporal_url_filter,
+        "op7_warc_fixity": warc.op7_warc_fixity,
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
