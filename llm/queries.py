@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from llm import bpe, decontaminate, quality, sharding, simhash, tokenfile, toxicity, urlfilter, warc
+from llm import bpe, decontaminate, htmltext, quality, sharding, simhash, tokenfile, toxicity, urlfilter, warc
 
 
 def queries() -> dict:
     return {
         "pipeline": corpus_pipeline.run,
         "op1_token_files": tokenfile.op1_token_files,
+        "op2_html_text": htmltext.op2_html_text,
         "op3_kk_shards": sharding.op3_kk_shards,
         "op4_quality_cascade": quality.op4_quality_cascade,
         "op5_bpe_chunks": bpe.op5_bpe_chunks,
