@@ -269,3 +269,20 @@ def drop_leaks(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents without a hit word."""
     whole = docs.withColumn("__all", F.struct(*docs.columns))
     return find_leaks(whole, table(spark, sf_dir, "benchmark"), keep=["__all"]).where("n_hit = 0").select("__all.*")
+
+
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+ORACLE = f"""
+WITH dw AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS ws FROM documents),
+iw AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS id, {_WORDS} AS ws FROM benchmark),
+iwin AS (SELECT DISTINCT id, k, array_to_string(ws[i:i + k - 1], ' ') AS g
+         FROM (SELECT id, ws, least(10, len(ws)) AS k, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS i FROM iw WHERE len(ws) > 0)),
+dwin AS (SELECT r, k, i, array_to_string(ws[i:i + k - 1], ' ') AS g
+         FROM (SELECT r, k, ws, unnest(range(1, len(ws) - k + 2)) AS i FROM dw, (SELECT DISTINCT k FROM iwin) WHERE len(ws) >= k)),
+m AS (SELECT r, k, i, id FROM dwin JOIN iwin USING (k, g)),
+hit AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + k)) AS p FROM m) GROUP BY r),
+its AS (SELECT r, count(DISTINCT id) AS n, string_agg(DISTINCT id, ',' ORDER BY id) AS s FROM m GROUP BY r)
+SELECT doc_id, len(ws) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(its.n, 0) AS n_items, sha256(coalesce(its.s, '')) AS items_sha256,
+       coalesce(hit.n, 0) > 0 AS contaminated
+FROM dw LEFT JOIN hit USING (r) LEFT JOIN its USING (r)
+"""

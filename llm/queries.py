@@ -23,4 +23,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_temporal_url_filter": urlfilter.ORACLE}
+    return {"op4_quality_cascade": quality.ORACLE, "op9_decontaminate": decontaminate.ORACLE, "op6_temporal_url_filter": urlfilter.ORACLE}

@@ -163,7 +163,7 @@ class Reader:
         wanted = set(ids)
         near = F.lit(False)
         for i in sorted(wanted):
-            near = near | F.lit(i).between(F.col("first_id"), F.col("last_id"))
+            near = near | ((F.col("first_id").isNull() | (F.col("first_id") <= i)) & (F.col("last_id") >= i))
         out = self._decoded(self.segments.where(near), "array<long>", lambda x: x.tolist(), wanted)
         return out.select(F.col("id").alias("doc_id"), "n_tokens", F.col("value").alias("ids"))
 

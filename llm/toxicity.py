@@ -180,11 +180,13 @@ def fit_weights(rows: list[np.ndarray], labels: np.ndarray, swapped: list[tuple[
     # difference of a counterfactual and its text, as signed entries
     r1, c1 = indexed([(k, x) for k, (_, x) in enumerate(swapped)])
     r2, c2 = indexed([(k, rows[i]) for k, (i, _) in enumerate(swapped)])
-    rd, cd, sd = np.concatenate([r1, r2]), np.concatenate([c1, c2]), np.concatenate([np.ones(len(r1)), -np.ones(len(r2))])
+    entry, at = np.unique(np.concatenate([r1, r2]) * len(names) + np.concatenate([c1, c2]), return_inverse=True)
+    sd = np.bincount(at, weights=np.concatenate([np.ones(len(r1)), -np.ones(len(r2))]), minlength=len(entry))
+    rd, cd, sd = (entry // len(names))[sd != 0], (entry % len(names))[sd != 0], sd[sd != 0]
     w, b = np.zeros(len(names)), float(np.log(pos / neg))
     v, vb, t = w.copy(), b, 1.0
-    most = np.bincount(r0, minlength=len(y)).max() + 1 + (2 * counterfactual * np.bincount(rd).max() if len(rd) else 0)
-    rate = 4.0 / max(most, 1)
+    steepest = (np.bincount(r0, minlength=len(y)).max() + 1) / 4 + (2 * counterfactual * np.bincount(rd).max() if len(rd) else 0)
+    rate = 1 / steepest
     for _ in range(steps):
         g = 1 / (1 + np.exp(-(np.bincount(r0, weights=v[c0], minlength=len(y)) + vb))) - y
         grad = np.bincount(c0, weights=g[r0], minlength=len(w)) / len(y)

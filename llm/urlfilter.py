@@ -64,8 +64,8 @@ def judge(captures: DataFrame, entries: DataFrame, url_col: str = "url", time_co
     depth, last = limits.first().depth, until.first().until
     labels = F.split("host", r"\.")
     domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat_ws(".", F.slice(labels, i, F.size(labels))))
-    steps = F.filter(F.split(F.substring_index(path_of(F.col("__url")), "/", depth + 2), "/"), lambda x: x != "")
-    prefixes = F.transform(F.sequence(F.lit(0), F.size(steps)), lambda i: F.concat_ws("/", F.col("host"), F.slice(steps, 1, i)))
+    steps = F.split(F.substring_index(path_of(F.col("__url")), "/", depth + 1), "/")  # the first is empty
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.concat("host", F.concat_ws("/", F.slice(steps, 1, i))))
     keys = F.concat(
         F.array(F.struct(F.lit("host").alias("kind"), F.col("host").alias("pattern"))),
         F.transform(domains, lambda d: F.struct(F.lit("domain").alias("kind"), d.alias("pattern"))),
