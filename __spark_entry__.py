@@ -31,12 +31,14 @@ from statcube.plans import lineitem_cube as lc  # noqa: E402
 from statcube.plans import orders_cube as oc  # noqa: E402
 from statcube.plans.crosstab import Crosstab  # noqa: E402
 from statcube.plans.spec import CrosstabSpec  # noqa: E402
-from statcube.session import cut_lineage  # noqa: E402
-from statcube.plans.presets import load_presets, preset_crosstab  # noqa: E402
+from statcube.session import cut_lineage, ensure_checkpoint_dir  # noqa: E402
+from statcube.plans.presets import load_presets, preset_batch, preset_crosstab  # noqa: E402
 from statcube.plans.report import ReportBatch  # noqa: E402
 from statcube.sources.catalog import enabled_datasets, list_datasets  # noqa: E402
 from statcube.sources.codebook import REGION_COUNTIES  # noqa: E402
+from statcube.sources.ingest import convert_delivery  # noqa: E402
 from statcube.sources.specs import read_specs  # noqa: E402
+from statcube.sources.tables import read_parquet, read_table  # noqa: E402
 
 CONFIG_DIR = os.path.join(os.path.dirname(os.path.abspath(__file__)), "statcube", "config")
 SPECS_PATH = os.path.join(CONFIG_DIR, "report_specs.jsonl")
@@ -115,12 +117,40 @@ def _sql_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _growth_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
     from statcube.operators.growth import growth_summary
 
-    g = growth_summary(_xt(spark, sf_dir, GROWTH).growth("all"), "DATA_YR")
-    return g.select(F.round("mean_growth_pct", 6).alias("mean_growth_pct"), "latest_growth_pct")
+    return growth_summary(_xt(spark, sf_dir, GROWTH).growth("all"), "DATA_YR")
+
+
+def _headline(title: str) -> str:
+    """The first line of a sheet, from its title in the table of contents."""
+    name, _, unit = title.rpartition(" ")
+    return f"{name} (單位: {unit[1:-1]})" if unit else name
+
+
+def _presets_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sources = {"orders_cube": lambda: (oc.decoded_cube(spark, sf_dir, materialize=True), oc.codebook(spark, sf_dir))}
+    return preset_batch(load_presets(PRESETS_PATH), sources)
+
+
+def _delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table delivered as CSV, converted to Parquet and read back."""
+    part = read_table(spark, sf_dir, "part")
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/delivery-{uuid.uuid4().hex}"
+    part.write.option("header", True).csv(f"{folder}/in/part.csv")
+    done = convert_delivery(spark, f"{folder}/in/part.csv", f"{folder}/out", schemas=_AnySchema(part.schema))
+    return read_parquet(spark, done[0] if len(done) == 1 else f"{folder}/out/*.parquet")
+
+
+class _AnySchema(dict):
+    """The same schema for every file of a delivery."""
+
+    def __init__(self, schema):
+        super().__init__()
+        self.schema = schema
+
+    def get(self, key, default=None):
+        return self.schema
 
 
 def _events_xt(spark: SparkSession, sf_dir: str) -> Crosstab:
@@ -186,6 +216,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "report_notes": lambda s, d: _report(s, d).notes(),
         "preset_table_1": lambda s, d: _preset(s, d, 0),
         "preset_table_2": lambda s, d: _preset(s, d, 1),
+        "preset_batch": _presets_all,
+        "toc": lambda s, d: _report(s, d).toc(),
+        "report_errors": lambda s, d: _report(s, d).errors(),
+        "mix_nocols": lambda s, d: _xt(s, d, NO_COLS).mix(),
+        "cube_with_gaps": oc.cube_with_gaps,
+        "reference_rows": lambda s, d: _xt(s, d, REF, materialize=False).reference_rows("1997"),
+        "delivery_csv": _delivery,
         # catalogue (S4, S5, S9) and SQL over a registered view
         "catalog_enabled": lambda s, d: enabled_datasets(list_datasets(s, d), DISABLED),
         "sql_gid_fingerprint": _sql_fingerprint,
@@ -258,7 +295,7 @@ def oracle_sql() -> dict[str, str]:
             "FROM d WHERE GID = 0 AND COUNTY IS NOT NULL AND SEG IS NOT NULL GROUP BY COUNTY, SEG"),
         "distinct_values": O.with_cube(" UNION ".join(
             f"SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value FROM d WHERE {c} IS NOT NULL"
-            for c in ["DATA_YR", "COUNTY", "SEG", "PRI", "CNT", "SUM_PRICE", "CNT_PRICE", "GID", "DATA_STATUS", "REGION"])),
+            for c in ["DATA_YR", "COUNTY", "SEG", "PRI", "REGION"])),
         "drill_summary": O.with_cube(
             "SELECT DATA_YR, CAST(count(*) AS BIGINT) AS n_rows, CAST(coalesce(sum(CNT), 0) AS BIGINT) AS cnt_sum "
             "FROM f GROUP BY DATA_YR", [("f", O.smart_filter("d", "DATA_YR", ["COUNTY"], ["SEG"], {}))]),
@@ -282,14 +319,30 @@ def oracle_sql() -> dict[str, str]:
         "report_cells": "\nUNION ALL\n".join(
             O.report_sheet_cells(sp, sh, rk, fo, av) for sp, sh, rk, fo, av, _, _, _ in REPORT_SHEETS),
         "report_notes": "\nUNION ALL\n".join(
-            O.report_sheet_note(sp, sh, rk, fo, ch, ti, de, DETAIL_NAMES) for sp, sh, rk, fo, _, ch, ti, de in REPORT_SHEETS),
+            O.report_sheet_note(sp, sh, rk, fo, ch, ti, de, DETAIL_NAMES, _headline(ti)) for sp, sh, rk, fo, _, ch, ti, de in REPORT_SHEETS),
         "preset_table_1": O.preset(["COUNTY"], ["PRI"], "CNT", ["NATION_0", "5-LOW"]),
         "preset_table_2": O.preset(["SEG"], ["PRI"], "SUM_PRICE", ["4-NOT SPECIFIED"]),
+        "preset_batch": "\nUNION ALL\n".join(
+            f"SELECT {O.lit(n)} AS name, CAST(CASE WHEN is_row_total THEN NULL ELSE {r} END AS VARCHAR) AS row_key, "
+            f"CAST(CASE WHEN is_col_total THEN NULL ELSE {c} END AS VARCHAR) AS col_key, is_row_total, is_col_total, "
+            f"CAST(value AS DOUBLE) AS value, row_pct, col_pct, total_pct FROM ({O.preset([r], [c], v, x)})"
+            for n, r, c, v, x in [("Table 1-1", "COUNTY", "PRI", "CNT", ["NATION_0", "5-LOW"]),
+                                  ("Table 1-2", "SEG", "PRI", "SUM_PRICE", ["4-NOT SPECIFIED"])]),
+        "toc": " UNION ALL ".join(
+            f"SELECT {O.lit(ch)} AS chapter, {O.lit(ti)} AS title, {O.lit(chr(39).join(['internal:', sh, '!A1']))} AS link, {O.lit(sh)} AS sheet, "
+            f"CAST({rk} AS BIGINT) AS sheet_rank"
+            for ch, ti, sh, rk in [(ch, ti, sh, rk) for _, sh, rk, _, _, ch, ti, _ in REPORT_SHEETS] + [("x", "Unknown column ", "x", 5)]),
+        "report_errors": "SELECT 'x' AS \"Chapter\", 'Unknown column' AS \"Name\", "
+                         "'ValueError: columns not in the cube: [''NOPE'']' AS \"Error\"",
+        "mix_nocols": O.mix_nocols("DATA_YR", ["COUNTY"], "SUM_PRICE", NO_COLS["filters"]),
+        "cube_with_gaps": O.CUBE_WITH_GAPS,
+        "reference_rows": O.with_cube(f"SELECT * FROM d WHERE {O.reference_where('DATA_YR', ['COUNTY'], [], REF['filters'])} AND DATA_YR = 1997"),
+        "delivery_csv": "SELECT * FROM part",
         "lineitem_crosstab": O.lineitem_crosstab(**LINEITEM_XT),
         "events_crosstab": O.events_crosstab(**EVENTS_XT),
         "events_weighted_avg": O.events_weighted_avg(**EVENTS_XT, names=["Average value"]),
         "distinct_gids": O.with_cube("SELECT DISTINCT GID FROM d"),
-        "growth_summary": "SELECT round(avg(YEARLY_GROWTH_PCT), 6) AS mean_growth_pct, "
+        "growth_summary": "SELECT avg(YEARLY_GROWTH_PCT) AS mean_growth_pct, "
                           "arg_max(YEARLY_GROWTH_PCT, DATA_YR) AS latest_growth_pct FROM (" + O.growth_overall(**GROWTH) + ")",
         "tab_slice": O.with_cube("SELECT * FROM f WHERE CAST(DATA_YR AS VARCHAR) = '1997'",
                                  [("f", O.smart_filter("d", "DATA_YR", ["COUNTY"], ["SEG"], {}))]),

@@ -301,7 +301,7 @@ def report_sheet_cells(spec: dict, sheet: str, rank: int, focus, avg_names) -> s
 
 
 def report_sheet_note(spec: dict, sheet: str, rank: int, focus, chapter: str, title: str, desc: str,
-                      names: dict | None = None) -> str:
+                      names: dict | None = None, headline: str = "") -> str:
     tab, rows, cols, filters = spec["tab"], spec["rows"], spec["cols"], spec["filters"]
     fsql = smart_filter("d", tab, rows, cols, filters)
     focus_sql = str(focus) if focus is not None else f"(SELECT max({tab}) FROM f)"
@@ -310,7 +310,7 @@ def report_sheet_note(spec: dict, sheet: str, rank: int, focus, chapter: str, ti
     stripped = (f"regexp_replace(regexp_replace({lit(desc)}, '(?s)此分組包含 \\d+ 組被遮蔽資料.*?宅）', '', 'g'), "
                 f"'^\\s+|\\s+$', '', 'g')")
     body = (f"SELECT {lit(sheet)} AS sheet, CAST({rank} AS BIGINT) AS sheet_rank, {lit(chapter)} AS chapter, "
-            f"{lit(title)} AS title, CAST({focus_sql} AS VARCHAR) AS focus_tab, n_masked, ref_total, "
+            f"{lit(title)} AS title, {lit(headline)} AS headline, CAST({focus_sql} AS VARCHAR) AS focus_tab, n_masked, ref_total, "
             f"CASE WHEN n_masked > 0 THEN (CASE WHEN {stripped} <> '' THEN {stripped} || chr(10) || {msg} ELSE {msg} END) "
             f"ELSE {lit(desc)} END AS description, "
             f"CAST({focus_sql} AS VARCHAR) || ' 年' || {lit(_context(filters))} || {lit(_dn(names, rows))} || '分佈 - 按' || "
@@ -349,11 +349,11 @@ LINEITEM_DIMS = ["DATA_YR", "FLAG", "LSTATUS"]
 LINEITEM_CUBE_CTE = f"""
 l0 AS (
   SELECT CAST(year(l_shipdate) AS BIGINT) AS yr, l_returnflag AS fl, l_linestatus AS ls,
-         CAST(l_quantity AS BIGINT) AS qty FROM lineitem
+         CAST(l_quantity AS DECIMAL(18, 2)) AS qty FROM lineitem
 ),
 lc AS (
   SELECT yr AS DATA_YR, fl AS FLAG, ls AS LSTATUS, CAST(count(*) AS BIGINT) AS CNT,
-         CAST(sum(qty) AS BIGINT) AS SUM_QTY, CAST(count(qty) AS BIGINT) AS CNT_QTY,
+         CAST(sum(qty) AS DOUBLE) AS SUM_QTY, CAST(count(qty) AS BIGINT) AS CNT_QTY,
          CAST(GROUPING(fl) * 2 + GROUPING(ls) AS BIGINT) AS GID
   FROM l0 GROUP BY GROUPING SETS ((yr), (yr, fl), (yr, ls), (yr, fl, ls))
 ),
@@ -361,14 +361,14 @@ d AS (SELECT *, CASE WHEN CNT < 3 THEN '{MASKED}' ELSE '{NORMAL}' END AS DATA_ST
 
 
 def lineitem_crosstab(tab, rows, cols, metric, filters=None) -> str:
-    ctes = crosstab_ctes(tab, rows, cols, metric, filters or {}, dims=LINEITEM_DIMS)
+    ctes = [(n, q.replace("AS BIGINT", "AS DOUBLE")) for n, q in crosstab_ctes(tab, rows, cols, metric, filters or {}, dims=LINEITEM_DIMS)]
     return with_cube(pct_select(tab, rows, cols), ctes, LINEITEM_CUBE_CTE)
 
 
 EVENTS_DIMS = ["WEEK", "EVENT", "BAND"]
 EVENTS_CUBE_CTE = f"""
 e0 AS (
-  SELECT CAST(week(ts) AS BIGINT) AS wk, event_type AS ev, CAST(floor(hour(ts) / 6) AS INTEGER) AS band,
+  SELECT CAST(strftime(ts, '%G%V') AS BIGINT) AS wk, event_type AS ev, CAST(floor(hour(ts) / 6) AS INTEGER) AS band,
          CAST(round(value * 100) AS BIGINT) AS cents FROM events
 ),
 ec AS (
@@ -395,3 +395,28 @@ def events_weighted_avg(tab, rows, cols, metric, filters=None, names=()) -> str:
     ctes = [("f", smart_filter("d", tab, rows, cols, filters or {}, dims=EVENTS_DIMS))]
     ctes += averages_ctes(tab, rows, list(names), num="SUM_VALUE", den="CNT_VALUE")
     return with_cube("SELECT * FROM av", ctes, EVENTS_CUBE_CTE)
+
+
+def mix_nocols(tab, rows, metric, filters=None) -> str:
+    """MIX cells without column dimensions: the total, the metric, its percent."""
+    ctes = crosstab_ctes(tab, rows, [], metric, filters or {})
+    ctes.append(("pc", pct_select(tab, rows, [])))
+    parts = [f"SELECT {tab}, {_row_labels(rows)}, is_row_total, '全國' AS \"column\", 'value' AS kind, CAST(value AS DOUBLE) AS value, "
+             f"CAST(0 AS BIGINT) AS col_order FROM pc WHERE is_col_total",
+             f"SELECT {tab}, {_row_labels(rows)}, is_row_total, {lit(metric)}, 'value', CAST(value AS DOUBLE), CAST(1 AS BIGINT) FROM pc WHERE NOT is_col_total",
+             f"SELECT {tab}, {_row_labels(rows)}, is_row_total, {lit(metric + '(%)')}, 'pct', row_pct, CAST(2 AS BIGINT) FROM pc WHERE NOT is_col_total"]
+    ctes.append(("mx", "\nUNION ALL ".join(parts)))
+    return with_cube("SELECT *, CASE WHEN contains(\"column\", '(%)') THEN 'percent' ELSE 'integer' END AS format FROM mx", ctes)
+
+
+#: A cube whose microdata lack some dimension values, counted from the raw rows.
+CUBE_WITH_GAPS = """
+WITH r AS (SELECT coalesce(CAST(year(o_orderdate) AS BIGINT), -1) AS yr, CASE WHEN c_nationkey = 3 THEN -1 ELSE coalesce(c_nationkey, -1) END AS ct,
+                  CASE WHEN c_custkey % 11 = 0 THEN '(missing)' ELSE coalesce(c_mktsegment, '(missing)') END AS sg,
+                  CASE WHEN CAST(round(o_totalprice * 100) AS BIGINT) % 7 = 0 THEN '(missing)' ELSE coalesce(o_orderpriority, '(missing)') END AS pr,
+                  CAST(round(o_totalprice * 100) AS BIGINT) AS cents
+           FROM orders JOIN customer ON o_custkey = c_custkey)
+SELECT yr AS DATA_YR, ct AS COUNTY, sg AS SEG, pr AS PRI, CAST(count(*) AS BIGINT) AS CNT, CAST(sum(cents) AS BIGINT) AS SUM_PRICE,
+       CAST(count(cents) AS BIGINT) AS CNT_PRICE, CAST(GROUPING(ct) * 4 + GROUPING(sg) * 2 + GROUPING(pr) AS BIGINT) AS GID
+FROM r GROUP BY GROUPING SETS ((yr), (yr, ct), (yr, sg), (yr, pr), (yr, ct, sg), (yr, ct, pr), (yr, sg, pr), (yr, ct, sg, pr))
+"""

@@ -4,6 +4,8 @@ expressions (JVM side, whole-stage codegen); no Python UDFs."""
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from datetime import date, datetime
+from decimal import Decimal, InvalidOperation
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -46,29 +48,63 @@ def ratio_inf(num: str | Column, den: str | Column, zero_over_zero: Column | Non
             .otherwise(z))
 
 
+def typed_value(dtype: T.DataType, value):
+    """``value`` as the column's own type, exactly; None if no value of that
+    type equals it (so the column can be compared as it is, and the comparison
+    reaches the scan)."""
+    if value is None:
+        return None
+    if isinstance(dtype, T.StringType):
+        return str(value)
+    try:
+        if isinstance(dtype, (T.IntegralType, T.DecimalType)):
+            number = Decimal(str(value).strip()) if not isinstance(value, bool) else Decimal(int(value))
+            if not number.is_finite():
+                return None
+            if isinstance(dtype, T.DecimalType):
+                return number if number == round(number, dtype.scale) else None
+            whole = number == number.to_integral_value()
+            return int(number) if whole and -(1 << 63) <= number < 1 << 63 else None
+        if isinstance(dtype, T.NumericType):
+            return float(value)
+        if isinstance(dtype, T.DateType):
+            return value if isinstance(value, date) and not isinstance(value, datetime) else date.fromisoformat(str(value))
+        if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+            return value if isinstance(value, datetime) else datetime.fromisoformat(str(value))
+        if isinstance(dtype, T.BooleanType):
+            return {"true": True, "false": False}.get(str(value).lower())
+    except (ValueError, InvalidOperation):
+        return None
+    return value
+
+
 def coerce_filter_values(dtype: T.DataType, values: Sequence) -> list:
-    """IN-list coercion to the column's type: numeric column -> all values as
-    float, unless one fails (then keep the list as given); string column -> str."""
+    """IN-list values in the column's type; those that cannot match are left
+    out. In a list for a number column that holds some text that is no number,
+    only the numbers count."""
     vals = list(values)
     if isinstance(dtype, T.NumericType):
-        try:
-            return [float(v) for v in vals]
-        except (TypeError, ValueError):
-            return vals
-    if isinstance(dtype, T.StringType):
-        return [str(v) for v in vals]
-    return vals
+        def number(v) -> bool:
+            try:
+                float(v)
+                return True
+            except (TypeError, ValueError):
+                return False
+
+        if not all(number(v) for v in vals):
+            vals = [v for v in vals if isinstance(v, (int, float, Decimal)) and not isinstance(v, bool)]
+    return [t for t in (typed_value(dtype, v) for v in vals) if t is not None]
 
 
 def isin_coerced(c: str, dtype: T.DataType, values: Sequence) -> Column:
     vals = coerce_filter_values(dtype, values)
-    column = F.col(c)
-    if isinstance(dtype, T.NumericType):
-        nums = [v for v in vals if isinstance(v, (int, float)) and not isinstance(v, bool)]
-        if not nums:
-            return F.lit(False)
-        return column.cast("double").isin(nums)
-    return column.isin(vals)
+    return F.col(c).isin(vals) if vals else F.lit(False)
+
+
+def equals_value(c: str, dtype: T.DataType, value) -> Column:
+    """The column equals a value that may be kept as text ('2021' finds 2021)."""
+    typed = typed_value(dtype, value)
+    return F.col(c) == F.lit(typed) if typed is not None else F.lit(False)
 
 
 def numeric_text(c: str | Column) -> Column:
@@ -85,9 +121,8 @@ def file_stem(path: str | Column) -> Column:
 
 
 def data_suffix(path: str | Column) -> Column:
-    """Part of a path after the last '/data/' (path normalised to '/')."""
-    norm = F.translate(col_(path), "\\", "/")
-    return F.when(norm.contains("/data/"), F.element_at(F.split(norm, "/data/"), -1))
+    """What follows the last '/data/' of a path (either slash); NULL without it."""
+    return F.nullif(F.regexp_extract(F.translate(col_(path), "\\", "/"), "^.*/data/(.*)$", 1), F.lit(""))
 
 
 def dataset_prefix(name: str | Column) -> Column:
@@ -102,11 +137,12 @@ def dataset_type(name: str | Column) -> Column:
 
 
 def sheet_name(chapter: str | Column, position: str | Column) -> Column:
-    """Chapter with forbidden characters removed, cut at 31 characters; a
-    missing chapter becomes Report_<position>."""
-    ch = F.trim(F.coalesce(col_(chapter), F.lit("")))
-    raw = F.when(ch != "", ch).otherwise(F.concat(F.lit("Report_"), col_(position).cast("string")))
-    return F.substring(F.translate(raw, SHEET_FORBIDDEN, ""), 1, SHEET_MAX_LEN)
+    """Chapter without forbidden characters, at most 31 characters; one without
+    any left becomes Report_<position>. Sheets of equal names are told apart by
+    the report batch, which reports the later one as an error."""
+    clean = F.trim(F.translate(F.coalesce(col_(chapter), F.lit("")), SHEET_FORBIDDEN, ""))
+    return F.substring(F.when(clean != "", clean).otherwise(F.concat(F.lit("Report_"), col_(position).cast("string"))),
+                       1, SHEET_MAX_LEN)
 
 
 def strip_ws(c: str | Column) -> Column:

@@ -10,152 +10,120 @@ Semantics: the row space of a tab is the rows seen in that tab; the column
 space is every column key seen in any tab; absent cells are 0; totals are
 sums of the visible cells.
 
-Plan: the zero cells come from a grid (row keys of each tab × the column key
-list) that is UNIONed with the cube rows, so a single grouping-sets aggregate
-(partial aggregation before the shuffle) yields inner cells, zero cells, row
-totals, column totals and grand totals at once. No join, no cross join. The
-column key list is collected only when proven to be at most ``MAX_AXIS_KEYS``
-keys; above that the grid is built by an equi-join on hashed key blocks.
+Plan: one grouping-sets aggregate over the filtered rows (partial aggregation
+before the shuffle) yields the cells that are present and all totals
+(``sparse_cells``), and is written once; it has the size of the output, not of
+the cube. Everything else reads that table: zero cells are added last
+(``densify``), and percentages and colour scales join totals back by key. No
+window spans a column or a tab.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statcube.functions import all_not_null, safe_div
-from statcube.operators.bounded import MAX_AXIS_KEYS, collect_bounded
 from statcube.operators.filters import as_list
 from statcube.schema import TOTAL_LABEL
+from statcube.session import cut_lineage
 
 ROW_TOTAL, COL_TOTAL, VALUE = "is_row_total", "is_col_total", "value"
 
 
-def _key_literal(value, dtype) -> Column:
-    return F.lit(value).cast(dtype)
-
-
-def key_grid(left: DataFrame, right: DataFrame, max_keys: int = MAX_AXIS_KEYS,
-             known_keys: list | None = None) -> DataFrame | None:
-    """Every row of ``left`` (distinct keys) paired with every row of ``right``
-    (distinct keys); None when ``right`` is empty.
-
-    When ``right`` is proven to hold at most ``max_keys`` rows it is inlined as
-    a literal array and exploded per left row (no join, no shuffle). Otherwise
-    right keys are spread over hashed blocks of ~max_keys keys, each left key is
-    replicated once per block, and an equi-join on the block id emits the grid,
-    distributed, without a Cartesian join.
-    """
-    cols = right.columns
-    keys = known_keys if known_keys is not None else collect_bounded(right, max_keys)
-    if keys is not None:
-        if not keys:
-            return None
-        structs = [F.struct(*[_key_literal(k[i], right.schema[c].dataType).alias(c) for i, c in enumerate(cols)])
-                   for k in keys]
-        return left.select(*left.columns, F.inline(F.array(*structs)))
-    n_blocks = math.ceil(right.count() / max_keys)
-    kb = right.withColumn("_blk", F.pmod(F.xxhash64(*cols), F.lit(n_blocks)))
-    lb = left.withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)).cast("array<long>")))
-    return lb.join(kb, "_blk").drop("_blk")
-
-
-def dense_grid(src: DataFrame, tab: str, rows: Sequence[str], cols: Sequence[str],
-               value_col: str, max_keys: int = MAX_AXIS_KEYS, col_keys: list | None = None) -> DataFrame | None:
-    """Zero-valued cells for every (tab, row key) × column key. ``col_keys``:
-    the column key tuples when already known (bounded)."""
-    if not cols:
-        return None
-    grid = key_grid(src.select(tab, *rows).distinct(), src.select(*cols).distinct(), max_keys, col_keys)
-    if grid is None:
-        return None
-    zero = F.lit(0).cast(src.schema[value_col].dataType).alias(value_col)
-    return grid.select(tab, *rows, *cols, zero)
+def key_grid(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Every row of ``left`` with every row of ``right`` (distinct keys; the
+    columns of a sheet, or its tabs). ``right`` becomes one array, a scalar
+    subquery, that each left row explodes: no join and nothing on the driver."""
+    keys = right.agg(F.collect_set(F.struct(*right.columns)).alias("k"))
+    return left.withColumn("_keys", keys.scalar()).select(*left.columns, F.inline("_keys"))
 
 
-def crosstab_cells(filtered: DataFrame, tab: str, rows: str | Sequence[str], cols: str | Sequence[str],
-                   metric: str, max_keys: int = MAX_AXIS_KEYS, col_keys: list | None = None) -> DataFrame:
-    """Crosstab of sum(metric) by tab × rows × cols with totals (long form)."""
+def sparse_cells(filtered: DataFrame, tab: str, rows: str | Sequence[str], cols: str | Sequence[str],
+                 metric: str) -> DataFrame:
+    """Cells that are present, and all totals, of sum(metric) by tab x rows x cols."""
     rows, cols = as_list(rows), as_list(cols)
     if not rows:
         raise ValueError("a crosstab needs at least one row dimension")
     src = filtered.select(tab, *rows, *cols, F.col(metric).alias("_v"))
-    grid = dense_grid(src, tab, rows, cols, "_v", max_keys, col_keys)
-    dense = src if grid is None else src.unionByName(grid)
-    total = F.coalesce(F.sum("_v"), F.lit(0).cast(src.schema["_v"].dataType))
+    total = F.coalesce(F.sum("_v"), F.lit(0).cast(src.schema["_v"].dataType)).alias(VALUE)
     if cols:
         sets = [[tab, *rows, *cols], [tab, *rows], [tab, *cols], [tab]]
-        g = dense.groupingSets(sets, tab, *rows, *cols).agg(
-            total.alias(VALUE), F.grouping(rows[0]).alias("_gr"), F.grouping(cols[0]).alias("_gc"))
-        return g.select(tab, *rows, *cols, (F.col("_gr") == 1).alias(ROW_TOTAL),
-                        (F.col("_gc") == 1).alias(COL_TOTAL), VALUE)
+        g = src.groupingSets(sets, tab, *rows, *cols).agg(total, F.grouping(rows[0]).alias("_gr"), F.grouping(cols[0]).alias("_gc"))
+        return g.select(tab, *rows, *cols, (F.col("_gr") == 1).alias(ROW_TOTAL), (F.col("_gc") == 1).alias(COL_TOTAL), VALUE)
     # No column dims: one value column (the metric) plus the total column,
     # which carries the same number.
-    g = dense.groupingSets([[tab, *rows], [tab]], tab, *rows).agg(
-        total.alias(VALUE), F.grouping(rows[0]).alias("_gr"))
+    g = src.groupingSets([[tab, *rows], [tab]], tab, *rows).agg(total, F.grouping(rows[0]).alias("_gr"))
     return g.select(tab, *rows, (F.col("_gr") == 1).alias(ROW_TOTAL),
                     F.explode(F.array(F.lit(False), F.lit(True))).alias(COL_TOTAL), VALUE)
 
 
-def per_tab(cells: DataFrame, tab: str, value: Column, name: str) -> DataFrame:
-    """One value per tab (a grand total, a maximum) joined back to every cell.
+def densify(sparse: DataFrame, tab: str, rows: str | Sequence[str], cols: str | Sequence[str]) -> DataFrame:
+    """``sparse`` with a zero for each row key and column key (of any tab) that
+    do not meet. ``sparse`` is read three times: hand over a stored table."""
+    rows, cols = as_list(rows), as_list(cols)
+    if not cols:
+        return sparse
+    left = sparse.where(F.col(COL_TOTAL)).select(tab, *rows, ROW_TOTAL)
+    right = sparse.where(F.col(ROW_TOTAL) & ~F.col(COL_TOTAL)).select(*cols).distinct()
+    zeros = key_grid(left, right).withColumn(COL_TOTAL, F.lit(False)).withColumn(
+        VALUE, F.lit(0).cast(sparse.schema[VALUE].dataType))
+    both = sparse.unionByName(zeros.select(*sparse.columns))
+    return both.groupBy(tab, *rows, *cols, ROW_TOTAL, COL_TOTAL).agg(F.max_by(VALUE, F.abs(VALUE)).alias(VALUE))
+
+
+def crosstab_cells(filtered: DataFrame, tab: str, rows: str | Sequence[str], cols: str | Sequence[str],
+                   metric: str) -> DataFrame:
+    """Crosstab of sum(metric) by tab x rows x cols with totals (long form)."""
+    sparse = sparse_cells(filtered, tab, rows, cols, metric)
+    return densify(cut_lineage(sparse), tab, rows, cols) if as_list(cols) else sparse
+
 
-    A window over a whole tab would put the largest tab in a single task; the
-    per-tab relation has one row per tab instead, and the join lets AQE pick a
-    broadcast from the measured size (or split a skewed tab)."""
-    agg = cells.groupBy(tab).agg(F.max(value).alias(name))
-    return cells.join(agg, tab, "left")
+def attach(cells: DataFrame, side: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``cells`` with the other columns of ``side`` (one row per key; NULL keys
+    meet NULL keys), by an equi-join."""
+    named = side.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
+    on = None
+    for i, k in enumerate(keys):
+        same = F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        on = same if on is None else on & same
+    return cells.join(named, on, "left").drop(*[f"_k{i}" for i in range(len(keys))])
 
 
 def with_percentages(cells: DataFrame, tab: str, rows: Sequence[str], cols: Sequence[str],
-                     value: str = VALUE) -> DataFrame:
+                     value: str = VALUE, totals: DataFrame | None = None) -> DataFrame:
     """row_pct = cell / its row total, col_pct = cell / its column total,
-    total_pct = cell / grand total; a zero denominator gives NULL.
-
-    Only windows over (tab, column key) and (tab, row key) are used: the grid
-    is dense, so every row partition holds the total-column cell, whose column
-    total is the grand total. No window spans a whole tab."""
+    total_pct = cell / grand total; a zero denominator gives NULL. ``totals``:
+    where the totals are read from (the stored sparse cells; default: cells)."""
     rows, cols = as_list(rows), as_list(cols)
-    v = F.col(value)
-    w_row = Window.partitionBy(tab, *rows)
-    if cols:
-        step = cells.withColumn("_ct", F.max(F.when(F.col(ROW_TOTAL), v)).over(Window.partitionBy(tab, *cols)))
-        grand = F.max(F.when(F.col(COL_TOTAL), F.col("_ct"))).over(w_row)
-        col_total = F.col("_ct")
-    else:
-        # one value column: every column total is the grand total
-        step = per_tab(cells, tab, F.when(F.col(ROW_TOTAL) & F.col(COL_TOTAL), v), "_ct")
-        grand = col_total = F.col("_ct")
-    row_total = F.max(F.when(F.col(COL_TOTAL), v)).over(w_row)
-    return step.select(*cells.columns, safe_div(v, row_total).alias("row_pct"), safe_div(v, col_total).alias("col_pct"),
-                       safe_div(v, grand).alias("total_pct"))
+    totals = cells if totals is None else totals
+    rk = [tab, *rows, ROW_TOTAL]
+    ck = [tab, *cols, COL_TOTAL]
+    out = attach(cells, totals.where(F.col(COL_TOTAL)).select(*rk, F.col(value).alias("_rt")), rk)
+    out = attach(out, totals.where(F.col(ROW_TOTAL)).select(*ck, F.col(value).alias("_ct")), ck)
+    out = attach(out, totals.where(F.col(ROW_TOTAL) & F.col(COL_TOTAL)).select(tab, F.col(value).alias("_gt")), [tab])
+    return out.select(*cells.columns, safe_div(value, "_rt").alias("row_pct"), safe_div(value, "_ct").alias("col_pct"),
+                      safe_div(value, "_gt").alias("total_pct"))
 
 
 def heat_scale(cells: DataFrame, tab: str, rows: Sequence[str], cols: Sequence[str], value: str = VALUE) -> DataFrame:
     """Colour intensity of inner cells on a 0..max scale: over the whole table
-    of a tab, per column, per row. Totals get NULL; an all-zero scale gives 0.
-
-    The table maximum is the maximum of the column maxima seen along any row
-    (the grid is dense), so again no window spans a whole tab."""
+    of a tab, per column, per row. Totals get NULL; an all-zero scale gives 0."""
     rows, cols = as_list(rows), as_list(cols)
-    inner = ~F.col(ROW_TOTAL) & ~F.col(COL_TOTAL)
-    v = F.when(inner, F.col(value).cast("double"))
-    w_row = Window.partitionBy(tab, *rows)
-    if cols:
-        step = cells.withColumn("_cm", F.max(v).over(Window.partitionBy(tab, *cols)))
-        table_max = F.max(F.when(inner, F.col("_cm"))).over(w_row)
-    else:
-        step = per_tab(cells, tab, v, "_cm")
-        table_max = F.col("_cm")
-
-    def scaled(mx: Column) -> Column:
-        return F.when(inner, F.when(mx == 0, F.lit(0.0)).otherwise(F.try_divide(v, mx)))
-
-    return step.select(*cells.columns, scaled(table_max).alias("heat_table"), scaled(F.col("_cm")).alias("heat_col"),
-                       scaled(F.max(v).over(w_row)).alias("heat_row"))
+    is_inner = ~F.col(ROW_TOTAL) & ~F.col(COL_TOTAL)
+    inner = cells.where(is_inner)
+    v = F.col(value).cast("double")
+    out = cells
+    for name, keys in (("heat_table", [tab]), ("heat_col", [tab, *cols]), ("heat_row", [tab, *rows])):
+        out = attach(out, inner.groupBy(*keys).agg(F.max(v).alias(f"_{name}")), keys)
+
+    def scaled(name: str) -> Column:
+        mx = F.col(f"_{name}")
+        return F.when(is_inner, F.when(mx == 0, F.lit(0.0)).otherwise(F.try_divide(v, mx))).alias(name)
+
+    return out.select(*cells.columns, scaled("heat_table"), scaled("heat_col"), scaled("heat_row"))
 
 
 def mean_crosstab(df: DataFrame, rows: Sequence[str], cols: Sequence[str], values: Sequence[str]) -> DataFrame:

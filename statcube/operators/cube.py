@@ -12,6 +12,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from statcube.functions import safe_div
 from statcube.schema import COUNT_COL, GID_COL, MASKED, NORMAL, STATUS_COL, SUPPRESS_BELOW, dimension_columns
@@ -34,21 +35,49 @@ def gid_expr(dims: Sequence[str]) -> Column:
     return out
 
 
+# A dimension value that is missing in the microdata: a NULL in a cube means
+# "aggregated", so a missing value needs a value of its own.
+MISSING_LABEL, MISSING_CODE = "(missing)", -1
+
+
+def mark_missing(df: DataFrame, dims: Sequence[str]) -> DataFrame:
+    """NULLs of dimension columns become the missing-data label (text) or code
+    (numbers); other types become text first."""
+    out = {}
+    for d in dims:
+        kind = df.schema[d].dataType
+        if isinstance(kind, T.NumericType):
+            out[d] = F.coalesce(F.col(d), F.lit(MISSING_CODE).cast(kind))
+        else:
+            out[d] = F.coalesce(F.col(d).cast("string"), F.lit(MISSING_LABEL))
+    return df.withColumns(out)
+
+
+def layout_of(group_types: Mapping[str, str]) -> dict[str, list[str]]:
+    """Fixed, rollup and grouping-set dimensions, in the codebook's order."""
+    kinds = {"fixed": "fixed", "rollup": "rollup", "grouping_set": "grouping"}
+    odd = sorted(set(group_types.values()) - set(kinds))
+    if odd:
+        raise ValueError(f"unknown group types: {odd}")
+    return {name: [c for c, t in group_types.items() if kinds[t] == name] for name in kinds.values()}
+
+
 def build_cube(df: DataFrame, fixed: Sequence[str], rollup: Sequence[str], grouping: Sequence[str],
                metrics: Mapping[str, Column], gid_dims: Sequence[str] | None = None) -> DataFrame:
     """Cube cells of ``df``.
 
-    ``metrics`` maps output name -> aggregate expression (must be additive
-    when the input is itself partly aggregated: sum / count). Output columns:
-    dims in layout order, metrics, ``GID``. One Expand + partial/final hash
-    aggregate: the map side combines before the shuffle, so a hot key costs one
-    partial row per task, not a hot reducer.
+    ``metrics`` maps output name -> additive aggregate (sum or count). Output
+    columns: dims in layout order, metrics, ``GID``. The rows are summed to leaf
+    cells first (map-side combined, one shuffle of the facts), and only leaf
+    cells are expanded into the grouping sets, whose metrics are sums of the
+    leaves'.
     """
     dims = list(fixed) + list(rollup) + list(grouping)
     sets = grouping_sets_for(fixed, rollup, grouping)
     gdims = list(gid_dims) if gid_dims is not None else list(rollup) + list(grouping)
-    aggs = [e.alias(n) for n, e in metrics.items()] + [gid_expr(gdims).alias(GID_COL)]
-    return df.groupingSets(sets, *dims).agg(*aggs)
+    leaves = mark_missing(df, dims).groupBy(*dims).agg(*[e.alias(n) for n, e in metrics.items()])
+    aggs = [F.sum(n).alias(n) for n in metrics] + [gid_expr(gdims).alias(GID_COL)]
+    return leaves.groupingSets(sets, *dims).agg(*aggs)
 
 
 def flag_suppressed(cube: DataFrame, count_col: str = COUNT_COL, below: int = SUPPRESS_BELOW) -> DataFrame:

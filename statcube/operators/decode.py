@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from statcube.operators.bounded import lookup
 from statcube.schema import UNMAPPED_REGION
 from statcube.sources.codebook import REGION_COUNTIES, Codebook
 
@@ -44,7 +43,7 @@ def decode(df: DataFrame, codebook: Codebook) -> DataFrame:
             if c not in codebook.unique_codes:
                 # one label per code: duplicated codes in a lookup would multiply rows
                 codes_df = codes_df.groupBy(k).agg(F.max(lab).alias(lab))
-            out = out.join(lookup(codes_df), key == F.col(k), "left")
+            out = out.join(codes_df, key == F.col(k), "left")
             select[c] = F.when(F.col(c).isNotNull(), F.coalesce(F.col(lab), raw)).alias(c)
         else:
             codes = codebook.static_codes(c)
@@ -74,7 +73,7 @@ def derive_region(df: DataFrame, county: str = "COUNTY", out: str = "REGION",
         lk = mapping.select(F.col("county").cast("string").alias("__county"), F.col("region").alias("__region"))
         if not unique:  # one region per county
             lk = lk.groupBy("__county").agg(F.max("__region").alias("__region"))
-        base = df.join(lookup(lk), county_str == F.col("__county"), "left")
+        base = df.join(lk, county_str == F.col("__county"), "left")
         mapped = F.col("__region")
     region = (F.when(F.col(county).isNull(), F.lit(None).cast("string"))
               .when(mapped.isNull(), F.lit(UNMAPPED_REGION))

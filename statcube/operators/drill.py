@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from statcube.operators.filters import rows_of_tab
 from statcube.schema import COUNT_COL, dimension_columns
 from statcube.sources.codebook import Codebook
 
@@ -22,7 +23,7 @@ def preview(filtered: DataFrame, tab: str, value, order_by: list[str] | None = N
             n: int = PREVIEW_ROWS) -> DataFrame:
     """First ``n`` rows of one tab in a stable order (the preview is a top-n
     feature; the full slice stays available as a lazy DataFrame)."""
-    rows = filtered.where(F.col(tab).cast("string") == F.lit(str(value)))
+    rows = rows_of_tab(filtered, tab, value)
     keys = order_by or [c for c in filtered.columns]
     return rows.orderBy(*[F.col(c).asc_nulls_first() for c in keys]).limit(n)
 
@@ -32,11 +33,11 @@ def distinct_tabs(filtered: DataFrame, tab: str) -> DataFrame:
 
 
 def distinct_values(df: DataFrame, columns: list[str] | None = None, sort: bool = False) -> DataFrame:
-    """(column, value) for the distinct non-null values of every column, as
-    text. One pass: the columns are stacked into one long relation and a
+    """(column, value) for the distinct non-null values of the columns (default:
+    the dimensions), as text. One pass: the columns are stacked into one long relation and a
     distributed distinct (partial aggregation first) removes duplicates.
     ``sort``: ordered by column, then value as text (a distributed sort)."""
-    cols = columns or df.columns
+    cols = columns or dimension_columns(df)
     stacked = F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
                                  for c in cols]))
     out = df.select(stacked).where(F.col("value").isNotNull()).distinct()

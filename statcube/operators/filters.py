@@ -23,7 +23,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statcube.functions import conj, isin_coerced
+from statcube.functions import conj, equals_value, isin_coerced
 from statcube.schema import MASKED, STATUS_COL, dimension_columns
 
 
@@ -119,7 +119,7 @@ def smart_filter(df: DataFrame, tab: str | None, rows: str | Sequence[str], cols
     else:
         raise ValueError("mode must be 'eager' or 'lazy'")
     if tab_value is not None and tab is not None:
-        pred = pred & (F.col(tab) == F.lit(tab_value))
+        pred = pred & equals_value(tab, df.schema[tab].dataType, tab_value)
     return df.where(pred)
 
 
@@ -158,8 +158,9 @@ def masked_rows(df: DataFrame) -> DataFrame:
 
 
 def rows_of_tab(df: DataFrame, tab: str, value) -> DataFrame:
-    """Rows of one tab, compared as text so '2021' finds 2021."""
-    return df.where(F.col(tab).cast("string") == F.lit(str(value)))
+    """Rows of one tab; a value kept as text finds its number ('2021' finds
+    2021). The tab is compared in its own type, so scans can use it."""
+    return df.where(equals_value(tab, df.schema[tab].dataType, value))
 
 
 def exclude_labels(df: DataFrame, axes: Sequence[str], labels: Sequence[str]) -> DataFrame:

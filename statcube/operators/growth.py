@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from statcube.functions import ratio_inf
-from statcube.operators.bounded import MAX_AXIS_KEYS
 from statcube.operators.crosstab import COL_TOTAL, ROW_TOTAL, VALUE, key_grid
 from statcube.operators.filters import as_list
+from statcube.operators.ordering import ranked
+from statcube.session import cut_lineage
 
 
 def _tab_number(tab: str) -> Column:
@@ -42,31 +43,27 @@ def overall_growth(cells: DataFrame, tab: str) -> DataFrame:
     totals = cells.where(F.col(ROW_TOTAL) & F.col(COL_TOTAL)).select(tab, F.col(VALUE).alias("TOTAL"))
     if not tabs_are_numeric(totals, tab):
         totals = totals.where(F.lit(False))
-    # one row per tab: the ordered window is over a tab list, not over data
-    w = Window.orderBy(_tab_number(tab))
-    prev = F.lag("TOTAL").over(w)
+    held = cut_lineage(ranked(totals, [], [_tab_number(tab)], "_rank"))
+    before = held.select((F.col("_rank") + 1).alias("_rank"), F.col("TOTAL").alias("_prev"))
+    prev = F.col("_prev")
     growth = F.when(prev.isNull(), F.lit(0.0)).otherwise(
         ratio_inf(F.col("TOTAL"), prev, zero_over_zero=F.lit(1.0)) - F.lit(1.0))
-    return (totals.select(tab, "TOTAL", growth.alias("YEARLY_GROWTH"))
+    return (held.join(before, "_rank", "left").select(tab, "TOTAL", growth.alias("YEARLY_GROWTH"))
             .withColumn("YEARLY_GROWTH_PCT", F.col("YEARLY_GROWTH") * 100))
 
 
-def series_growth(src: DataFrame, tab: str, keys: Sequence[str], value: str = VALUE,
-                  max_keys: int = MAX_AXIS_KEYS, tabs: list[str] | None = None) -> DataFrame:
+def series_growth(src: DataFrame, tab: str, keys: Sequence[str], value: str = VALUE) -> DataFrame:
     """Growth % per key over a dense tab × key grid with forward fill.
 
     ``src`` has at most one row per (tab, keys). Output: tab, keys…, growth_pct.
-    ``tabs``: the tab values (as text) when already known.
+    The only window is over the tabs of one key.
     """
     keys = list(keys)
     out_schema = T.StructType([src.schema[tab], *[src.schema[k] for k in keys],
                                T.StructField("growth_pct", T.DoubleType())])
     if not tabs_are_numeric(src, tab):
         return src.sparkSession.createDataFrame([], out_schema)
-    known = [(t,) for t in tabs] if tabs is not None and len(tabs) <= max_keys else None
-    grid = key_grid(src.select(*keys).distinct(), src.select(tab).distinct(), max_keys, known)
-    if grid is None:
-        return src.sparkSession.createDataFrame([], out_schema)
+    grid = key_grid(src.select(*keys).distinct(), src.select(tab).distinct())
     # union with the real values, one row per (tab, key): absent -> NULL
     filler = grid.select(tab, *keys, F.lit(None).cast(src.schema[value].dataType).alias(value))
     dense = (src.select(tab, *keys, value).unionByName(filler)
@@ -80,18 +77,18 @@ def series_growth(src: DataFrame, tab: str, keys: Sequence[str], value: str = VA
             .where(F.col("_rn") > 1).drop("_rn"))
 
 
-def row_growth(cells: DataFrame, tab: str, rows: str | Sequence[str], tabs: list[str] | None = None) -> DataFrame:
+def row_growth(cells: DataFrame, tab: str, rows: str | Sequence[str]) -> DataFrame:
     """Growth % of each row total (total row included) between tabs."""
     rows = as_list(rows)
     src = cells.where(F.col(COL_TOTAL)).select(tab, *rows, ROW_TOTAL, VALUE)
-    return series_growth(src, tab, [*rows, ROW_TOTAL], tabs=tabs)
+    return series_growth(src, tab, [*rows, ROW_TOTAL])
 
 
-def col_growth(cells: DataFrame, tab: str, cols: str | Sequence[str], tabs: list[str] | None = None) -> DataFrame:
+def col_growth(cells: DataFrame, tab: str, cols: str | Sequence[str]) -> DataFrame:
     """Growth % of each column total (total column included) between tabs."""
     cols = as_list(cols)
     src = cells.where(F.col(ROW_TOTAL)).select(tab, *cols, COL_TOTAL, VALUE)
-    return series_growth(src, tab, [*cols, COL_TOTAL], tabs=tabs)
+    return series_growth(src, tab, [*cols, COL_TOTAL])
 
 
 def growth_summary(overall: DataFrame, tab: str) -> DataFrame:

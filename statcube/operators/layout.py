@@ -12,10 +12,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from statcube.functions import format_class
-from statcube.operators.bounded import MAX_AXIS_KEYS, collect_bounded
 from statcube.operators.crosstab import COL_TOTAL, ROW_TOTAL, VALUE, label_totals
 from statcube.operators.filters import as_list
 from statcube.operators.ordering import axis_order
@@ -33,48 +31,11 @@ def column_label(cols: Sequence[str]) -> Column:
     return F.concat(F.lit("('"), inner, F.lit("')"))
 
 
-KEY_SEP = "\u0001"
-
-
-def _typed(value: str, dtype: T.DataType):
-    if isinstance(dtype, T.IntegralType):
-        return int(value)
-    if isinstance(dtype, T.NumericType):
-        return float(value)
-    return value
-
-
-def column_positions(keys: Sequence[tuple], cols: Sequence[str], dtypes: Sequence[T.DataType],
-                     codebook: Codebook | None, spark) -> dict[str, int]:
-    """1-based position of each (known, bounded) column key in axis order:
-    code-list ranks of the levels that have one (unknown labels last), then the
-    labels in their own type's order. Same rules as ``ordering.axis_order``."""
-    ranks = []
-    for c in cols:
-        if codebook is not None and codebook.has_codes(c):
-            static = codebook.static_label_ranks(c)
-            if static is not None:
-                ranks.append(static)
-                continue
-            rows = collect_bounded(codebook.label_ranks(spark, c), MAX_AXIS_KEYS)
-            ranks.append(None if rows is None else {r["label"]: r["rank"] for r in rows})
-        else:
-            ranks.append(None)
-    if any(codebook is not None and codebook.has_codes(c) and r is None for c, r in zip(cols, ranks)):
-        raise ValueError("code list too long to order column keys on the driver")
-
-    def sort_key(k):
-        rk = [(0, r[lab]) if lab in r else (1, 0) for lab, r in zip(k, ranks) if r is not None]
-        return rk, [_typed(v, t) for v, t in zip(k, dtypes)]
-
-    return {KEY_SEP.join(k): i + 1 for i, k in enumerate(sorted(keys, key=sort_key))}
-
-
 def mix_cells(cells: DataFrame, averages: DataFrame, tab: str, rows: Sequence[str], cols: Sequence[str],
-              codebook: Codebook | None = None, avg_names: Sequence[str] = (),
-              col_keys: Sequence[tuple] | None = None) -> DataFrame:
+              codebook: Codebook | None = None, avg_names: Sequence[str] = (), metric: str = VALUE) -> DataFrame:
     """Long MIX cells: tab, row labels…, is_row_total, column, kind, value,
-    col_order, format. ``cells`` must carry ``row_pct``."""
+    col_order, format. ``cells`` must carry ``row_pct``. Without column
+    dimensions the one value column has the name of the metric."""
     rows, cols = as_list(rows), as_list(cols)
     head = [tab, *rows, ROW_TOTAL]
     total = cells.where(F.col(COL_TOTAL)).select(
@@ -87,18 +48,11 @@ def mix_cells(cells: DataFrame, averages: DataFrame, tab: str, rows: Sequence[st
         parts.append(averages.select(*head, F.col("avg_name").alias("column"), F.lit("avg").alias("kind"),
                                      F.col("avg_value").alias("value"),
                                      F.try_element_at(pos, F.col("avg_name")).cast("long").alias("col_order")))
-    if cols and col_keys is not None:
-        # column order from the known key list: one literal lookup, no join
-        pos = column_positions(col_keys, cols, [cells.schema[c].dataType for c in cols], codebook,
-                               cells.sparkSession)
-        pos_map = F.create_map(*[x for k, p in pos.items() for x in (F.lit(k), F.lit(p))])
-        key = F.concat_ws(KEY_SEP, *[F.col(c).cast("string") for c in cols])
-        inner = cells.where(~F.col(COL_TOTAL)).withColumn("__crank", F.try_element_at(pos_map, key) + 1)
-    elif cols:
-        ranks = axis_order(cells.where(F.col(ROW_TOTAL)), tab, cols, COL_TOTAL, codebook, "__crank")
-        inner = (cells.where(~F.col(COL_TOTAL))
-                 .join(ranks.where(~F.col(COL_TOTAL)).drop(COL_TOTAL), [tab, *cols], "inner"))
     if cols:
+        # one position per column key of the whole table, the total first
+        keys = cells.where(F.col(ROW_TOTAL)).select(F.lit(0).alias("_all"), *cols, COL_TOTAL).distinct()
+        ranks = axis_order(keys, "_all", cols, COL_TOTAL, codebook, "__crank")
+        inner = cells.where(~F.col(COL_TOTAL)).join(ranks.where(~F.col(COL_TOTAL)).drop(COL_TOTAL, "_all"), list(cols), "inner")
         base = (F.lit(n_avg) + (F.col("__crank") - 2) * 2 + 1).cast("long")
         label = column_label(cols)
         parts.append(inner.select(*head, label.alias("column"), F.lit("value").alias("kind"),
@@ -107,10 +61,10 @@ def mix_cells(cells: DataFrame, averages: DataFrame, tab: str, rows: Sequence[st
                                   F.col("row_pct").alias("value"), (base + 1).alias("col_order")))
     else:
         metric_cells = cells.where(~F.col(COL_TOTAL))
-        parts.append(metric_cells.select(*head, F.lit(VALUE).alias("column"), F.lit("value").alias("kind"),
+        parts.append(metric_cells.select(*head, F.lit(metric).alias("column"), F.lit("value").alias("kind"),
                                          F.col(VALUE).cast("double").alias("value"),
                                          F.lit(n_avg + 1).cast("long").alias("col_order")))
-        parts.append(metric_cells.select(*head, F.lit(VALUE + PCT_SUFFIX).alias("column"), F.lit("pct").alias("kind"),
+        parts.append(metric_cells.select(*head, F.lit(metric + PCT_SUFFIX).alias("column"), F.lit("pct").alias("kind"),
                                          F.col("row_pct").alias("value"), F.lit(n_avg + 2).cast("long").alias("col_order")))
     out = parts[0]
     for p in parts[1:]:
@@ -119,14 +73,20 @@ def mix_cells(cells: DataFrame, averages: DataFrame, tab: str, rows: Sequence[st
     return out.withColumn("format", format_class(F.col("column")))
 
 
-def to_wide(mix: DataFrame, index: Sequence[str], max_columns: int = MAX_AXIS_KEYS) -> DataFrame:
+def to_wide(mix: DataFrame, index: Sequence[str]) -> DataFrame:
     """Sheet layout: one row per row key, one column per report column, in
-    column order. The column list is bounded (checked) before pivoting."""
-    names = collect_bounded(mix.select("column", "col_order").distinct(), max_columns)
-    if names is None:
-        raise ValueError("too many report columns for a sheet layout")
-    ordered = [r["column"] for r in sorted(names, key=lambda r: (r["col_order"], r["column"]))]
-    return mix.groupBy(*index).pivot("column", ordered).agg(F.first("value"))
+    column order. Columns are told apart by their position, so a label equal to
+    another (or to the total's) keeps its own column; the later one gets its
+    position after its name."""
+    names = sorted((r["col_order"], r["column"]) for r in mix.select("column", "col_order").distinct().collect())
+    wide = mix.groupBy(*index).pivot("col_order", sorted({p for p, _ in names})).agg(F.first("value"))
+    seen: set[str] = {i.lower() for i in index}
+    out = [F.col(i) for i in index]
+    for position, label in names:
+        name = label if label.lower() not in seen else f"{label} #{position}"
+        seen.add(name.lower())
+        out.append(F.col(f"`{position}`").alias(name))
+    return wide.select(*out)
 
 
 def reorder_columns(df: DataFrame, first: Sequence[str]) -> DataFrame:

@@ -3,7 +3,6 @@ so downstream consumers (and order-insensitive checks) can use them."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,15 +10,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from statcube.functions import numeric_text
-from statcube.operators.bounded import lookup
 from statcube.schema import YEAR_TAB
+from statcube.session import cut_lineage
 from statcube.sources.codebook import Codebook
 
 
 def _with_label_rank(df: DataFrame, col: str, codebook: Codebook, out: str) -> DataFrame:
     ranks = codebook.label_ranks(df.sparkSession, col).select(
         F.col("label").alias(f"__lab_{out}"), F.col("rank").alias(out))
-    return (df.join(lookup(ranks), F.col(col).cast("string") == F.col(f"__lab_{out}"), "left")
+    return (df.join(ranks, F.col(col).cast("string") == F.col(f"__lab_{out}"), "left")
             .drop(f"__lab_{out}"))
 
 
@@ -31,7 +30,6 @@ def tab_order(df: DataFrame, tab: str, codebook: Codebook | None = None) -> Data
     numeric, else text ascending.
     """
     tabs = df.select(tab).where(F.col(tab).isNotNull()).distinct()
-    # one row per tab: the ordered window below is over the tab list only
     if codebook is not None and codebook.has_codes(tab):
         tabs = _with_label_rank(tabs, tab, codebook, "__rank")
         order = [F.col("__rank").asc_nulls_last(), F.col(tab).cast("string")]
@@ -40,40 +38,30 @@ def tab_order(df: DataFrame, tab: str, codebook: Codebook | None = None) -> Data
     elif isinstance(df.schema[tab].dataType, T.NumericType):
         order = [F.col(tab)]
     else:
-        all_numeric = F.min(numeric_text(tab).cast("int")).over(Window.partitionBy(F.lit(1))) == 1
+        all_numeric = tabs.agg(F.min(numeric_text(tab).cast("int")) == 1).scalar()
         tabs = tabs.withColumn("__num", F.when(all_numeric, F.col(tab).try_cast(T.DoubleType())))
         order = [F.col("__num").asc_nulls_last(), F.col(tab)]
-    ranked = tabs.withColumn("tab_rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
-    return ranked.select(tab, "tab_rank")
-
-
-def order_tab_values(values: Sequence[str], tab: str, dtype: T.DataType,
-                     codebook: Codebook | None = None) -> list[str] | None:
-    """``tab_order`` for a small, already known list of tab values (as text),
-    on the driver; None when the tab's code list lives in data (use
-    ``tab_order`` then)."""
-    vals = list(values)
-    if codebook is not None and codebook.has_codes(tab):
-        ranks = codebook.static_label_ranks(tab)
-        if ranks is None:
-            return None
-        return sorted(vals, key=lambda v: ((0, ranks[v]) if v in ranks else (1, 0), v))
-    if isinstance(dtype, T.NumericType):
-        typed = {v: (int(v) if isinstance(dtype, T.IntegralType) else float(v)) for v in vals}
-        return sorted(vals, key=lambda v: typed[v], reverse=(tab == YEAR_TAB))
-    if tab == YEAR_TAB:
-        return sorted(vals, reverse=True)
-
-    def as_float(v):
-        try:
-            return float(v)
-        except ValueError:
-            return None
-
-    looks_numeric = all(re.fullmatch(r"[0-9.]+", v) and v.replace(".", "") != "" for v in vals)
-    if looks_numeric:
-        return sorted(vals, key=lambda v: ((0, as_float(v)) if as_float(v) is not None else (1, 0.0), v))
-    return sorted(vals)
+    return ranked(tabs, [], order, "tab_rank").select(tab, "tab_rank")
+
+
+def ranked(df: DataFrame, part: Sequence[str], order: Sequence[Column], out: str) -> DataFrame:
+    """``df`` with the row number by ``order`` within each ``part``, for groups
+    of any size: rows are range-partitioned and sorted (and stored, so that both
+    uses below see the same ranges), numbered inside each range, and shifted by
+    the rows of the ranges before it. Only one row per range and part is
+    gathered per part."""
+    part = list(part)
+    ranges = df.repartitionByRange(*[F.col(p).asc_nulls_first() for p in part], *order)
+    held = cut_lineage(ranges.withColumn("__range", F.spark_partition_id()))
+    counts = held.groupBy(*part, "__range").agg(F.count(F.lit(1)).alias("__n"))
+    earlier = Window.partitionBy(*part).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select(*[F.col(p).alias(f"__p{i}") for i, p in enumerate(part)], F.col("__range").alias("__r"),
+                         F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__base"))
+    inside = held.withColumn("__k", F.row_number().over(Window.partitionBy(*part, "__range").orderBy(*order)))
+    on = F.col("__range") == F.col("__r")
+    for i, p in enumerate(part):
+        on = on & F.col(p).eqNullSafe(F.col(f"__p{i}"))
+    return inside.join(base, on).select(*df.columns, (F.col("__k") + F.col("__base")).cast("long").alias(out))
 
 
 def axis_sort_columns(df: DataFrame, dims: Sequence[str], codebook: Codebook | None) -> tuple[DataFrame, list[Column]]:
@@ -96,8 +84,7 @@ def axis_order(cells: DataFrame, tab: str, dims: Sequence[str], total_flag: str,
     the total key comes first."""
     keys = cells.select(tab, *dims, total_flag).distinct()
     keys, order = axis_sort_columns(keys, dims, codebook)
-    w = Window.partitionBy(tab).orderBy(F.col(total_flag).desc(), *order)
-    return keys.select(tab, *dims, total_flag, F.row_number().over(w).cast("long").alias(out))
+    return ranked(keys, [tab], [F.col(total_flag).desc(), *order], out).select(tab, *dims, total_flag, out)
 
 
 def chapter_sort_columns(chapter: str | Column) -> list[Column]:
@@ -108,9 +95,3 @@ def chapter_sort_columns(chapter: str | Column) -> list[Column]:
     valid = (ch != "") & F.forall(parts, lambda x: x.isNotNull())
     klass = F.when(valid, F.lit(0)).when(ch == "", F.lit(1)).otherwise(F.lit(2))
     return [klass, F.when(valid, parts), F.when(klass == 2, ch)]
-
-
-def first_by_rank(df: DataFrame, part: Sequence[str], rank: str) -> DataFrame:
-    """First row of each group by a rank column."""
-    w = Window.partitionBy(*part).orderBy(F.col(rank))
-    return df.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") == 1).drop("__rn")

@@ -20,11 +20,3 @@ def reference_totals(cube: DataFrame, tab: str, rows: str | Sequence[str], cols:
     crosstab sums. Tabs without a parent row are absent (consumers show 0)."""
     parents = reference_rows(cube, tab, as_list(rows), as_list(cols), filters, derived)
     return parents.groupBy(tab).agg(F.coalesce(F.sum(count_col), F.lit(0)).cast("long").alias("ref_total"))
-
-
-def with_reference(per_tab: DataFrame, ref: DataFrame, tab: str) -> DataFrame:
-    """Attach ref_total by tab, matching tab values as text (a saved '2021'
-    finds the 2021 tab); missing -> 0."""
-    r = ref.select(F.col(tab).cast("string").alias("__tab"), "ref_total")
-    out = per_tab.join(r, F.col(tab).cast("string") == F.col("__tab"), "left").drop("__tab")
-    return out.withColumn("ref_total", F.coalesce(F.col("ref_total"), F.lit(0).cast("long")))

@@ -11,117 +11,28 @@ from pyspark.sql import functions as F
 from statcube.operators import averages as avg_ops
 from statcube.operators import crosstab as xt
 from statcube.operators import drill, filters, growth, layout, ordering
-from statcube.operators.bounded import MAX_AXIS_KEYS, collect_bounded
 from statcube.operators.reference import reference_totals
 from statcube.plans.spec import CrosstabSpec
 from statcube.session import cut_lineage
 from statcube.sources.codebook import Codebook
 
-# The one-pass preparation tags rows with a bit mask over the probed dimensions;
-# beyond this many probes the two-pass path is used.
-MAX_ONE_PASS_PROBES = 16
-
-
-def prepare_specs(cube: DataFrame, specs: list[CrosstabSpec]) -> list[tuple[list[bool], list[str], list | None]] | None:
-    """Probe outcomes, tab values and column keys of several crosstabs over one
-    cube from ONE scan.
-
-    For each spec, every row that passes its base predicate emits its tab and
-    column key, tagged with the bit mask of the spec's probed dimensions that
-    are NULL on that row; every probe emits a marker when its own prefix
-    predicate holds with its dimension NULL. After a distributed distinct
-    (partial aggregation first) the entries are collected only when proven
-    small. A spec's probe outcomes are its markers; its keys are the entries
-    whose mask covers every dimension the outcomes force to NULL. Returns None
-    when a bound is exceeded (callers then take the two-pass path).
-    """
-    plans = [filters.probe_plan(cube, s.tab, list(s.rows), list(s.cols), s.filters, s.probe) for s in specs]
-    if any(len(p[1]) > MAX_ONE_PASS_PROBES for p in plans):
-        return None
-    no_val = F.array().cast("array<string>")
-
-    def entry(i: int, kind: int, m, val):
-        return F.struct(F.lit(i).alias("spec"), F.lit(kind).alias("kind"), m.alias("mask"),
-                        val.cast("array<string>").alias("val"))
-
-    entries, bound = [], 0
-    for i, (s, (base, probes)) in enumerate(zip(specs, plans)):
-        mask = F.lit(0)
-        for j, (d, _) in enumerate(probes):
-            mask = mask + F.when(F.col(d).isNull(), F.lit(1 << j)).otherwise(F.lit(0))
-        ck = F.array(*[F.col(c).cast("string") for c in s.cols]) if s.cols else no_val
-        entries += [F.when(p & F.col(d).isNull(), entry(i, 2, F.lit(j), no_val)) for j, (d, p) in enumerate(probes)]
-        entries += [F.when(base, entry(i, 0, mask, F.array(F.col(s.tab).cast("string")))),
-                    F.when(base, entry(i, 1, mask, ck))]
-        bound += (2 << len(probes)) * MAX_AXIS_KEYS + len(probes)
-    found = (cube.select(F.explode(F.filter(F.array(*entries), lambda x: x.isNotNull())).alias("e"))
-             .select("e.*").distinct())
-    rows = collect_bounded(found, bound)
-    if rows is None:
-        return None
-    out = []
-    for i, (s, (_, probes)) in enumerate(zip(specs, plans)):
-        mine = [r for r in rows if r["spec"] == i]
-        flags = [any(r["kind"] == 2 and r["mask"] == j for r in mine) for j in range(len(probes))]
-        need = sum(1 << j for j, h in enumerate(flags) if h)
-        covered = [r for r in mine if r["kind"] in (0, 1) and (r["mask"] & need) == need]
-        tabs = sorted({r["val"][0] for r in covered if r["kind"] == 0})
-        keys = sorted({tuple(r["val"]) for r in covered if r["kind"] == 1})
-        out.append((flags, tabs, keys if s.cols and len(keys) <= MAX_AXIS_KEYS else None))
-    return out
-
-
 class Crosstab:
     def __init__(self, cube: DataFrame, spec: CrosstabSpec, codebook: Codebook | None = None,
-                 mode: str = "eager", flags: list[bool] | None = None, col_keys: list | None = None,
-                 tabs: list[str] | None = None):
-        """``flags`` / ``col_keys`` / ``tabs``: probe outcomes, column key tuples
-        and tab values already computed for this spec (a report batch computes
-        them for all specs in shared passes)."""
+                 mode: str = "eager", flags: list[bool] | None = None):
+        """``flags``: probe outcomes already computed for this spec (a report
+        batch computes them for all its specs in one pass)."""
         spec.validate()
         spec.check_columns(cube.columns)
         self.cube, self.spec, self.mode = cube, spec, mode
         self.codebook = codebook or Codebook()
-        self.flags, self.col_keys, self.tabs = flags, col_keys, tabs
-
-    @cached_property
-    def _one_pass(self) -> tuple[list[bool], list[str], list | None] | None:
-        """Probe outcomes, tab values and column keys from one scan of the cube
-        (``prepare_specs``); None sends callers to the two-pass path."""
-        if self.mode != "eager" or self.flags is not None:
-            return None
-        out = prepare_specs(self.cube, [self.spec])
-        return out[0] if out is not None else None
-
-    @cached_property
-    def axis_lists(self) -> tuple[list[str] | None, list | None]:
-        """(tab values as text, column key tuples as text) of the filtered rows,
-        found in one scan (explode + distributed distinct) and collected only
-        when proven small; (None, None) sends callers to their distributed
-        paths."""
-        if self.tabs is not None and (self.col_keys is not None or not self.spec.cols):
-            return self.tabs, self.col_keys
-        if self._one_pass is not None:
-            return self._one_pass[1], self._one_pass[2]
-        s = self.spec
-        ck = F.array(*[F.col(c).cast("string") for c in s.cols]) if s.cols else F.array().cast("array<string>")
-        entries = F.array(F.struct(F.lit(0).alias("kind"), F.array(F.col(s.tab).cast("string")).alias("val")),
-                          F.struct(F.lit(1).alias("kind"), ck.cast("array<string>").alias("val")))
-        found = self.filtered.select(F.inline(entries)).distinct()
-        rows = collect_bounded(found, 2 * MAX_AXIS_KEYS)
-        if rows is None:
-            return None, None
-        tabs = sorted({r["val"][0] for r in rows if r["kind"] == 0})
-        keys = sorted({tuple(r["val"]) for r in rows if r["kind"] == 1})
-        return tabs, (keys if s.cols and len(keys) <= MAX_AXIS_KEYS else None)
+        self.flags = flags
 
     # -- filtering ------------------------------------------------------------
     @cached_property
     def filtered(self) -> DataFrame:
         s = self.spec
-        flags = self.flags if self.flags is not None else (self._one_pass[0] if self._one_pass else None)
         return filters.smart_filter(self.cube, s.tab, list(s.rows), list(s.cols), s.filters, s.probe, self.mode,
-                                    flags=flags)
+                                    flags=self.flags)
 
     def masked(self) -> DataFrame:
         return filters.masked_rows(self.filtered)
@@ -129,24 +40,26 @@ class Crosstab:
     def masked_detail(self) -> DataFrame:
         return drill.masked_detail(self.masked(), self.codebook)
 
-    def masked_count(self) -> DataFrame:
-        """(tab, n_masked) per tab."""
-        return self.masked().groupBy(self.spec.tab).agg(F.count(F.lit(1)).alias("n_masked"))
-
     # -- crosstab -------------------------------------------------------------
+    @cached_property
+    def _sparse(self) -> DataFrame:
+        """Cells that are present and all totals, stored: the cube is read once
+        for every output below."""
+        s = self.spec
+        return cut_lineage(xt.sparse_cells(self.filtered, s.tab, list(s.rows), list(s.cols), s.metric))
+
     @cached_property
     def _cells(self) -> DataFrame:
         s = self.spec
-        keys = self.col_keys if self.col_keys is not None else (self.axis_lists[1] if s.cols else None)
-        return xt.crosstab_cells(self.filtered, s.tab, list(s.rows), list(s.cols), s.metric, col_keys=keys)
+        return xt.densify(self._sparse, s.tab, list(s.rows), list(s.cols))
 
     def cells(self, percentages: bool = True) -> DataFrame:
         s = self.spec
-        return xt.with_percentages(self._cells, s.tab, s.rows, s.cols) if percentages else self._cells
+        return xt.with_percentages(self._cells, s.tab, s.rows, s.cols, totals=self._sparse) if percentages else self._cells
 
     def heat(self) -> DataFrame:
         s = self.spec
-        return xt.heat_scale(self._cells, s.tab, s.rows, s.cols)
+        return xt.heat_scale(cut_lineage(self._cells), s.tab, s.rows, s.cols)
 
     def averages(self) -> DataFrame:
         s = self.spec
@@ -156,6 +69,12 @@ class Crosstab:
         s = self.spec
         return reference_totals(self.cube, s.tab, list(s.rows), list(s.cols), s.filters, self.codebook.derived)
 
+    def reference_rows(self, tab_value=None) -> DataFrame:
+        """The published rows behind the reference totals (of one tab)."""
+        s = self.spec
+        rows = filters.reference_rows(self.cube, s.tab, list(s.rows), list(s.cols), s.filters, self.codebook.derived)
+        return rows if tab_value is None else filters.rows_of_tab(rows, s.tab, tab_value)
+
     def drill_summary(self) -> DataFrame:
         return drill.drill_summary(self.filtered, self.spec.tab)
 
@@ -163,12 +82,11 @@ class Crosstab:
     def growth(self, by: str = "all") -> DataFrame:
         s = self.spec
         if by == "all":
-            return growth.overall_growth(self._cells, s.tab)
-        tabs = self.axis_lists[0]
+            return growth.overall_growth(self._sparse, s.tab)
         if by == "rows":
-            return growth.row_growth(self._cells, s.tab, list(s.rows), tabs)
+            return growth.row_growth(self._cells, s.tab, list(s.rows))
         if by == "cols":
-            return growth.col_growth(self._cells, s.tab, list(s.cols), tabs)
+            return growth.col_growth(self._cells, s.tab, list(s.cols))
         raise ValueError("by must be 'all', 'rows' or 'cols'")
 
     # -- ordering & layout ------------------------------------------------------
@@ -195,6 +113,4 @@ class Crosstab:
         s = self.spec
         names = [a.name for a in avg_ops.avg_specs(self.codebook, s.cols)]
         cells = cut_lineage(self.cells()) if materialize else self.cells()
-        keys = self.col_keys if self.col_keys is not None else (self.axis_lists[1] if s.cols else None)
-        return layout.mix_cells(cells, self.averages(), s.tab, list(s.rows), list(s.cols), self.codebook, names,
-                                col_keys=keys)
+        return layout.mix_cells(cells, self.averages(), s.tab, list(s.rows), list(s.cols), self.codebook, names, s.metric)

@@ -1,4 +1,4 @@
-"""A third cube, from ``events``: events by ISO week, event type and 6-hour
+"""A third cube, from ``events``: events by ISO year and week (as 202401), event type and 6-hour
 band of the day, with the event value summed in cents (no join)."""
 
 from __future__ import annotations
@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statcube.operators.cube import build_cube, flag_suppressed
+from statcube.operators.cube import build_cube, flag_suppressed, layout_of
 from statcube.session import cut_lineage
 from statcube.sources.codebook import Codebook
 from statcube.sources.tables import read_table
@@ -22,10 +22,10 @@ SECTION = {
 
 def cube(spark: SparkSession, sf_dir: str, materialize: bool = False) -> DataFrame:
     rows = read_table(spark, sf_dir, "events").select(
-        F.weekofyear("ts").cast("long").alias("WEEK"), F.col("event_type").alias("EVENT"),
+        (F.extract(F.lit("YEAROFWEEK"), F.col("ts")) * 100 + F.weekofyear("ts")).cast("long").alias("WEEK"), F.col("event_type").alias("EVENT"),
         F.floor(F.hour("ts") / 6).cast("int").alias("BAND"),
         F.round(F.col("value") * 100).cast("long").alias("cents"))
-    out = flag_suppressed(build_cube(rows, ["WEEK"], [], ["EVENT", "BAND"], {
+    out = flag_suppressed(build_cube(rows, **layout_of(codebook().group_types()), metrics={
         "CNT": F.count(F.lit(1)), "SUM_VALUE": F.sum("cents"), "CNT_VALUE": F.count("cents")}))
     return cut_lineage(out) if materialize else out
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statcube.operators.cube import build_cube, flag_suppressed
+from statcube.operators.cube import build_cube, flag_suppressed, layout_of
 from statcube.session import cut_lineage
 from statcube.sources.codebook import Codebook
 from statcube.sources.tables import read_table
@@ -23,9 +23,10 @@ SECTION = {
 def cube(spark: SparkSession, sf_dir: str, materialize: bool = False) -> DataFrame:
     rows = read_table(spark, sf_dir, "lineitem").select(
         F.year("l_shipdate").cast("long").alias("DATA_YR"), F.col("l_returnflag").alias("FLAG"),
-        F.col("l_linestatus").alias("LSTATUS"), F.col("l_quantity").cast("long").alias("qty"))
-    out = flag_suppressed(build_cube(rows, ["DATA_YR"], [], ["FLAG", "LSTATUS"], {
+        F.col("l_linestatus").alias("LSTATUS"), F.col("l_quantity").cast("decimal(18,2)").alias("qty"))
+    out = flag_suppressed(build_cube(rows, **layout_of(codebook().group_types()), metrics={
         "CNT": F.count(F.lit(1)), "SUM_QTY": F.sum("qty"), "CNT_QTY": F.count("qty")}))
+    out = out.withColumn("SUM_QTY", F.col("SUM_QTY").cast("double"))  # summed exactly
     return cut_lineage(out) if materialize else out
 
 

@@ -1,5 +1,5 @@
 """The order-statistics cube: a statistical cube built from the TPC-H style
-tables, with the same shape as a housing-cube delivery.
+tables, in the shape of a delivered cube.
 
 Dimensions (schema order): DATA_YR (order year, fixed), COUNTY (customer
 nation code, rollup), SEG (market segment) and PRI (order priority) as a
@@ -17,7 +17,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statcube.operators.cube import build_cube, flag_suppressed
+from statcube.operators.cube import build_cube, flag_suppressed, layout_of
 from statcube.operators.decode import decode_cube
 from statcube.session import cut_lineage
 from statcube.sources.codebook import Codebook, codebook_section, load_codebook
@@ -25,7 +25,6 @@ from statcube.sources.tables import read_table
 
 CONFIG = os.path.join(os.path.dirname(os.path.dirname(__file__)), "config", "orders_cube.yaml")
 DATASET = "orders"
-LAYOUT = {"fixed": ["DATA_YR"], "rollup": ["COUNTY"], "grouping": ["SEG", "PRI"]}
 
 
 @lru_cache(maxsize=1)
@@ -34,33 +33,40 @@ def _section() -> dict:
 
 
 def microdata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order rows joined to their customer, pre-aggregated per customer.
-
-    Orders are first summed per (customer, year, priority) - a partial
-    aggregate before any shuffle - so a customer holding a third of all orders
-    reaches the join as a few dozen rows, not millions. The join to customer
-    is then a plain equi-join; AQE picks broadcast or sort-merge from the
-    measured sizes and splits skewed partitions.
-    """
+    """Order rows with their customer's nation and segment. The planner picks
+    the join from the tables' sizes, and AQE splits skewed partitions."""
     orders = read_table(spark, sf_dir, "orders").select(
         "o_custkey",
         F.year("o_orderdate").cast("long").alias("DATA_YR"),
         F.col("o_orderpriority").alias("PRI"),
-        F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"),
-        F.col("o_totalprice"))
-    per_customer = orders.groupBy("o_custkey", "DATA_YR", "PRI").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("cents").alias("s"), F.count("o_totalprice").alias("c"))
+        F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
     customer = read_table(spark, sf_dir, "customer").select(
         "c_custkey", F.col("c_nationkey").alias("COUNTY"), F.col("c_mktsegment").alias("SEG"))
-    return per_customer.join(customer, per_customer.o_custkey == customer.c_custkey, "inner")
+    return orders.join(customer, orders.o_custkey == customer.c_custkey, "inner")
+
+
+def build(rows: DataFrame) -> DataFrame:
+    """Cube cells of order rows, laid out as the codebook says."""
+    lay = layout_of(Codebook(_section()).group_types())
+    return build_cube(rows, lay["fixed"], lay["rollup"], lay["grouping"],
+                      {"CNT": F.count(F.lit(1)), "SUM_PRICE": F.sum("cents"), "CNT_PRICE": F.count("cents")})
 
 
 def coded_cube(spark: SparkSession, sf_dir: str, suppress: bool = True) -> DataFrame:
-    cube = build_cube(microdata(spark, sf_dir), LAYOUT["fixed"], LAYOUT["rollup"], LAYOUT["grouping"],
-                      {"CNT": F.sum("n"), "SUM_PRICE": F.sum("s"), "CNT_PRICE": F.sum("c")})
+    cube = build(microdata(spark, sf_dir))
     return flag_suppressed(cube) if suppress else cube
 
 
+def cube_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cube of rows of which some lack a dimension: every seventh order has
+    no priority, every eleventh customer no segment, every nation 3 is unknown."""
+    rows = microdata(spark, sf_dir)
+    key = F.col("c_custkey")
+    return build(rows.withColumns({
+        "PRI": F.when(F.col("cents") % 7 != 0, F.col("PRI")), "SEG": F.when(key % 11 != 0, F.col("SEG")),
+        "COUNTY": F.when(F.col("COUNTY") != 3, F.col("COUNTY"))}))
+
+
 def codebook(spark: SparkSession, sf_dir: str) -> Codebook:
     nation = read_table(spark, sf_dir, "nation")
     region = read_table(spark, sf_dir, "region")

@@ -3,7 +3,8 @@ labels excluded from both axes, subtotal-aware like every crosstab."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,3 +53,28 @@ def preset_crosstab(cube: DataFrame, codebook: Codebook, task: Mapping) -> DataF
     src = filtered.withColumn(ALL, F.lit(1))
     cells = with_percentages(crosstab_cells(src, ALL, rows, cols, value), ALL, rows, cols)
     return cells.drop(ALL)
+
+
+def preset_batch(tasks: Sequence[Mapping], sources: Mapping[str, Callable[[], tuple[DataFrame, Codebook]]]) -> DataFrame:
+    """Every preset task over the source it declares (``csv_source``), as one
+    long table: name, row and column key as text (levels joined by ' / ', NULL
+    for totals), flags, value and percentages. A source is built once."""
+    built: dict[str, tuple[DataFrame, Codebook]] = {}
+    parts = []
+    for task in tasks:
+        source = task["csv_source"]
+        if source not in built:
+            built[source] = sources[source]()
+        cube, codebook = built[source]
+        cells = preset_crosstab(cube, codebook, task)
+        rows = resolve_columns(task["rows"], cube.columns, codebook)
+        cols = resolve_columns(task.get("cols") or [], cube.columns, codebook)
+
+        def key(dims, total):
+            return F.when(~F.col(total), F.concat_ws(" / ", *[F.col(d).cast("string") for d in dims]))
+
+        parts.append(cells.select(F.lit(task["name"]).alias("name"), key(rows, "is_row_total").alias("row_key"), key(cols, "is_col_total").alias("col_key"),
+                                  "is_row_total", "is_col_total", F.col("value").cast("double").alias("value"), "row_pct", "col_pct", "total_pct"))
+    if not parts:
+        raise ValueError("no preset tasks")
+    return reduce(DataFrame.unionByName, parts)

@@ -16,23 +16,21 @@ from collections.abc import Callable, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property, reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from statcube.functions import MASKED_NOTE_TEMPLATE, fmt_count, sheet_name, strip_masked_note
+from statcube.functions import MASKED_NOTE_TEMPLATE, fmt_count, sheet_name, strip_masked_note, typed_value
 from statcube.operators import filters, ordering
-from statcube.operators.bounded import MAX_AXIS_KEYS, collect_bounded
 from statcube.operators.crosstab import ROW_TOTAL
 from statcube.operators.ordering import chapter_sort_columns
-from statcube.plans.crosstab import Crosstab, prepare_specs
+from statcube.plans.crosstab import Crosstab
 from statcube.plans.spec import CrosstabSpec
 from statcube.session import cut_lineage
 from statcube.sources.codebook import Codebook
 from statcube.sources.specs import clean_specs, parse_filters
 
 SourceLoader = Callable[[], tuple[DataFrame, Codebook]]
-MAX_SPECS = 10_000
 
 CELL_SCHEMA = T.StructType([
     T.StructField("sheet", T.StringType()), T.StructField("sheet_rank", T.LongType()),
@@ -44,7 +42,7 @@ CELL_SCHEMA = T.StructType([
 ])
 NOTE_SCHEMA = T.StructType([
     T.StructField("sheet", T.StringType()), T.StructField("sheet_rank", T.LongType()),
-    T.StructField("chapter", T.StringType()), T.StructField("title", T.StringType()),
+    T.StructField("chapter", T.StringType()), T.StructField("title", T.StringType()), T.StructField("headline", T.StringType()),
     T.StructField("focus_tab", T.StringType()), T.StructField("n_masked", T.LongType()),
     T.StructField("ref_total", T.LongType()), T.StructField("description", T.StringType()),
     T.StructField("auto_title", T.StringType()),
@@ -56,17 +54,18 @@ def ordered_specs(specs: DataFrame) -> DataFrame:
     """Cleaned specs in natural chapter order with sheet name, title and the
     parsed filter map. Ties keep the stored order."""
     s = clean_specs(specs).withColumn("position", F.monotonically_increasing_id())
-    # the spec list is configuration-sized: a single ordered window is fine
-    rank = F.row_number().over(Window.orderBy(*chapter_sort_columns("chapter"), "position")).cast("long")
-    s = s.withColumn("sheet_rank", rank)
+    s = ordering.ranked(s, [], [*chapter_sort_columns("chapter"), F.col("position")], "sheet_rank")
     unit = F.when(F.col("unit") != "", F.concat(F.lit("("), F.col("unit"), F.lit(")"))).otherwise(F.lit(""))
-    return s.select("*", sheet_name("chapter", F.col("sheet_rank") - 1).alias("sheet"),
+    headline = F.when(F.trim(F.col("unit")) != "", F.concat(F.col("name"), F.lit(f" ({UNIT_WORD}: "), F.trim(F.col("unit")), F.lit(")"))).otherwise(F.col("name"))
+    return s.select("*", headline.alias("headline"), sheet_name("chapter", F.col("sheet_rank") - 1).alias("sheet"),
                     F.concat(F.col("name"), F.lit(" "), unit).alias("title"),
                     F.trim(F.col("chapter")).alias("toc_chapter"),
                     parse_filters("filters").alias("filter_map"))
 
 
-# Title words of a quickly saved report.
+# Title words of a quickly saved report, and the word before a
+# sheet's unit.
+UNIT_WORD = "單位"
 TITLE_CONTEXT = "住宅"
 TITLE_CONTEXTS = [("單獨持有", "所有權單獨持有"), ("多人持有", "所有權多人持有")]
 TITLE_NO_DIM = "總計"
@@ -135,55 +134,58 @@ class ReportBatch:
                                r["pivot_sum"] or "CNT", dict(r["filter_map"] or {}))
 
     @staticmethod
-    def _prepare(cube: DataFrame, specs: list[CrosstabSpec]) -> list[tuple[list[bool], list | None, list | None]]:
-        """Probe outcomes, column keys and tab values of all specs over one cube
-        from one scan (``prepare_specs``); when its bound is exceeded, one probe
-        pass for all specs and per-spec key lists later."""
-        one = prepare_specs(cube, specs)
-        if one is not None:
-            return [(flags, keys, tabs) for flags, tabs, keys in one]
+    def _check_filters(cube: DataFrame, spec: CrosstabSpec) -> None:
+        """Filter values that a date or time column cannot hold fail their spec."""
+        for c, values in spec.filters.items():
+            if c in cube.columns and isinstance(cube.schema[c].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+                odd = [v for v in values if typed_value(cube.schema[c].dataType, v) is None]
+                if odd:
+                    raise ValueError(f"{c} has no values like {odd}")
+
+    @staticmethod
+    def _flags(cube: DataFrame, specs: list[CrosstabSpec]) -> list[list[bool] | None]:
+        """Probe outcomes of all specs over one cube from one aggregate pass; if
+        that fails, each spec finds its own (and fails alone)."""
         plans = [filters.probe_plan(cube, s.tab, list(s.rows), list(s.cols), s.filters, s.probe) for s in specs]
-        flags = filters.subtotal_flags_many(cube, [p[1] for p in plans])
-        return [(fl, None, None) for fl in flags]
+        try:
+            return filters.subtotal_flags_many(cube, [p[1] for p in plans])
+        except Exception:
+            return [None] * len(specs)
 
     def _plan_one(self, item) -> tuple[str, object]:
-        r, spec, cube, cb, flags, col_keys, tabs = item
+        """The sheet of one spec, worked out here, so that whatever goes wrong
+        in it stays with this spec."""
+        r, spec, cube, cb, flags = item
         try:
-            xt = Crosstab(cube, spec, cb, flags=flags, col_keys=col_keys)
-            focus = self._focus_tab(xt, r["focus_tab"], tabs)
+            xt = Crosstab(cube, spec, cb, flags=flags)
+            focus = self._focus_tab(xt, r["focus_tab"])
             if focus is None:
                 return "empty", None  # no tab has data: no sheet, as an empty report
-            if col_keys is not None or not spec.cols:
-                # Only the focus tab is reported. The column space (all tabs)
-                # is already known, and everything else is per tab, so the
-                # crosstab can start from that tab's rows alone.
-                one_tab = cube.where(F.col(spec.tab).cast("string") == F.lit(focus))
-                xt = Crosstab(one_tab, spec, cb, flags=flags, col_keys=col_keys)
-            return "ok", (self._sheet_cells(xt, r, focus), self._sheet_note(xt, r, focus))
+            return "ok", (cut_lineage(self._sheet_cells(xt, r, focus)), cut_lineage(self._sheet_note(xt, r, focus)))
         except Exception as e:  # one bad spec must not stop the batch
-            return "error", (r["chapter"], r["name"], f"{type(e).__name__}: {e}")
+            return "error", (r["chapter"], r["name"], f"{type(e).__name__}: {str(e)[:500]}")
 
     @cached_property
     def _planned(self) -> tuple[list[DataFrame], list[DataFrame], list[tuple]]:
-        rows = collect_bounded(self.ordered, MAX_SPECS)
-        if rows is None:
-            raise ValueError("too many report specs in one batch")
         results: dict[int, tuple[str, object]] = {}
         by_source: dict[str, list[tuple[int, object, CrosstabSpec]]] = {}
-        for i, r in enumerate(rows):
+        used: set[str] = set()
+        for i, r in enumerate(self.ordered.orderBy("sheet_rank").toLocalIterator()):  # one row a sheet
             try:
+                if r["sheet"].lower() in used:
+                    raise ValueError(f"sheet {r['sheet']!r} is already taken")
+                used.add(r["sheet"].lower())
                 spec = self._spec_of(r)
                 cube, _ = self._source(r["data_source"])  # each source built once
                 spec.check_columns(cube.columns)
+                self._check_filters(cube, spec)
                 by_source.setdefault(r["data_source"], []).append((i, r, spec))
             except Exception as e:  # one bad spec must not stop the batch
-                results[i] = ("error", (r["chapter"], r["name"], f"{type(e).__name__}: {e}"))
+                results[i] = ("error", (r["chapter"], r["name"], f"{type(e).__name__}: {str(e)[:500]}"))
         items = []
         for name, group in by_source.items():
             cube, cb = self._source(name)
-            prepared = self._prepare(cube, [g[2] for g in group])
-            items += [(i, (r, spec, cube, cb, *prep)) for (i, r, spec), prep in zip(group, prepared)]
-        # the remaining per-spec work is small jobs (tab order): run a few at once
+            items += [(i, (r, spec, cube, cb, f)) for (i, r, spec), f in zip(group, self._flags(cube, [g[2] for g in group]))]
         with ThreadPoolExecutor(max_workers=max(1, min(self.planning_threads, len(items) or 1))) as pool:
             for (i, _), res in zip(items, pool.map(self._plan_one, [it for _, it in items])):
                 results[i] = res
@@ -194,37 +196,19 @@ class ReportBatch:
         return cells, notes, errors
 
     @staticmethod
-    def _focus_tab(xt: Crosstab, wanted: str | None, known_tabs: list[str] | None = None) -> str | None:
-        """The spec's tab when it has data (compared as text), else the first
-        tab in tab order. ``known_tabs``: the spec's tab values, already found."""
-        if known_tabs is not None:
-            if wanted and str(wanted) in known_tabs:
-                return str(wanted)
-            if not known_tabs:
-                return None
-            ordered = ordering.order_tab_values(known_tabs, xt.spec.tab, xt.cube.schema[xt.spec.tab].dataType,
-                                                xt.codebook)
-            if ordered is not None:
-                return ordered[0]
-            # code list from data: order the (small) tab list in Spark, on local data
-            tab_type = xt.cube.schema[xt.spec.tab].dataType
-            local = xt.cube.sparkSession.createDataFrame([(t,) for t in known_tabs], "t string").select(
-                F.col("t").cast(tab_type).alias(xt.spec.tab))
-            tabs = collect_bounded(ordering.tab_order(local, xt.spec.tab, xt.codebook))
-        else:
-            tabs = collect_bounded(xt.tab_order())
-        if tabs is None:
-            raise ValueError("too many tabs")
-        names = [str(t[xt.spec.tab]) for t in sorted(tabs, key=lambda t: t["tab_rank"])]
-        if wanted and str(wanted) in names:
+    def _focus_tab(xt: Crosstab, wanted: str | None) -> str | None:
+        """The spec's tab when it has data, else the first in tab order."""
+        tab = xt.spec.tab
+        if wanted and filters.rows_of_tab(xt.filtered, tab, wanted).limit(1).count():
             return str(wanted)
-        return names[0] if names else None
+        first = xt.tab_order().orderBy("tab_rank").first()
+        return None if first is None else str(first[tab])
 
     @staticmethod
     def _sheet_cells(xt: Crosstab, r, focus: str) -> DataFrame:
         s = xt.spec
         rows = list(s.rows)
-        mix = xt.mix().where(F.col(s.tab).cast("string") == F.lit(focus))
+        mix = filters.rows_of_tab(xt.mix(), s.tab, focus)
         return mix.select(
             F.lit(r["sheet"]).alias("sheet"), F.lit(r["sheet_rank"]).cast("long").alias("sheet_rank"),
             F.col(s.tab).cast("string").alias("tab"), F.col(rows[0]).cast("string").alias("row_1"),
@@ -233,14 +217,14 @@ class ReportBatch:
 
     @staticmethod
     def _sheet_note(xt: Crosstab, r, focus: str) -> DataFrame:
-        tab = F.col(xt.spec.tab).cast("string") == F.lit(focus)
-        masked = xt.masked().where(tab).select(F.lit(1).cast("long").alias("m"), F.lit(0).cast("long").alias("r"))
-        ref = xt.reference_totals().where(tab).select(F.lit(0).cast("long").alias("m"), F.col("ref_total").alias("r"))
+        tab = xt.spec.tab
+        masked = filters.rows_of_tab(xt.masked(), tab, focus).select(F.lit(1).cast("long").alias("m"), F.lit(0).cast("long").alias("r"))
+        ref = filters.rows_of_tab(xt.reference_totals(), tab, focus).select(F.lit(0).cast("long").alias("m"), F.col("ref_total").alias("r"))
         agg = masked.unionByName(ref).agg(F.coalesce(F.sum("m"), F.lit(0)).cast("long").alias("n_masked"),
                                           F.coalesce(F.sum("r"), F.lit(0)).cast("long").alias("ref_total"))
         return agg.select(
             F.lit(r["sheet"]).alias("sheet"), F.lit(r["sheet_rank"]).cast("long").alias("sheet_rank"),
-            F.lit(r["toc_chapter"]).alias("chapter"), F.lit(r["title"]).alias("title"),
+            F.lit(r["toc_chapter"]).alias("chapter"), F.lit(r["title"]).alias("title"), F.lit(r["headline"]).alias("headline"),
             F.lit(focus).alias("focus_tab"), "n_masked", "ref_total",
             masked_note(F.lit(r["description"] or ""), F.col("n_masked"), F.col("ref_total")).alias("description"),
             auto_title(F.lit(focus), F.lit(None).cast("map<string,array<string>>") if not r["filter_map"] else

@@ -7,6 +7,8 @@ A cube row is one cell of a GROUPING SETS result. A NULL in a dimension means
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -34,8 +36,9 @@ def is_metric(name: str) -> bool:
 
 
 def is_unnamed(name: str) -> bool:
-    """Index columns written by spreadsheet tools; dropped at ingest."""
-    return name == "" or name.startswith("Unnamed:") or name.startswith("_c0")
+    """Index columns that spreadsheet tools write without a name: an empty header,
+    'Unnamed: <position>', or the name a CSV reader gives the first column then."""
+    return name in ("", "_c0") or re.fullmatch(r"Unnamed: \d+", name) is not None
 
 
 def dimension_columns(df: DataFrame | T.StructType) -> list[str]:
@@ -44,19 +47,6 @@ def dimension_columns(df: DataFrame | T.StructType) -> list[str]:
     return [f.name for f in schema.fields if not is_metric(f.name)]
 
 
-def metric_columns(df: DataFrame | T.StructType) -> list[str]:
-    schema = df.schema if isinstance(df, DataFrame) else df
-    return [f.name for f in schema.fields if is_metric(f.name)]
-
-
-def is_numeric_type(dt: T.DataType) -> bool:
-    return isinstance(dt, T.NumericType)
-
-
-def field_type(df: DataFrame, name: str) -> T.DataType:
-    return df.schema[name].dataType
-
-
 # Report spec as stored by the batch report job (one JSON object per line).
 REPORT_SPEC_SCHEMA = T.StructType([
     T.StructField("chapter", T.StringType()),
@@ -72,15 +62,3 @@ REPORT_SPEC_SCHEMA = T.StructType([
     T.StructField("pivot_tab", T.StringType()),
     T.StructField("pivot_sum", T.StringType()),
 ])
-
-# Preset crosstab task (declared report tables over a delivered source).
-PRESET_SCHEMA = T.StructType([
-    T.StructField("name", T.StringType()),
-    T.StructField("description", T.StringType()),
-    T.StructField("csv_source", T.StringType()),
-    T.StructField("rows", T.ArrayType(T.StringType())),
-    T.StructField("cols", T.ArrayType(T.StringType())),
-    T.StructField("values", T.StringType()),
-    T.StructField("aggfunc", T.StringType()),
-    T.StructField("exclude_values", T.ArrayType(T.StringType())),
-])

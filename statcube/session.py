@@ -71,12 +71,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         # unset only in local tests: a private folder on this machine
         configured = tempfile.mkdtemp(prefix="statcube-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
+_WRITTEN: list[str] = []
+
+
+def drop_intermediates(spark: SparkSession) -> int:
+    """Deletes the tables that ``cut_lineage`` wrote so far in this process, in
+    any store; call it when no result that reads them is needed any more."""
+    hadoop, jvm = spark._jsc.hadoopConfiguration(), spark._jvm
+    n = 0
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        n += bool(path.getFileSystem(hadoop).delete(path, True))
+    return n
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a Parquet table in the shared checkpoint folder and
     read it back.
@@ -88,6 +104,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/statcube-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.mode("error").parquet(path)
     # the schema is known: no footer reads to infer it
     return spark.read.schema(df.schema).parquet(path)

@@ -12,27 +12,30 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statcube.functions import DATASET_PREFIXES, basename, dataset_type, epoch_text
-from statcube.operators.bounded import lookup
+from statcube.functions import DATASET_PREFIXES, basename, data_suffix, dataset_type, epoch_text
 
 
-def list_datasets(spark: SparkSession, root: str, pattern: str = "*.parquet") -> DataFrame:
-    """(path, name, modified, modified_text, size, dataset_type) of every file
-    matching ``pattern`` below ``root`` (recursive)."""
+def list_datasets(spark: SparkSession, root: str, suffix: str = ".parquet") -> DataFrame:
+    """(path, name, modified, modified_text, size, dataset_type, below_data) of every dataset
+    below ``root`` (recursive). A dataset is a file with the suffix or a folder
+    with it, whose part files count together."""
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-             .option("pathGlobFilter", pattern).load(root)
+             .option("pathGlobFilter", f"*{suffix}").load(root)
              .select("path", "modificationTime", "length"))
-    return files.select(
-        "path", basename("path").alias("name"), F.col("modificationTime").alias("modified"),
-        epoch_text("modificationTime").alias("modified_text"), F.col("length").alias("size"),
-        dataset_type("path").alias("dataset_type"))
+    mark = F.lit(suffix)
+    steps = F.split("path", "/")
+    depth = F.array_position(F.transform(steps, lambda x: x.endswith(mark)), True).cast("int")
+    owner = F.concat_ws("/", F.slice(steps, 1, depth))
+    found = files.groupBy(owner.alias("path")).agg(F.max("modificationTime").alias("modified"), F.sum("length").alias("size"))
+    return found.select("path", basename("path").alias("name"), "modified", epoch_text("modified").alias("modified_text"),
+                        "size", dataset_type("path").alias("dataset_type"), data_suffix("path").alias("below_data"))
 
 
 def enabled_datasets(catalog: DataFrame, disabled: Sequence[str] | DataFrame) -> DataFrame:
     """Datasets whose file name is not on the disabled list (default enabled)."""
     if not isinstance(disabled, DataFrame):
         disabled = catalog.sparkSession.createDataFrame([(n,) for n in disabled], "name string")
-    return catalog.join(lookup(disabled.select("name").distinct()), "name", "left_anti")
+    return catalog.join(disabled.select("name").distinct(), "name", "left_anti")
 
 
 def sort_catalog(catalog: DataFrame, by: str = "modified") -> DataFrame:
@@ -46,10 +49,8 @@ def sort_catalog(catalog: DataFrame, by: str = "modified") -> DataFrame:
     raise ValueError("by must be 'modified', 'name_asc' or 'name_desc'")
 
 
-def detect_dataset_type(file_name: str) -> str:
-    """Dataset section of one file (text before '_coded' in its name); raises
-    for an unknown prefix. ``dataset_type`` is the column form for catalogues."""
-    prefix = file_name.replace("\\", "/").rsplit("/", 1)[-1].split("_coded")[0]
-    if prefix not in DATASET_PREFIXES:
-        raise ValueError(f"Unknown dataset prefix: '{prefix}'. Expected one of: {list(DATASET_PREFIXES)}")
-    return DATASET_PREFIXES[prefix]
+def require_dataset_types(catalog: DataFrame) -> DataFrame:
+    """The catalogue, failing when it runs if a dataset has no known type."""
+    known = F.lit(", ".join(DATASET_PREFIXES))
+    message = F.concat(F.lit("no dataset type for "), "name", F.lit("; known prefixes: "), known)
+    return catalog.withColumn("dataset_type", F.coalesce("dataset_type", F.raise_error(message).cast("string")))

@@ -8,18 +8,15 @@ write of that file.
 
 from __future__ import annotations
 
-import os
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from statcube.functions import file_stem
-from statcube.operators.bounded import collect_bounded
 from statcube.schema import is_unnamed
 
-MAX_FILES = 100_000
-
 
 def read_delivery_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """CSV with a header row. With a schema: no inference pass. Without one,
@@ -42,25 +39,24 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
 def delivery_files(spark: SparkSession, folder: str, pattern: str = "*.csv") -> list[str]:
     listing = (spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
                .select("path"))
-    rows = collect_bounded(listing, MAX_FILES)
-    if rows is None:
-        raise ValueError("too many files in one delivery")
-    return sorted(r["path"] for r in rows)
+    return sorted(r["path"] for r in listing.toLocalIterator())
 
 
 def convert_delivery(spark: SparkSession, folder: str, out_dir: str | None = None,
-                     schemas: dict[str, T.StructType] | None = None) -> list[str]:
+                     schemas: dict[str, T.StructType] | None = None, at_once: int = 8) -> list[str]:
     """Convert every CSV of ``folder`` to ``<out_dir>/<stem>.parquet`` (default:
-    next to the CSV). Returns the written paths."""
-    out_dir = out_dir or folder
-    written = []
-    for path in delivery_files(spark, folder):
-        stem = os.path.splitext(os.path.basename(path))[0]
-        df = read_delivery_csv(spark, path, (schemas or {}).get(stem))
-        target = os.path.join(out_dir.replace("file:", ""), f"{stem}.parquet")
-        write_parquet(df, target)
-        written.append(target)
-    return written
+    next to the CSV), several files at once (each is a Spark job of its own).
+    Returns the written paths."""
+    out_dir = (out_dir or folder).rstrip("/")
+
+    def convert(path: str) -> str:
+        stem = path.rsplit("/", 1)[-1].removesuffix(".csv")
+        target = f"{out_dir}/{stem}.parquet"
+        write_parquet(read_delivery_csv(spark, path, (schemas or {}).get(stem)), target)
+        return target
+
+    with ThreadPoolExecutor(max_workers=max(1, at_once)) as pool:
+        return list(pool.map(convert, delivery_files(spark, folder)))
 
 
 def with_source_file(df: DataFrame) -> DataFrame:

@@ -2,38 +2,15 @@
 
 from __future__ import annotations
 
-import os
-import threading
-import weakref
-
 from pyspark.sql import DataFrame, SparkSession
 
-from statcube.schema import is_unnamed
-
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     """Columnar scan; filters and projections applied later reach the reader
-    (PushedFilters / ReadSchema). Spreadsheet index columns are dropped."""
-    df = spark.read.parquet(path)
-    extra = [c for c in df.columns if is_unnamed(c)]
-    return df.drop(*extra) if extra else df
-
-
-# One DataFrame per (session, path): listing the files and reading a footer
-# costs a driver round trip each time, and a query plan reads the same small
-# tables (nation, region) several times. DataFrames are immutable and lazy, so
-# sharing one is safe; files replaced during a session are not seen again.
-_READS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
-_LOCK = threading.Lock()
+    (PushedFilters / ReadSchema). Every column is kept."""
+    return spark.read.parquet(path)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    path = os.path.join(sf_dir.rstrip("/"), f"{name}.parquet")
-    with _LOCK:
-        per_session = _READS.setdefault(spark, {})
-        hit = per_session.get(path)
-        # a session object that was stopped and recreated gets fresh reads
-        if hit is None or hit[0] is not spark._jsparkSession:
-            hit = (spark._jsparkSession, spark.read.parquet(path))
-            per_session[path] = hit
-        return hit[1]
+    """One of the provided tables, listed anew at each call."""
+    return read_parquet(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")

@@ -122,7 +122,7 @@ def test_m5_code_rank_with_duplicate_labels(spark):
 
     cb = Codebook({"L": {"codes": {11: "a", 12: "b", 13: "b", 99: "z"}}})
     ranks = {r["label"]: r["rank"] for r in cb.label_ranks(spark, "L").collect()}
-    assert ranks == {"a": 0, "b": 2, "z": 3}
+    assert ranks == {"a": 11, "b": 13, "z": 99}
     cells = spark.createDataFrame([(1, lab, False) for lab in ["zz", "z", "b", "a"]] + [(1, None, True)],
                                   "t long, L string, tot boolean")
     got = [r["L"] for r in axis_order(cells, "t", ["L"], "tot", cb, "rk").orderBy("rk").collect()]
@@ -195,24 +195,28 @@ def test_tab_order_rules(spark):
     assert [r["T"] for r in tab_order(mixed, "T").orderBy("tab_rank").collect()] == ["10", "9", "x"]
 
 
-def test_static_label_ranks_match_spark_ranks(spark):
-    cb = Codebook({"L": {"codes": {11: "a", 12: "b", 13: "b", 99: "z"}}})
-    spark_ranks = {r["label"]: r["rank"] for r in cb.label_ranks(spark, "L").collect()}
-    assert cb.static_label_ranks("L") == spark_ranks == {"a": 0, "b": 2, "z": 3}
-
-
-@pytest.mark.parametrize("tab,dtype,values,codes", [
-    ("DATA_YR", "long", ["1995", "2001", "1998"], None),
-    ("T", "string", ["10", "9", "100"], None),
-    ("T", "string", ["10", "9", "x"], None),
-    ("T", "long", ["10", "9", "100"], None),
-    ("T", "string", ["b", "zz", "a", "z"], {11: "a", 12: "b", 13: "b", 99: "z"}),
-])
-def test_driver_tab_order_equals_spark(spark, tab, dtype, values, codes):
-    from statcube.operators.ordering import order_tab_values, tab_order
-
-    cb = Codebook({tab: {"codes": codes}}) if codes else Codebook()
-    df = spark.createDataFrame([(v,) for v in values], "v string").select(F.col("v").cast(dtype).alias(tab))
-    want = [str(r[tab]) for r in tab_order(df, tab, cb).orderBy("tab_rank").collect()]
-    got = order_tab_values(values, tab, df.schema[tab].dataType, cb)
-    assert got == want
+def test_weeks_of_two_years_stay_apart(spark, tmp_path):
+    from statcube.plans import events_cube as ec
+
+    rows = [("2024-01-03 10:00:00", "a", 1.0), ("2025-01-03 10:00:00", "a", 1.0), ("2024-12-31 10:00:00", "a", 1.0)]
+    spark.createDataFrame(rows, "t string, event_type string, value double").selectExpr("cast(t as timestamp) ts", "event_type", "value").write.parquet(
+        f"{tmp_path}/events.parquet")
+    got = {r.WEEK: r.CNT for r in ec.cube(spark, str(tmp_path)).where("EVENT is null and BAND is null").collect()}
+    assert got == {202401: 1, 202501: 2}
+
+
+def test_fractional_quantities_are_summed_whole(spark, tmp_path):
+    from statcube.plans import lineitem_cube as lc
+
+    rows = [("2024-01-03", "A", "F", 1.9), ("2024-01-04", "A", "F", 1.9)]
+    spark.createDataFrame(rows, "d string, l_returnflag string, l_linestatus string, l_quantity double").selectExpr(
+        "cast(d as date) l_shipdate", "l_returnflag", "l_linestatus", "l_quantity").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert lc.cube(spark, str(tmp_path)).where("GID = 3").first().SUM_QTY == 3.8
+
+
+def test_wide_sheet_keeps_columns_of_one_name(spark):
+    from statcube.operators.layout import to_wide
+
+    mix = spark.createDataFrame([("r", "全國", 0, 5.0), ("r", "全國", 1, 2.0), ("r", "b", 2, 3.0)], "k string, column string, col_order long, value double")
+    wide = to_wide(mix, ["k"])
+    assert wide.columns == ["k", "全國", "全國 #1", "b"] and tuple(wide.first()) == ("r", 5.0, 2.0, 3.0)

@@ -46,6 +46,10 @@ def test_in_filter_coercion(spark):
     df = spark.createDataFrame([(2021, "a", 1), (2022, "b", 2)], "DATA_YR long, S string, CNT long")
     assert in_filter(df, {"DATA_YR": ["2021"], "CNT": [2], "NOPE": [1]}).count() == 1
     assert in_filter(df, {"S": [1]}).count() == 0
+    big = spark.createDataFrame([(9007199254740993,), (9007199254740992,)], "K long")
+    assert [r.K for r in in_filter(big, {"K": ["9007199254740993"]}).collect()] == [9007199254740993]
+    assert in_filter(big, {"K": [1.5, "x"]}).count() == 0
+    assert in_filter(df, {"DATA_YR": ["2021", "x"]}).count() == 0 and in_filter(df, {"DATA_YR": [2021, "x"]}).count() == 1
 
 
 def test_auto_title_and_reorder(spark):
@@ -69,34 +73,24 @@ def test_auto_title_and_reorder(spark):
 
 def test_small_helpers(spark):
     from statcube.functions import data_suffix, fmt_count, fmt_decimal, fmt_percent
-    from statcube.operators.ordering import first_by_rank
 
     df = spark.createDataFrame([("C:\\Users\\x\\data\\260204\\a.parquet", 1234567.456, 0.12345)], "p string, v double, r double")
     row = df.select(data_suffix("p"), fmt_count("v"), fmt_decimal("v"), fmt_percent("r")).first()
     assert tuple(row) == ("260204/a.parquet", "1,234,567", "1,234,567.46", "12.35%")
-    ranked = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("b", 5, "z")], "k string, rk int, v string")
-    assert {r["k"]: r["v"] for r in first_by_rank(ranked, ["k"], "rk").collect()} == {"a": "y", "b": "z"}
 
 
-def test_read_parquet_drops_index_columns(spark, tmp_path):
-    from statcube.sources.ingest import with_source_file
-    from statcube.sources.tables import read_parquet
+def test_index_columns_are_dropped_at_ingest(spark, tmp_path):
+    from statcube.sources.ingest import read_delivery_csv, with_source_file
 
-    path = str(tmp_path / "cube.parquet")
-    spark.createDataFrame([(0, 1, "a")], "`Unnamed: 0` long, CNT long, A string").write.parquet(path)
-    df = read_parquet(spark, path)
-    assert df.columns == ["CNT", "A"]
-    stems = {r["source_file"] for r in with_source_file(df).collect()}
-    assert len(stems) == 1 and stems.pop().startswith("part-")
+    (tmp_path / "a.csv").write_text(",CNT,_c0de\n0,1,x\n")
+    df = read_delivery_csv(spark, str(tmp_path / "a.csv"))
+    assert df.columns == ["CNT", "_c0de"]
+    assert [r["source_file"] for r in with_source_file(df).collect()] == ["a"]
 
 
-def test_detect_dataset_type_and_sorted_values(spark):
+def test_sorted_values(spark):
     from statcube.operators.drill import distinct_values
-    from statcube.sources.catalog import detect_dataset_type
 
-    assert detect_dataset_type("C:\\\\data\\\\所有權_coded_202602040949.parquet") == "ownership"
-    with pytest.raises(ValueError):
-        detect_dataset_type("orders.parquet")
     df = spark.createDataFrame([(10, "b"), (9, "a"), (None, "a")], "n long, s string")
     got = [(r["column"], r["value"]) for r in distinct_values(df, sort=True).collect()]
     assert got == [("n", "10"), ("n", "9"), ("s", "a"), ("s", "b")]

@@ -3,11 +3,11 @@
 import os
 import tempfile
 
-from pyspark.sql import types as T
+import pytest
 
+from statcube.sources.codebook import Codebook
 from statcube.sources.catalog import enabled_datasets, list_datasets, sort_catalog
 from statcube.sources.ingest import convert_delivery
-from statcube.streaming.deliveries import ingest_deliveries
 
 SF = "/root/testdata/sf0.001"
 
@@ -38,30 +38,56 @@ def test_convert_delivery(spark):
     assert back.count() == 25 and "_c0" not in back.columns and "n_name" in back.columns
 
 
-def test_streaming_ingest(spark):
-    """Deliveries are picked up exactly once: a rerun after a new delivery
-    folder lands processes only the new files."""
-    root = tempfile.mkdtemp(prefix="statcube-stream-")
-    landing = os.path.join(root, "landing")
-    nation = spark.read.parquet(f"{SF}/nation.parquet").toPandas()
-    os.makedirs(os.path.join(landing, "260101"))
-    nation.to_csv(os.path.join(landing, "260101", "nation.csv"), index=False)
-    schema = T.StructType([T.StructField("n_nationkey", T.IntegerType()), T.StructField("n_name", T.StringType()),
-                           T.StructField("n_regionkey", T.IntegerType())])
-    out, ckpt = os.path.join(root, "out"), os.path.join(root, "ckpt")
-    q = ingest_deliveries(spark, landing, out, ckpt, schema)
-    q.awaitTermination(120)
-    first = spark.read.parquet(out)
-    assert first.count() == 25
-    assert {r["delivery"] for r in first.select("delivery").distinct().collect()} == {260101}
-    # a second delivery arrives; the first is not read again
-    os.makedirs(os.path.join(landing, "260201"))
-    nation.head(5).to_csv(os.path.join(landing, "260201", "nation.csv"), index=False)
-    q = ingest_deliveries(spark, landing, out, ckpt, schema)
-    q.awaitTermination(120)
-    both = spark.read.parquet(out)
-    counts = {r["delivery"]: r["count"] for r in both.groupBy("delivery").count().collect()}
-    assert counts == {260101: 25, 260201: 5}
+def test_catalogue_of_written_datasets(spark, tmp_path):
+    from statcube.sources.catalog import require_dataset_types
+
+    folder = str(tmp_path / "data")
+    spark.range(100).repartition(3).write.parquet(f"{folder}/所有權_coded_1.parquet")
+    spark.range(5).write.parquet(f"{folder}/sub/other.parquet")
+    cat = list_datasets(spark, folder)
+    rows = {r["name"]: r for r in cat.collect()}
+    assert set(rows) == {"所有權_coded_1.parquet", "other.parquet"}
+    assert rows["所有權_coded_1.parquet"]["dataset_type"] == "ownership" and rows["other.parquet"]["dataset_type"] is None
+    assert rows["other.parquet"]["below_data"] == "sub/other.parquet"
+    assert [r["name"] for r in enabled_datasets(cat, ["所有權_coded_1.parquet"]).collect()] == ["other.parquet"]
+    assert require_dataset_types(cat.where("name <> 'other.parquet'")).count() == 1
+    with pytest.raises(Exception, match="other.parquet"):
+        require_dataset_types(cat).collect()
+
+
+def test_reads_are_fresh_and_keep_columns(spark, tmp_path):
+    from statcube.sources.tables import read_table
+
+    spark.createDataFrame([(1, 2, 3)], "_c0de long, _c01 long, CNT long").write.parquet(f"{tmp_path}/t.parquet")
+    assert read_table(spark, str(tmp_path), "t").columns == ["_c0de", "_c01", "CNT"]
+    spark.createDataFrame([(1, 2, 3)], "_c0de long, _c01 long, CNT long").write.mode("append").parquet(f"{tmp_path}/t.parquet")
+    assert read_table(spark, str(tmp_path), "t").count() == 2
+
+
+def test_intermediate_tables_can_be_dropped(spark):
+    from statcube.session import cut_lineage, drop_intermediates
+
+    drop_intermediates(spark)
+    df = cut_lineage(spark.range(3))
+    path = df.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert os.path.isdir(path) and drop_intermediates(spark) == 1 and not os.path.exists(path)
+
+
+def test_a_failing_spec_leaves_the_others(spark):
+    """A bad filter value, a sheet name taken twice, and one good sheet."""
+    from statcube.plans.report import ReportBatch
+    from statcube.sources.specs import specs_frame
+
+    cube = spark.createDataFrame([(2020, "a", "2020-01-01", 1), (2020, "b", "2020-01-02", 2)], "Y long, A string, d string, CNT long").selectExpr(
+        "Y", "A", "cast(d as date) D", "CNT")
+    base = dict(data_source="c", pivot_row=["A"], pivot_col=[], pivot_tab="Y", pivot_sum="CNT", filters="{}", unit="u")
+    specs = specs_frame(spark, [dict(base, chapter="1", name="good"), dict(base, chapter="2", name="bad", filters="{'D': ('no date',)}"),
+                                dict(base, chapter="1", name="twin"), dict(base, chapter="[]", name="no chapter")])
+    batch = ReportBatch(specs, {"c": lambda: (cube, Codebook())})
+    assert {r.sheet for r in batch.cells().collect()} == {"1", "Report_3"}
+    assert sorted(r.Name for r in batch.errors().collect()) == ["bad", "twin"]
+    assert {r.headline for r in batch.notes().collect()} == {"good (單位: u)", "no chapter (單位: u)"}
+    assert {r.column for r in batch.cells().collect()} == {"全國", "CNT", "CNT(%)"}
 
 
 def test_report_batch_errors_and_toc(spark):
