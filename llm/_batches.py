@@ -134,7 +134,7 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     one only where that is unset and the master is local."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         import tempfile
 

@@ -24,7 +24,7 @@ a result give way to it.
 
 from __future__ import annotations
 
-
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -152,8 +152,18 @@ class Benchmark:
 
 
 
-def _ids(column: pa.Array) -> list[str]:
-    return ["" if x is None else str(x) for x in column.to_pylist()]
+_BUILT: dict[bytes, Benchmark] = {}
+
+
+def _shared(ids: list[str], texts: list[bytes]) -> Benchmark:
+    """The benchmark of these items, built once in a worker process."""
+    digest = hashlib.blake2b(repr(ids).encode())
+    for t in texts:
+        digest.update(len(t).to_bytes(8, "little") + t)
+    if digest.digest() not in _BUILT:
+        _BUILT.clear()
+        _BUILT[digest.digest()] = Benchmark(ids, pa.array(texts, type=pa.binary()))
+    return _BUILT[digest.digest()]
 
 
 RESULT = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()),
@@ -162,7 +172,7 @@ RESULT = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongT
 
 def _local(df: DataFrame, ids: list[str], texts: list[bytes], text_col: str, keep: list[str] | None) -> DataFrame:
     def make():
-        bench = Benchmark(ids, pa.array(texts, type=pa.binary()))
+        bench = _shared(ids, texts)
 
         def work(column: pa.Array) -> list[pa.Array]:
             doc = Words(column)

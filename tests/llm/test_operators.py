@@ -460,16 +460,16 @@ def test_simhash_components(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("dense", [2048, 16])
-def test_links_lose_no_component(spark, monkeypatch, dense):
+@pytest.mark.parametrize("dense, reach", [(2048, 4), (16, 4), (2048, 1), (2048, 6)])
+def test_links_lose_no_component(spark, monkeypatch, dense, reach):
     monkeypatch.setattr(simhash, "DENSE", dense)
     rng = np.random.default_rng(4)
     base = rng.integers(0, 1 << 64, size=60, dtype=np.uint64)
     flips = np.bitwise_xor.reduce(np.uint64(1) << rng.integers(0, 64, size=(60, 12, 4)).astype(np.uint64), axis=2)
     prints = np.unique(np.concatenate([base, (base[:, None] ^ flips).ravel()]))
-    want = _components([int(x) for x in prints])
+    want = _components([int(x) for x in prints], reach)
     df = spark.createDataFrame([(int(x),) for x in prints.view(np.int64)], "fingerprint long")
-    links = simhash.fingerprint_links(df).collect()
+    links = simhash.fingerprint_links(df, reach).collect()
     parent = {int(x): int(x) for x in prints.view(np.int64)}
 
     def find(a):
@@ -478,7 +478,7 @@ def test_links_lose_no_component(spark, monkeypatch, dense):
         return a
 
     for r in links:
-        assert ((r.a % (1 << 64)) ^ (r.b % (1 << 64))).bit_count() <= 4
+        assert ((r.a % (1 << 64)) ^ (r.b % (1 << 64))).bit_count() <= reach
         parent[find(r.a)] = find(r.b)
     groups = defaultdict(set)
     for i, x in enumerate(prints.view(np.int64)):
