@@ -138,21 +138,10 @@ def _delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = read_table(spark, sf_dir, "part")
     folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/delivery-{uuid.uuid4().hex}"
     part.write.option("header", True).csv(f"{folder}/in/part.csv")
-    done = convert_delivery(spark, f"{folder}/in/part.csv", f"{folder}/out", schemas=_AnySchema(part.schema))
+    done = convert_delivery(spark, f"{folder}/in/part.csv", f"{folder}/out", schemas=part.schema)
     return read_parquet(spark, done[0] if len(done) == 1 else f"{folder}/out/*.parquet")
 
 
-class _AnySchema(dict):
-    """The same schema for every file of a delivery."""
-
-    def __init__(self, schema):
-        super().__init__()
-        self.schema = schema
-
-    def get(self, key, default=None):
-        return self.schema
-
-
 def _events_xt(spark: SparkSession, sf_dir: str) -> Crosstab:
     cube = dec.decode(ec.cube(spark, sf_dir), ec.codebook())
     return Crosstab(cut_lineage(cube), CrosstabSpec.of(**EVENTS_XT), ec.codebook())

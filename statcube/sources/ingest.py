@@ -43,16 +43,16 @@ def delivery_files(spark: SparkSession, folder: str, pattern: str = "*.csv") ->
 
 
 def convert_delivery(spark: SparkSession, folder: str, out_dir: str | None = None,
-                     schemas: dict[str, T.StructType] | None = None, at_once: int = 8) -> list[str]:
+                     schemas: dict[str, T.StructType] | T.StructType | None = None, at_once: int = 8) -> list[str]:
     """Convert every CSV of ``folder`` to ``<out_dir>/<stem>.parquet`` (default:
     next to the CSV), several files at once (each is a Spark job of its own).
-    Returns the written paths."""
+    ``schemas``: by file stem, or one for all files. Returns the written paths."""
     out_dir = (out_dir or folder).rstrip("/")
 
     def convert(path: str) -> str:
         stem = path.rsplit("/", 1)[-1].removesuffix(".csv")
         target = f"{out_dir}/{stem}.parquet"
-        write_parquet(read_delivery_csv(spark, path, (schemas or {}).get(stem)), target)
+        write_parquet(read_delivery_csv(spark, path, schemas if isinstance(schemas, T.StructType) else (schemas or {}).get(stem)), target)
         return target
 
     with ThreadPoolExecutor(max_workers=max(1, at_once)) as pool:
