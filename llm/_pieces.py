@@ -23,7 +23,7 @@ from llm._batches import SPACE, Texts
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces and bytes of them that are kept between slices, at most; longer pieces are never kept.
-KEEP_PIECES, KEEP_BYTES, LONG_PIECE = 1_500_000, 48 << 20, 256
+KEEP_PIECES, KEEP_BYTES, LONG_PIECE = 1_000_000, 24 << 20, 256
 #: Bytes that surely begin no white space: ASCII but controls and space, and
 #: lead bytes of characters outside the blocks that hold white space.
 _SOLID = np.zeros(256, dtype=bool)
@@ -67,9 +67,13 @@ class PieceEncoder:
         return pa.array([(self.tokenizer.id_to_token(i) or "").encode() for i in range(n)], type=pa.large_binary())
 
     def _whole(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        out = [x.ids for x in self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
-        size = np.array([len(x) for x in out], dtype=np.int64)
-        return np.fromiter((i for x in out for i in x), dtype=np.uint32, count=int(size.sum())), size
+        ids, size = [np.zeros(0, dtype=np.uint32)], [np.zeros(0, dtype=np.int64)]
+        for a in range(0, len(texts), 4096):  # an encoding holds far more than its ids
+            out = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts[a:a + 4096]], add_special_tokens=False)
+            found = [x.ids for x in out]
+            size.append(np.array([len(x) for x in found], dtype=np.int64))
+            ids.append(np.fromiter((i for x in found for i in x), dtype=np.uint32, count=int(size[-1].sum())))
+        return np.concatenate(ids), np.concatenate(size)
 
     def _cut(self, t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if self.mode == "words":
