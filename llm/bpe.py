@@ -40,8 +40,10 @@ from llm._batches import SPACE, Texts, add_columns, byte_slices, mix, table
 from llm._pieces import PieceEncoder
 
 #: Mean, least and largest bytes of a chunk; bytes of a block.
-CHUNK, LEAST, LARGEST, BLOCK = 1024, 64, 16384, 8 << 20
+CHUNK, LEAST, LARGEST, BLOCK = 1024, 64, 16384, 6 << 20
 _GEAR = mix(np.arange(1, 257, dtype=np.uint64)).astype(np.uint32)
+#: Of the packed parts that are shuffled.
+LEVEL = 6
 _ROWS = "dest int, block long, kind int, part binary"
 
 
@@ -89,7 +91,7 @@ def cut_chunks(t: Texts) -> tuple[np.ndarray, np.ndarray]:
 def _pack(*arrays: np.ndarray | bytes) -> bytes:
     parts = [a if isinstance(a, bytes) else np.ascontiguousarray(a).tobytes() for a in arrays]
     head = np.array([len(parts), *map(len, parts)], dtype=np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(parts))
+    return zstandard.ZstdCompressor(level=LEVEL).compress(head + b"".join(parts))
 
 
 def _unpack(packed: bytes) -> list[bytes]:
@@ -115,20 +117,21 @@ def _send(keep: int, n_dest: int):
                 number: dict[bytes, int] = {}
                 codes = np.fromiter((number.setdefault(x, len(number)) for x in names), dtype=np.int32, count=len(names))
                 where = np.unique(codes, return_index=True)[1]
-                key = np.frombuffer(b"".join(number), dtype=np.uint8).reshape(-1, 16)
-                dest = (key.view(np.uint64)[:, 0] % np.uint64(n_dest)).astype(np.int64)
+                dest = (np.frombuffer(b"".join(number), dtype=np.uint64)[::2] % np.uint64(n_dest)).astype(np.int64)
+                chunks = [body[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist())]
+                head, tail = _open_ends(Texts.of(pa.array(chunks, type=pa.large_binary())))
                 sink = pa.BufferOutputStream()
-                rows = pa.RecordBatch.from_arrays(batch.columns[:keep], names=batch.schema.names[:keep]) if keep else None
-                if rows is not None:
-                    with pa.ipc.new_stream(sink, rows.schema) as writer:
-                        writer.write_batch(rows)
-                layout = _pack(np.diff(first), codes, sink.getvalue().to_pybytes())
+                rows = pa.RecordBatch.from_arrays(batch.columns[:keep], names=batch.schema.names[:keep])
+                with pa.ipc.new_stream(sink, rows.schema) as writer:
+                    writer.write_batch(rows)
+                before = b"".join([c[:h] for c, h in zip(chunks, head.tolist())])
+                after = b"".join([c[len(c) - z:] for c, z in zip(chunks, tail.tolist()) if z > 0])
+                layout = _pack(np.diff(first), codes, head.astype(np.int32), tail.astype(np.int32), before, after, sink.getvalue().to_pybytes())
                 out = [(int(block % n_dest), block, 0, layout)]
                 for d in np.unique(dest):
                     mine = np.flatnonzero(dest == d)
-                    s, e = starts[where[mine]], ends[where[mine]]
-                    text = b"".join([body[a:b] for a, b in zip(s.tolist(), e.tolist())])
-                    out.append((int(d), block, 1, _pack(mine.astype(np.int32), (e - s).astype(np.int32), key[mine], text)))
+                    inner = [chunks[i][head[i]:len(chunks[i]) - max(tail[i], 0)] for i in mine.tolist()]
+                    out.append((int(d), block, 1, _pack(mine.astype(np.int32), np.array([len(x) for x in inner], dtype=np.int32), b"".join(inner))))
                 yield _rows(out)
                 block += 1
     return work
@@ -140,9 +143,9 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
                                       names=["dest", "block", "kind", "part"])
 
 
-def _bodies(t: Texts) -> tuple[np.ndarray, np.ndarray]:
+def _open_ends(t: Texts) -> tuple[np.ndarray, np.ndarray]:
     """Lengths of each chunk before its first white space, and after its last
-    (-1: it has none)."""
+    (-1: it has none, and all of it is open)."""
     at = np.flatnonzero(SPACE[t.data])
     lo, hi = np.searchsorted(at, t.offsets[:-1]), np.searchsorted(at, t.offsets[1:])
     some = hi > lo
@@ -152,12 +155,17 @@ def _bodies(t: Texts) -> tuple[np.ndarray, np.ndarray]:
     return head, tail
 
 
+def _id_type(encoder: PieceEncoder) -> type:
+    return np.uint16 if encoder.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32
+
+
 def _encode_chunks(path: str):
-    """Each distinct chunk of a task is encoded once; every block that sent it
-    gets its ids, and the open words at its ends."""
+    """What lies between the open ends of chunks is encoded, each distinct one
+    of a task once; every block that sent it gets its ids."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = PieceEncoder.shared(path, "words")
-        done: dict[bytes, tuple[bytes, bytes, int, bytes]] = {}
+        digest, width = xxhash.xxh3_128_digest, _id_type(encoder)
+        done: dict[bytes, bytes] = {}
         for whole in batches:
             for batch in byte_slices(whole, "part", BLOCK // 8):
                 asked, fresh = [], {}
@@ -165,50 +173,38 @@ def _encode_chunks(path: str):
                     if kind == 0:
                         yield _rows([(0, block, 0, part)])
                         continue
-                    mine, size, keys, text = _unpack(part)
-                    ends = np.cumsum(np.frombuffer(size, dtype=np.int32), dtype=np.int64)
-                    names = [keys[i:i + 16] for i in range(0, len(keys), 16)]
-                    for name, b, e in zip(names, (ends - np.frombuffer(size, dtype=np.int32)).tolist(), ends.tolist()):
-                        if name not in done and name not in fresh:
-                            fresh[name] = text[b:e]
+                    mine, size, text = _unpack(part)
+                    ends = np.cumsum(np.frombuffer(size, dtype=np.int32), dtype=np.int64).tolist()
+                    inner = [text[a:b] for a, b in zip([0, *ends], ends)]
+                    names = [digest(x) for x in inner]
+                    fresh.update((name, x) for name, x in zip(names, inner) if name not in done)
                     asked.append((block, mine, names))
-                if fresh:
-                    t = Texts.of(pa.array(list(fresh.values()), type=pa.large_binary()))
-                    head, tail = _bodies(t)
-                    inner = [x[h:len(x) - max(z, 0)] if z >= 0 else b"" for x, h, z in zip(fresh.values(), head.tolist(), tail.tolist())]
-                    ids, first = encoder.encode(Texts.of(pa.array(inner, type=pa.large_binary())))
-                    for i, (name, x) in enumerate(fresh.items()):
-                        z = int(tail[i])
-                        done[name] = (ids[first[i]:first[i + 1]].tobytes(), x[:int(head[i])], z, x[len(x) - z:] if z > 0 else b"")
+                ids, first = encoder.encode(Texts.of(pa.array(list(fresh.values()), type=pa.large_binary())))
+                ids = ids.astype(width)
+                for i, name in enumerate(fresh):
+                    done[name] = ids[first[i]:first[i + 1]].tobytes()
                 for block, mine, names in asked:
                     got = [done[x] for x in names]
-                    sizes = np.array([(len(g[0]) // 4, len(g[1]), g[2]) for g in got], dtype=np.int32)
-                    ids = np.frombuffer(b"".join([g[0] for g in got]), dtype=np.uint32)
-                    narrow = ids.astype(np.uint16) if not len(ids) or int(ids.max()) < 1 << 16 else ids
-                    ends_ = b"".join([g[1] for g in got]), b"".join([g[3] for g in got])
-                    yield _rows([(0, block, 1, _pack(mine, sizes, np.array([narrow.itemsize]), narrow, *ends_))])
+                    yield _rows([(0, block, 1, _pack(mine, np.array([len(g) for g in got], dtype=np.int32), b"".join(got)))])
     return work
 
 
 def _assemble(layout: bytes, parts: list[bytes], encoder: PieceEncoder) -> tuple[np.ndarray, np.ndarray, bytes]:
     """Ids of a block's documents, the index of each document's first, and the
     block's other columns."""
-    counts, codes, rows = _unpack(layout)
+    counts, codes, heads, tails, before, after, rows = _unpack(layout)
     counts, codes = np.frombuffer(counts, dtype=np.int64), np.frombuffer(codes, dtype=np.int32)
-    n = int(codes.max()) + 1 if len(codes) else 0
-    head, tail, size = [b""] * n, [b""] * n, np.zeros(n + 1, dtype=np.int64)
-    opens, bodies, order = np.ones(n, dtype=bool), [], []
+    heads, tails = np.frombuffer(heads, dtype=np.int32).astype(np.int64), np.frombuffer(tails, dtype=np.int32).astype(np.int64)
+    n, opens = len(heads), tails < 0
+    h, t = np.cumsum(heads).tolist(), np.cumsum(np.maximum(tails, 0)).tolist()
+    head, tail = [before[a:b] for a, b in zip([0, *h], h)], [after[a:b] for a, b in zip([0, *t], t)]
+    size, width = np.zeros(n + 1, dtype=np.int64), _id_type(encoder)
+    bodies, order = [], []
     for part in parts:
-        mine, sizes, width, ids, heads, tails = _unpack(part)
-        mine, sizes = np.frombuffer(mine, dtype=np.int32), np.frombuffer(sizes, dtype=np.int32).reshape(-1, 3)
-        bodies.append(np.frombuffer(ids, dtype=np.uint16 if np.frombuffer(width, dtype=np.int64)[0] == 2 else np.uint32).astype(np.uint32))
-        order.append(mine)
-        size[mine] = sizes[:, 0]
-        opens[mine] = sizes[:, 2] < 0
-        h = t = 0
-        for code, a, b in zip(mine.tolist(), sizes[:, 1].tolist(), np.maximum(sizes[:, 2], 0).tolist()):
-            head[code], tail[code] = heads[h:h + a], tails[t:t + b]
-            h, t = h + a, t + b
+        mine, sizes, ids = _unpack(part)
+        order.append(np.frombuffer(mine, dtype=np.int32))
+        size[order[-1]] = np.frombuffer(sizes, dtype=np.int32) // np.dtype(width).itemsize
+        bodies.append(np.frombuffer(ids, dtype=width).astype(np.uint32))
     order = np.concatenate(order) if order else np.zeros(0, dtype=np.int32)
     if len(order) != n:
         raise RuntimeError("a block lacks chunks: its partition was recomputed with other rows")
