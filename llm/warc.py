@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from llm._batches import byte_slices, shared_folder, stored, table
 
-FILE_BYTES, FANOUT, LEVELS = 4 << 20, 16, 5
+FILE_BYTES, FANOUT, LEVELS = 4 << 20, 16, 3
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -121,12 +121,12 @@ def read(files: DataFrame) -> DataFrame:
     return files.select("file", "content").mapInArrow(work, "file string, offset long, length long, page_id long, url string, html string")
 
 
-def leaves(index: DataFrame, replica: DataFrame) -> DataFrame:
-    """(shard, file, seq, hash) of one replica (file, content) at the byte ranges
-    of the index (shard, file, records); a range that is not there has a null
-    hash. The last leaf of a file is what follows its records."""
-    both = index.select("shard", "file", "records.offset", "records.length").join(
-        replica.select("file", "content"), "file", "left").select("shard", "file", "offset", "length", "content")
+def leaves(files: DataFrame) -> DataFrame:
+    """(shard, file, seq, hash) of the files of one replica (shard, file,
+    records, content) at the byte ranges of their index; a range that is not
+    there (or a null content) has a null hash. The last leaf of a file is what
+    follows its records."""
+    both = files.select("shard", "file", "records.offset", "records.length", "content")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,12 +155,14 @@ def _joined(nodes: DataFrame, by: list[str], order: str) -> DataFrame:
 
 
 def tree(leaf: DataFrame) -> list[DataFrame]:
-    """Levels of the tree, leaves first: nodes of 1, 16, ... records of a file,
-    then files, shards, and the root."""
+    """Levels of the tree, leaves first: nodes of 1, 16, 256, 4096 records of a
+    file, then files (a few top nodes each), shards, and the root. The nodes of
+    16 records are stored; what is above them is a fraction of their size."""
     levels = [leaf.withColumnRenamed("seq", "node")]
-    for _ in range(LEVELS):
+    for i in range(LEVELS):
         up = levels[-1].withColumn("up", F.floor(F.col("node") / FANOUT).cast("int"))
-        levels.append(_joined(up, ["shard", "file", "up"], "node").withColumnRenamed("up", "node"))
+        level = _joined(up, ["shard", "file", "up"], "node").withColumnRenamed("up", "node")
+        levels.append(level if i else stored(level, "nodes"))
     top = levels[-1]
     files = _joined(top, ["shard", "file"], "node")
     shards = _joined(files, ["shard"], "file")
@@ -173,8 +175,8 @@ def audit(ours: DataFrame, replica: DataFrame) -> DataFrame:
     ``replica`` (file, content): shard, file, seq, offset, length, page_id, url
     and ``status`` (changed, missing, or trailing)."""
     index = ours.select("shard", "file", "records")
-    mine = tree(stored(leaves(index, ours), "leaves"))
-    theirs = tree(stored(leaves(index, replica), "leaves"))
+    mine = tree(stored(leaves(ours), "leaves"))
+    theirs = tree(stored(leaves(index.join(replica.select("file", "content"), "file", "left")), "leaves"))
     keys = [["all"], ["shard"], ["shard", "file"]] + [["shard", "file", "node"]] * (LEVELS + 1)
     differ = None
     for depth, (a, b, by) in enumerate(zip(reversed(mine), reversed(theirs), keys)):
