@@ -154,6 +154,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def hash_sample(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """At most ``rows`` rows, those of the smallest hash of ``keys``. A threshold
+    on the hash leaves about three times as many before any task gathers its
+    smallest, so what reaches one place does not grow with the number of tasks."""
+    n, h = df.count(), F.xxhash64(*keys)
+    if n > 3 * rows:
+        df = df.where(F.pmod(h, F.lit(1 << 40)) < (1 << 40) * 3 * rows // n)
+    return df.orderBy(F.pmod(h, F.lit(1 << 40)), h).limit(rows)
+
+
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 

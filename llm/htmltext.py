@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from llm._batches import SPACE, Texts, add_columns, table, word_hashes
+from llm._batches import SPACE, Texts, add_columns, hash_sample, table, word_hashes
 
 SAMPLE_PAGES, SAMPLE_CHARS, FORMS, EPOCHS, SEED = 200, 30_000, 3, 12, 11
 PATH_BUCKETS, WORD_BUCKETS, PATH_DIM, WORD_DIM, MEASURES, HIDDEN = 1024, 512, 24, 8, 6, 20
@@ -403,7 +403,7 @@ def extract(model: Labeller, pages: list[str]) -> list[str]:
 
 def sample_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> list[str]:
     rows = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{html_col}`").alias("html")).where(F.length("html").between(1, SAMPLE_CHARS))
-    return [r.html for r in rows.orderBy(F.xxhash64("id"), "id", F.length("html")).limit(SAMPLE_PAGES).collect()]
+    return sorted(r.html for r in hash_sample(rows, SAMPLE_PAGES, "id", "html").collect())
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: list[str] | None = None, model: Labeller | None = None) -> DataFrame:
