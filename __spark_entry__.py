@@ -17,6 +17,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -35,7 +36,7 @@ from statcube.session import cut_lineage, ensure_checkpoint_dir  # noqa: E402
 from statcube.plans.presets import load_presets, preset_batch, preset_crosstab  # noqa: E402
 from statcube.plans.report import ReportBatch  # noqa: E402
 from statcube.sources.catalog import enabled_datasets, list_datasets  # noqa: E402
-from statcube.sources.codebook import REGION_COUNTIES  # noqa: E402
+from statcube.sources.codebook import REGION_COUNTIES, Codebook  # noqa: E402
 from statcube.sources.ingest import convert_delivery  # noqa: E402
 from statcube.sources.specs import read_specs  # noqa: E402
 from statcube.sources.tables import read_parquet, read_table  # noqa: E402
@@ -122,6 +123,26 @@ def _growth_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return growth_summary(_xt(spark, sf_dir, GROWTH).growth("all"), "DATA_YR")
 
 
+# County names in the order of the static region list; nations 0-19 stand for them.
+COUNTIES = [(c, r) for r, names in REGION_COUNTIES.items() for c in names][:20]
+NATION_BINS = {k: "0-9" if k < 10 else "10-19" if k < 20 else "20-24" for k in range(25)}
+
+
+def _region_static(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders by region of the static list: some nations carry names that it
+    lists, the others are unclassified."""
+    codes = {"codes": {i: c for i, (c, _) in enumerate(COUNTIES)}}
+    rows = dec.decode(oc.microdata(spark, sf_dir).select("COUNTY", "cents"), Codebook({"COUNTY": codes}))
+    return dec.derive_region(rows).groupBy("REGION").agg(F.count("*").alias("n_orders"), F.sum("cents").alias("cents"))
+
+
+def _bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Many codes to one label: nations in three bins, counted over the cube."""
+    cube = dec.decode(oc.coded_cube(spark, sf_dir, suppress=False), Codebook({"COUNTY": {"codes": NATION_BINS}}))
+    spec = CrosstabSpec.of("DATA_YR", ["COUNTY"], [], "CNT", {})
+    return Crosstab(cut_lineage(cube), spec).cells(percentages=False)
+
+
 def _headline(title: str) -> str:
     """The first line of a sheet, from its title in the table of contents."""
     name, _, unit = title.rpartition(" ")
@@ -212,6 +233,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "cube_with_gaps": oc.cube_with_gaps,
         "reference_rows": lambda s, d: _xt(s, d, REF, materialize=False).reference_rows("1997"),
         "delivery_csv": _delivery,
+        "region_static": _region_static,
+        "coarse_bins": _bins,
         # catalogue (S4, S5, S9) and SQL over a registered view
         "catalog_enabled": lambda s, d: enabled_datasets(list_datasets(s, d), DISABLED),
         "sql_gid_fingerprint": _sql_fingerprint,
@@ -327,6 +350,15 @@ def oracle_sql() -> dict[str, str]:
         "cube_with_gaps": O.CUBE_WITH_GAPS,
         "reference_rows": O.with_cube(f"SELECT * FROM d WHERE {O.reference_where('DATA_YR', ['COUNTY'], [], REF['filters'])} AND DATA_YR = 1997"),
         "delivery_csv": "SELECT * FROM part",
+        "region_static": "SELECT CASE c_nationkey " + " ".join(f"WHEN {i} THEN {O.lit(r)}" for i, (_, r) in enumerate(COUNTIES))
+                         + " ELSE '未分類區域' END AS \"REGION\", CAST(count(*) AS BIGINT) AS n_orders, "
+                           "CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents "
+                           "FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1",
+        "coarse_bins": "WITH r AS (SELECT CAST(year(o_orderdate) AS BIGINT) AS y, CASE WHEN c_nationkey < 10 THEN '0-9' WHEN c_nationkey < 20 "
+                       "THEN '10-19' ELSE '20-24' END AS b FROM orders JOIN customer ON o_custkey = c_custkey), "
+                       "g AS (SELECT y AS \"DATA_YR\", b AS \"COUNTY\", GROUPING(b) = 1 AS is_row_total, CAST(count(*) AS BIGINT) AS value "
+                       "FROM r GROUP BY GROUPING SETS ((y, b), (y))) "
+                       "SELECT \"DATA_YR\", \"COUNTY\", is_row_total, t AS is_col_total, value FROM g, (VALUES (TRUE), (FALSE)) AS v(t)",
         "lineitem_crosstab": O.lineitem_crosstab(**LINEITEM_XT),
         "events_crosstab": O.events_crosstab(**EVENTS_XT),
         "events_weighted_avg": O.events_weighted_avg(**EVENTS_XT, names=["Average value"]),
