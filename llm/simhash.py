@@ -158,7 +158,7 @@ def _variants(fp: str, max_bits: int):
     for a, width in _segments(64, max_bits):
         for skip in range(a, a + width):
             mask = ((1 << width) - 1) & ~(1 << (skip - a))
-            value = F.shiftrightunsigned(F.col(fp), a).bitwiseAND(F.lit(mask))
+            value = F.shiftrightunsigned(F.col(fp), a).bitwiseAND(F.lit(mask - (1 << 64) if mask >= 1 << 63 else mask))
             keys.append(value + F.lit(skip << 40).cast("long") if width <= 40 else F.xxhash64(F.lit(skip), value))
     return F.array(*keys)
 
@@ -223,7 +223,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ids = nodes.join(found, nodes.fingerprint == found.node)
     of_root = ids.groupBy("root").agg(F.min("least").alias("least"))
     linked = found.join(of_root, "root").select(F.col("node").alias("fingerprint"), F.col("least").alias("joint"))
-    named = nodes.join(linked, "fingerprint", "left").select("fingerprint", F.coalesce("joint", "least").alias("component"))
+    # stored, so that both sides of the last join are plain shuffles and a hot fingerprint can be split
+    named = stored(nodes.join(linked, "fingerprint", "left").select("fingerprint", F.coalesce("joint", "least").alias("component")), "simhash-named")
     return prints.join(named, "fingerprint").select(
         F.col("id").alias(id_col), "fingerprint", F.nullif("component", top).alias("component_id"))
 
