@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from llm._batches import LOWER, Texts, add_columns, byte_slices, byte_table, mix, stored, table, word_hashes
+from llm._batches import LOWER, Texts, add_columns, byte_slices, byte_table, hash_sample, mix, stored, table, word_hashes
 from llm.simhash import _shingle_hashes
 
 #: Labelled rows that the classifier is fitted on, at most.
@@ -229,7 +229,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     swaps = _swaps(IDENTITY_GROUPS if groups is None else groups)
     label = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(
         (F.avg(F.col(label_col).cast("double")) >= 0.5).cast("int").alias("y"))
-    sample = label.where(learns_from(F.col("id"))).orderBy(F.xxhash64("id"), "id").limit(sample_rows)
+    sample = hash_sample(label.where(learns_from(F.col("id"))), sample_rows, "id")
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(sample), "id")
     train = stored(_with_sketch(rows.select("text", "y")).dropDuplicates(["sketch", "y"]).select("text", "y"), "toxicity-sample")
     sizes = {r.y: r.n for r in train.groupBy("y").agg(F.count("*").alias("n")).collect()}
