@@ -13,7 +13,7 @@ and a task that is run again replaces its own file:
 
 A reader gets at one short document with the segment's row and one frame. The
 dictionary is trained on the serialized ids of a bounded sample of documents
-(``SAMPLE_DOCS`` by hash of the id, ``SAMPLE_CHARS`` characters of each); it
+(``SAMPLE_DOCS`` by hash, ``SAMPLE_CHARS`` characters of each); it
 bears on the size only. All documents are encoded whole.
 
 Defined cases: null and empty texts hold the end id alone; documents without id
@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm._batches import Texts, byte_slices, shared_folder, table
+from llm._batches import Texts, byte_slices, hash_sample, shared_folder, table
 from llm._pieces import PieceEncoder
 
 END_ID, LEVEL = 2, 3
@@ -87,7 +87,7 @@ def write(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "tex
             data, first = _serialized(Texts.of(batch.column(0)), encoder, end_id, width)
             yield pa.RecordBatch.from_arrays([pa.array([data[width * a:width * b] for a, b in zip(first, first[1:])], type=pa.binary())], names=["ids"])
 
-    sample = docs.select("id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).orderBy(F.xxhash64("id"), "id").limit(SAMPLE_DOCS)
+    sample = hash_sample(docs.withColumn("text", F.substring("text", 1, SAMPLE_CHARS)), SAMPLE_DOCS, "id", "text")
     content = train_dictionary(sorted(bytes(r.ids) for r in sample.select("text").mapInArrow(serialize, "ids binary").collect()))
     name = hashlib.sha256(content).hexdigest()
     spark.createDataFrame([(name, content, end_id, width)], "hash string, bytes binary, end_id int, width int").coalesce(1).write.parquet(f"{path}/dictionary")
