@@ -7,7 +7,8 @@ encodings are kept from one slice to the next, up to a bound.
 
 Modes: ``words`` for tokenizers that drop white space (pieces are runs of other
 bytes); ``spaced`` for byte-level ones whose words take one space before them
-(a piece begins at a space whose next character is surely no white space).
+(a piece begins at a space whose next character is surely no white space, at
+punctuation after a letter, and at a line end after a character).
 """
 
 from __future__ import annotations
@@ -18,12 +19,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from llm._batches import SPACE, Texts
+from llm._batches import SPACE, Texts, byte_table
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces and bytes of them that are kept between slices, at most; longer pieces are never kept.
-KEEP_PIECES, KEEP_BYTES, LONG_PIECE = 1_000_000, 24 << 20, 256
+KEEP_PIECES, KEEP_BYTES, LONG_PIECE = 1_500_000, 32 << 20, 256
 #: Bytes that surely begin no white space: ASCII but controls and space, and
 #: lead bytes of characters outside the blocks that hold white space.
 _SOLID = np.zeros(256, dtype=bool)
@@ -31,6 +32,10 @@ _SOLID[0x21:0x7F] = True
 _SOLID[0xC3:0xF5] = True
 _SOLID[[0xE1, 0xE2, 0xE3]] = False
 
+_ASCII_SOLID = _SOLID & (np.arange(256) < 0x80)
+_LETTER = byte_table(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+_MARK = byte_table(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
+
 _LOADED: dict = {}
 
 
@@ -80,7 +85,10 @@ class PieceEncoder:
             return t.words(SPACE)
         begin = np.zeros(len(t.data) + 1, dtype=bool)
         if len(t.data) > 1:
-            begin[:-2] = (t.data[:-1] == 32) & _SOLID[t.data[1:]]
+            before, after = t.data[:-1], t.data[1:]
+            begin[:-2] = (before == 32) & _SOLID[after]
+            # a letter never goes on into punctuation, nor anything solid into a line end
+            begin[1:-1] |= (_LETTER[before] & _MARK[after]) | ((after == 10) & _ASCII_SOLID[before])
         for text in self._with_special(t):  # white space before a special token counts apart
             begin[t.offsets[text]:t.offsets[text + 1]] = False
         begin[t.offsets[1:] - 1] = False  # a last space is followed by nothing
@@ -130,5 +138,11 @@ class PieceEncoder:
             self.pieces = pa.concat_arrays([self.pieces, distinct.take(pa.array(fresh)).cast(pa.large_binary())])
             self.first, self.ids = first, ids
         if len(self.pieces) > KEEP_PIECES or self.pieces.nbytes > KEEP_BYTES:
-            self._clear()
+            self._clear()  # and start again from the pieces of this slice
+            if keep.all() and distinct.nbytes < KEEP_BYTES // 2:
+                size = np.diff(first)[at]
+                end = np.cumsum(size)
+                self.pieces = pa.concat_arrays([distinct.cast(pa.large_binary())])
+                self.first = np.concatenate([[0], end])
+                self.ids = ids[np.arange(int(end[-1])) + np.repeat(first[at] - (end - size), size)]
         return first[at], np.diff(first)[at], ids
