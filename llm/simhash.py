@@ -236,8 +236,16 @@ def op10_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the document with the smallest id of each component. Rows
-    that repeat an id count as one document."""
-    best = near_duplicates(docs).select("component_id").distinct()
-    rows = docs.join(best, docs.doc_id.eqNullSafe(best.component_id), "left_semi")
-    return rows.dropDuplicates(["doc_id"]).select(*docs.columns)
+    """Pipeline stage: exactly one row of each component, the one with the smallest
+    id (nulls last), then text hash, then row key. Rows are told apart by a
+    stored row key, never by id, so null and repeated ids lose no other row."""
+    kept = docs.select(F.struct(*docs.columns).alias("all"), F.monotonically_increasing_id().alias("row"), F.col("doc_id").alias("id"),
+                       F.xxhash64("text").alias("hash"), "text")
+    rows = stored(add_fingerprint(kept, keep=["all", "row", "id", "hash"]), "simhash-rows")
+    order = F.struct(F.col("id").isNull().alias("no_id"), "id", "hash", "row")
+    nodes = stored(rows.groupBy("fingerprint").agg(F.min(order).alias("best")), "simhash-nodes")
+    links = stored(fingerprint_links(nodes).distinct(), "simhash-links")
+    found = components(links)  # node, root: the smallest fingerprint
+    named = nodes.join(found, nodes.fingerprint == found.node, "left").select(F.coalesce("root", "fingerprint").alias("component"), "best")
+    best = named.groupBy("component").agg(F.min("best").alias("best")).select(F.col("best.row").alias("row"))
+    return rows.join(best, "row", "left_semi").select("all.*")

@@ -460,6 +460,19 @@ def test_simhash_components(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_keep_one_row_of_each_component(spark):
+    """Null and repeated ids: one row a component, whatever its id."""
+    texts = some_texts(40)
+    prints = [_fingerprint(t) for t in texts]
+    a, b, c, d, e, f, g = (texts[i] for i in [i for i, r in enumerate(_components(prints)) if r == i and _components(prints).count(i) == 1][:7])
+    rows = [(3, a), (5, a), (5, b), (None, c), (None, d), (None, d), (7, e), (7, f), (None, g), (9, g), (9, g)]
+    df = spark.createDataFrame([(i, t, f"extra {k}") for k, (i, t) in enumerate(rows)], "doc_id long, text string, fingerprint string").repartition(3)
+    got = simhash.keep_one(spark, df, SF)
+    assert got.columns == df.columns
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter([(3, a), (5, b), (None, c), (None, d), (7, e), (7, f), (9, g)])
+    assert simhash.keep_one(spark, df.limit(0), SF).count() == 0
+
+
 @pytest.mark.parametrize("dense, reach", [(2048, 4), (16, 4), (2048, 1), (2048, 6)])
 def test_links_lose_no_component(spark, monkeypatch, dense, reach):
     monkeypatch.setattr(simhash, "DENSE", dense)
