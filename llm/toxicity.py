@@ -7,7 +7,9 @@ labelled text are swapped for others of their group ("women" for "men"), so
 that a neutral mention of a group does not raise the score.
 
 Fitting: the labels (at most ``SAMPLE_ROWS`` rows, by hash of the id) meet the
-texts in a broadcast join; texts that are near copies of each other count once.
+texts in a broadcast join. Of texts of one label with the same smallest shingle
+hash, the one with the smallest id (then text) stands for those that share
+``COPIES`` of their shingles with it; all others count as texts of their own.
 Features are hashed to 64 bits. A first pass counts texts per hash bucket and
 label, a second one brings the features of telling buckets to the driver
 (bounded by the sample), where the weights are fitted. Scoring reads whole
@@ -36,6 +38,8 @@ from llm.simhash import _shingle_hashes
 
 #: Labelled rows that the classifier is fitted on, at most.
 SAMPLE_ROWS = 12_000
+#: Share of shingles from which two texts are near copies, told from this many of their smallest hashes.
+COPIES, SIGNATURE = 0.5, 64
 NGRAMS = (4, 5, 6)
 BUCKET_BITS, TOP_BUCKETS, TOP_FEATURES = 20, 8192, 2048
 L1, COUNTERFACTUAL = 2e-4, 1.0
@@ -207,19 +211,29 @@ def learns_from(doc_id) -> F.Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 != 0
 
 
-def _with_sketch(df: DataFrame) -> DataFrame:
-    """``sketch``: the smallest shingle hash, equal for most near copies."""
+def _with_signature(df: DataFrame) -> DataFrame:
+    """``signature``: the smallest distinct shingle hashes, ascending, and
+    ``sketch``, the first of them (0 without words), equal for most near copies."""
     def make():
         def work(column: pa.Array) -> list[pa.Array]:
             h, begin = _shingle_hashes(Texts.of(column), 4)
-            out = np.zeros(len(begin) - 1, dtype=np.uint64)
-            full = np.flatnonzero(np.diff(begin))
-            if len(full):
-                out[full] = np.minimum.reduceat(h, begin[:-1][full])
-            return [pa.array(out.view(np.int64))]
+            h = (h >> np.uint64(1)).view(np.int64)  # in the same order when signed
+            least = [np.unique(h[a:b])[:SIGNATURE] for a, b in zip(begin, begin[1:])]
+            return [pa.array(least, type=pa.list_(pa.int64())), pa.array([int(x[0]) if len(x) else 0 for x in least], type=pa.int64())]
         return work
 
-    return add_columns(df, "text", [T.StructField("sketch", T.LongType())], make)
+    return add_columns(df, "text", [T.StructField("signature", T.ArrayType(T.LongType())), T.StructField("sketch", T.LongType())], make)
+
+
+def _once(rows: DataFrame) -> DataFrame:
+    """(text, y) of the rows (id, text, y), near copies once."""
+    signed = stored(_with_signature(rows.select("id", F.coalesce("text", F.lit("")).alias("text"), "y")), "toxicity-labelled")
+    first = stored(signed.groupBy("sketch", "y").agg(F.min(F.struct("id", "text", "signature")).alias("first")), "toxicity-first")
+    both = signed.join(first.select("sketch", "y", F.col("first.signature").alias("other")), ["sketch", "y"])
+    least = F.slice(F.array_sort(F.array_union("signature", "other")), 1, SIGNATURE)
+    shared = F.size(F.array_intersect(least, F.array_intersect("signature", "other")))
+    apart = both.where(shared < COPIES * F.size(least)).select("text", "y").distinct()
+    return first.select("first.text", "y").unionByName(apart)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
@@ -231,7 +245,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         (F.avg(F.col(label_col).cast("double")) >= 0.5).cast("int").alias("y"))
     sample = hash_sample(label.where(learns_from(F.col("id"))), sample_rows, "id")
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(sample), "id")
-    train = stored(_with_sketch(rows.select("text", "y")).dropDuplicates(["sketch", "y"]).select("text", "y"), "toxicity-sample")
+    train = stored(_once(rows), "toxicity-sample")
     sizes = {r.y: r.n for r in train.groupBy("y").agg(F.count("*").alias("n")).collect()}
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
     if not pos or not neg:
@@ -266,7 +280,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(own, type=pa.binary()), pa.array(other, type=pa.binary())], names=["y", "own", "other"])
 
     got = train.mapInArrow(telling, "y int, own binary, other binary").collect()
-    got.sort(key=lambda r: (r.y, bytes(r.own)))
+    got.sort(key=lambda r: (r.y, bytes(r.own), r.other is not None, bytes(r.other or b"")))
     features = [np.frombuffer(r.own, dtype=np.uint64) for r in got]
     swapped = [(i, np.frombuffer(r.other, dtype=np.uint64)) for i, r in enumerate(got) if r.other is not None]
     return fit_weights(features, np.array([r.y for r in got]), swapped, np.unique(always))

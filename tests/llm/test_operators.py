@@ -359,6 +359,20 @@ def test_toxicity_awkward_rows(spark):
     assert toxicity.score(df.limit(0), toxicity.fit(df.limit(0), empty)).count() == 0
 
 
+def test_training_keeps_texts_that_share_a_passage(spark):
+    """Distinct texts with one passage in common stay; of near copies the smallest id does."""
+    words = [f"w{i}" for i in range(4000)]
+    passage = " ".join(words[:40])
+    texts = [" ".join(words[100 * i:100 * i + 60]) + " " + passage for i in range(1, 31)]
+    copies = [" ".join(words[3500:3700]) + f" end{i}" for i in range(6)]
+    rows = [(100 + i, t, 1) for i, t in enumerate(texts)] + [(10 - i, t, 0) for i, t in enumerate(copies)] + [(200, texts[0], 1), (201, texts[0], 0), (202, None, 0), (203, "", 0)]
+    for parts in (1, 5):
+        df = spark.createDataFrame(rows, "id long, text string, y int").repartition(parts)
+        got = [(r.text, r.y) for r in toxicity._once(df).collect()]
+        assert {t for t, y in got if y == 1} == set(texts) and len(got) == len(texts) + 3
+        assert {t for t, y in got if y == 0} == {copies[5], texts[0], ""}
+
+
 # --- 9 decontamination ----------------------------------------------------------------------------
 
 
