@@ -16,7 +16,7 @@ STAGES = [
     ("BPE encoding and decoding", bpe.encode_stage),
 ]
 
-#: Models, fingerprints and tokenizers are beyond SQL: see tests/llm/test_pipeline.py.
+#: Models, fingerprints and tokenizers are beyond SQL: see tests/llm/test_queries.py.
 ORACLE_SQL = None
 
 

@@ -48,6 +48,14 @@ def test_pipeline_by_plain_steps(spark):
     assert {r.doc_id: r.ids_sha256 for r in rows} == want and len(rows) == len(want)
 
 
+def test_op10_by_plain_python(spark):
+    """The registered query: hex fingerprints and components of the small table."""
+    docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect())
+    prints = [_fingerprint(t) for _, t in docs]
+    want = [(i, f"{p:016x}", docs[r][0]) for (i, _), p, r in zip(docs, prints, _components(prints))]
+    assert sorted(tuple(r) for r in queries.queries()["op10_simhash_near_dedup"](spark, SF).collect()) == want
+
+
 def test_stages_take_awkward_tables(spark, tmp_path):
     from tests.llm.fixtures import AWKWARD, docs
 
