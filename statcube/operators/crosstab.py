@@ -36,7 +36,8 @@ ROW_TOTAL, COL_TOTAL, VALUE = "is_row_total", "is_col_total", "value"
 def key_grid(left: DataFrame, right: DataFrame) -> DataFrame:
     """Every row of ``left`` with every row of ``right`` (distinct keys; the
     columns of a sheet, or its tabs). ``right`` becomes one array, a scalar
-    subquery, that each left row explodes: no join and nothing on the driver."""
+    subquery, that each left row explodes: no join, but one task gathers all
+    keys and they pass the driver, without a bound."""
     keys = right.agg(F.collect_set(F.struct(*right.columns)).alias("k"))
     return left.withColumn("_keys", keys.scalar()).select(*left.columns, F.inline("_keys"))
 
