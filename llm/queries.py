@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from llm import bpe, decontaminate, htmltext, quality, sharding, simhash, tokenfile, toxicity, urlfilter, warc
+from llm import bpe, decontaminate, fim, htmltext, quality, sharding, simhash, tokenfile, toxicity, urlfilter, warc
 
 
 def queries() -> dict:
@@ -19,8 +19,10 @@ def queries() -> dict:
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
+        "op11_fill_in_middle": fim.op11_fill_in_middle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_cascade": quality.ORACLE, "op9_decontaminate": decontaminate.ORACLE, "op6_temporal_url_filter": urlfilter.ORACLE}
+    return {"op4_quality_cascade": quality.ORACLE, "op9_decontaminate": decontaminate.ORACLE, "op6_temporal_url_filter": urlfilter.ORACLE,
+            "op11_fill_in_middle": fim.ORACLE}

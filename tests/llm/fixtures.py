@@ -9,7 +9,7 @@ def docs(spark, texts, extra=()):
     """documents with ids 0.. (a null id first), a repeated row, and extra columns."""
     rows = [(None if i == 0 else i, t, "en", "s", 0, *["clash"] * len(extra)) for i, t in enumerate(texts)]
     rows += rows[-1:]
-    schema = "doc_id long, text string, lang string, source string, n_chars long" + "".join(f", {c} string" for c in extra)
+    schema = "doc_id long, text string, lang string, source string, n_chars long" + "".join(f", `{c}` string" for c in extra)
     return spark.createDataFrame(rows, schema).repartition(3)
 
 

@@ -23,7 +23,7 @@ def test_query_matches_sql(spark, name):
 
 
 def test_names():
-    assert {"pipeline", *queries.queries()} >= {"pipeline"} and sorted(int(n[2:].split("_")[0]) for n in queries.queries() if n != "pipeline") == list(range(1, 11))
+    assert {"pipeline", *queries.queries()} >= {"pipeline"} and sorted(int(n[2:].split("_")[0]) for n in queries.queries() if n != "pipeline") == list(range(1, len(queries.queries())))
 
 
 def test_pipeline_by_plain_steps(spark):
