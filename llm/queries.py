@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from llm import bpe, decontaminate, fim, htmltext, quality, sharding, simhash, spelling, tokenfile, toxicity, urlfilter, warc
+from llm import bpe, decontaminate, fim, htmltext, jaccard, quality, sharding, simhash, spelling, tokenfile, toxicity, urlfilter, warc
 
 
 def queries() -> dict:
@@ -20,6 +20,7 @@ def queries() -> dict:
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
         "op11_fill_in_middle": fim.op11_fill_in_middle,
+        "op12_jaccard_join": jaccard.op12_jaccard_join,
         "op13_spelling_groups": spelling.op13_spelling_groups,
     }
 
