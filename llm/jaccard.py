@@ -46,13 +46,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm._batches import Texts, byte_slices, mix, stored, table
+from llm._batches import SLICE_BYTES, Texts, byte_slices, mix, stored, table
 from llm.components import components
 from llm.simhash import _shingle_hashes
 
 WORDS, PERCENT = 4, 85
 #: Text bytes of a group, hash ranges of a partition, shingles of a part of a block.
-GROUP_BYTES, RANGES, BLOCK = 16 << 20, 4, 2_000_000
+GROUP_BYTES, RANGES, BLOCK = 8 << 20, 4, 2_000_000
 #: Weight of a binary probe against a merge step in the choice of L.
 PROBE = 0.0085
 
@@ -85,24 +85,27 @@ MEMBERS = "ids array<long>, which array<int>, node array<long>, n array<int>"
 
 def _postings(words: int, ranges: int, group_bytes: int):
     """Task function: (id, text) to rows (range, g, members or postings of a group)."""
-    def group(g: int, ids: pa.Array, texts: Texts) -> Iterator[pa.RecordBatch]:
-        hashes, begin = _shingle_hashes(texts, words)
-        doc = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(begin))
-        order = np.argsort(hashes, kind="stable")
-        h, d = hashes[order], doc[order]
+    def group(g: int, held: list) -> Iterator[pa.RecordBatch]:
+        ids = [i for part, _, _ in held for i in part.to_pylist()]
+        doc = np.repeat(np.arange(len(ids), dtype=np.int32), np.concatenate([n for _, _, n in held]))
+        h = np.concatenate([x for _, x, _ in held])
+        held.clear()
+        order = np.argsort(h, kind="stable")
+        h, d = h[order], doc[order]
+        del order, doc
         first = np.ones(len(h), dtype=bool)
         first[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
         h, d = h[first], d[first]
-        n = np.bincount(d, minlength=len(texts)).astype(np.int32)
+        n = np.bincount(d, minlength=len(ids)).astype(np.int32)
         node = mix(n.astype(np.uint64))
         by_doc = np.argsort(d, kind="stable")
         full = np.flatnonzero(n)
         if len(full):
             node[full] += np.add.reduceat(mix(h[by_doc] + np.uint64(1)), (np.cumsum(n) - n)[full])
         sets, one = np.unique(node[full], return_index=True)  # equal sets once
-        which = np.full(len(texts), -1, dtype=np.int32)
+        which = np.full(len(ids), -1, dtype=np.int32)
         which[full] = np.searchsorted(sets, node[full])
-        kept = np.zeros(len(texts), dtype=bool)
+        kept = np.zeros(len(ids), dtype=bool)
         kept[full[one]] = True
         h, d = h[kept[d]], which[d[kept[d]]]
         at = ((h >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
@@ -112,7 +115,7 @@ def _postings(words: int, ranges: int, group_bytes: int):
         none = [None] * len(rows)
         yield pa.RecordBatch.from_arrays([
             pa.array([g % ranges] + rows, pa.int32()), pa.array([g] * (len(rows) + 1), pa.int64()),
-            pa.array([ids.to_pylist()] + none, pa.list_(pa.int64())), pa.array([which] + none, pa.list_(pa.int32())),
+            pa.array([ids] + none, pa.list_(pa.int64())), pa.array([which] + none, pa.list_(pa.int32())),
             pa.array([sets.view(np.int64)] + none, pa.list_(pa.int64())), pa.array([n[full[one]]] + none, pa.list_(pa.int32())),
             pa.array([None] + bodies, pa.binary())], names=["range", "g", "ids", "which", "node", "n", "body"])
 
@@ -120,17 +123,15 @@ def _postings(words: int, ranges: int, group_bytes: int):
         # a group's number must be the same if its task runs again
         g, held, size = TaskContext.get().partitionId() << 32, [], 0
         for whole in batches:
-            for batch in byte_slices(whole, "text", group_bytes):
-                held.append(batch)
+            for batch in byte_slices(whole, "text", min(group_bytes, SLICE_BYTES)):
+                hashes, begin = _shingle_hashes(Texts.of(batch.column(1)), words)
+                held.append((batch.column(0), hashes, np.diff(begin)))
                 size += batch.column(1).nbytes
                 if size >= group_bytes:
-                    yield from group(g, *joined(held))
+                    yield from group(g, held)
                     g, held, size = g + 1, [], 0
         if held:
-            yield from group(g, *joined(held))
-
-    def joined(held: list[pa.RecordBatch]):
-        return pa.concat_arrays([b.column(0) for b in held]), Texts.of(pa.chunked_array([b.column(1).cast(pa.large_string()) for b in held]))
+            yield from group(g, held)
 
     return work
 
