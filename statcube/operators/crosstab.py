@@ -33,13 +33,43 @@ from statcube.session import cut_lineage
 ROW_TOTAL, COL_TOTAL, VALUE = "is_row_total", "is_col_total", "value"
 
 
-def key_grid(left: DataFrame, right: DataFrame) -> DataFrame:
+# Column keys of one block, and row keys that meet a block in one join group.
+BLOCK_KEYS, SALT_ROWS = 1024, 16384
+
+
+def key_grid(left: DataFrame, right: DataFrame, on: Sequence[str] = (), block: int = BLOCK_KEYS,
+             salt_rows: int = SALT_ROWS) -> DataFrame:
     """Every row of ``left`` with every row of ``right`` (distinct keys; the
-    columns of a sheet, or its tabs). ``right`` becomes one array, a scalar
-    subquery, that each left row explodes: no join, but one task gathers all
-    keys and they pass the driver, without a bound."""
-    keys = right.agg(F.collect_set(F.struct(*right.columns)).alias("k"))
-    return left.withColumn("_keys", keys.scalar()).select(*left.columns, F.inline("_keys"))
+    columns of a sheet, or its tabs) that has the same ``on``.
+
+    The keys of ``right`` are dealt into blocks of about ``block`` keys, an array
+    each, and a left row goes to every block (by number). They meet by an
+    equi-join on block and salt, with a salt for each ``salt_rows`` left rows, so
+    neither many columns nor many rows land in one task. Only the two counts are
+    scalars; a list of keys never is.
+    """
+    on = list(on)
+    keys = [c for c in right.columns if c not in on]
+    h = F.xxhash64(*[F.col(c) for c in keys])
+    place = [*on, "_block", "_salt"]
+    if on:
+        n = (right.groupBy(*on).agg(F.count(F.lit(1)).alias("_r")).join(left.groupBy(*on).agg(F.count(F.lit(1)).alias("_l")), on)
+             .select(*on, _parts("_r", block).alias("_blocks"), _parts("_l", salt_rows).alias("_salts")))
+        left_n, right_n = left.join(n, on), right.join(n, on)
+    else:
+        blocks = right.agg(_parts(F.count(F.lit(1)), block)).scalar()
+        salts = left.agg(_parts(F.count(F.lit(1)), salt_rows)).scalar()
+        left_n, right_n = (d.withColumns({"_blocks": blocks, "_salts": salts}) for d in (left, right))
+    dealt = (right_n.withColumn("_block", F.pmod(h, F.col("_blocks"))).groupBy(*on, "_block", "_salts")
+             .agg(F.collect_list(F.struct(*keys)).alias("_keys"))
+             .withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_salts") - 1))).drop("_salts"))
+    own = (left_n.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.col("_salts")))
+           .withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))).drop("_blocks", "_salts"))
+    return own.join(dealt, place).select(*left.columns, F.inline("_keys"))
+
+
+def _parts(count: str | Column, size: int) -> Column:
+    return F.greatest(F.lit(1).cast("long"), F.ceil((F.col(count) if isinstance(count, str) else count) / size).cast("long"))
 
 
 def sparse_cells(filtered: DataFrame, tab: str, rows: str | Sequence[str], cols: str | Sequence[str],
@@ -61,15 +91,16 @@ def sparse_cells(filtered: DataFrame, tab: str, rows: str | Sequence[str], cols:
                     F.explode(F.array(F.lit(False), F.lit(True))).alias(COL_TOTAL), VALUE)
 
 
-def densify(sparse: DataFrame, tab: str, rows: str | Sequence[str], cols: str | Sequence[str]) -> DataFrame:
+def densify(sparse: DataFrame, tab: str, rows: str | Sequence[str], cols: str | Sequence[str],
+            block: int = BLOCK_KEYS) -> DataFrame:
     """``sparse`` with a zero for each row key and column key (of any tab) that
-    do not meet. ``sparse`` is read three times: hand over a stored table."""
+    do not meet. ``sparse`` is read several times: hand over a stored table."""
     rows, cols = as_list(rows), as_list(cols)
     if not cols:
         return sparse
     left = sparse.where(F.col(COL_TOTAL)).select(tab, *rows, ROW_TOTAL)
     right = sparse.where(F.col(ROW_TOTAL) & ~F.col(COL_TOTAL)).select(*cols).distinct()
-    zeros = key_grid(left, right).withColumn(COL_TOTAL, F.lit(False)).withColumn(
+    zeros = key_grid(left, right, block=block).withColumn(COL_TOTAL, F.lit(False)).withColumn(
         VALUE, F.lit(0).cast(sparse.schema[VALUE].dataType))
     both = sparse.unionByName(zeros.select(*sparse.columns))
     return both.groupBy(tab, *rows, *cols, ROW_TOTAL, COL_TOTAL).agg(F.max_by(VALUE, F.abs(VALUE)).alias(VALUE))
@@ -94,19 +125,21 @@ def attach(cells: DataFrame, side: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def with_percentages(cells: DataFrame, tab: str, rows: Sequence[str], cols: Sequence[str],
-                     value: str = VALUE, totals: DataFrame | None = None) -> DataFrame:
+                     value: str = VALUE, totals: DataFrame | None = None,
+                     kinds: Sequence[str] = ("row_pct", "col_pct", "total_pct")) -> DataFrame:
     """row_pct = cell / its row total, col_pct = cell / its column total,
     total_pct = cell / grand total; a zero denominator gives NULL. ``totals``:
-    where the totals are read from (the stored sparse cells; default: cells)."""
+    where the totals are read from (the stored sparse cells; default: cells).
+    ``kinds``: which of the three are wanted."""
     rows, cols = as_list(rows), as_list(cols)
     totals = cells if totals is None else totals
-    rk = [tab, *rows, ROW_TOTAL]
-    ck = [tab, *cols, COL_TOTAL]
-    out = attach(cells, totals.where(F.col(COL_TOTAL)).select(*rk, F.col(value).alias("_rt")), rk)
-    out = attach(out, totals.where(F.col(ROW_TOTAL)).select(*ck, F.col(value).alias("_ct")), ck)
-    out = attach(out, totals.where(F.col(ROW_TOTAL) & F.col(COL_TOTAL)).select(tab, F.col(value).alias("_gt")), [tab])
-    return out.select(*cells.columns, safe_div(value, "_rt").alias("row_pct"), safe_div(value, "_ct").alias("col_pct"),
-                      safe_div(value, "_gt").alias("total_pct"))
+    sides = {"row_pct": (COL_TOTAL, [tab, *rows, ROW_TOTAL]), "col_pct": (ROW_TOTAL, [tab, *cols, COL_TOTAL]), "total_pct": (None, [tab])}
+    out = cells
+    for name in kinds:
+        flag, keys = sides[name]
+        where = F.col(flag) if flag else F.col(ROW_TOTAL) & F.col(COL_TOTAL)
+        out = attach(out, totals.where(where).select(*keys, F.col(value).alias(f"_{name}")), keys)
+    return out.select(*cells.columns, *[safe_div(value, f"_{name}").alias(name) for name in kinds])
 
 
 def heat_scale(cells: DataFrame, tab: str, rows: Sequence[str], cols: Sequence[str], value: str = VALUE) -> DataFrame:

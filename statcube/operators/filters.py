@@ -126,7 +126,14 @@ def smart_filter(df: DataFrame, tab: str | None, rows: str | Sequence[str], cols
 def reference_rows(df: DataFrame, tab: str, rows: Sequence[str], cols: Sequence[str],
                    filters: Mapping[str, Sequence] | None = None,
                    derived: Mapping[str, str] | None = None) -> DataFrame:
-    """Published parent rows behind a crosstab: filters on non-axis dims apply,
+    """Published parent rows behind a crosstab."""
+    return df.where(reference_predicate(df, tab, rows, cols, filters, derived))
+
+
+def reference_predicate(df: DataFrame, tab: str, rows: Sequence[str], cols: Sequence[str],
+                        filters: Mapping[str, Sequence] | None = None,
+                        derived: Mapping[str, str] | None = None) -> Column:
+    """Which rows are published parents of a crosstab: filters on non-axis dims apply,
     axes and every unfiltered dim are forced to the subtotal (NULL), the tab is
     non-null. A derived dim (REGION) whose parent (COUNTY) is filtered is left
     free, since parent rows carrying a county filter have no region."""
@@ -146,7 +153,7 @@ def reference_rows(df: DataFrame, tab: str, rows: Sequence[str], cols: Sequence[
         if parent is not None and parent in filters and parent not in axes:
             continue
         preds.append(F.col(d).isNull())
-    return df.where(conj(preds))
+    return conj(preds)
 
 
 def masked_rows(df: DataFrame) -> DataFrame:

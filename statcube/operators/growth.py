@@ -2,10 +2,12 @@
 
 * overall: grand total per tab, growth = cur/prev - 1 in ascending tab order;
   the first tab and 0/0 give 0, x/0 gives inf; also ×100.
-* per row key / per column key (totals included): the tab × key grid is
-  made dense, missing values are carried forward from the last tab that had
-  one, growth % = (cur/prev - 1) × 100, the first tab is dropped; a key seen
-  only from a later tab on has NULL before it, 0 -> x is inf, 0 -> 0 NULL.
+* per row key / per column key (totals included): for every tab but the
+  first, growth % = (cur/prev - 1) × 100, where a tab without a value takes that
+  of the last tab that had one; a key seen only from a later tab on has NULL
+  before it, 0 -> x is inf, 0 -> 0 NULL. The values of a key become one array
+  sorted by tab; each tab, with the tab before it, looks its two values up there:
+  no window over the cells, and no table of absent ones.
 
 Growth is defined only when every tab value is a number (a year); otherwise
 the result is empty with the same schema.
@@ -15,7 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,29 +54,37 @@ def overall_growth(cells: DataFrame, tab: str) -> DataFrame:
             .withColumn("YEARLY_GROWTH_PCT", F.col("YEARLY_GROWTH") * 100))
 
 
-def series_growth(src: DataFrame, tab: str, keys: Sequence[str], value: str = VALUE) -> DataFrame:
-    """Growth % per key over a dense tab × key grid with forward fill.
+def tab_steps(tabs: DataFrame, tab: str) -> DataFrame:
+    """(tab, _at, _before): each tab but the first with its number and that of
+    the tab before it."""
+    held = cut_lineage(ranked(tabs.select(tab).distinct(), [], [_tab_number(tab)], "_rank").withColumn("_at", _tab_number(tab)))
+    before = held.select((F.col("_rank") + 1).alias("_rank"), F.col("_at").alias("_before"))
+    return held.join(before, "_rank").select(tab, "_at", "_before")
+
+
+def series_growth(src: DataFrame, tab: str, keys: Sequence[str], value: str = VALUE, absent: str = "carry") -> DataFrame:
+    """Growth % per key and tab; an absent value is the last one before it
+    (``absent="carry"``) or zero (``"zero"``).
 
     ``src`` has at most one row per (tab, keys). Output: tab, keys…, growth_pct.
-    The only window is over the tabs of one key.
     """
     keys = list(keys)
     out_schema = T.StructType([src.schema[tab], *[src.schema[k] for k in keys],
                                T.StructField("growth_pct", T.DoubleType())])
     if not tabs_are_numeric(src, tab):
         return src.sparkSession.createDataFrame([], out_schema)
-    grid = key_grid(src.select(*keys).distinct(), src.select(tab).distinct())
-    # union with the real values, one row per (tab, key): absent -> NULL
-    filler = grid.select(tab, *keys, F.lit(None).cast(src.schema[value].dataType).alias(value))
-    dense = (src.select(tab, *keys, value).unionByName(filler)
-             .groupBy(tab, *keys).agg(F.max(value).alias(value)))
-    w = Window.partitionBy(*keys).orderBy(_tab_number(tab))
-    filled = dense.withColumn("_ff", F.last(value, ignorenulls=True).over(
-        w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    prev = F.lag("_ff").over(w)
-    growth = (ratio_inf(F.col("_ff"), prev) - F.lit(1.0)) * F.lit(100.0)
-    return (filled.select(tab, *keys, growth.alias("growth_pct"), F.row_number().over(w).alias("_rn"))
-            .where(F.col("_rn") > 1).drop("_rn"))
+    series = src.where(F.col(value).isNotNull()).groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct(_tab_number(tab).alias("t"), F.col(value).alias("v")))).alias("_series"))
+    steps = key_grid(series, tab_steps(src, tab))
+
+    def last_value(at: str) -> Column:
+        last = F.try_element_at(F.filter("_series", lambda x: x["t"] <= F.col(at)), F.lit(-1))
+        if absent == "zero":
+            return F.when(last["t"] == F.col(at), last["v"]).otherwise(F.lit(0).cast(src.schema[value].dataType))
+        return last["v"]
+
+    growth = (ratio_inf(last_value("_at"), last_value("_before")) - F.lit(1.0)) * F.lit(100.0)
+    return steps.select(tab, *keys, growth.alias("growth_pct"))
 
 
 def row_growth(cells: DataFrame, tab: str, rows: str | Sequence[str]) -> DataFrame:
@@ -85,10 +95,11 @@ def row_growth(cells: DataFrame, tab: str, rows: str | Sequence[str]) -> DataFra
 
 
 def col_growth(cells: DataFrame, tab: str, cols: str | Sequence[str]) -> DataFrame:
-    """Growth % of each column total (total column included) between tabs."""
+    """Growth % of each column total (total column included) between tabs; a
+    column that is absent from a tab counts as zero there."""
     cols = as_list(cols)
     src = cells.where(F.col(ROW_TOTAL)).select(tab, *cols, COL_TOTAL, VALUE)
-    return series_growth(src, tab, [*cols, COL_TOTAL])
+    return series_growth(src, tab, [*cols, COL_TOTAL], absent="zero")
 
 
 def growth_summary(overall: DataFrame, tab: str) -> DataFrame:

@@ -32,13 +32,17 @@ def column_label(cols: Sequence[str]) -> Column:
 
 
 def mix_cells(cells: DataFrame, averages: DataFrame, tab: str, rows: Sequence[str], cols: Sequence[str],
-              codebook: Codebook | None = None, avg_names: Sequence[str] = (), metric: str = VALUE) -> DataFrame:
+              codebook: Codebook | None = None, avg_names: Sequence[str] = (), metric: str = VALUE,
+              totals: DataFrame | None = None) -> DataFrame:
     """Long MIX cells: tab, row labels…, is_row_total, column, kind, value,
-    col_order, format. ``cells`` must carry ``row_pct``. Without column
-    dimensions the one value column has the name of the metric."""
+    col_order, format. ``cells`` must carry ``row_pct``; it is read once where
+    ``totals`` (the stored sparse cells) has the total column and the column
+    keys. Without column dimensions the one value column has the name of the
+    metric."""
     rows, cols = as_list(rows), as_list(cols)
     head = [tab, *rows, ROW_TOTAL]
-    total = cells.where(F.col(COL_TOTAL)).select(
+    totals = cells if totals is None else totals
+    total = totals.where(F.col(COL_TOTAL)).select(
         *head, F.lit(TOTAL_LABEL).alias("column"), F.lit("value").alias("kind"),
         F.col(VALUE).cast("double").alias("value"), F.lit(0).cast("long").alias("col_order"))
     n_avg = len(avg_names)
@@ -50,22 +54,13 @@ def mix_cells(cells: DataFrame, averages: DataFrame, tab: str, rows: Sequence[st
                                      F.try_element_at(pos, F.col("avg_name")).cast("long").alias("col_order")))
     if cols:
         # one position per column key of the whole table, the total first
-        keys = cells.where(F.col(ROW_TOTAL)).select(F.lit(0).alias("_all"), *cols, COL_TOTAL).distinct()
+        keys = totals.where(F.col(ROW_TOTAL)).select(F.lit(0).alias("_all"), *cols, COL_TOTAL).distinct()
         ranks = axis_order(keys, "_all", cols, COL_TOTAL, codebook, "__crank")
         inner = cells.where(~F.col(COL_TOTAL)).join(ranks.where(~F.col(COL_TOTAL)).drop(COL_TOTAL, "_all"), list(cols), "inner")
         base = (F.lit(n_avg) + (F.col("__crank") - 2) * 2 + 1).cast("long")
-        label = column_label(cols)
-        parts.append(inner.select(*head, label.alias("column"), F.lit("value").alias("kind"),
-                                  F.col(VALUE).cast("double").alias("value"), base.alias("col_order")))
-        parts.append(inner.select(*head, F.concat(label, F.lit(PCT_SUFFIX)).alias("column"), F.lit("pct").alias("kind"),
-                                  F.col("row_pct").alias("value"), (base + 1).alias("col_order")))
+        parts.append(inner.select(*head, _value_and_percent(column_label(cols), base)))
     else:
-        metric_cells = cells.where(~F.col(COL_TOTAL))
-        parts.append(metric_cells.select(*head, F.lit(metric).alias("column"), F.lit("value").alias("kind"),
-                                         F.col(VALUE).cast("double").alias("value"),
-                                         F.lit(n_avg + 1).cast("long").alias("col_order")))
-        parts.append(metric_cells.select(*head, F.lit(metric + PCT_SUFFIX).alias("column"), F.lit("pct").alias("kind"),
-                                         F.col("row_pct").alias("value"), F.lit(n_avg + 2).cast("long").alias("col_order")))
+        parts.append(cells.where(~F.col(COL_TOTAL)).select(*head, _value_and_percent(F.lit(metric), F.lit(n_avg + 1).cast("long"))))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -73,6 +68,14 @@ def mix_cells(cells: DataFrame, averages: DataFrame, tab: str, rows: Sequence[st
     return out.withColumn("format", format_class(F.col("column")))
 
 
+def _value_and_percent(label: Column, place: Column) -> Column:
+    """Two report cells of one crosstab cell."""
+    return F.inline(F.array(
+        F.struct(label.alias("column"), F.lit("value").alias("kind"), F.col(VALUE).cast("double").alias("value"), place.alias("col_order")),
+        F.struct(F.concat(label, F.lit(PCT_SUFFIX)).alias("column"), F.lit("pct").alias("kind"), F.col("row_pct").alias("value"),
+                 (place + 1).alias("col_order"))))
+
+
 def to_wide(mix: DataFrame, index: Sequence[str]) -> DataFrame:
     """Sheet layout: one row per row key, one column per report column, in
     column order. Columns are told apart by their position, so a label equal to

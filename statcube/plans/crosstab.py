@@ -53,6 +53,11 @@ class Crosstab:
         s = self.spec
         return xt.densify(self._sparse, s.tab, list(s.rows), list(s.cols))
 
+    def _column_totals(self) -> DataFrame:
+        """The total row of each tab, with a zero for columns seen in other tabs only."""
+        s = self.spec
+        return xt.densify(self._sparse.where(F.col(xt.ROW_TOTAL)).drop(*s.rows), s.tab, [], list(s.cols))
+
     def cells(self, percentages: bool = True) -> DataFrame:
         s = self.spec
         return xt.with_percentages(self._cells, s.tab, s.rows, s.cols, totals=self._sparse) if percentages else self._cells
@@ -84,9 +89,9 @@ class Crosstab:
         if by == "all":
             return growth.overall_growth(self._sparse, s.tab)
         if by == "rows":
-            return growth.row_growth(self._cells, s.tab, list(s.rows))
+            return growth.row_growth(self._sparse, s.tab, list(s.rows))
         if by == "cols":
-            return growth.col_growth(self._cells, s.tab, list(s.cols))
+            return growth.col_growth(self._sparse, s.tab, list(s.cols))
         raise ValueError("by must be 'all', 'rows' or 'cols'")
 
     # -- ordering & layout ------------------------------------------------------
@@ -95,22 +100,21 @@ class Crosstab:
 
     def row_order(self) -> DataFrame:
         s = self.spec
-        return ordering.axis_order(self._cells.where(F.col(xt.COL_TOTAL)), s.tab, list(s.rows), xt.ROW_TOTAL,
+        return ordering.axis_order(self._sparse.where(F.col(xt.COL_TOTAL)), s.tab, list(s.rows), xt.ROW_TOTAL,
                                    self.codebook, "row_rank")
 
     def col_order(self) -> DataFrame:
         s = self.spec
         if not s.cols:
             raise ValueError("no column dimensions")
-        return ordering.axis_order(self._cells.where(F.col(xt.ROW_TOTAL)), s.tab, list(s.cols), xt.COL_TOTAL,
+        return ordering.axis_order(self._column_totals(), s.tab, list(s.cols), xt.COL_TOTAL,
                                    self.codebook, "col_rank")
 
-    def mix(self, materialize: bool = True) -> DataFrame:
-        """MIX layout cells. The view reads the crosstab cells several times
-        (total column, values, percentages, column order); with
-        ``materialize`` they are written once (their size is the number of
-        cells, not of cube rows) and the layout plan starts from that table."""
+    def mix(self) -> DataFrame:
+        """MIX layout cells. The total column and the column order come from the
+        stored sparse cells; the cells with their zeros are read once."""
         s = self.spec
         names = [a.name for a in avg_ops.avg_specs(self.codebook, s.cols)]
-        cells = cut_lineage(self.cells()) if materialize else self.cells()
-        return layout.mix_cells(cells, self.averages(), s.tab, list(s.rows), list(s.cols), self.codebook, names, s.metric)
+        cells = xt.with_percentages(self._cells, s.tab, s.rows, s.cols, totals=self._sparse, kinds=["row_pct"])
+        return layout.mix_cells(cells, self.averages(), s.tab, list(s.rows), list(s.cols), self.codebook, names, s.metric,
+                                totals=self._sparse)

@@ -3,28 +3,27 @@ of report cells (one sheet per spec), a table of contents, per-sheet notes
 and an error log.
 
 The spec list is configuration (a handful of rows): it is read as a
-DataFrame, cleaned and ordered there, then brought to the driver to plan one
-crosstab per spec. Each data source is built once per batch and materialised
-in the shared checkpoint folder, so every spec reads the cube rather than
-recomputing it. All per-spec results are unioned into single DataFrames and
-written with one job each.
+DataFrame, cleaned and ordered there, then brought to the driver to plan the
+sheets. Each data source is built once per batch and materialised in the shared
+checkpoint folder, and all its sheets come from one aggregate (``shared``).
+Cells and notes are planned apart: neither works out the other.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
-from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property, reduce
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from statcube.functions import MASKED_NOTE_TEMPLATE, fmt_count, sheet_name, strip_masked_note, typed_value
-from statcube.operators import filters, ordering
+from statcube.operators import ordering
 from statcube.operators.crosstab import ROW_TOTAL
 from statcube.operators.ordering import chapter_sort_columns
-from statcube.plans.crosstab import Crosstab
+from statcube.plans.shared import SharedSheets, SheetSpec
 from statcube.plans.spec import CrosstabSpec
 from statcube.session import cut_lineage
 from statcube.sources.codebook import Codebook
@@ -103,12 +102,16 @@ def masked_note(description, n_masked, ref_total):
         .otherwise(description)
 
 
+def error_text(e: Exception) -> str:
+    """Kind and whole message of an error."""
+    message = e.getMessage() if isinstance(e, PySparkException) else None
+    return f"{type(e).__name__}: {message or e}"
+
+
 class ReportBatch:
-    def __init__(self, specs: DataFrame, sources: Mapping[str, SourceLoader], materialize: bool = True,
-                 planning_threads: int = 4):
+    def __init__(self, specs: DataFrame, sources: Mapping[str, SourceLoader], materialize: bool = True):
         self.spark: SparkSession = specs.sparkSession
         self.specs, self.sources, self.materialize = specs, sources, materialize
-        self.planning_threads = planning_threads
         self._cubes: dict[str, tuple[DataFrame, Codebook]] = {}
 
     @cached_property
@@ -142,35 +145,14 @@ class ReportBatch:
                 if odd:
                     raise ValueError(f"{c} has no values like {odd}")
 
-    @staticmethod
-    def _flags(cube: DataFrame, specs: list[CrosstabSpec]) -> list[list[bool] | None]:
-        """Probe outcomes of all specs over one cube from one aggregate pass; if
-        that fails, each spec finds its own (and fails alone)."""
-        plans = [filters.probe_plan(cube, s.tab, list(s.rows), list(s.cols), s.filters, s.probe) for s in specs]
-        try:
-            return filters.subtotal_flags_many(cube, [p[1] for p in plans])
-        except Exception:
-            return [None] * len(specs)
-
-    def _plan_one(self, item) -> tuple[str, object]:
-        """The sheet of one spec, worked out here, so that whatever goes wrong
-        in it stays with this spec."""
-        r, spec, cube, cb, flags = item
-        try:
-            xt = Crosstab(cube, spec, cb, flags=flags)
-            focus = self._focus_tab(xt, r["focus_tab"])
-            if focus is None:
-                return "empty", None  # no tab has data: no sheet, as an empty report
-            return "ok", (cut_lineage(self._sheet_cells(xt, r, focus)), cut_lineage(self._sheet_note(xt, r, focus)))
-        except Exception as e:  # one bad spec must not stop the batch
-            return "error", (r["chapter"], r["name"], f"{type(e).__name__}: {str(e)[:500]}")
-
     @cached_property
-    def _planned(self) -> tuple[list[DataFrame], list[DataFrame], list[tuple]]:
-        results: dict[int, tuple[str, object]] = {}
-        by_source: dict[str, list[tuple[int, object, CrosstabSpec]]] = {}
+    def _planned(self) -> tuple[list[SharedSheets], list[tuple]]:
+        """The sheets that can be worked out, by source, and (sheet number,
+        chapter, name, error) of the specs that cannot."""
+        errors: list[tuple] = []
+        by_source: dict[str, list[tuple]] = {}
         used: set[str] = set()
-        for i, r in enumerate(self.ordered.orderBy("sheet_rank").toLocalIterator()):  # one row a sheet
+        for r in self.ordered.orderBy("sheet_rank").toLocalIterator():  # one row a sheet
             try:
                 if r["sheet"].lower() in used:
                     raise ValueError(f"sheet {r['sheet']!r} is already taken")
@@ -179,71 +161,53 @@ class ReportBatch:
                 cube, _ = self._source(r["data_source"])  # each source built once
                 spec.check_columns(cube.columns)
                 self._check_filters(cube, spec)
-                by_source.setdefault(r["data_source"], []).append((i, r, spec))
+                by_source.setdefault(r["data_source"], []).append((r, SheetSpec(r["sheet_rank"], spec, r["focus_tab"])))
             except Exception as e:  # one bad spec must not stop the batch
-                results[i] = ("error", (r["chapter"], r["name"], f"{type(e).__name__}: {str(e)[:500]}"))
-        items = []
-        for name, group in by_source.items():
-            cube, cb = self._source(name)
-            items += [(i, (r, spec, cube, cb, f)) for (i, r, spec), f in zip(group, self._flags(cube, [g[2] for g in group]))]
-        with ThreadPoolExecutor(max_workers=max(1, min(self.planning_threads, len(items) or 1))) as pool:
-            for (i, _), res in zip(items, pool.map(self._plan_one, [it for _, it in items])):
-                results[i] = res
-        ordered = [results[i] for i in sorted(results)]
-        cells = [v[0] for k, v in ordered if k == "ok"]
-        notes = [v[1] for k, v in ordered if k == "ok"]
-        errors = [v for k, v in ordered if k == "error"]
-        return cells, notes, errors
-
-    @staticmethod
-    def _focus_tab(xt: Crosstab, wanted: str | None) -> str | None:
-        """The spec's tab when it has data, else the first in tab order."""
-        tab = xt.spec.tab
-        if wanted and filters.rows_of_tab(xt.filtered, tab, wanted).limit(1).count():
-            return str(wanted)
-        first = xt.tab_order().orderBy("tab_rank").first()
-        return None if first is None else str(first[tab])
-
-    @staticmethod
-    def _sheet_cells(xt: Crosstab, r, focus: str) -> DataFrame:
-        s = xt.spec
-        rows = list(s.rows)
-        mix = filters.rows_of_tab(xt.mix(), s.tab, focus)
-        return mix.select(
-            F.lit(r["sheet"]).alias("sheet"), F.lit(r["sheet_rank"]).cast("long").alias("sheet_rank"),
-            F.col(s.tab).cast("string").alias("tab"), F.col(rows[0]).cast("string").alias("row_1"),
-            (F.col(rows[1]).cast("string") if len(rows) > 1 else F.lit(None).cast("string")).alias("row_2"),
-            ROW_TOTAL, "column", "kind", "value", "col_order", "format")
-
-    @staticmethod
-    def _sheet_note(xt: Crosstab, r, focus: str) -> DataFrame:
-        tab = xt.spec.tab
-        masked = filters.rows_of_tab(xt.masked(), tab, focus).select(F.lit(1).cast("long").alias("m"), F.lit(0).cast("long").alias("r"))
-        ref = filters.rows_of_tab(xt.reference_totals(), tab, focus).select(F.lit(0).cast("long").alias("m"), F.col("ref_total").alias("r"))
-        agg = masked.unionByName(ref).agg(F.coalesce(F.sum("m"), F.lit(0)).cast("long").alias("n_masked"),
-                                          F.coalesce(F.sum("r"), F.lit(0)).cast("long").alias("ref_total"))
-        return agg.select(
-            F.lit(r["sheet"]).alias("sheet"), F.lit(r["sheet_rank"]).cast("long").alias("sheet_rank"),
-            F.lit(r["toc_chapter"]).alias("chapter"), F.lit(r["title"]).alias("title"), F.lit(r["headline"]).alias("headline"),
-            F.lit(focus).alias("focus_tab"), "n_masked", "ref_total",
-            masked_note(F.lit(r["description"] or ""), F.col("n_masked"), F.col("ref_total")).alias("description"),
-            auto_title(F.lit(focus), F.lit(None).cast("map<string,array<string>>") if not r["filter_map"] else
-                       F.create_map(*[x for k, v in r["filter_map"].items()
-                                      for x in (F.lit(k), F.array(*[F.lit(str(e)) for e in v]))]),
-                       F.array(*[F.lit(x) for x in (r["pivot_row"] or [])]).cast("array<string>"),
-                       F.array(*[F.lit(x) for x in (r["pivot_col"] or [])]).cast("array<string>"),
-                       xt.codebook.display_names()).alias("auto_title"))
+                errors.append((r["sheet_rank"], r["chapter"], r["name"], error_text(e)))
+        done = []
+        for name, items in by_source.items():
+            shared, failed = self._run(name, items)
+            done += shared
+            errors += failed
+        return done, [e[1:] for e in sorted(errors)]
+
+    def _run(self, source: str, items: list[tuple]) -> tuple[list[SharedSheets], list[tuple]]:
+        """One aggregate for all sheets of a source; if it fails, halves are run
+        apart, so that what goes wrong stays with its own spec."""
+        cube, codebook = self._source(source)
+        try:
+            sheets = SharedSheets(cube, codebook, [s for _, s in items])
+            sheets.sparse  # noqa: B018  runs here
+            return [sheets], []
+        except Exception as e:
+            if len(items) == 1:
+                r = items[0][0]
+                return [], [(r["sheet_rank"], r["chapter"], r["name"], error_text(e))]
+        half = len(items) // 2
+        parts = [self._run(source, x) for x in (items[:half], items[half:])]
+        return [s for p in parts for s in p[0]], [e for p in parts for e in p[1]]
 
     def cells(self) -> DataFrame:
-        parts = self._planned[0]
-        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], CELL_SCHEMA)
+        names = self.ordered.select("sheet_rank", "sheet")
+        parts = [s.cells() for s in self._planned[0]]
+        if not parts:
+            return self.spark.createDataFrame([], CELL_SCHEMA)
+        return reduce(DataFrame.unionByName, parts).join(names, "sheet_rank").select(*CELL_SCHEMA.names)
 
     def notes(self) -> DataFrame:
-        parts = self._planned[1]
+        parts = [self._notes(s) for s in self._planned[0]]
         return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], NOTE_SCHEMA)
 
+    def _notes(self, sheets: SharedSheets) -> DataFrame:
+        rows = self.ordered.join(sheets.counts().withColumnRenamed("tab", "shown_tab"), "sheet_rank")
+        description = masked_note(F.coalesce("description", F.lit("")), F.col("n_masked"), F.col("ref_total"))
+        title = auto_title(F.col("shown_tab"), F.col("filter_map"), F.col("pivot_row"), F.col("pivot_col"), sheets.codebook.display_names())
+        return rows.select("sheet", "sheet_rank", F.col("toc_chapter").alias("chapter"), "title", "headline",
+                           F.col("shown_tab").alias("focus_tab"), "n_masked", "ref_total",
+                           description.alias("description"), title.alias("auto_title"))
+
     def errors(self) -> DataFrame:
-        return self.spark.createDataFrame(self._planned[2], ERROR_SCHEMA)
+        return self.spark.createDataFrame(self._planned[1], ERROR_SCHEMA)
 
     def write(self, path: str, fmt: str = "parquet") -> None:
         """Report cells partitioned by sheet, plus toc, notes and errors."""
