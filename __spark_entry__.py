@@ -35,9 +35,12 @@ from statcube.plans.spec import CrosstabSpec  # noqa: E402
 from statcube.session import cut_lineage, ensure_checkpoint_dir  # noqa: E402
 from statcube.plans.presets import load_presets, preset_batch, preset_crosstab  # noqa: E402
 from statcube.plans.report import ReportBatch  # noqa: E402
-from statcube.sources.catalog import enabled_datasets, list_datasets  # noqa: E402
+from statcube.functions import DATASET_PREFIXES, basename, data_suffix, dataset_prefix, epoch_text, file_stem, fmt_count, fmt_decimal, fmt_percent, numeric_text  # noqa: E402
+from statcube.operators.layout import reorder_columns  # noqa: E402
+from statcube.sources.catalog import require_dataset_types  # noqa: E402
 from statcube.sources.codebook import REGION_COUNTIES, Codebook  # noqa: E402
-from statcube.sources.ingest import convert_delivery  # noqa: E402
+from statcube.sources.ingest import convert_delivery, ingest_delivery  # noqa: E402
+from statcube.sources.manifest import catalogue, read_manifest, write_dataset  # noqa: E402
 from statcube.sources.specs import read_specs  # noqa: E402
 from statcube.sources.tables import read_parquet, read_table  # noqa: E402
 
@@ -49,7 +52,7 @@ SMOKE_DIR = "/root/testdata/sf0.001"
 
 try:  # operators of training-data pipelines, where that subpackage is present
     from llm import queries as llm_queries
-except ModuleNotFoundError as missing:
+except ImportError as missing:  # the folder is gone, or an empty one is left
     if (missing.name or "").split(".")[0] not in ("llm", "corpus_pipeline"):
         raise
     llm_queries = None
@@ -70,7 +73,10 @@ LINEITEM_XT = dict(tab="DATA_YR", rows=["FLAG"], cols=["LSTATUS"], metric="SUM_Q
 # Market segments of the order data (the wide sheet has one value and one
 # percent column per segment).
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
-DISABLED = ["pages.parquet", "documents.parquet"]
+# The given tables as delivered datasets: type prefix, "_coded", table.
+DELIVERED = {t: f"{list(DATASET_PREFIXES)[i % len(DATASET_PREFIXES)]}_coded_{t}" for i, t in enumerate(
+    ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"])}
+DISABLED = [DELIVERED["supplier"], "no such dataset"]
 # Expected sheets of the saved specs, in chapter order (spec, sheet, rank,
 # focus tab or None for "latest", average names, chapter, title, description).
 REPORT_SHEETS = [
@@ -123,6 +129,22 @@ def _growth_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return growth_summary(_xt(spark, sf_dir, GROWTH).growth("all"), "DATA_YR")
 
 
+def _crosstab_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subtotals by grouping id: a missing nation or priority is a key of its own."""
+    spec = CrosstabSpec.of("DATA_YR", ["COUNTY"], ["PRI"], "CNT", {"SEG": ["BUILDING", "(missing)"]})
+    return Crosstab(cut_lineage(oc.cube_with_gaps(spark, sf_dir)), spec, layout=oc.layout()).cells(percentages=False)
+
+
+def _growth_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Growth over two tabs kept as text: years grow, priorities do not."""
+    cube = cut_lineage(oc.decoded_cube(spark, sf_dir).withColumn("YEAR", F.col("DATA_YR").cast("string")))
+    parts = []
+    for tab in ("YEAR", "PRI"):
+        spec = CrosstabSpec.of(tab, ["COUNTY"], ["SEG"], "CNT", {})
+        parts.append(Crosstab(cube, spec).growth("all").select(F.lit(tab).alias("tab_dim"), F.col(tab).alias("tab"), "TOTAL", "YEARLY_GROWTH", "YEARLY_GROWTH_PCT"))
+    return parts[0].unionByName(parts[1])
+
+
 # County names in the order of the static region list; nations 0-19 stand for them.
 COUNTIES = [(c, r) for r, names in REGION_COUNTIES.items() for c in names][:20]
 NATION_BINS = {k: "0-9" if k < 10 else "10-19" if k < 20 else "20-24" for k in range(25)}
@@ -163,6 +185,47 @@ def _delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_parquet(spark, done[0] if len(done) == 1 else f"{folder}/out/*.parquet")
 
 
+def _catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The given tables written as datasets; the catalogue from their manifest."""
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/datasets-{uuid.uuid4().hex}"
+    for table, name in DELIVERED.items():
+        write_dataset(read_table(spark, sf_dir, table), root, name)
+    return require_dataset_types(catalogue(spark, root, DISABLED)).select("name", "dataset_type", "n_rows", "n_columns", "n_nulls", F.col("checksum").cast("string").alias("checksum"),
+                                                   "by_name", "by_name_desc")
+
+
+def _delivery_inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three tables delivered as CSV without schemas (part sizes with gaps); the
+    types that were inferred and the profile of each column."""
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/delivery-{uuid.uuid4().hex}"
+    gaps = read_table(spark, sf_dir, "part").withColumn("p_size", F.when(F.col("p_partkey") % 7 != 0, F.col("p_size")))
+    for name, df in (("part", gaps), ("supplier", read_table(spark, sf_dir, "supplier")), ("orders", read_table(spark, sf_dir, "orders"))):
+        df.write.option("header", True).csv(f"{base}/in/{name}.csv")
+    ingest_delivery(spark, f"{base}/in", f"{base}/out")
+    return read_manifest(spark, f"{base}/out").select("dataset", "column", "kind", "n_rows", "n_nulls", "min_text", "max_text",
+                                                      F.col("checksum").cast("string").alias("checksum"))
+
+
+def _path_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File names of deliveries taken apart, one path a customer."""
+    c = read_table(spark, sf_dir, "customer")
+    path = F.concat(F.lit("/srv/data/260204/"), F.col("c_mktsegment"), F.lit("_coded_"), F.col("c_custkey").cast("string"), F.lit(".v1.parquet"))
+    label = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.col("c_nationkey").cast("string"), F.lit("."))).when(
+        F.col("c_custkey") % 3 == 1, F.lit("..")).otherwise(F.col("c_name"))
+    c = c.select("c_custkey", path.alias("path"), label.alias("label"))
+    return c.select("c_custkey", basename("path").alias("base"), file_stem("path").alias("stem"), data_suffix("path").alias("below_data"),
+                    dataset_prefix("path").alias("prefix"), numeric_text("label").alias("is_number"),
+                    epoch_text(F.timestamp_seconds(F.col("c_custkey") * 86_399)).alias("modified"))
+
+
+def _number_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Report numbers of each market segment as text."""
+    c = read_table(spark, sf_dir, "customer")
+    g = c.groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.sum(F.round(F.col("c_acctbal") * 100).cast("long")).alias("cents"))
+    return g.select("c_mktsegment", fmt_count(F.col("cents")).alias("whole"), fmt_decimal(F.col("cents") / 100).alias("decimal2"),
+                    fmt_percent(F.col("n") / 100_000).alias("percent"))
+
+
 def _events_xt(spark: SparkSession, sf_dir: str) -> Crosstab:
     cube = dec.decode(ec.cube(spark, sf_dir), ec.codebook())
     return Crosstab(cut_lineage(cube), CrosstabSpec.of(**EVENTS_XT), ec.codebook())
@@ -231,12 +294,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "report_errors": lambda s, d: _report(s, d).errors(),
         "mix_nocols": lambda s, d: _xt(s, d, NO_COLS).mix(),
         "cube_with_gaps": oc.cube_with_gaps,
+        "crosstab_with_gaps": _crosstab_with_gaps,
+        "growth_guard": _growth_guard,
         "reference_rows": lambda s, d: _xt(s, d, REF, materialize=False).reference_rows("1997"),
         "delivery_csv": _delivery,
         "region_static": _region_static,
         "coarse_bins": _bins,
         # catalogue (S4, S5, S9) and SQL over a registered view
-        "catalog_enabled": lambda s, d: enabled_datasets(list_datasets(s, d), DISABLED),
+        "catalog_enabled": _catalogue,
+        "delivery_inferred": _delivery_inferred,
+        "path_functions": _path_functions,
+        "distinct_values_sorted": lambda s, d: drill.distinct_values(oc.decoded_cube(s, d), ["SEG", "DATA_YR"], sort=True),
+        "number_formats": _number_formats,
+        "columns_reordered": lambda s, d: reorder_columns(oc.decoded_cube(s, d), ["REGION", "NOPE", "CNT", "DATA_YR"]),
         "sql_gid_fingerprint": _sql_fingerprint,
         # a third cube from events: decode of a static code list, crosstab, averages
         "events_crosstab": lambda s, d: _events_xt(s, d).cells(),
@@ -348,6 +418,21 @@ def oracle_sql() -> dict[str, str]:
                          "'ValueError: columns not in the cube: [''NOPE'']' AS \"Error\"",
         "mix_nocols": O.mix_nocols("DATA_YR", ["COUNTY"], "SUM_PRICE", NO_COLS["filters"]),
         "cube_with_gaps": O.CUBE_WITH_GAPS,
+        "catalog_enabled": O.catalogue(DELIVERED, DISABLED, DATASET_PREFIXES),
+        "delivery_inferred": O.delivery_inferred(),
+        "path_functions": "SELECT c_custkey, c_mktsegment || '_coded_' || c_custkey || '.v1.parquet' AS base, c_mktsegment || '_coded_' || c_custkey || '.v1' AS stem, "
+                          "'260204/' || c_mktsegment || '_coded_' || c_custkey || '.v1.parquet' AS below_data, c_mktsegment AS prefix, "
+                          "c_custkey % 3 = 0 OR (c_custkey % 3 = 2 AND regexp_full_match(c_name, '[0-9]+')) AS is_number, "
+                          "strftime(to_timestamp(c_custkey * 86399) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS modified FROM customer",
+        "distinct_values_sorted": O.with_cube(" UNION ".join(
+            f"SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value FROM d WHERE {c} IS NOT NULL" for c in ["DATA_YR", "SEG"])),
+        "number_formats": "SELECT c_mktsegment, format('{:,}', cents) AS whole, format('{:,.2f}', cents / 100) AS decimal2, "
+                          "format('{:,.2f}', n / 1000) || '%' AS percent FROM (SELECT c_mktsegment, count(*) AS n, "
+                          "CAST(sum(CAST(round(c_acctbal * 100) AS BIGINT)) AS BIGINT) AS cents FROM customer GROUP BY 1)",
+        "columns_reordered": O.with_cube("SELECT REGION, CNT, DATA_YR, COUNTY, SEG, PRI, SUM_PRICE, CNT_PRICE, GID, DATA_STATUS FROM d"),
+        "crosstab_with_gaps": O.CROSSTAB_WITH_GAPS,
+        "growth_guard": "SELECT 'YEAR' AS tab_dim, CAST(DATA_YR AS VARCHAR) AS tab, TOTAL, YEARLY_GROWTH, YEARLY_GROWTH_PCT FROM ("
+                        + O.growth_overall(**{**GROWTH, "filters": {}, "cols": ["SEG"]}) + ")",
         "reference_rows": O.with_cube(f"SELECT * FROM d WHERE {O.reference_where('DATA_YR', ['COUNTY'], [], REF['filters'])} AND DATA_YR = 1997"),
         "delivery_csv": "SELECT * FROM part",
         "region_static": "SELECT CASE c_nationkey " + " ".join(f"WHEN {i} THEN {O.lit(r)}" for i, (_, r) in enumerate(COUNTIES))

@@ -410,13 +410,66 @@ def mix_nocols(tab, rows, metric, filters=None) -> str:
 
 
 #: A cube whose microdata lack some dimension values, counted from the raw rows.
-CUBE_WITH_GAPS = """
-WITH r AS (SELECT coalesce(CAST(year(o_orderdate) AS BIGINT), -1) AS yr, CASE WHEN c_nationkey = 3 THEN -1 ELSE coalesce(c_nationkey, -1) END AS ct,
-                  CASE WHEN c_custkey % 11 = 0 THEN '(missing)' ELSE coalesce(c_mktsegment, '(missing)') END AS sg,
-                  CASE WHEN CAST(round(o_totalprice * 100) AS BIGINT) % 7 = 0 THEN '(missing)' ELSE coalesce(o_orderpriority, '(missing)') END AS pr,
-                  CAST(round(o_totalprice * 100) AS BIGINT) AS cents
-           FROM orders JOIN customer ON o_custkey = c_custkey)
+GAP_ROWS = """
+r AS (SELECT CAST(year(o_orderdate) AS BIGINT) AS yr, CASE WHEN c_nationkey = 4 THEN -1 WHEN c_nationkey <> 3 THEN c_nationkey END AS ct,
+             CASE WHEN c_custkey % 13 = 0 THEN '(missing)' WHEN c_custkey % 11 <> 0 THEN c_mktsegment END AS sg,
+             CASE WHEN CAST(round(o_totalprice * 100) AS BIGINT) % 7 <> 0 THEN o_orderpriority END AS pr,
+             CAST(round(o_totalprice * 100) AS BIGINT) AS cents
+      FROM orders JOIN customer ON o_custkey = c_custkey)"""
+CUBE_WITH_GAPS = f"""
+WITH {GAP_ROWS}
 SELECT yr AS DATA_YR, ct AS COUNTY, sg AS SEG, pr AS PRI, CAST(count(*) AS BIGINT) AS CNT, CAST(sum(cents) AS BIGINT) AS SUM_PRICE,
        CAST(count(cents) AS BIGINT) AS CNT_PRICE, CAST(GROUPING(ct) * 4 + GROUPING(sg) * 2 + GROUPING(pr) AS BIGINT) AS GID
 FROM r GROUP BY GROUPING SETS ((yr), (yr, ct), (yr, sg), (yr, pr), (yr, ct, sg), (yr, ct, pr), (yr, sg, pr), (yr, ct, sg, pr))
 """
+# Crosstab of nations and priorities straight from the rows with gaps: a missing
+# value is a row or column of its own.
+CROSSTAB_WITH_GAPS = f"""
+WITH {GAP_ROWS},
+leaf AS (SELECT yr, ct, pr, count(*) AS n FROM r WHERE sg IN ('BUILDING', '(missing)') GROUP BY ALL),
+rk AS (SELECT DISTINCT yr, ct FROM leaf), ck AS (SELECT DISTINCT pr FROM leaf),
+dense AS (SELECT rk.yr, rk.ct, ck.pr, coalesce(n, 0) AS n FROM rk CROSS JOIN ck LEFT JOIN leaf l
+          ON l.yr = rk.yr AND l.ct IS NOT DISTINCT FROM rk.ct AND l.pr IS NOT DISTINCT FROM ck.pr)
+SELECT yr AS DATA_YR, ct AS COUNTY, pr AS PRI, GROUPING(ct) = 1 AS is_row_total, GROUPING(pr) = 1 AS is_col_total, CAST(sum(n) AS BIGINT) AS value
+FROM dense GROUP BY GROUPING SETS ((yr, ct, pr), (yr, ct), (yr, pr), (yr))
+"""
+
+
+# Columns of the given tables and how their values are written as text.
+KINDS = {
+    "region": {"r_regionkey": "long", "r_name": "text"},
+    "nation": {"n_nationkey": "long", "n_name": "text", "n_regionkey": "long"},
+    "customer": {"c_custkey": "long", "c_name": "text", "c_nationkey": "long", "c_acctbal": "double", "c_mktsegment": "text"},
+    "supplier": {"s_suppkey": "long", "s_name": "text", "s_nationkey": "long", "s_acctbal": "double"},
+    "part": {"p_partkey": "long", "p_name": "text", "p_brand": "text", "p_type": "text", "p_size": "long", "p_retailprice": "double"},
+    "orders": {"o_orderkey": "long", "o_custkey": "long", "o_orderstatus": "text", "o_totalprice": "double", "o_orderdate": "timestamp", "o_orderpriority": "text"},
+    "lineitem": {"l_orderkey": "long", "l_partkey": "long", "l_suppkey": "long", "l_linenumber": "long", "l_quantity": "double", "l_extendedprice": "double",
+                 "l_discount": "double", "l_tax": "double", "l_returnflag": "text", "l_linestatus": "text", "l_shipdate": "timestamp"},
+    "events": {"event_id": "long", "ts": "timestamp", "user_id": "long", "event_type": "text", "value": "double", "props": "text"},
+}
+
+
+def _text(c: str, kind: str) -> str:
+    return {"double": f"CAST(CAST({c} AS DECIMAL(28,4)) AS VARCHAR)", "timestamp": f"CAST(epoch_us({c}) AS VARCHAR)"}.get(kind, f"CAST({c} AS VARCHAR)")
+
+
+def _profile(table: str, src: str, kinds: dict[str, str]) -> str:
+    """One row per column: kind, rows, missing values, ends and checksum."""
+    return " UNION ALL ".join(
+        f"SELECT {lit(table)} AS dataset, {lit(c)} AS \"column\", {lit(k)} AS kind, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(*) - count({c}) AS BIGINT) AS n_nulls, "
+        f"{_text(f'min({c})', k)} AS min_text, {_text(f'max({c})', k)} AS max_text, "
+        f"coalesce(sum(CAST('0x' || md5({_text(c, k)})[1:8] AS HUGEINT)), 0) AS checksum FROM {src}" for c, k in kinds.items())
+
+
+def catalogue(delivered: dict[str, str], disabled: list[str], prefixes: dict[str, str]) -> str:
+    rows = " UNION ALL ".join(_profile(name, t, KINDS[t]) for t, name in delivered.items())
+    kind = " ".join(f"WHEN {lit(k)} THEN {lit(v)}" for k, v in prefixes.items())
+    return (f"SELECT dataset AS name, CASE split_part(dataset, '_coded', 1) {kind} END AS dataset_type, max(n_rows) AS n_rows, CAST(count(*) AS BIGINT) AS n_columns, "
+            f"CAST(sum(n_nulls) AS BIGINT) AS n_nulls, CAST(sum(checksum) AS VARCHAR) AS checksum, row_number() OVER (ORDER BY dataset) AS by_name, "
+            f"row_number() OVER (ORDER BY dataset DESC) AS by_name_desc FROM ({rows}) WHERE dataset NOT IN ({', '.join(map(lit, disabled))}) GROUP BY dataset")
+
+
+def delivery_inferred() -> str:
+    gaps = "(SELECT * REPLACE (CASE WHEN p_partkey % 7 <> 0 THEN p_size END AS p_size) FROM part)"
+    parts = [_profile("part", gaps, {**KINDS["part"], "p_size": "double"}), _profile("supplier", "supplier", KINDS["supplier"]), _profile("orders", "orders", KINDS["orders"])]
+    return "SELECT * REPLACE (CAST(checksum AS VARCHAR) AS checksum) FROM (" + " UNION ALL ".join(parts) + ")"

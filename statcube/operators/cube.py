@@ -8,11 +8,11 @@ dimensions, a grouping id ``GID``, and a suppression flag.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from statcube.functions import safe_div
 from statcube.schema import COUNT_COL, GID_COL, MASKED, NORMAL, STATUS_COL, SUPPRESS_BELOW, dimension_columns
@@ -35,22 +35,33 @@ def gid_expr(dims: Sequence[str]) -> Column:
     return out
 
 
-# A dimension value that is missing in the microdata: a NULL in a cube means
-# "aggregated", so a missing value needs a value of its own.
-MISSING_LABEL, MISSING_CODE = "(missing)", -1
+@dataclass(frozen=True)
+class CubeLayout:
+    """The grouping sets of a cube, and which rows aggregate over a dimension by
+    their grouping id: in such a cube a NULL may also be a value that is missing
+    in the microdata, so NULL alone does not tell a subtotal."""
 
+    fixed: tuple[str, ...]
+    rollup: tuple[str, ...] = ()
+    grouping: tuple[str, ...] = ()
+    derived: Mapping[str, str] = field(default_factory=dict)  # derived column -> parent
 
-def mark_missing(df: DataFrame, dims: Sequence[str]) -> DataFrame:
-    """NULLs of dimension columns become the missing-data label (text) or code
-    (numbers); other types become text first."""
-    out = {}
-    for d in dims:
-        kind = df.schema[d].dataType
-        if isinstance(kind, T.NumericType):
-            out[d] = F.coalesce(F.col(d), F.lit(MISSING_CODE).cast(kind))
-        else:
-            out[d] = F.coalesce(F.col(d).cast("string"), F.lit(MISSING_LABEL))
-    return df.withColumns(out)
+    @property
+    def gid_dims(self) -> list[str]:
+        return [*self.rollup, *self.grouping]
+
+    def aggregated(self, dim: str) -> Column:
+        """Rows that aggregate over ``dim``: their grouping ids, listed, so that
+        a scan can use the predicate."""
+        dim = self.derived.get(dim, dim)
+        if dim in self.fixed:
+            return F.lit(False)
+        dims = self.gid_dims
+        if dim not in dims:
+            raise ValueError(f"'{dim}' is not in the cube's layout")
+        sets = grouping_sets_for(self.fixed, self.rollup, self.grouping)
+        gids = {sum(1 << (len(dims) - 1 - i) for i, d in enumerate(dims) if d not in s) for s in sets if dim not in s}
+        return F.col(GID_COL).isin(sorted(gids))
 
 
 def layout_of(group_types: Mapping[str, str]) -> dict[str, list[str]]:
@@ -75,7 +86,7 @@ def build_cube(df: DataFrame, fixed: Sequence[str], rollup: Sequence[str], group
     dims = list(fixed) + list(rollup) + list(grouping)
     sets = grouping_sets_for(fixed, rollup, grouping)
     gdims = list(gid_dims) if gid_dims is not None else list(rollup) + list(grouping)
-    leaves = mark_missing(df, dims).groupBy(*dims).agg(*[e.alias(n) for n, e in metrics.items()])
+    leaves = df.groupBy(*dims).agg(*[e.alias(n) for n, e in metrics.items()])
     aggs = [F.sum(n).alias(n) for n in metrics] + [gid_expr(gdims).alias(GID_COL)]
     return leaves.groupingSets(sets, *dims).agg(*aggs)
 

@@ -18,7 +18,7 @@ ONE aggregate pass over the cube:
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +27,15 @@ from statcube.functions import conj, equals_value, isin_coerced
 from statcube.schema import MASKED, STATUS_COL, dimension_columns
 
 
+# Which rows aggregate over a dimension. A delivered cube marks them by NULL; one
+# whose layout is known by GID (``CubeLayout.aggregated``).
+Marker = Callable[[str], Column]
+
+
+def is_null(dim: str) -> Column:
+    return F.col(dim).isNull()
+
+
 def as_list(x: str | Sequence[str] | None) -> list[str]:
     if x is None:
         return []
@@ -54,7 +63,8 @@ def in_filter(df: DataFrame, filters: Mapping[str, Sequence]) -> DataFrame:
 
 
 def probe_plan(df: DataFrame, tab: str | None, rows: Sequence[str], cols: Sequence[str],
-               filters: Mapping[str, Sequence], probe: str = "prefix") -> tuple[Column, list[tuple[str, Column]]]:
+               filters: Mapping[str, Sequence], probe: str = "prefix",
+               marker: Marker = is_null) -> tuple[Column, list[tuple[str, Column]]]:
     """(final base predicate, [(probed dim, predicate its probe runs under)])."""
     axes = set(as_list(tab)) | set(rows) | set(cols)
     base = F.lit(True)
@@ -63,7 +73,7 @@ def probe_plan(df: DataFrame, tab: str | None, rows: Sequence[str], cols: Sequen
         if d in filters:
             base = base & isin_coerced(d, df.schema[d].dataType, filters[d])
         if d in axes:
-            base = base & F.col(d).isNotNull()
+            base = base & ~marker(d)
         else:
             probes.append((d, base))
     if probe == "full":
@@ -73,13 +83,13 @@ def probe_plan(df: DataFrame, tab: str | None, rows: Sequence[str], cols: Sequen
     return base, probes
 
 
-def subtotal_flags(df: DataFrame, probes: list[tuple[str, Column]]) -> list[bool]:
+def subtotal_flags(df: DataFrame, probes: list[tuple[str, Column]], marker: Marker = is_null) -> list[bool]:
     """One aggregate pass: does a subtotal row exist for each probed dim?"""
     if not probes:
         return []
     # every probe predicate implies the first one: let it prune the scan
     scan = df.where(probes[0][1])
-    row = scan.agg(*[F.coalesce(F.bool_or(p & F.col(d).isNull()), F.lit(False)).alias(f"h{i}")
+    row = scan.agg(*[F.coalesce(F.bool_or(p & marker(d)), F.lit(False)).alias(f"h{i}")
                      for i, (d, p) in enumerate(probes)]).first()
     return [bool(row[i]) for i in range(len(probes))]
 
@@ -94,27 +104,27 @@ def subtotal_flags_many(df: DataFrame, plans: list[list[tuple[str, Column]]]) ->
     return [[bool(row[f"h{i}_{j}"]) for j in range(len(probes))] for i, probes in enumerate(plans)]
 
 
-def filter_predicate(base: Column, probes: list[tuple[str, Column]], flags: list[bool]) -> Column:
+def filter_predicate(base: Column, probes: list[tuple[str, Column]], flags: list[bool], marker: Marker = is_null) -> Column:
     """Final predicate once the probe outcomes are known."""
-    return base & conj(F.col(d).isNull() for (d, _), h in zip(probes, flags) if h)
+    return base & conj(marker(d) for (d, _), h in zip(probes, flags) if h)
 
 
 def smart_filter(df: DataFrame, tab: str | None, rows: str | Sequence[str], cols: str | Sequence[str] = (),
                  filters: Mapping[str, Sequence] | None = None, probe: str = "prefix", mode: str = "eager",
-                 tab_value=None, flags: list[bool] | None = None) -> DataFrame:
+                 tab_value=None, flags: list[bool] | None = None, marker: Marker = is_null) -> DataFrame:
     """Rows of the cube a crosstab over (tab, rows, cols) must sum.
     ``flags``: probe outcomes already computed (e.g. for a batch of specs)."""
     rows, cols, filters = as_list(rows), as_list(cols), dict(filters or {})
-    base, probes = probe_plan(df, tab, rows, cols, filters, probe)
+    base, probes = probe_plan(df, tab, rows, cols, filters, probe, marker)
     if flags is not None:
-        pred = filter_predicate(base, probes, flags)
+        pred = filter_predicate(base, probes, flags, marker)
     elif mode == "eager":
-        pred = filter_predicate(base, probes, subtotal_flags(df, probes))
+        pred = filter_predicate(base, probes, subtotal_flags(df, probes, marker), marker)
     elif mode == "lazy":
         preds = []
         for d, p in probes:
-            has = df.select(F.coalesce(F.bool_or(p & F.col(d).isNull()), F.lit(False))).scalar()
-            preds.append(~has | F.col(d).isNull())
+            has = df.select(F.coalesce(F.bool_or(p & marker(d)), F.lit(False))).scalar()
+            preds.append(~has | marker(d))
         pred = base & conj(preds)
     else:
         raise ValueError("mode must be 'eager' or 'lazy'")
@@ -125,14 +135,14 @@ def smart_filter(df: DataFrame, tab: str | None, rows: str | Sequence[str], cols
 
 def reference_rows(df: DataFrame, tab: str, rows: Sequence[str], cols: Sequence[str],
                    filters: Mapping[str, Sequence] | None = None,
-                   derived: Mapping[str, str] | None = None) -> DataFrame:
+                   derived: Mapping[str, str] | None = None, marker: Marker = is_null) -> DataFrame:
     """Published parent rows behind a crosstab."""
-    return df.where(reference_predicate(df, tab, rows, cols, filters, derived))
+    return df.where(reference_predicate(df, tab, rows, cols, filters, derived, marker))
 
 
 def reference_predicate(df: DataFrame, tab: str, rows: Sequence[str], cols: Sequence[str],
                         filters: Mapping[str, Sequence] | None = None,
-                        derived: Mapping[str, str] | None = None) -> Column:
+                        derived: Mapping[str, str] | None = None, marker: Marker = is_null) -> Column:
     """Which rows are published parents of a crosstab: filters on non-axis dims apply,
     axes and every unfiltered dim are forced to the subtotal (NULL), the tab is
     non-null. A derived dim (REGION) whose parent (COUNTY) is filtered is left
@@ -140,19 +150,19 @@ def reference_predicate(df: DataFrame, tab: str, rows: Sequence[str], cols: Sequ
     filters, derived = dict(filters or {}), dict(derived or {})
     dims = dimension_columns(df)
     axes = set(rows) | set(cols)
-    preds = [F.col(tab).isNotNull()]
+    preds = [~marker(tab)]
     for c, vals in filters.items():
         if c in dims and c not in axes and c != tab:
             preds.append(isin_coerced(c, df.schema[c].dataType, vals))
     for c in axes:
-        preds.append(F.col(c).isNull())
+        preds.append(marker(c))
     for d in dims:
         if d in filters or d in axes or d == tab:
             continue
         parent = derived.get(d)
         if parent is not None and parent in filters and parent not in axes:
             continue
-        preds.append(F.col(d).isNull())
+        preds.append(marker(d))
     return conj(preds)
 
 

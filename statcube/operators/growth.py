@@ -9,8 +9,9 @@
   sorted by tab; each tab, with the tab before it, looks its two values up there:
   no window over the cells, and no table of absent ones.
 
-Growth is defined only when every tab value is a number (a year); otherwise
-the result is empty with the same schema.
+Growth is defined for the year tab, and for a tab whose first value is a number;
+otherwise the result is empty with the same schema. Tabs that are no numbers
+are left out.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from statcube.functions import ratio_inf
 from statcube.operators.crosstab import COL_TOTAL, ROW_TOTAL, VALUE, key_grid
 from statcube.operators.filters import as_list
 from statcube.operators.ordering import ranked
+from statcube.schema import YEAR_TAB
 from statcube.session import cut_lineage
 
 
@@ -32,19 +34,18 @@ def _tab_number(tab: str) -> Column:
     return F.col(tab).cast("string").try_cast(T.DoubleType())
 
 
-def tabs_are_numeric(df: DataFrame, tab: str) -> bool:
-    """Growth guard: every tab value converts to a number."""
-    if isinstance(df.schema[tab].dataType, T.NumericType):
+def allows_growth(df: DataFrame, tab: str) -> bool:
+    """Growth guard: the year tab, or a first tab that is a number."""
+    if tab == YEAR_TAB or isinstance(df.schema[tab].dataType, T.NumericType):
         return True
-    row = df.agg(F.coalesce(F.bool_and(_tab_number(tab).isNotNull()), F.lit(True))).first()
-    return bool(row[0])
+    first = df.agg(F.min(F.col(tab).cast("string")).alias(tab)).select(_tab_number(tab)).first()
+    return first[0] is not None
 
 
 def overall_growth(cells: DataFrame, tab: str) -> DataFrame:
     """tab, TOTAL, YEARLY_GROWTH, YEARLY_GROWTH_PCT (one row per tab)."""
     totals = cells.where(F.col(ROW_TOTAL) & F.col(COL_TOTAL)).select(tab, F.col(VALUE).alias("TOTAL"))
-    if not tabs_are_numeric(totals, tab):
-        totals = totals.where(F.lit(False))
+    totals = totals.where(_tab_number(tab).isNotNull() if allows_growth(totals, tab) else F.lit(False))
     held = cut_lineage(ranked(totals, [], [_tab_number(tab)], "_rank"))
     before = held.select((F.col("_rank") + 1).alias("_rank"), F.col("TOTAL").alias("_prev"))
     prev = F.col("_prev")
@@ -71,8 +72,9 @@ def series_growth(src: DataFrame, tab: str, keys: Sequence[str], value: str = VA
     keys = list(keys)
     out_schema = T.StructType([src.schema[tab], *[src.schema[k] for k in keys],
                                T.StructField("growth_pct", T.DoubleType())])
-    if not tabs_are_numeric(src, tab):
+    if not allows_growth(src, tab):
         return src.sparkSession.createDataFrame([], out_schema)
+    src = src.where(_tab_number(tab).isNotNull())
     series = src.where(F.col(value).isNotNull()).groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct(_tab_number(tab).alias("t"), F.col(value).alias("v")))).alias("_series"))
     steps = key_grid(series, tab_steps(src, tab))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statcube.functions import format_class
-from statcube.operators.crosstab import COL_TOTAL, ROW_TOTAL, VALUE, label_totals
+from statcube.operators.crosstab import COL_TOTAL, ROW_TOTAL, VALUE, attach, label_totals
 from statcube.operators.filters import as_list
 from statcube.operators.ordering import axis_order
 from statcube.schema import TOTAL_LABEL
@@ -56,7 +56,7 @@ def mix_cells(cells: DataFrame, averages: DataFrame, tab: str, rows: Sequence[st
         # one position per column key of the whole table, the total first
         keys = totals.where(F.col(ROW_TOTAL)).select(F.lit(0).alias("_all"), *cols, COL_TOTAL).distinct()
         ranks = axis_order(keys, "_all", cols, COL_TOTAL, codebook, "__crank")
-        inner = cells.where(~F.col(COL_TOTAL)).join(ranks.where(~F.col(COL_TOTAL)).drop(COL_TOTAL, "_all"), list(cols), "inner")
+        inner = attach(cells.where(~F.col(COL_TOTAL)), ranks.where(~F.col(COL_TOTAL)).drop(COL_TOTAL, "_all"), cols)
         base = (F.lit(n_avg) + (F.col("__crank") - 2) * 2 + 1).cast("long")
         parts.append(inner.select(*head, _value_and_percent(column_label(cols), base)))
     else:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from statcube.operators import averages as avg_ops
 from statcube.operators import crosstab as xt
 from statcube.operators import drill, filters, growth, layout, ordering
+from statcube.operators.cube import CubeLayout
 from statcube.operators.reference import reference_totals
 from statcube.plans.spec import CrosstabSpec
 from statcube.session import cut_lineage
@@ -18,21 +19,22 @@ from statcube.sources.codebook import Codebook
 
 class Crosstab:
     def __init__(self, cube: DataFrame, spec: CrosstabSpec, codebook: Codebook | None = None,
-                 mode: str = "eager", flags: list[bool] | None = None):
-        """``flags``: probe outcomes already computed for this spec (a report
-        batch computes them for all its specs in one pass)."""
+                 mode: str = "eager", flags: list[bool] | None = None, layout: CubeLayout | None = None):
+        """``flags``: probe outcomes already known for this spec. ``layout``:
+        subtotals are told by the cube's grouping id instead of NULL."""
         spec.validate()
         spec.check_columns(cube.columns)
         self.cube, self.spec, self.mode = cube, spec, mode
         self.codebook = codebook or Codebook()
         self.flags = flags
+        self.marker = layout.aggregated if layout else filters.is_null
 
     # -- filtering ------------------------------------------------------------
     @cached_property
     def filtered(self) -> DataFrame:
         s = self.spec
         return filters.smart_filter(self.cube, s.tab, list(s.rows), list(s.cols), s.filters, s.probe, self.mode,
-                                    flags=self.flags)
+                                    flags=self.flags, marker=self.marker)
 
     def masked(self) -> DataFrame:
         return filters.masked_rows(self.filtered)
@@ -72,12 +74,12 @@ class Crosstab:
 
     def reference_totals(self) -> DataFrame:
         s = self.spec
-        return reference_totals(self.cube, s.tab, list(s.rows), list(s.cols), s.filters, self.codebook.derived)
+        return reference_totals(self.cube, s.tab, list(s.rows), list(s.cols), s.filters, self.codebook.derived, marker=self.marker)
 
     def reference_rows(self, tab_value=None) -> DataFrame:
         """The published rows behind the reference totals (of one tab)."""
         s = self.spec
-        rows = filters.reference_rows(self.cube, s.tab, list(s.rows), list(s.cols), s.filters, self.codebook.derived)
+        rows = filters.reference_rows(self.cube, s.tab, list(s.rows), list(s.cols), s.filters, self.codebook.derived, self.marker)
         return rows if tab_value is None else filters.rows_of_tab(rows, s.tab, tab_value)
 
     def drill_summary(self) -> DataFrame:

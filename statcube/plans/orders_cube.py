@@ -17,7 +17,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statcube.operators.cube import build_cube, flag_suppressed, layout_of
+from statcube.operators.cube import CubeLayout, build_cube, flag_suppressed, layout_of
 from statcube.operators.decode import decode_cube
 from statcube.session import cut_lineage
 from statcube.sources.codebook import Codebook, codebook_section, load_codebook
@@ -57,14 +57,21 @@ def coded_cube(spark: SparkSession, sf_dir: str, suppress: bool = True) -> DataF
     return flag_suppressed(cube) if suppress else cube
 
 
+def layout() -> CubeLayout:
+    lay = layout_of(Codebook(_section()).group_types())
+    return CubeLayout(tuple(lay["fixed"]), tuple(lay["rollup"]), tuple(lay["grouping"]), {"REGION": "COUNTY"})
+
+
 def cube_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cube of rows of which some lack a dimension: every seventh order has
-    no priority, every eleventh customer no segment, every nation 3 is unknown."""
+    """The cube of rows of which some lack a dimension (every seventh order has
+    no priority, every eleventh customer no segment, nation 3 is unknown) and
+    some hold values that look like a lack (nation -1, segment '(missing)')."""
     rows = microdata(spark, sf_dir)
     key = F.col("c_custkey")
     return build(rows.withColumns({
-        "PRI": F.when(F.col("cents") % 7 != 0, F.col("PRI")), "SEG": F.when(key % 11 != 0, F.col("SEG")),
-        "COUNTY": F.when(F.col("COUNTY") != 3, F.col("COUNTY"))}))
+        "PRI": F.when(F.col("cents") % 7 != 0, F.col("PRI")),
+        "SEG": F.when(key % 13 == 0, F.lit("(missing)")).when(key % 11 != 0, F.col("SEG")),
+        "COUNTY": F.when(F.col("COUNTY") == 4, F.lit(-1)).when(F.col("COUNTY") != 3, F.col("COUNTY"))}))
 
 
 def codebook(spark: SparkSession, sf_dir: str) -> Codebook:

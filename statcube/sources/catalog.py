@@ -1,5 +1,6 @@
 """Dataset catalogue: the Parquet datasets under a root folder, their file
-metadata, dataset type from the file name, and enabled/disabled state.
+metadata and dataset type from the file name. What the datasets hold, and which
+are enabled, is a matter of the manifest (``manifest``).
 
 File listing runs as a Spark scan of the ``binaryFile`` source with only
 metadata columns selected, so file contents are never read.
@@ -7,8 +8,6 @@ metadata columns selected, so file contents are never read.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,24 +30,6 @@ def list_datasets(spark: SparkSession, root: str, suffix: str = ".parquet") -> D
                         "size", dataset_type("path").alias("dataset_type"), data_suffix("path").alias("below_data"))
 
 
-def enabled_datasets(catalog: DataFrame, disabled: Sequence[str] | DataFrame) -> DataFrame:
-    """Datasets whose file name is not on the disabled list (default enabled)."""
-    if not isinstance(disabled, DataFrame):
-        disabled = catalog.sparkSession.createDataFrame([(n,) for n in disabled], "name string")
-    return catalog.join(disabled.select("name").distinct(), "name", "left_anti")
-
-
-def sort_catalog(catalog: DataFrame, by: str = "modified") -> DataFrame:
-    """Newest first, or by name ascending / descending."""
-    if by == "modified":
-        return catalog.orderBy(F.col("modified").desc(), "name")
-    if by == "name_asc":
-        return catalog.orderBy("name")
-    if by == "name_desc":
-        return catalog.orderBy(F.col("name").desc())
-    raise ValueError("by must be 'modified', 'name_asc' or 'name_desc'")
-
-
 def require_dataset_types(catalog: DataFrame) -> DataFrame:
     """The catalogue, failing when it runs if a dataset has no known type."""
     known = F.lit(", ".join(DATASET_PREFIXES))

@@ -3,19 +3,21 @@
 A delivery is a folder of CSV files (one dataset each, each with its own
 columns). Every file is converted to a same-named Parquet dataset: the file
 list is a folder listing (small), each conversion is a distributed read and
-write of that file.
+write of that file. Without a schema, ``ingest_delivery`` parses each file once,
+as text, and works out the column types in that same pass.
 """
 
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from statcube.functions import file_stem
 from statcube.schema import is_unnamed
+from statcube.sources.catalog import list_datasets
+from statcube.sources.manifest import write_dataset
 
 
 def read_delivery_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
@@ -59,6 +61,67 @@ def convert_delivery(spark: SparkSession, folder: str, out_dir: str | None = Non
         return list(pool.map(convert, delivery_files(spark, folder)))
 
 
-def with_source_file(df: DataFrame) -> DataFrame:
-    """Attach the file stem each row came from (``_metadata``)."""
-    return df.withColumn("source_file", file_stem(F.col("_metadata.file_name")))
+# Types a CSV column can have, narrowest first, and what text they take.
+NUMBER = r"^\s*[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?\s*$"
+LATTICE = ["boolean", "long", "double", "date", "timestamp"]
+
+
+def _fits(c: str, kind: str) -> Column:
+    """The text is empty or a value of ``kind``."""
+    text = F.col(f"`{c}`")
+    if kind == "boolean":
+        ok = F.lower(text).isin("true", "false")
+    elif kind == "long":
+        ok = text.rlike(r"^\s*[-+]?\d+\s*$") & text.try_cast("long").isNotNull()
+    elif kind == "double":
+        ok = text.rlike(NUMBER)
+    elif kind == "date":
+        ok = text.rlike(r"^\d{4}-\d\d-\d\d$") & text.try_cast("date").isNotNull()
+    else:
+        ok = text.rlike(r"^\d{4}-\d\d-\d\d[ T]\d\d:\d\d") & text.try_cast("timestamp").isNotNull()
+    return text.isNull() | ok
+
+
+def type_metrics(df: DataFrame) -> list[Column]:
+    """Aggregates over text columns from which ``types_of`` tells their types."""
+    out = []
+    for i, c in enumerate(df.columns):
+        out += [F.coalesce(F.bool_and(_fits(c, k)), F.lit(True)).alias(f"{k}_{i}") for k in LATTICE]
+        out += [F.count_if(F.col(f"`{c}`").isNull()).alias(f"nulls_{i}"), F.count(F.lit(1)).alias(f"rows_{i}")]
+    return out
+
+
+def types_of(columns: list[str], seen: dict) -> dict[str, str]:
+    """The narrowest type that takes every value of a column; integers with gaps,
+    and columns without any value, are doubles (the delivery convention)."""
+    out = {}
+    for i, c in enumerate(columns):
+        kind = next((k for k in LATTICE if seen[f"{k}_{i}"]), "string")
+        gaps = seen[f"nulls_{i}"] > 0
+        if seen[f"nulls_{i}"] == seen[f"rows_{i}"] or (kind == "long" and gaps):
+            kind = "double"
+        elif kind == "boolean" and gaps:
+            kind = "string"
+        out[c] = kind
+    return out
+
+
+def ingest_delivery(spark: SparkSession, folder: str, root: str, at_once: int = 4) -> dict[str, dict[str, str]]:
+    """Every CSV dataset below ``folder`` as a typed dataset of ``root`` with its
+    row in the manifest. Returns the types by dataset and column."""
+    staged = f"{root.rstrip('/')}/_staged"
+
+    def ingest(row) -> tuple[str, dict[str, str]]:
+        name = row["name"].removesuffix(".csv")
+        text = spark.read.option("header", True).option("mode", "FAILFAST").csv(row["path"])
+        text = text.drop(*[c for c in text.columns if is_unnamed(c)])
+        seen = Observation()
+        text.observe(seen, *type_metrics(text)).write.mode("overwrite").parquet(f"{staged}/{name}")
+        types = types_of(text.columns, seen.get)
+        rows = spark.read.schema(text.schema).parquet(f"{staged}/{name}")
+        write_dataset(rows.select(*[F.trim(F.col(f"`{c}`")).cast(t).alias(c) if t != "string" else F.col(f"`{c}`") for c, t in types.items()]), root, name)
+        return name, types
+
+    found = list_datasets(spark, folder, ".csv").select("name", "path").collect()  # one row a dataset
+    with ThreadPoolExecutor(max_workers=max(1, at_once)) as pool:
+        return dict(pool.map(ingest, sorted(found)))

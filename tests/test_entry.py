@@ -8,7 +8,7 @@ from tests.oracle_compare import compare, duck
 SF = "/root/testdata/sf0.001"
 SUBSET = ["cube_suppress", "smart_filter", "crosstab_pct", "crosstab_2x2", "weighted_avg", "growth_rows",
           "reference_totals", "mix_report", "report_notes", "preset_table_1", "masked_detail", "axis_order",
-          "report_cells", "lineitem_crosstab", "growth_summary", "preview_rows"]
+          "report_cells", "lineitem_crosstab", "catalog_enabled", "delivery_inferred", "crosstab_with_gaps", "growth_guard", "growth_summary", "preview_rows"]
 
 
 def test_entry_runs(spark):
@@ -21,7 +21,7 @@ def test_every_query_has_oracle_or_is_rows_only():
     qs, sqls = E.queries(), E.oracle_sql()
     assert set(sqls) <= set(qs)
     own = {n for n in set(qs) - set(sqls) if not n.startswith("op") and n != "pipeline"}
-    assert own == {"catalog_enabled"}
+    assert own == set()
 
 
 @pytest.fixture(scope="module")

@@ -80,12 +80,11 @@ def test_small_helpers(spark):
 
 
 def test_index_columns_are_dropped_at_ingest(spark, tmp_path):
-    from statcube.sources.ingest import read_delivery_csv, with_source_file
+    from statcube.sources.ingest import read_delivery_csv
 
     (tmp_path / "a.csv").write_text(",CNT,_c0de\n0,1,x\n")
     df = read_delivery_csv(spark, str(tmp_path / "a.csv"))
     assert df.columns == ["CNT", "_c0de"]
-    assert [r["source_file"] for r in with_source_file(df).collect()] == ["a"]
 
 
 def test_sorted_values(spark):

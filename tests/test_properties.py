@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from statcube.operators import crosstab as xt
-from statcube.operators.cube import build_cube
+from statcube.operators.cube import CubeLayout, build_cube
 from statcube.operators.filters import smart_filter
 
 DIMS = ["T", "A", "B", "C"]
@@ -134,15 +134,34 @@ def test_crosstab_outputs_equal_pandas(spark, seed):
 
 
 def test_missing_dimension_values_are_no_subtotals(spark):
-    """A NULL in the microdata is a value of its own: totals count each row once."""
-    rows = [(2020, "a", "x", 1), (2020, "a", None, 1), (2020, None, "x", 1), (None, "b", "y", 1), (2021, None, None, 1)]
+    """A NULL in the microdata is a value of its own, beside values that look
+    like one: totals count each row once."""
+    rows = [(2020, "a", "x", 1), (2020, "a", None, 1), (2020, None, "x", 1), (None, "b", "y", 1), (2021, None, None, 1), (-1, "(missing)", "x", 1)]
     micro = spark.createDataFrame(rows, "T long, A string, B string, one long")
     cube = build_cube(micro, ["T"], ["A"], ["B"], {"CNT": F.sum("one")})
     assert cube.where("GID = 3").agg(F.sum("CNT")).first()[0] == len(rows)
-    cells = xt.crosstab_cells(smart_filter(cube, "T", ["A"], ["B"], {}), "T", ["A"], ["B"], "CNT")
-    assert cells.where("is_row_total and is_col_total").agg(F.sum("value")).first()[0] == len(rows)
-    assert {r.A for r in cube.where("GID = 1").collect()} == {"a", "b", "(missing)"}
-    assert {r["T"] for r in cube.collect()} == {2020, 2021, -1}
+    layout = CubeLayout(("T",), ("A",), ("B",))
+    for rows_, cols in ((["A"], ["B"]), (["B"], []), (["A"], [])):
+        kept = smart_filter(cube, "T", rows_, cols, {}, marker=layout.aggregated)
+        cells = xt.crosstab_cells(kept, "T", rows_, cols, "CNT")
+        assert cells.where("is_row_total and is_col_total").agg(F.sum("value")).first()[0] == len(rows)
+        lazy = smart_filter(cube, "T", rows_, cols, {}, mode="lazy", marker=layout.aggregated)
+        assert sorted(map(str, lazy.collect())) == sorted(map(str, kept.collect()))
+    inner = {(r["T"], r["A"]): r["value"] for r in xt.crosstab_cells(kept, "T", ["A"], [], "CNT").where("not is_row_total and is_col_total").collect()}
+    assert inner == {(2020, "a"): 2, (2020, None): 1, (None, "b"): 1, (2021, None): 1, (-1, "(missing)"): 1}
+    assert {r.A for r in cube.where("GID = 1").collect()} == {"a", "b", "(missing)", None}
+    assert {r["T"] for r in cube.collect()} == {2020, 2021, -1, None}
+
+
+def test_layout_names_the_sets_of_each_dimension(spark):
+    """The listed grouping ids are those in which the dimension is aggregated."""
+    micro = spark.createDataFrame([(1, "a", "b", "c", "d", 1)], "T long, A string, B string, C string, D string, one long")
+    layout = CubeLayout(("T",), ("A", "B"), ("C", "D"), {"R": "B"})
+    cube = build_cube(micro, layout.fixed, layout.rollup, layout.grouping, {"CNT": F.sum("one")}).withColumn("R", F.col("B"))
+    for d in ("T", "A", "B", "C", "D", "R"):
+        assert cube.where(layout.aggregated(d) != F.col(d).isNull()).count() == 0, d
+    with pytest.raises(ValueError, match="layout"):
+        layout.aggregated("X")
 
 
 @pytest.mark.parametrize("n", [0, 1, 400])

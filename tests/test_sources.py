@@ -6,8 +6,9 @@ import tempfile
 import pytest
 
 from statcube.sources.codebook import Codebook
-from statcube.sources.catalog import enabled_datasets, list_datasets, sort_catalog
-from statcube.sources.ingest import convert_delivery
+from statcube.sources.catalog import list_datasets
+from statcube.sources.ingest import convert_delivery, ingest_delivery, types_of
+from statcube.sources.manifest import catalogue, read_manifest, write_dataset
 
 SF = "/root/testdata/sf0.001"
 
@@ -16,9 +17,6 @@ def test_catalog(spark):
     cat = list_datasets(spark, SF)
     names = {r["name"] for r in cat.collect()}
     assert {"orders.parquet", "nation.parquet"} <= names
-    enabled = {r["name"] for r in enabled_datasets(cat, ["orders.parquet"]).collect()}
-    assert "orders.parquet" not in enabled and "nation.parquet" in enabled
-    assert sort_catalog(cat, "name_asc").first()["name"] == sorted(names)[0]
 
 
 def _write_delivery(spark, folder):
@@ -49,7 +47,6 @@ def test_catalogue_of_written_datasets(spark, tmp_path):
     assert set(rows) == {"所有權_coded_1.parquet", "other.parquet"}
     assert rows["所有權_coded_1.parquet"]["dataset_type"] == "ownership" and rows["other.parquet"]["dataset_type"] is None
     assert rows["other.parquet"]["below_data"] == "sub/other.parquet"
-    assert [r["name"] for r in enabled_datasets(cat, ["所有權_coded_1.parquet"]).collect()] == ["other.parquet"]
     assert require_dataset_types(cat.where("name <> 'other.parquet'")).count() == 1
     with pytest.raises(Exception, match="other.parquet"):
         require_dataset_types(cat).collect()
@@ -98,3 +95,43 @@ def test_report_batch_errors_and_toc(spark):
     assert [e["Chapter"] for e in errs] == ["x"]
     toc = [r["sheet"] for r in rb.toc().orderBy("sheet_rank").collect()]
     assert toc == ["4-1-1", "4-1-2", "4-1-10", "Report_3", "x"]
+
+
+def test_manifest_notes_what_was_written_last(spark, tmp_path):
+    root = str(tmp_path / "store")
+    df = spark.createDataFrame([(1, None, 2.5, "b"), (None, None, -1.0, "a")], "k long, none string, x double, `a.b` string")
+    write_dataset(df, root, "稅籍_coded_1")
+    write_dataset(df.limit(0), root, "plain")
+    write_dataset(df.union(df), root, "稅籍_coded_1")
+    got = {(r["dataset"], r["column"]): r for r in read_manifest(spark, root).collect()}
+    assert len(got) == 8 and got["稅籍_coded_1", "k"]["n_rows"] == 4 and got["稅籍_coded_1", "k"]["n_nulls"] == 2
+    one = got["稅籍_coded_1", "x"]
+    assert (one["min_text"], one["max_text"], one["kind"]) == ("-1.0000", "2.5000", "double")
+    assert got["plain", "x"]["n_rows"] == 0 and got["plain", "x"]["min_text"] is None
+    assert got["稅籍_coded_1", "none"]["n_nulls"] == 4 and got["稅籍_coded_1", "a.b"]["max_text"] == "b"
+    rows = catalogue(spark, root).collect()
+    assert {r["name"]: (r["dataset_type"], r["by_time"], r["by_name"]) for r in rows} == {"稅籍_coded_1": ("tax", 1, 2), "plain": (None, 2, 1)}
+    assert [r["name"] for r in catalogue(spark, root, ["plain"]).collect()] == ["稅籍_coded_1"]
+    assert read_manifest(spark, root).where("dataset = '稅籍_coded_1'").agg({"checksum": "sum"}).first()[0] == 2 * sum(
+        int(__import__("hashlib").md5(t.encode()).hexdigest()[:8], 16) for t in ("1", "2.5000", "-1.0000", "a", "b"))
+
+
+def test_types_inferred_in_the_pass_that_reads_the_csv(spark, tmp_path):
+    folder, root = tmp_path / "in", str(tmp_path / "out")
+    folder.mkdir()
+    (folder / "a.csv").write_text(",i,gap,f,d,t,flag,text,empty,big,mixed\n"
+                                  "0, 7 ,1,1.5,2024-01-31,2024-01-31 10:00:00,True,x,,99999999999999999999,1\n"
+                                  "1,-3,,2e3,2024-02-29,2024-02-01T00:00:00,false,7,,1,2024-01-01\n")
+    (folder / "b.csv").write_text("n,s\n007,\"one, two\"\n8,\"say \"\"hi\"\"\"\n")
+    types = ingest_delivery(spark, str(folder), root)
+    assert types["a"] == {"i": "long", "gap": "double", "f": "double", "d": "date", "t": "timestamp", "flag": "boolean", "text": "string", "empty": "double",
+                          "big": "double", "mixed": "string"}
+    back = spark.read.parquet(f"{root}/a.parquet").orderBy("i").collect()
+    assert (back[1]["i"], back[1]["gap"], back[0]["gap"], back[0]["f"], str(back[0]["d"]), back[0]["flag"]) == (7, 1.0, None, 2000.0, "2024-02-29", False)
+    assert types["b"] == {"n": "long", "s": "string"} and sorted(r["n"] for r in spark.read.parquet(f"{root}/b.parquet").collect()) == [7, 8]
+    assert {r["dataset"] for r in read_manifest(spark, root).collect()} == {"a", "b"}
+
+
+def test_narrowest_type():
+    seen = {f"{k}_0": k in ("double", "timestamp") for k in ("boolean", "long", "double", "date", "timestamp")} | {"nulls_0": 1, "rows_0": 3}
+    assert types_of(["c"], seen) == {"c": "double"}
