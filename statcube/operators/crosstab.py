@@ -30,7 +30,7 @@ from statcube.operators.filters import as_list
 from statcube.schema import TOTAL_LABEL
 from statcube.session import cut_lineage
 
-ROW_TOTAL, COL_TOTAL, VALUE = "is_row_total", "is_col_total", "value"
+ROW_TOTAL, COL_TOTAL, VALUE, ROW_PCT = "is_row_total", "is_col_total", "value", "row_pct"
 
 
 # Column keys of one block, and row keys that meet a block in one join group.
@@ -38,7 +38,7 @@ BLOCK_KEYS, SALT_ROWS = 1024, 16384
 
 
 def key_grid(left: DataFrame, right: DataFrame, on: Sequence[str] = (), block: int = BLOCK_KEYS,
-             salt_rows: int = SALT_ROWS) -> DataFrame:
+             salt_rows: int = SALT_ROWS, sizes: tuple[int, int] | None = None) -> DataFrame:
     """Every row of ``left`` with every row of ``right`` (distinct keys; the
     columns of a sheet, or its tabs) that has the same ``on``.
 
@@ -46,7 +46,8 @@ def key_grid(left: DataFrame, right: DataFrame, on: Sequence[str] = (), block: i
     each, and a left row goes to every block (by number). They meet by an
     equi-join on block and salt, with a salt for each ``salt_rows`` left rows, so
     neither many columns nor many rows land in one task. Only the two counts are
-    scalars; a list of keys never is.
+    scalars (or known: ``sizes``, upper bounds of the rows of ``left`` and
+    ``right``); a list of keys never is.
     """
     on = list(on)
     keys = [c for c in right.columns if c not in on]
@@ -56,6 +57,10 @@ def key_grid(left: DataFrame, right: DataFrame, on: Sequence[str] = (), block: i
         n = (right.groupBy(*on).agg(F.count(F.lit(1)).alias("_r")).join(left.groupBy(*on).agg(F.count(F.lit(1)).alias("_l")), on)
              .select(*on, _parts("_r", block).alias("_blocks"), _parts("_l", salt_rows).alias("_salts")))
         left_n, right_n = left.join(n, on), right.join(n, on)
+    elif sizes is not None:
+        n_left, n_right = (max(1, -(-n // size)) for n, size in zip(sizes, (salt_rows, block)))
+        known = {"_blocks": F.lit(n_right).cast("long"), "_salts": F.lit(n_left).cast("long")}
+        left_n, right_n = left.withColumns(known), right.withColumns(known)
     else:
         blocks = right.agg(_parts(F.count(F.lit(1)), block)).scalar()
         salts = left.agg(_parts(F.count(F.lit(1)), salt_rows)).scalar()
@@ -91,26 +96,41 @@ def sparse_cells(filtered: DataFrame, tab: str, rows: str | Sequence[str], cols:
                     F.explode(F.array(F.lit(False), F.lit(True))).alias(COL_TOTAL), VALUE)
 
 
+def store_cells(sparse: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
+    """``sparse`` stored, with the numbers of its row keys and column keys over
+    all tabs (bounds for ``key_grid``), counted in the same pass."""
+    held, n = cut_lineage(sparse, rows=F.count_if(F.col(COL_TOTAL)), cols=F.count_if(F.col(ROW_TOTAL) & ~F.col(COL_TOTAL)))
+    return held, (n["rows"], n["cols"])
+
+
 def densify(sparse: DataFrame, tab: str, rows: str | Sequence[str], cols: str | Sequence[str],
-            block: int = BLOCK_KEYS) -> DataFrame:
+            block: int = BLOCK_KEYS, sizes: tuple[int, int] | None = None, row_totals: bool = False) -> DataFrame:
     """``sparse`` with a zero for each row key and column key (of any tab) that
-    do not meet. ``sparse`` is read several times: hand over a stored table."""
+    do not meet. ``sparse`` is read several times: hand over a stored table.
+    ``row_totals``: with the row's total beside each cell, for its percentage."""
     rows, cols = as_list(rows), as_list(cols)
+    keys = [tab, *rows, *cols, ROW_TOTAL, COL_TOTAL]
+    extra = [f"_{ROW_PCT}"] if row_totals else []
     if not cols:
-        return sparse
-    left = sparse.where(F.col(COL_TOTAL)).select(tab, *rows, ROW_TOTAL)
+        return sparse.withColumns({c: F.col(VALUE) for c in extra})
+    total = F.col(VALUE).alias(f"_{ROW_PCT}")
+    left = sparse.where(F.col(COL_TOTAL)).select(tab, *rows, ROW_TOTAL, *[total for _ in extra])
     right = sparse.where(F.col(ROW_TOTAL) & ~F.col(COL_TOTAL)).select(*cols).distinct()
-    zeros = key_grid(left, right, block=block).withColumn(COL_TOTAL, F.lit(False)).withColumn(
-        VALUE, F.lit(0).cast(sparse.schema[VALUE].dataType))
-    both = sparse.unionByName(zeros.select(*sparse.columns))
-    return both.groupBy(tab, *rows, *cols, ROW_TOTAL, COL_TOTAL).agg(F.max_by(VALUE, F.abs(VALUE)).alias(VALUE))
+    kind = sparse.schema[VALUE].dataType
+    zeros = key_grid(left, right, block=block, sizes=sizes).withColumn(COL_TOTAL, F.lit(False)).withColumn(VALUE, F.lit(0).cast(kind))
+    own = sparse.withColumns({c: F.when(F.col(COL_TOTAL), F.col(VALUE)) for c in extra})
+    both = own.unionByName(zeros.select(*own.columns))
+    return both.groupBy(*keys).agg(F.max_by(VALUE, F.abs(VALUE)).alias(VALUE), *[F.max(c).alias(c) for c in extra])
 
 
 def crosstab_cells(filtered: DataFrame, tab: str, rows: str | Sequence[str], cols: str | Sequence[str],
                    metric: str) -> DataFrame:
     """Crosstab of sum(metric) by tab x rows x cols with totals (long form)."""
     sparse = sparse_cells(filtered, tab, rows, cols, metric)
-    return densify(cut_lineage(sparse), tab, rows, cols) if as_list(cols) else sparse
+    if not as_list(cols):
+        return sparse
+    held, sizes = store_cells(sparse)
+    return densify(held, tab, rows, cols, sizes=sizes)
 
 
 def attach(cells: DataFrame, side: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -126,20 +146,23 @@ def attach(cells: DataFrame, side: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def with_percentages(cells: DataFrame, tab: str, rows: Sequence[str], cols: Sequence[str],
                      value: str = VALUE, totals: DataFrame | None = None,
-                     kinds: Sequence[str] = ("row_pct", "col_pct", "total_pct")) -> DataFrame:
+                     kinds: Sequence[str] = (ROW_PCT, "col_pct", "total_pct")) -> DataFrame:
     """row_pct = cell / its row total, col_pct = cell / its column total,
     total_pct = cell / grand total; a zero denominator gives NULL. ``totals``:
     where the totals are read from (the stored sparse cells; default: cells).
-    ``kinds``: which of the three are wanted."""
+    ``kinds``: which of the three are wanted. A total that ``cells`` carry already
+    is taken from there."""
     rows, cols = as_list(rows), as_list(cols)
     totals = cells if totals is None else totals
-    sides = {"row_pct": (COL_TOTAL, [tab, *rows, ROW_TOTAL]), "col_pct": (ROW_TOTAL, [tab, *cols, COL_TOTAL]), "total_pct": (None, [tab])}
+    sides = {ROW_PCT: (COL_TOTAL, [tab, *rows, ROW_TOTAL]), "col_pct": (ROW_TOTAL, [tab, *cols, COL_TOTAL]), "total_pct": (None, [tab])}
     out = cells
     for name in kinds:
         flag, keys = sides[name]
+        if f"_{name}" in cells.columns:
+            continue
         where = F.col(flag) if flag else F.col(ROW_TOTAL) & F.col(COL_TOTAL)
         out = attach(out, totals.where(where).select(*keys, F.col(value).alias(f"_{name}")), keys)
-    return out.select(*cells.columns, *[safe_div(value, f"_{name}").alias(name) for name in kinds])
+    return out.select(*[c for c in cells.columns if c != f"_{ROW_PCT}"], *[safe_div(value, f"_{name}").alias(name) for name in kinds])
 
 
 def heat_scale(cells: DataFrame, tab: str, rows: Sequence[str], cols: Sequence[str], value: str = VALUE) -> DataFrame:

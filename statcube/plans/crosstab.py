@@ -44,29 +44,32 @@ class Crosstab:
 
     # -- crosstab -------------------------------------------------------------
     @cached_property
+    def _stored(self) -> tuple[DataFrame, tuple[int, int]]:
+        s = self.spec
+        return xt.store_cells(xt.sparse_cells(self.filtered, s.tab, list(s.rows), list(s.cols), s.metric))
+
+    @property
     def _sparse(self) -> DataFrame:
         """Cells that are present and all totals, stored: the cube is read once
         for every output below."""
-        s = self.spec
-        return cut_lineage(xt.sparse_cells(self.filtered, s.tab, list(s.rows), list(s.cols), s.metric))
+        return self._stored[0]
 
-    @cached_property
-    def _cells(self) -> DataFrame:
+    def _dense(self, row_totals: bool = False) -> DataFrame:
         s = self.spec
-        return xt.densify(self._sparse, s.tab, list(s.rows), list(s.cols))
+        return xt.densify(self._sparse, s.tab, list(s.rows), list(s.cols), sizes=self._stored[1], row_totals=row_totals)
 
     def _column_totals(self) -> DataFrame:
         """The total row of each tab, with a zero for columns seen in other tabs only."""
         s = self.spec
-        return xt.densify(self._sparse.where(F.col(xt.ROW_TOTAL)).drop(*s.rows), s.tab, [], list(s.cols))
+        return xt.densify(self._sparse.where(F.col(xt.ROW_TOTAL)).drop(*s.rows), s.tab, [], list(s.cols), sizes=self._stored[1])
 
     def cells(self, percentages: bool = True) -> DataFrame:
         s = self.spec
-        return xt.with_percentages(self._cells, s.tab, s.rows, s.cols, totals=self._sparse) if percentages else self._cells
+        return xt.with_percentages(self._dense(True), s.tab, s.rows, s.cols, totals=self._sparse) if percentages else self._dense()
 
     def heat(self) -> DataFrame:
         s = self.spec
-        return xt.heat_scale(cut_lineage(self._cells), s.tab, s.rows, s.cols)
+        return xt.heat_scale(cut_lineage(self._dense()), s.tab, s.rows, s.cols)
 
     def averages(self) -> DataFrame:
         s = self.spec
@@ -117,6 +120,6 @@ class Crosstab:
         stored sparse cells; the cells with their zeros are read once."""
         s = self.spec
         names = [a.name for a in avg_ops.avg_specs(self.codebook, s.cols)]
-        cells = xt.with_percentages(self._cells, s.tab, s.rows, s.cols, totals=self._sparse, kinds=["row_pct"])
+        cells = xt.with_percentages(self._dense(True), s.tab, s.rows, s.cols, totals=self._sparse, kinds=[xt.ROW_PCT])
         return layout.mix_cells(cells, self.averages(), s.tab, list(s.rows), list(s.cols), self.codebook, names, s.metric,
                                 totals=self._sparse)

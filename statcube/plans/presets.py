@@ -9,9 +9,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statcube.operators.crosstab import densify, sparse_cells, with_percentages
+from statcube.operators.crosstab import densify, sparse_cells, store_cells, with_percentages
 from statcube.operators.filters import exclude_labels, smart_filter, validate_axes
-from statcube.session import cut_lineage
 from statcube.sources.codebook import Codebook, load_codebook
 
 ALL = "__all"
@@ -52,8 +51,8 @@ def preset_crosstab(cube: DataFrame, codebook: Codebook, task: Mapping) -> DataF
     filtered = exclude_labels(filtered, rows + cols, task.get("exclude_values") or [])
     # one table, no tabs: a constant tab key keeps the crosstab operator whole
     src = filtered.withColumn(ALL, F.lit(1))
-    sparse = cut_lineage(sparse_cells(src, ALL, rows, cols, value))
-    return with_percentages(densify(sparse, ALL, rows, cols), ALL, rows, cols, totals=sparse).drop(ALL)
+    sparse, sizes = store_cells(sparse_cells(src, ALL, rows, cols, value))
+    return with_percentages(densify(sparse, ALL, rows, cols, sizes=sizes, row_totals=True), ALL, rows, cols, totals=sparse).drop(ALL)
 
 
 def preset_batch(tasks: Sequence[Mapping], sources: Mapping[str, Callable[[], tuple[DataFrame, Codebook]]]) -> DataFrame:

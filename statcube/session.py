@@ -6,7 +6,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 # Session settings the engine is designed around. On a cluster these come from
 # the job submission; locally they are applied by ``local_session``.
@@ -93,18 +93,22 @@ def drop_intermediates(spark: SparkSession) -> int:
     return n
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, **measures: Column) -> DataFrame | tuple[DataFrame, dict]:
     """Write ``df`` once as a Parquet table in the shared checkpoint folder and
     read it back.
 
     Later jobs (probe pass, key list, final plan) scan the written table with
     filter pushdown and column pruning instead of recomputing the lineage, and
-    a lost executor re-reads files rather than rebuilding the cube.
+    a lost executor re-reads files rather than rebuilding the cube. ``measures``:
+    aggregates of the rows, worked out in the same pass and returned as well.
     """
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/statcube-{uuid.uuid4().hex}"
     _WRITTEN.append(path)
-    df.write.mode("error").parquet(path)
+    seen = Observation()
+    rows = df.observe(seen, *[m.alias(k) for k, m in measures.items()]) if measures else df
+    rows.write.mode("error").parquet(path)
     # the schema is known: no footer reads to infer it
-    return spark.read.schema(df.schema).parquet(path)
+    held = spark.read.schema(df.schema).parquet(path)
+    return (held, seen.get) if measures else held
