@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from llm._batches import LOWER, Texts, add_columns, byte_slices, mix, stored, table, word_hashes
+from llm._batches import LOWER, Texts, add_columns, byte_slices, mix, stored, table, whole_row, word_hashes
 from llm.toxicity import SEPARATORS
 
 WINDOW, GRAM = 10, 5
@@ -277,8 +277,8 @@ def op9_decontaminate(spark, sf_dir: str) -> DataFrame:
 
 def drop_leaks(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents without a hit word."""
-    whole = docs.withColumn("__all", F.struct(*docs.columns))
-    return find_leaks(whole, table(spark, sf_dir, "benchmark"), keep=["__all"]).where("n_hit = 0").select("__all.*")
+    rows = docs.select(whole_row(docs).alias("row"), F.col("text"))
+    return find_leaks(rows, table(spark, sf_dir, "benchmark"), keep=["row"]).where("n_hit = 0").select("row.*")
 
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from llm._batches import SPACE, Texts, add_columns, byte_table, pieces, sums_by_text, table
+from llm._batches import SPACE, Texts, add_columns, byte_table, pieces, sums_by_text, table, whole_row
 
 SYMBOLS = byte_table(b"#*$%&|<>")
 LINE_END = byte_table(b"\n")
@@ -231,7 +231,8 @@ def op4_quality_cascade(spark, sf_dir: str) -> DataFrame:
 
 def keep_good(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that pass every rule."""
-    return apply_rules(docs, keep=docs.columns, measures=()).where("kept").select(*docs.columns)
+    rows = docs.select(whole_row(docs).alias("row"), F.col("text"))
+    return apply_rules(rows, keep=["row"]).where("kept").select("row.*")
 
 
 _W = "[^\\x20\\x09-\\x0D]"

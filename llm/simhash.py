@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from llm._batches import LOWER, SPACE, Texts, add_columns, stored, table
+from llm._batches import LOWER, SPACE, Texts, add_columns, stored, table, whole_row
 from llm.components import components
 
 WORDS, MAX_BITS, SEED = 4, 4, 42
@@ -239,7 +239,7 @@ def keep_one(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: exactly one row of each component, the one with the smallest
     id (nulls last), then text hash, then row key. Rows are told apart by a
     stored row key, never by id, so null and repeated ids lose no other row."""
-    kept = docs.select(F.struct(*docs.columns).alias("all"), F.monotonically_increasing_id().alias("row"), F.col("doc_id").alias("id"),
+    kept = docs.select(whole_row(docs).alias("all"), F.monotonically_increasing_id().alias("row"), F.col("doc_id").alias("id"),
                        F.xxhash64("text").alias("hash"), "text")
     rows = stored(add_fingerprint(kept, keep=["all", "row", "id", "hash"]), "simhash-rows")
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", "hash", "row")

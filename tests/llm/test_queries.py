@@ -70,3 +70,23 @@ def test_stages_take_awkward_tables(spark, tmp_path):
             assert at.columns == rows.columns
             at = spark.createDataFrame(at.collect(), rows.schema)
         assert corpus_pipeline.run(spark, sf).count() >= 0
+
+
+def test_stages_give_every_value_back(spark, tmp_path):
+    """Columns that are called like a stage's own, or with a dot, keep their values and types."""
+    from tests.llm.fixtures import some_texts
+
+    texts = [t for t in some_texts(60)] + ["plain words of a clean text that says many different things about rivers and bridges here " * 2 + str(i) for i in range(3)]
+    names = ("kept", "rejected_by", "a.b", "score", "row", "all", "fingerprint", "n_hit", "h")
+    rows = [(i, t, "en", "s", len(t), *[f"{n} {i}" for n in names]) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long" + "".join(f", `{n}` string" for n in names)).repartition(3)
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    sf = write_sf(spark, tmp_path, documents=df, labels=labels, benchmark=spark.read.parquet(f"{SF}/benchmark.parquet"))
+    want = {r[0]: r for r in rows}
+    at = df
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, at, sf)
+        assert out.schema == df.schema, name
+        got = [tuple(r) for r in out.collect()]
+        assert got and all(r == want[r[0]] for r in got) and len(got) == len({r[0] for r in got}), name
+        at = spark.createDataFrame(got, df.schema)
