@@ -52,7 +52,7 @@ from llm.simhash import _shingle_hashes
 
 WORDS, PERCENT = 4, 85
 #: Text bytes of a group, hash ranges of a partition, shingles of a part of a block.
-GROUP_BYTES, RANGES, BLOCK = 8 << 20, 4, 2_000_000
+GROUP_BYTES, RANGES, BLOCK = 8 << 20, 4, 250_000
 #: Weight of a binary probe against a merge step in the choice of L.
 PROBE = 0.0085
 
