@@ -45,6 +45,8 @@ _GEAR = mix(np.arange(1, 257, dtype=np.uint64)).astype(np.uint32)
 #: Of the packed parts that are shuffled.
 LEVEL = 6
 _ROWS = "dest int, block long, kind int, part binary"
+#: Ids that a task keeps of chunks it has seen; what an entry takes beside them.
+STORE_BYTES, ENTRY_BYTES = 256 << 20, 150
 
 
 def default_path() -> str:
@@ -161,11 +163,12 @@ def _id_type(encoder: PieceEncoder) -> type:
 
 def _encode_chunks(path: str):
     """What lies between the open ends of chunks is encoded, each distinct one
-    of a task once; every block that sent it gets its ids."""
+    of a task once (while ``STORE_BYTES`` hold them); every block that sent it gets its ids."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = PieceEncoder.shared(path, "words")
         digest, width = xxhash.xxh3_128_digest, _id_type(encoder)
         done: dict[bytes, bytes] = {}
+        held = 0
         for whole in batches:
             for batch in byte_slices(whole, "part", BLOCK // 8):
                 asked, fresh = [], {}
@@ -183,9 +186,13 @@ def _encode_chunks(path: str):
                 ids = ids.astype(width)
                 for i, name in enumerate(fresh):
                     done[name] = ids[first[i]:first[i + 1]].tobytes()
+                    held += len(done[name]) + ENTRY_BYTES
                 for block, mine, names in asked:
                     got = [done[x] for x in names]
                     yield _rows([(0, block, 1, _pack(mine, np.array([len(g) for g in got], dtype=np.int32), b"".join(got)))])
+                if held > STORE_BYTES:  # a chunk that comes again is encoded again
+                    done.clear()
+                    held = 0
     return work
 
 
@@ -302,7 +309,7 @@ def encode(df: DataFrame, text_col: str = "text", path: str | None = None, resul
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     source = df.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)] or [F.lit(0).alias("k0")], F.col(f"`{text_col}`").alias("__text"))
     sent = source.mapInArrow(_send(max(1, len(keep)), n), _ROWS)
-    coded = sent.repartition(n, "dest").mapInArrow(_encode_chunks(path), _ROWS)
+    coded = sent.repartitionById(n, F.col("dest")).mapInArrow(_encode_chunks(path), _ROWS)
     home = coded.repartition(n, "block").sortWithinPartitions("block", "kind")
     kept = [df.schema[c] for c in keep] or [T.StructField("k0", T.IntegerType())]
     schema = T.StructType([T.StructField(f"k{i}", f.dataType) for i, f in enumerate(kept)] + fields)
