@@ -1,8 +1,8 @@
 """URL filters by a temporal list join, in DataFrame operations only.
 
 A block list is a log of dated entries: a pattern is added or removed at a time.
-Entries become validity intervals (from the addition up to the pattern's next
-entry), and a capture is judged by the intervals that hold its fetch time, so
+Entries become validity intervals (from the addition up to the next entry of
+the pattern in that category), and a capture is judged by the intervals that hold its fetch time, so
 the same URL can pass before an entry and fail after it.
 
 Kinds of pattern: ``host`` (this host), ``domain`` (this host and all below
@@ -14,8 +14,8 @@ captures, and captures of one URL on one day are looked up once.
 
 Defined cases: a null or unparsable URL, or a null time, matches nothing;
 repeated captures get a row each; repeated entries count once; entries with a
-null field are ignored; of entries for one pattern at one time a removal comes
-last; empty tables give empty results or captures without matches; other
+null field are ignored; of entries for one pattern and category at one time a
+removal comes last; empty tables give empty results or captures without matches; other
 columns of the captures stay (one named like a result gives way to it).
 """
 
@@ -28,8 +28,9 @@ from llm._batches import table
 
 
 def host_of(url: Column) -> Column:
-    """Host in lower case, without user and port; null if there is none."""
-    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#@]*@)?([^/?#:@]+)", 2))
+    """Host in lower case, without user and port, an IPv6 address in its
+    brackets; null if there is none."""
+    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#@]*@)?(\[[0-9A-Fa-f:.]+\]|[^/?#:@\[\]]+)", 2))
     return F.when(host != "", host)
 
 
@@ -39,9 +40,10 @@ def path_of(url: Column) -> Column:
 
 def validity(entries: DataFrame) -> DataFrame:
     """(kind, pattern, category, valid_from, valid_to): the intervals of a log
-    (kind, pattern, category, action add or remove, effective date)."""
+    (kind, pattern, category, action add or remove, effective date). Categories
+    of a pattern are listed apart: an entry ends an interval of its own only."""
     log = entries.select("kind", "pattern", "category", "action", "effective").na.drop().distinct()
-    order = Window.partitionBy("kind", "pattern").orderBy("effective", "action", "category")
+    order = Window.partitionBy("kind", "pattern", "category").orderBy("effective", "action")
     nxt = F.lead("effective").over(order)
     spans = log.withColumn("valid_to", nxt).where("action = 'add'")
     return spans.select("kind", "pattern", "category", F.col("effective").alias("valid_from"), "valid_to").where(
@@ -95,8 +97,8 @@ def captures_of(pages: DataFrame) -> DataFrame:
 
 def entries_of(pages: DataFrame) -> DataFrame:
     """A log worked out from the hosts of the pages: of each sixteen hosts some
-    are listed by host, domain or path, most of these removed again, some added
-    once more."""
+    are listed by host, domain or path, removed again, and added once more; a
+    second category is added meanwhile and stays."""
     host = host_of(F.col("url"))
     hosts = pages.select(host.alias("host")).where("host is not null").distinct()
     first = F.date_add(F.lit("2023-01-01").cast("date"), _number(F.col("host"), 5, 600).cast("int"))
@@ -106,11 +108,11 @@ def entries_of(pages: DataFrame) -> DataFrame:
     name = F.when(F.col("k") < 2, F.lit("host")).when(F.col("k") < 4, F.lit("domain")).otherwise(F.lit("prefix"))
     category = F.when(F.pmod("k", F.lit(2)) == 0, F.lit("spam")).otherwise(F.lit("malware"))
 
-    def entry(action: str, after: int) -> Column:
-        return F.struct(name.alias("kind"), pattern.alias("pattern"), category.alias("category"), F.lit(action).alias("action"),
+    def entry(action: str, after: int, of: Column = category) -> Column:
+        return F.struct(name.alias("kind"), pattern.alias("pattern"), of.alias("category"), F.lit(action).alias("action"),
                         F.date_add("d", after).alias("effective"))
 
-    return listed.select(F.inline(F.array(entry("add", 0), entry("remove", 60), entry("add", 150))))
+    return listed.select(F.inline(F.array(entry("add", 0), entry("add", 30, F.lit("phishing")), entry("remove", 60), entry("add", 150))))
 
 
 def op6_temporal_url_filter(spark, sf_dir: str) -> DataFrame:
@@ -119,7 +121,7 @@ def op6_temporal_url_filter(spark, sf_dir: str) -> DataFrame:
     return judge(captures_of(pages), entries_of(pages)).select("page_id", F.col("fetched").cast("string").alias("fetched"), "host", "n_active", "matched", "blocked")
 
 
-_HOST = "lower(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#@]*@)?([^/?#:@]+)', 2), ''))"
+_HOST = "lower(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#@]*@)?(\\[[0-9A-Fa-f:.]+\\]|[^/?#:@\\[\\]]+)', 2), ''))"
 ORACLE = f"""
 WITH c AS (SELECT page_id, url, CAST(DATE '2023-01-01' + CAST(((page_id * 37) % 730 + 730) % 730 AS INTEGER) AS DATE) AS fetched, {_HOST} AS host,
              regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1) AS path FROM pages),
@@ -127,7 +129,7 @@ h AS (SELECT host, CAST('0x' || substr(md5(host), 1, 4) AS INTEGER) % 16 AS k,
              CAST(DATE '2023-01-01' + CAST('0x' || substr(md5(host), 5, 4) AS INTEGER) % 600 AS DATE) AS d FROM (SELECT DISTINCT host FROM c WHERE host IS NOT NULL)),
 spans AS (SELECT CASE WHEN k < 2 THEN 'host' WHEN k < 4 THEN 'domain' ELSE 'prefix' END AS kind,
              CASE WHEN k < 4 THEN host ELSE host || '/en' END AS pattern, CAST(d + a AS DATE) AS valid_from, CAST(d + b AS DATE) AS valid_to
-          FROM h, (VALUES (0, 60), (150, NULL)) AS v(a, b) WHERE k < 6),
+          FROM h, (VALUES (0, 60), (30, NULL), (150, NULL)) AS v(a, b) WHERE k < 6),
 m AS (SELECT c.page_id, c.url, c.fetched, s.kind || ' ' || s.pattern AS hit FROM c JOIN spans s
         ON c.fetched >= s.valid_from AND (s.valid_to IS NULL OR c.fetched < s.valid_to) AND (
            (s.kind = 'host' AND c.host = s.pattern) OR
