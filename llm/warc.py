@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from llm._batches import byte_slices, shared_folder, stored, table
@@ -173,8 +173,18 @@ def tree(leaf: DataFrame) -> list[DataFrame]:
 def audit(ours: DataFrame, replica: DataFrame) -> DataFrame:
     """Records of ``ours`` (as ``write`` returns it) whose bytes differ in
     ``replica`` (file, content): shard, file, seq, offset, length, page_id, url
-    and ``status`` (changed, missing, or trailing)."""
+    and ``status`` (changed, missing, or trailing). A file that only the replica
+    has is one row ``extra``, one that it has several times a row ``repeated``
+    (without seq); of the latter the copy with the least SHA-256 is compared."""
     index = ours.select("shard", "file", "records")
+    copies = stored(replica.groupBy("file").agg(F.count("*").alias("copies")), "copies")
+    extra = copies.join(index.select("file"), "file", "left_anti").select("file", F.lit("extra").alias("status"), F.lit(None).cast("int").alias("shard"))
+    repeated = copies.where("copies > 1").join(index.select("file", "shard"), "file").select("file", F.lit("repeated").alias("status"), "shard")
+    twice = repeated.select("file")
+    least = Window.partitionBy("file").orderBy("digest")
+    one = (replica.select("file", "content").join(twice, "file", "left_semi").withColumn("digest", F.sha2("content", 256))
+           .withColumn("k", F.row_number().over(least)).where("k = 1").select("file", "content"))
+    replica = replica.select("file", "content").join(twice, "file", "left_anti").unionByName(one)
     mine = tree(stored(leaves(ours), "leaves"))
     theirs = tree(stored(leaves(index.join(replica.select("file", "content"), "file", "left")), "leaves"))
     keys = [["all"], ["shard"], ["shard", "file"]] + [["shard", "file", "node"]] * (LEVELS + 1)
@@ -193,15 +203,18 @@ def audit(ours: DataFrame, replica: DataFrame) -> DataFrame:
     records = index.select("shard", "file", F.inline("records"))
     out = found.join(records, ["shard", "file", "seq"], "left")
     status = F.when(F.col("other").isNull(), "missing").when(F.col("offset").isNull(), "trailing").otherwise("changed")
-    return out.select("shard", "file", "seq", "offset", "length", "page_id", "url", status.alias("status"))
+    damaged = out.select("shard", "file", "seq", "offset", "length", "page_id", "url", status.alias("status"))
+    return damaged.unionByName(extra.unionByName(repeated), allowMissingColumns=True)
 
 
 def damaged_replica(files: DataFrame) -> DataFrame:
-    """A second copy of the files in which some records went bad: one bit of each
-    record whose page id hashes to 0 of 500 is flipped, and files with such a
-    hash of their name (1 of 50) lack their last byte."""
-    bad = F.transform(F.filter("records", lambda r: F.pmod(F.xxhash64(r.page_id), F.lit(500)) == 0), lambda r: r.offset + F.floor(r.length / 2))
-    short = F.pmod(F.xxhash64("file"), F.lit(50)) == 0
+    """A second copy of the files in which some went bad: one bit of each record
+    whose page id hashes to 0 of 100 is flipped, and of each 24 shards the files
+    of one lack their last byte, those of the next are lost, those of the third
+    are there twice, and those of the fourth under another name as well."""
+    bad = F.transform(F.filter("records", lambda r: F.pmod(F.xxhash64(r.page_id), F.lit(100)) == 0), lambda r: r.offset + F.floor(r.length / 2))
+    fate = F.pmod("shard", F.lit(24))
+    short = fate == 1
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,7 +226,9 @@ def damaged_replica(files: DataFrame) -> DataFrame:
                 out.append(bytes(data[:len(data) - cut]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, type=pa.binary())], names=["file", "content"])
 
-    return files.select("file", "content", bad.alias("bad"), short.cast("int").alias("cut")).mapInArrow(work, "file string, content binary")
+    names = (F.when(fate == 3, F.array("file", "file")).when(fate == 4, F.array(F.col("file"), F.concat(F.lit("copy-of-"), "file"))).otherwise(F.array("file")))
+    held = files.where(fate != 2).select(F.explode(names).alias("file"), "content", bad.alias("bad"), short.cast("int").alias("cut"))
+    return held.mapInArrow(work, "file string, content binary")
 
 
 def op7_warc_fixity(spark, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from llm import bpe, decontaminate, htmltext, quality, sharding, simhash, tokenfile, toxicity, urlfilter, warc
+from llm import bpe, decontaminate, htmltext, quality, queries, sharding, simhash, tokenfile, toxicity, urlfilter, warc
 from llm._batches import Texts, shared_folder
 from llm._pieces import PieceEncoder, load
 from tests.llm.fixtures import AWKWARD, LONG, docs, some_texts
@@ -252,12 +252,14 @@ def test_chunks_follow_content():
 def test_url_filter_as_of(spark):
     log = [("host", "a.com", "spam", "add", "2024-01-10"), ("host", "a.com", "spam", "remove", "2024-03-05"), ("domain", "b.org", "x", "add", "2024-02-01"),
            ("prefix", "c.net/p/q", "x", "add", "2024-01-01"), ("host", "a.com", "spam", "add", "2024-01-10"), (None, "a.com", "x", "add", "2024-01-01"),
-           ("domain", "late.com", "x", "add", "2030-01-01")]
+           ("domain", "late.com", "x", "add", "2030-01-01"), ("host", "two.com", "spam", "add", "2024-01-01"), ("host", "two.com", "ads", "add", "2024-01-01"),
+           ("host", "two.com", "spam", "remove", "2024-02-01"), ("host", "[2001:db8::1]", "x", "add", "2024-01-01")]
     entries = spark.createDataFrame(log, "kind string, pattern string, category string, action string, d string").selectExpr("*", "cast(d as date) effective")
     seen = [("http://A.com/x", "2024-01-09", 0), ("http://a.com:80/x", "2024-01-10", 1), ("http://u:p@a.com", "2024-03-04", 1), ("http://a.com", "2024-03-05", 0),
             ("https://x.y.b.org/", "2024-05-01", 1), ("https://b.org", "2024-01-31", 0), ("https://bb.org", "2024-05-01", 0), ("http://c.net/p/q/r?x", "2024-05-01", 1),
             ("http://c.net/p/qq", "2024-05-01", 0), ("http://c.net//p//q", "2024-05-01", 0), ("http://c.net/p/q/", "2024-05-01", 1), (None, "2024-05-01", 0), ("", "2024-05-01", 0), ("nonsense", "2024-05-01", 0), ("http://a.com", None, 0),
-            ("http://a.com/" + "y/" * 20_000, "2024-02-01", 1), ("http://late.com", "2024-05-01", 0)]
+            ("http://a.com/" + "y/" * 20_000, "2024-02-01", 1), ("http://late.com", "2024-05-01", 0), ("http://two.com", "2024-01-15", 2), ("http://two.com", "2024-03-01", 1),
+            ("http://[2001:DB8::1]:8080/x", "2024-03-01", 1), ("http://u@[2001:db8::1]", "2024-03-01", 1), ("http://[2001", "2024-03-01", 0)]
     caps = spark.createDataFrame([(u, d, n, "clash") for u, d, n in seen] * 2, "url string, fetched string, want int, blocked string")
     rows = urlfilter.judge(caps, entries).collect()
     assert len(rows) == 2 * len(seen)
@@ -298,10 +300,38 @@ def test_warc_round_trip_and_audit(spark, monkeypatch):
     n = {f: 1 + max(s for g, s in index if g == f) for f in (gone, longer)}
     want |= {(gone, n[gone]): "missing", (longer, n[longer]): "trailing"}
     assert got == want
+    # a file that only the replica has, one stored twice, and one stored twice of which one copy is bad
+    names = sorted(held)[1:3]
+    more = copy.unionByName(spark.createDataFrame([("strange", b"x")] + [(f, bytes(held[f])) for f in names], copy.schema))
+    got = {(r.file, r.seq): r.status for r in warc.audit(files, more).collect()}
+    assert got == want | {("strange", None): "extra"} | {(f, None): "repeated" for f in names}
     empty = warc.write(pages.limit(0), shared_folder(spark, "w"))
     assert warc.audit(empty, empty).count() == 0
 
 
+def test_op7_finds_what_the_replica_rule_broke(spark):
+    """The registered query, rebuilt from the files and the replica in plain Python."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url")
+    urls = {r.page_id: r.url for r in pages.collect()}
+    got = [tuple(r) for r in queries.queries()["op7_warc_fixity"](spark, SF).collect()]
+    assert {r[-1] for r in got} == {"changed", "missing", "extra", "repeated"} and len(got) == len(set(got))
+    files = warc.write(spark.read.parquet(f"{SF}/pages.parquet"), shared_folder(spark, "w"))
+    replica = [(r.file, bytes(r.content)) for r in warc.damaged_replica(files).collect()]
+    held, count, want = dict(replica), Counter(f for f, _ in replica), []
+    for f in files.collect():
+        if count[f.file] > 1:
+            want.append((None, None, f.file, None, None, None, "repeated"))
+        mine, theirs = bytes(f.content), held.get(f.file)
+        for r in f.records:
+            cut = None if theirs is None or r.offset + r.length > len(theirs) else theirs[r.offset:r.offset + r.length]
+            if cut != mine[r.offset:r.offset + r.length]:
+                want.append((r.page_id, urls[r.page_id], f.file, r.seq, r.offset, r.length, "missing" if cut is None else "changed"))
+        if theirs is None:
+            want.append((None, None, f.file, len(f.records), None, None, "missing"))
+    want += [(None, None, f, None, None, None, "extra") for f in held if f.startswith("copy-of-")]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 # --- 8 toxicity -----------------------------------------------------------------------------------
 
 
