@@ -27,6 +27,7 @@ from statcube.operators import decode as dec  # noqa: E402
 from statcube.operators import drill, filters  # noqa: E402
 from statcube.operators.crosstab import mean_crosstab  # noqa: E402
 from statcube.operators.layout import to_wide  # noqa: E402
+from statcube.operators.probe_index import ProbeIndex  # noqa: E402
 from statcube.plans import events_cube as ec  # noqa: E402
 from statcube.plans import lineitem_cube as lc  # noqa: E402
 from statcube.plans import orders_cube as oc  # noqa: E402
@@ -46,6 +47,7 @@ from statcube.sources.tables import read_parquet, read_table  # noqa: E402
 
 CONFIG_DIR = os.path.join(os.path.dirname(os.path.abspath(__file__)), "statcube", "config")
 SPECS_PATH = os.path.join(CONFIG_DIR, "report_specs.jsonl")
+FAILING_SPECS_PATH = os.path.join(CONFIG_DIR, "report_specs_failing.jsonl")
 PRESETS_PATH = os.path.join(CONFIG_DIR, "presets.yaml")
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -135,6 +137,30 @@ def _crosstab_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Crosstab(cut_lineage(oc.cube_with_gaps(spark, sf_dir)), spec, layout=oc.layout()).cells(percentages=False)
 
 
+def _smart_filter_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The probes answered from the stored index instead of the cube."""
+    cube = oc.decoded_cube(spark, sf_dir, materialize=True)
+    spec = CrosstabSpec.of("DATA_YR", ["COUNTY"], [], "CNT", PROBED["filters"])
+    return Crosstab(cube, spec, oc.codebook(spark, sf_dir), index=ProbeIndex.of(cube)).filtered
+
+
+def _report_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report's notes from a cube that has its index beside it."""
+    cube = oc.decoded_cube(spark, sf_dir, materialize=True)
+    return ReportBatch(read_specs(spark, SPECS_PATH), {"orders_cube": lambda: (cube, oc.codebook(spark, sf_dir), ProbeIndex.of(cube))}).notes()
+
+
+def _report_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports that fail: at planning (axes that overlap, an unknown source) and
+    at run time (a sum of text); the good one among them has its sheet."""
+    sources = {"orders_cube": lambda: (oc.decoded_cube(spark, sf_dir), oc.codebook(spark, sf_dir))}
+    batch = ReportBatch(read_specs(spark, FAILING_SPECS_PATH), sources)
+    sheets = batch.notes().select(F.col("chapter").alias("Chapter"), F.col("title").alias("Name"), F.lit("").alias("Error"), F.col("ref_total").alias("total"))
+    # a run-time error names its kind and the value first
+    short = F.regexp_extract("Error", r"^(.*?)( because|$)", 1)
+    return batch.errors().select("Chapter", "Name", short.alias("Error"), F.lit(None).cast("long").alias("total")).unionByName(sheets)
+
+
 def _growth_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Growth over two tabs kept as text: years grow, priorities do not."""
     cube = cut_lineage(oc.decoded_cube(spark, sf_dir).withColumn("YEAR", F.col("DATA_YR").cast("string")))
@@ -295,6 +321,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "mix_nocols": lambda s, d: _xt(s, d, NO_COLS).mix(),
         "cube_with_gaps": oc.cube_with_gaps,
         "crosstab_with_gaps": _crosstab_with_gaps,
+        "probe_index": lambda s, d: ProbeIndex.entries(oc.decoded_cube(s, d)),
+        "smart_filter_indexed": _smart_filter_indexed,
+        "report_indexed": _report_indexed,
+        "report_failures": _report_failures,
         "growth_guard": _growth_guard,
         "reference_rows": lambda s, d: _xt(s, d, REF, materialize=False).reference_rows("1997"),
         "delivery_csv": _delivery,
@@ -431,6 +461,18 @@ def oracle_sql() -> dict[str, str]:
                           "CAST(sum(CAST(round(c_acctbal * 100) AS BIGINT)) AS BIGINT) AS cents FROM customer GROUP BY 1)",
         "columns_reordered": O.with_cube("SELECT REGION, CNT, DATA_YR, COUNTY, SEG, PRI, SUM_PRICE, CNT_PRICE, GID, DATA_STATUS FROM d"),
         "crosstab_with_gaps": O.CROSSTAB_WITH_GAPS,
+        "probe_index": O.with_cube("SELECT DISTINCT a AS aggregated, u.dim, u.value FROM (SELECT "
+                                   + " + ".join(f"CASE WHEN {c} IS NULL THEN {1 << i} ELSE 0 END" for i, c in enumerate(O.DIMS))
+                                   + " AS a, * FROM d) x, LATERAL (VALUES (NULL, NULL), "
+                                   + ", ".join(f"(CASE WHEN {c} IS NOT NULL THEN '{c}' END, CAST({c} AS VARCHAR))" for c in O.DIMS) + ") AS u(dim, value)"),
+        "smart_filter_indexed": O.with_cube(O.smart_filter("d", "DATA_YR", ["COUNTY"], [], PROBED["filters"])),
+        "report_indexed": "\nUNION ALL\n".join(
+            O.report_sheet_note(sp, sh, rk, fo, ch, ti, de, DETAIL_NAMES, _headline(ti)) for sp, sh, rk, fo, _, ch, ti, de in REPORT_SHEETS),
+        "report_failures": O.with_cube(
+            "SELECT '1' AS \"Chapter\", 'Overlap' AS \"Name\", 'ValueError: row and column dimensions overlap: [''COUNTY'']' AS \"Error\", CAST(NULL AS BIGINT) AS total "
+            "UNION ALL SELECT '2', 'No such source', 'FileNotFoundError: Data file not found: no_such_cube', NULL "
+            "UNION ALL SELECT '3', 'Sum of text', 'NumberFormatException: [CAST_INVALID_INPUT] The value ''BUILDING'' of the type \"STRING\" cannot be cast to \"DOUBLE\"', NULL "
+            "UNION ALL SELECT '4', 'Good ', '', (SELECT CAST(sum(CNT) AS BIGINT) FROM d WHERE DATA_YR = 1997 AND COUNTY IS NULL AND SEG = 'BUILDING' AND PRI IS NULL)"),
         "growth_guard": "SELECT 'YEAR' AS tab_dim, CAST(DATA_YR AS VARCHAR) AS tab, TOTAL, YEARLY_GROWTH, YEARLY_GROWTH_PCT FROM ("
                         + O.growth_overall(**{**GROWTH, "filters": {}, "cols": ["SEG"]}) + ")",
         "reference_rows": O.with_cube(f"SELECT * FROM d WHERE {O.reference_where('DATA_YR', ['COUNTY'], [], REF['filters'])} AND DATA_YR = 1997"),

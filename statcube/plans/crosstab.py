@@ -12,6 +12,7 @@ from statcube.operators import averages as avg_ops
 from statcube.operators import crosstab as xt
 from statcube.operators import drill, filters, growth, layout, ordering
 from statcube.operators.cube import CubeLayout
+from statcube.operators.probe_index import ProbeIndex, probe_conditions
 from statcube.operators.reference import reference_totals
 from statcube.plans.spec import CrosstabSpec
 from statcube.session import cut_lineage
@@ -19,13 +20,17 @@ from statcube.sources.codebook import Codebook
 
 class Crosstab:
     def __init__(self, cube: DataFrame, spec: CrosstabSpec, codebook: Codebook | None = None,
-                 mode: str = "eager", flags: list[bool] | None = None, layout: CubeLayout | None = None):
+                 mode: str = "eager", flags: list[bool] | None = None, layout: CubeLayout | None = None,
+                 index: ProbeIndex | None = None):
         """``flags``: probe outcomes already known for this spec. ``layout``:
-        subtotals are told by the cube's grouping id instead of NULL."""
+        subtotals are told by the cube's grouping id instead of NULL. ``index``:
+        the cube's stored index, from which the probes are answered."""
         spec.validate()
         spec.check_columns(cube.columns)
         self.cube, self.spec, self.mode = cube, spec, mode
         self.codebook = codebook or Codebook()
+        if flags is None and index is not None:
+            flags = index.flags([probe_conditions(cube, spec.tab, spec.rows, spec.cols, spec.filters, spec.probe)])[0]
         self.flags = flags
         self.marker = layout.aggregated if layout else filters.is_null
 

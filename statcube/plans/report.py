@@ -23,13 +23,15 @@ from statcube.functions import MASKED_NOTE_TEMPLATE, fmt_count, sheet_name, stri
 from statcube.operators import ordering
 from statcube.operators.crosstab import ROW_TOTAL
 from statcube.operators.ordering import chapter_sort_columns
+from statcube.operators.probe_index import ProbeIndex
 from statcube.plans.shared import SharedSheets, SheetSpec
 from statcube.plans.spec import CrosstabSpec
 from statcube.session import cut_lineage
 from statcube.sources.codebook import Codebook
 from statcube.sources.specs import clean_specs, parse_filters
 
-SourceLoader = Callable[[], tuple[DataFrame, Codebook]]
+# A cube with its codebook, and its probe index where one is stored beside it.
+SourceLoader = Callable[[], tuple]
 
 CELL_SCHEMA = T.StructType([
     T.StructField("sheet", T.StringType()), T.StructField("sheet_rank", T.LongType()),
@@ -112,7 +114,7 @@ class ReportBatch:
     def __init__(self, specs: DataFrame, sources: Mapping[str, SourceLoader], materialize: bool = True):
         self.spark: SparkSession = specs.sparkSession
         self.specs, self.sources, self.materialize = specs, sources, materialize
-        self._cubes: dict[str, tuple[DataFrame, Codebook]] = {}
+        self._cubes: dict[str, tuple[DataFrame, Codebook, ProbeIndex | None]] = {}
 
     @cached_property
     def ordered(self) -> DataFrame:
@@ -123,12 +125,13 @@ class ReportBatch:
                                    F.concat(F.lit("internal:'"), F.col("sheet"), F.lit("'!A1")).alias("link"),
                                    "sheet", "sheet_rank")
 
-    def _source(self, name: str) -> tuple[DataFrame, Codebook]:
+    def _source(self, name: str) -> tuple[DataFrame, Codebook, ProbeIndex | None]:
         if name not in self._cubes:
             if name not in self.sources:
                 raise FileNotFoundError(f"Data file not found: {name}")
-            cube, cb = self.sources[name]()
-            self._cubes[name] = (cut_lineage(cube) if self.materialize else cube, cb)
+            cube, cb, *index = self.sources[name]()
+            # an index goes with a cube that is stored already
+            self._cubes[name] = (cut_lineage(cube) if self.materialize and not index else cube, cb, index[0] if index else None)
         return self._cubes[name]
 
     @staticmethod
@@ -158,7 +161,7 @@ class ReportBatch:
                     raise ValueError(f"sheet {r['sheet']!r} is already taken")
                 used.add(r["sheet"].lower())
                 spec = self._spec_of(r)
-                cube, _ = self._source(r["data_source"])  # each source built once
+                cube, _, _ = self._source(r["data_source"])  # each source built once
                 spec.check_columns(cube.columns)
                 self._check_filters(cube, spec)
                 by_source.setdefault(r["data_source"], []).append((r, SheetSpec(r["sheet_rank"], spec, r["focus_tab"])))
@@ -174,9 +177,9 @@ class ReportBatch:
     def _run(self, source: str, items: list[tuple]) -> tuple[list[SharedSheets], list[tuple]]:
         """One aggregate for all sheets of a source; if it fails, halves are run
         apart, so that what goes wrong stays with its own spec."""
-        cube, codebook = self._source(source)
+        cube, codebook, index = self._source(source)
         try:
-            sheets = SharedSheets(cube, codebook, [s for _, s in items])
+            sheets = SharedSheets(cube, codebook, [s for _, s in items], index)
             sheets.sparse  # noqa: B018  runs here
             return [sheets], []
         except Exception as e:

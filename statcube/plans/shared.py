@@ -23,6 +23,7 @@ from statcube.operators import averages, filters
 from statcube.operators.crosstab import COL_TOTAL, ROW_TOTAL, VALUE, key_grid
 from statcube.operators.layout import PCT_SUFFIX
 from statcube.operators.ordering import ranked
+from statcube.operators.probe_index import ProbeIndex, probe_conditions
 from statcube.plans.spec import CrosstabSpec
 from statcube.schema import COUNT_COL, MASKED, STATUS_COL, TOTAL_LABEL, YEAR_TAB
 from statcube.session import cut_lineage
@@ -43,11 +44,15 @@ class SheetSpec:
 
 class SharedSheets:
     def __init__(self, cube: DataFrame, codebook: Codebook, sheets: Sequence[SheetSpec],
-                 flags: Sequence[Sequence[bool]] | None = None):
+                 index: ProbeIndex | None = None):
+        """``index``: the cube's stored index; without one, one pass over the
+        cube answers the probes of all sheets."""
         self.cube, self.codebook, self.sheets = cube, codebook, list(sheets)
         plans = [filters.probe_plan(cube, s.spec.tab, list(s.spec.rows), list(s.spec.cols), s.spec.filters, s.spec.probe)
                  for s in self.sheets]
-        if flags is None:
+        if index is not None:
+            flags = index.flags([probe_conditions(cube, s.spec.tab, s.spec.rows, s.spec.cols, s.spec.filters, s.spec.probe) for s in self.sheets])
+        else:
             flags = filters.subtotal_flags_many(cube, [p[1] for p in plans])
         self.predicates = [filters.filter_predicate(base, probes, f) for (base, probes), f in zip(plans, flags)]
 
