@@ -37,7 +37,7 @@ from statcube.session import cut_lineage, ensure_checkpoint_dir  # noqa: E402
 from statcube.plans.presets import load_presets, preset_batch, preset_crosstab  # noqa: E402
 from statcube.plans.report import ReportBatch  # noqa: E402
 from statcube.functions import DATASET_PREFIXES, basename, data_suffix, dataset_prefix, epoch_text, file_stem, fmt_count, fmt_decimal, fmt_percent, numeric_text  # noqa: E402
-from statcube.operators.layout import reorder_columns  # noqa: E402
+from statcube.operators.layout import reorder_columns, sheet_blocks  # noqa: E402
 from statcube.sources.catalog import require_dataset_types  # noqa: E402
 from statcube.sources.codebook import REGION_COUNTIES, Codebook  # noqa: E402
 from statcube.sources.ingest import convert_delivery, ingest_delivery  # noqa: E402
@@ -137,6 +137,13 @@ def _crosstab_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Crosstab(cut_lineage(oc.cube_with_gaps(spark, sf_dir)), spec, layout=oc.layout()).cells(percentages=False)
 
 
+def _mix_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sheet in blocks of five columns: names, and the ends of the values."""
+    blocks = sheet_blocks(_xt(spark, sf_dir, MAIN).mix(), ["DATA_YR", "COUNTY", "is_row_total"], block=5)
+    return blocks.select("DATA_YR", "COUNTY", "is_row_total", "block", F.array_join("names", "|").alias("names"), F.size("values").cast("long").alias("n"),
+                         F.array_min("values").alias("least"), F.array_max("values").alias("most"), F.get("values", F.lit(0)).alias("first"))
+
+
 def _smart_filter_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The probes answered from the stored index instead of the cube."""
     cube = oc.decoded_cube(spark, sf_dir, materialize=True)
@@ -321,6 +328,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "mix_nocols": lambda s, d: _xt(s, d, NO_COLS).mix(),
         "cube_with_gaps": oc.cube_with_gaps,
         "crosstab_with_gaps": _crosstab_with_gaps,
+        "mix_blocks": _mix_blocks,
         "probe_index": lambda s, d: ProbeIndex.entries(oc.decoded_cube(s, d)),
         "smart_filter_indexed": _smart_filter_indexed,
         "report_indexed": _report_indexed,
@@ -461,6 +469,9 @@ def oracle_sql() -> dict[str, str]:
                           "CAST(sum(CAST(round(c_acctbal * 100) AS BIGINT)) AS BIGINT) AS cents FROM customer GROUP BY 1)",
         "columns_reordered": O.with_cube("SELECT REGION, CNT, DATA_YR, COUNTY, SEG, PRI, SUM_PRICE, CNT_PRICE, GID, DATA_STATUS FROM d"),
         "crosstab_with_gaps": O.CROSSTAB_WITH_GAPS,
+        "mix_blocks": "SELECT DATA_YR, COUNTY, is_row_total, CAST(floor(col_order / 5) AS BIGINT) AS block, string_agg(\"column\", '|' ORDER BY col_order) AS names, "
+                      "CAST(count(*) AS BIGINT) AS n, min(value) AS least, max(value) AS most, arg_min(value, col_order) AS first FROM ("
+                      + O.mix_report(**MAIN, avg_names=["Average price"]) + ") GROUP BY ALL",
         "probe_index": O.with_cube("SELECT DISTINCT a AS aggregated, u.dim, u.value FROM (SELECT "
                                    + " + ".join(f"CASE WHEN {c} IS NULL THEN {1 << i} ELSE 0 END" for i, c in enumerate(O.DIMS))
                                    + " AS a, * FROM d) x, LATERAL (VALUES (NULL, NULL), "

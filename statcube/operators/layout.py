@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statcube.functions import format_class
@@ -76,20 +76,50 @@ def _value_and_percent(label: Column, place: Column) -> Column:
                  (place + 1).alias("col_order"))))
 
 
-def to_wide(mix: DataFrame, index: Sequence[str]) -> DataFrame:
-    """Sheet layout: one row per row key, one column per report column, in
-    column order. Columns are told apart by their position, so a label equal to
-    another (or to the total's) keeps its own column; the later one gets its
+# Columns of one block of a wide sheet.
+BLOCK_COLUMNS = 1000
+
+
+def column_blocks(mix: DataFrame, block: int = BLOCK_COLUMNS) -> DataFrame:
+    """(block, columns): the columns of each block in order, as an array of
+    (col_order, name). Columns are told apart by their position, so a label
+    equal to another in its block keeps its own column: the later one gets its
     position after its name."""
-    names = sorted((r["col_order"], r["column"]) for r in mix.select("column", "col_order").distinct().collect())
-    wide = mix.groupBy(*index).pivot("col_order", sorted({p for p, _ in names})).agg(F.first("value"))
-    seen: set[str] = {i.lower() for i in index}
-    out = [F.col(i) for i in index]
-    for position, label in names:
-        name = label if label.lower() not in seen else f"{label} #{position}"
-        seen.add(name.lower())
-        out.append(F.col(f"`{position}`").alias(name))
-    return wide.select(*out)
+    place = F.floor(F.col("col_order") / block).cast("long")
+    found = mix.select("col_order", "column").groupBy("col_order").agg(F.min("column").alias("column"))
+    first = F.row_number().over(Window.partitionBy("block", F.lower("column")).orderBy("col_order")) == 1
+    named = found.withColumn("block", place).withColumn(
+        "name", F.when(first, F.col("column")).otherwise(F.concat("column", F.lit(" #"), F.col("col_order").cast("string"))))
+    return named.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("col_order", "name"))).alias("columns"))
+
+
+def sheet_blocks(mix: DataFrame, index: Sequence[str], block: int = BLOCK_COLUMNS) -> DataFrame:
+    """(index…, block, names, values): each row of a sheet, cut into blocks of
+    columns; ``values`` holds one value per name (NULL where the row has none).
+    A sheet of any width: no task or driver holds more than a block of a row."""
+    placed = mix.select(*index, F.floor(F.col("col_order") / block).cast("long").alias("block"), "col_order", "value")
+    rows = placed.groupBy(*index, "block").agg(F.map_from_entries(F.collect_list(F.struct("col_order", "value"))).alias("_cells"))
+    joined = rows.join(column_blocks(mix, block), "block")
+    return joined.select(*index, "block", F.transform("columns", lambda c: c["name"]).alias("names"),
+                         F.transform("columns", lambda c: F.try_element_at(F.col("_cells"), c["col_order"])).alias("values"))
+
+
+def write_wide(mix: DataFrame, index: Sequence[str], path: str, block: int = BLOCK_COLUMNS) -> None:
+    """The sheet at ``path``, one folder of files per block of columns."""
+    sheet_blocks(mix, index, block).repartition("block", *index).write.mode("overwrite").partitionBy("block").parquet(path)
+
+
+def to_wide(mix: DataFrame, index: Sequence[str], block: int = BLOCK_COLUMNS) -> DataFrame:
+    """Sheet layout: one row per row key, one column per report column, in
+    column order. A table can have so many columns only: a sheet wider than
+    a block is an error (``write_wide`` takes any)."""
+    found = column_blocks(mix.where(F.col("col_order").isNotNull()), block).limit(2).collect()  # two blocks of names at most
+    if len(found) > 1 or (found and found[0]["block"] != 0):
+        raise ValueError(f"the sheet has more than {block} columns: write it in blocks")
+    cells = mix.groupBy(*index).agg(F.map_from_entries(F.collect_list(F.struct("col_order", "value"))).alias("_cells"))
+    taken = {i.lower() for i in index}
+    names = [(p, n if n.lower() not in taken else f"{n} #{p}") for p, n in (found[0]["columns"] if found else [])]
+    return cells.select(*index, *[F.try_element_at("_cells", F.lit(p)).alias(n) for p, n in names])
 
 
 def reorder_columns(df: DataFrame, first: Sequence[str]) -> DataFrame:

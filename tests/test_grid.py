@@ -131,3 +131,23 @@ def test_a_run_time_failure_stays_with_its_sheet(spark):
     errors = batch.errors().collect()
     assert [e["Chapter"] for e in errors] == ["1-3"] and "CAST_INVALID_INPUT" in errors[0]["Error"] and len(errors[0]["Error"]) > 150
     assert batch.cells().select("sheet").distinct().count() == 4 == batch.notes().count()
+
+
+def test_a_sheet_of_fifty_thousand_columns(spark, tmp_path):
+    from statcube.operators.layout import column_blocks, sheet_blocks, to_wide, write_wide
+
+    n = 50_000
+    mix = spark.range(2 * n).select((F.col("id") % 2).alias("r"), F.floor(F.col("id") / 2).alias("col_order")).select(
+        "r", "col_order", F.concat(F.lit("c"), F.col("col_order") % 49_999).alias("column"), (F.col("col_order") * 10 + F.col("r")).cast("double").alias("value"))
+    mix = mix.where("not (r = 1 and col_order = 7)")
+    write_wide(mix, ["r"], str(tmp_path / "sheet"))
+    back = spark.read.parquet(str(tmp_path / "sheet"))
+    assert back.count() == 100 and len(list((tmp_path / "sheet").glob("block=*"))) == 50
+    got = {(r["r"], r["block"]): (r["names"], r["values"]) for r in back.where("block in (0, 49)").collect()}
+    assert got[0, 0][0][:3] == ["c0", "c1", "c2"] and got[0, 0][1] == [10.0 * i for i in range(1000)]
+    assert got[1, 0][1][6:9] == [61.0, None, 81.0] and got[1, 49][0][-1] == "c0" and got[1, 49][1][-1] == 499_991.0
+    with pytest.raises(ValueError, match="blocks"):
+        to_wide(mix, ["r"])
+    twins = spark.createDataFrame([(1, 0, "a", 1.0), (1, 1, "A", 2.0), (1, 2, "r", 3.0)], "r int, col_order long, column string, value double")
+    assert to_wide(twins, ["r"]).columns == ["r", "a", "A #1", "r #2"] and to_wide(twins.limit(0), ["r"]).columns == ["r"]
+    assert sheet_blocks(twins, ["r"], 2).count() == 2 == column_blocks(twins, 2).count()
