@@ -237,8 +237,9 @@ def _once(rows: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-        sample_rows: int = SAMPLE_ROWS, groups: list[list[str]] | None = None) -> Model:
-    """A model from the labelled rows of ``docs`` that ``labels`` covers."""
+        sample_rows: int = SAMPLE_ROWS, groups: list[list[str]] | None = None, counterfactual: float = COUNTERFACTUAL) -> Model:
+    """A model from the labelled rows of ``docs`` that ``labels`` covers.
+    ``counterfactual``: weight of the penalty on changes under swapped terms."""
     spark = docs.sparkSession
     swaps = _swaps(IDENTITY_GROUPS if groups is None else groups)
     label = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(
@@ -285,7 +286,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     got.sort(key=lambda r: (r.y, bytes(r.own), r.other is not None, bytes(r.other or b"")))
     features = [np.frombuffer(r.own, dtype=np.uint64) for r in got]
     swapped = [(i, np.frombuffer(r.other, dtype=np.uint64)) for i, r in enumerate(got) if r.other is not None]
-    return fit_weights(features, np.array([r.y for r in got]), swapped, np.unique(always))
+    return fit_weights(features, np.array([r.y for r in got]), swapped, np.unique(always), counterfactual=counterfactual)
 
 
 def score(df: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -296,10 +297,10 @@ def score(df: DataFrame, model: Model, text_col: str = "text", keep: list[str] |
     return add_columns(df, text_col, [T.StructField("score", T.DoubleType())], make, keep)
 
 
-def op8_toxicity(spark, sf_dir: str) -> DataFrame:
+def op8_toxicity(spark, sf_dir: str, counterfactual: float = COUNTERFACTUAL) -> DataFrame:
     """One row per document: score, prediction, and whether it was held out."""
     docs = table(spark, sf_dir, "documents")
-    out = score(docs, fit(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
+    out = score(docs, fit(docs, table(spark, sf_dir, "labels"), counterfactual=counterfactual), keep=["doc_id"])
     return out.select("doc_id", (~learns_from(F.col("doc_id"))).alias("held_out"), "score",
                       (F.col("score") >= 0.5).cast("int").alias("predicted"))
 

@@ -14,7 +14,7 @@ import xxhash
 from llm import bpe, decontaminate, htmltext, quality, queries, sharding, simhash, tokenfile, toxicity, urlfilter, warc
 from llm._batches import Texts, shared_folder
 from llm._pieces import PieceEncoder, load
-from tests.llm.fixtures import AWKWARD, LONG, docs, some_texts
+from tests.llm.fixtures import AWKWARD, LONG, docs, some_texts, write_sf
 
 SF = "/root/testdata/sf0.001"
 
@@ -379,6 +379,28 @@ def test_counterfactuals_spare_neutral_mentions():
     assert apart[0] > 0.3 and apart[1] < 0.05
 
 
+def test_op8_spares_neutral_mentions(spark, tmp_path):
+    """The registered path on whole tables into which mentions were put: a group
+    that toxic training texts name often is named by neutral held-out texts."""
+    F = warc.F
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    rows = spark.read.parquet(f"{sf}/documents.parquet").join(labels.select("doc_id", "toxic"), "doc_id")
+    draw, learns = F.pmod(F.xxhash64("doc_id"), F.lit(100)), toxicity.learns_from(F.col("doc_id"))
+    mention = F.when(learns & (F.col("toxic") == 1) & (draw < 85), "muslims").when(learns & (draw < 10), "muslims").when(
+        learns & (draw < 60), "christians").when(~learns & (draw < 50), "muslims").otherwise("nobody")
+    docs_ = rows.withColumn("text", F.concat(mention, F.lit(" "), "text")).drop("toxic")
+    at = write_sf(spark, tmp_path, documents=docs_, labels=labels)
+    spared = docs_.where(F.startswith("text", F.lit("muslims"))).select("doc_id").join(labels.where("toxic = 0"), "doc_id")
+    false, caught = [], []
+    for strength in (0.0, toxicity.COUNTERFACTUAL):
+        got = toxicity.op8_toxicity(spark, at, counterfactual=strength).where("held_out").cache()
+        false.append(got.join(spared, "doc_id").where("predicted = 1").count())
+        caught.append(got.join(labels.where("toxic = 1"), "doc_id").agg(F.avg("predicted")).first()[0])
+    print("false positives among neutral mentions without and with the penalty:", false, spared.where(~toxicity.learns_from(F.col("doc_id"))).count(), caught)
+    assert false[1] < false[0] and caught[1] > 0.6
+
+
 def test_toxicity_awkward_rows(spark):
     df = docs(spark, AWKWARD + ["you idiot fool"] * 6 + ["nice day"] * 12, ("score",))
     labels = spark.createDataFrame([(i, int(15 <= i < 21)) for i in range(1, 33)] + [(None, 1), (3, None), (3, 0)], "doc_id long, toxic int")
