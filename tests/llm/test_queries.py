@@ -90,3 +90,65 @@ def test_stages_give_every_value_back(spark, tmp_path):
         got = [tuple(r) for r in out.collect()]
         assert got and all(r == want[r[0]] for r in got) and len(got) == len({r[0] for r in got}), name
         at = spark.createDataFrame(got, df.schema)
+
+
+def _documents(spark):
+    return sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{SF}/documents.parquet").collect())
+
+
+def test_op1_by_plain_python(spark):
+    """The registered query: each document's ids as the tokenizer has them, the end id after them."""
+    import public_tokenizers
+    import zlib
+
+    tk = load(public_tokenizers.path("byte_bpe_50k.json"))
+    want, start = [], 0
+    for i, t in _documents(spark):
+        ids = np.array([*tk.encode(t, add_special_tokens=False).ids, 2], dtype="<u4")
+        want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    got = queries.queries()["op1_token_files"](spark, SF).select("doc_id", "start", "n_tokens", "ids_crc32").collect()
+    assert sorted(tuple(r) for r in got) == want
+
+
+def test_op5_by_plain_python(spark):
+    """The registered query: ids and decoded texts as the tokenizer has them."""
+    tk = load(bpe.default_path())
+    want = []
+    for i, t in _documents(spark):
+        ids = tk.encode(t, add_special_tokens=False).ids
+        sha = [hashlib.sha256(x).hexdigest() for x in (np.array(ids, dtype="<u4").tobytes(), tk.decode(ids, skip_special_tokens=False).encode())]
+        want.append((i, len(ids), *sha))
+    got = queries.queries()["op5_bpe_chunks"](spark, SF).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()
+    assert sorted(tuple(r) for r in got) == want
+
+
+def test_op3_by_plain_differencing(spark):
+    """The registered query: sizes and checksums, whole groups, gapless slots, and shards as even
+    as Karmarkar-Karp differencing of the groups makes them."""
+    import heapq
+    import zlib
+    from collections import defaultdict
+
+    docs = dict(_documents(spark))
+    rows = queries.queries()["op3_kk_shards"](spark, SF).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(docs) and {r.law for r in rows} == {"bytes"}
+    slots, where, load_ = defaultdict(list), defaultdict(set), [0] * 40
+    for r in rows:
+        body = docs[r.doc_id].encode()
+        assert (r.size, r.text_crc32) == (len(body) + 16, zlib.crc32(body)) and 0 <= r.shard < 40
+        slots[r.shard].append(r.slot)
+        where[body].add(r.shard)
+        load_[r.shard] += r.size
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values()) and all(len(x) == 1 for x in where.values())
+    groups = defaultdict(int)
+    for t in docs.values():
+        groups[t] += len(t.encode()) + 16
+    heap = [(-g, k, tuple([g] + [0] * 39)) for k, g in enumerate(groups.values())]
+    heapq.heapify(heap)
+    for k in range(len(heap), 2 * len(heap) - 1):
+        a, b = heapq.heappop(heap)[2], heapq.heappop(heap)[2]
+        both = sorted((x + y for x, y in zip(a, reversed(b))), reverse=True)  # largest to smallest
+        heapq.heappush(heap, (both[-1] - both[0], k, tuple(x - both[-1] for x in both)))
+    spread = heap[0][2][0]
+    assert max(load_) - min(load_) <= max(spread, max(groups.values()) - min(load_)) * 1.05 + 16, (max(load_) - min(load_), spread)
