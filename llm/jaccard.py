@@ -438,3 +438,18 @@ def similar_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def op12_jaccard_join(spark, sf_dir: str) -> DataFrame:
     """One row per document: size of its shingle set, and component."""
     return similar_sets(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
+_W = "[^\\x20\\x09-\\x0D]+"
+ORACLE = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_W}') AS ws FROM documents),
+sh AS (SELECT DISTINCT r, array_to_string(ws[i:i + 3], ' ') AS s FROM (SELECT r, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS i FROM d WHERE len(ws) > 0)),
+n AS (SELECT r, count(*) AS n FROM sh GROUP BY r),
+common AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.r <> b.r GROUP BY ALL),
+link AS (SELECT x, y FROM common JOIN n p ON p.r = x JOIN n q ON q.r = y WHERE 100 * c >= 85 * (p.n + q.n - c)),
+reach(r, z) AS (SELECT r, r FROM n UNION SELECT reach.r, link.y FROM reach JOIN link ON reach.z = link.x),
+least AS (SELECT reach.r, min(d.doc_id) AS component_id FROM reach JOIN d ON d.r = reach.z GROUP BY reach.r)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(least.component_id, d.doc_id) AS component_id
+FROM d LEFT JOIN n USING (r) LEFT JOIN least USING (r)
+"""

@@ -27,4 +27,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {"op4_quality_cascade": quality.ORACLE, "op9_decontaminate": decontaminate.ORACLE, "op6_temporal_url_filter": urlfilter.ORACLE,
-            "op11_fill_in_middle": fim.ORACLE}
+            "op11_fill_in_middle": fim.ORACLE, "op12_jaccard_join": jaccard.ORACLE}
