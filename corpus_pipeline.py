@@ -1,5 +1,12 @@
 """The corpus pipeline: toxicity, quality rules, near-duplicates, benchmark
-passages, and BPE ids of what is left."""
+passages, and BPE ids of what is left.
+
+Defined cases: a null text is an empty one (the quality rules reject it); a null
+or repeated id costs no other row anything, as rows are told apart by a stored
+key; of a group of near copies the row with the least id (nulls last), then text
+hash, then row key stays; an empty table gives an empty result; all stages but
+the last give every column of a row back as it was, whatever it is called.
+"""
 
 from __future__ import annotations
 
