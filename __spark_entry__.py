@@ -15,6 +15,7 @@ import os
 import sys
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -219,10 +220,11 @@ def _delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The given tables written as datasets; the catalogue from their manifest."""
+    """The given tables written as datasets, several at once; the catalogue from
+    their manifest."""
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/datasets-{uuid.uuid4().hex}"
-    for table, name in DELIVERED.items():
-        write_dataset(read_table(spark, sf_dir, table), root, name)
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        list(pool.map(lambda table: write_dataset(read_table(spark, sf_dir, table), root, DELIVERED[table]), DELIVERED))
     return require_dataset_types(catalogue(spark, root, DISABLED)).select("name", "dataset_type", "n_rows", "n_columns", "n_nulls", F.col("checksum").cast("string").alias("checksum"),
                                                    "by_name", "by_name_desc")
 

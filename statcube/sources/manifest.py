@@ -44,22 +44,30 @@ def value_text(c: Column, dtype: T.DataType) -> Column:
 
 
 def profile_metrics(df: DataFrame) -> list[Column]:
+    """The digest of a value is a long below 2^32, summed in halves of 16 bits: a
+    sum of decimals works out its input more than once a row, and one sum of
+    longs overflows at some four billion rows."""
     out = [F.count(F.lit(1)).alias("n_rows")]
     for i, f in enumerate(df.schema.fields):
         c = F.col(f"`{f.name}`")
-        digest = F.conv(F.substring(F.md5(value_text(c, f.dataType).cast("binary")), 1, 8), 16, 10).cast("decimal(20,0)")
-        out += [F.count(c).alias(f"n_{i}"), F.sum(digest).alias(f"c_{i}"),
+        digest = F.conv(F.substring(F.md5(value_text(c, f.dataType).cast("binary")), 1, 8), 16, 10).cast("long")
+        out += [F.count(c).alias(f"n_{i}"), F.sum(F.shiftright(digest, 16)).alias(f"c_hi_{i}"), F.sum(digest.bitwiseAND(F.lit(65535))).alias(f"c_lo_{i}"),
                 value_text(F.min(c), f.dataType).alias(f"lo_{i}"), value_text(F.max(c), f.dataType).alias(f"hi_{i}")]
     return out
 
 
+def checksum(got: dict, i: int) -> Decimal:
+    """The sum of the digests of column ``i``, from its halves."""
+    return Decimal(((got[f"c_hi_{i}"] or 0) << 16) + (got[f"c_lo_{i}"] or 0))
+
+
 def write_dataset(df: DataFrame, root: str, name: str) -> str:
     """``df`` as ``<root>/<name>.parquet``, with its profile in the manifest."""
     spark, path = df.sparkSession, f"{root.rstrip('/')}/{name}.parquet"
     seen = Observation()
     df.observe(seen, *profile_metrics(df)).write.mode("overwrite").parquet(path)
     got = seen.get
-    rows = [(name, i, f.name, kind_of(f.dataType), got["n_rows"], got["n_rows"] - got[f"n_{i}"], got[f"lo_{i}"], got[f"hi_{i}"], got[f"c_{i}"] or Decimal(0))
+    rows = [(name, i, f.name, kind_of(f.dataType), got["n_rows"], got["n_rows"] - got[f"n_{i}"], got[f"lo_{i}"], got[f"hi_{i}"], checksum(got, i))
             for i, f in enumerate(df.schema.fields)]
     kinds = "dataset string, position int, column string, kind string, n_rows long, n_nulls long, min_text string, max_text string, checksum decimal(38,0)"
     noted = spark.createDataFrame(rows, kinds).withColumn("written", F.current_timestamp()).coalesce(1)

@@ -135,3 +135,35 @@ def test_types_inferred_in_the_pass_that_reads_the_csv(spark, tmp_path):
 def test_narrowest_type():
     seen = {f"{k}_0": k in ("double", "timestamp") for k in ("boolean", "long", "double", "date", "timestamp")} | {"nulls_0": 1, "rows_0": 3}
     assert types_of(["c"], seen) == {"c": "double"}
+
+
+def test_digests_are_summed_as_longs(spark):
+    """A sum of decimals works its input out more than once a row; two sums of
+    longs have room for any number of rows."""
+    from statcube.sources.manifest import checksum, profile_metrics
+
+    df = spark.createDataFrame([("a", 1), (None, 2)], "s string, k long")
+    plan = df.agg(*profile_metrics(df))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") == 4 and "decimal" not in plan
+    got = df.agg(*profile_metrics(df)).first().asDict()
+    assert [int(checksum(got, i)) for i in (0, 1)] == [
+        sum(int(__import__("hashlib").md5(t.encode()).hexdigest()[:8], 16) for t in texts) for texts in (["a"], ["1", "2"])]
+    # a hundred billion of the largest digest
+    many = 10 ** 11
+    assert checksum({"c_hi_0": many * 65535, "c_lo_0": many * 65535}, 0) == many * (2 ** 32 - 1)
+    assert checksum({"c_hi_0": None, "c_lo_0": None}, 0) == 0
+
+
+def test_catalogue_writes_several_datasets_at_once(spark, monkeypatch):
+    import threading
+
+    import __spark_entry__ as E
+
+    together = threading.Barrier(4, timeout=60)
+
+    def write(df, root, name):
+        together.wait()
+        return write_dataset(df, root, name)
+
+    monkeypatch.setattr(E, "write_dataset", write)
+    assert E._catalogue(spark, SF).count() == 7
